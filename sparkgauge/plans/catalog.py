@@ -1,6 +1,6 @@
 """Importing this module fills the registry."""
 
-from sparkgauge.plans import delivery_queries  # noqa: F401
+from sparkgauge.plans import delivery_queries, lifecycle_queries, log_queries  # noqa: F401
 from sparkgauge.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
