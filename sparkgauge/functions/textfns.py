@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TICKET_PATTERN = r"\b[A-Z][A-Z0-9]+-\d+\b"  # fixed value
 
@@ -20,17 +21,30 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
-def unescape_entities(text: pd.Series) -> pd.Series:
-    """All HTML entities; the standard table has over two thousand names."""
+# Entities replaced without leaving the JVM; ``amp`` comes last so that nothing is decoded twice.
+PLAIN_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "copy": "\u00a9", "middot": "\u00b7", "nbsp": "\u00a0", "amp": "&"}
+
+
+@F.pandas_udf(StringType())
+def _unescape_any(text: pd.Series) -> pd.Series:
+    """The full entity table has over two thousand names."""
     return text.map(html.unescape, na_action="ignore")
 
 
+def unescape_entities(text: Column) -> Column:
+    """Texts with only plain entities stay in the JVM; Python sees null instead of them."""
+    rare = text.rlike(f"&(?!({'|'.join(PLAIN_ENTITIES)});)[#a-zA-Z]")
+    plain = text
+    for name, char in PLAIN_ENTITIES.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(char))
+    return F.coalesce(_unescape_any(F.when(rare, text)), plain)
+
+
 def html_to_text(markup: Column) -> Column:
     """Drop script and style blocks, then tags; unescape; squeeze white space.
 
     Tags vanish without a space, so words can join, and ``<script`` is matched in lower
-    case only. Only texts that still hold an ``&`` need the entity table.
+    case only.
     """
     bare = F.regexp_replace(markup, r"(?s)<script[^>]*>.*?</script>", "")
     bare = F.regexp_replace(bare, r"(?s)<style[^>]*>.*?</style>", "")

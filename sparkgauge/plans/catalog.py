@@ -1,6 +1,11 @@
 """Importing this module fills the registry."""
 
-from sparkgauge.plans import delivery_queries, lifecycle_queries, log_queries  # noqa: F401
+from sparkgauge.plans import (  # noqa: F401
+    delivery_queries,
+    lifecycle_queries,
+    log_queries,
+    matching_queries,
+)
 from sparkgauge.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

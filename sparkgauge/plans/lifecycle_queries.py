@@ -14,8 +14,8 @@ from sparkgauge.sources import tablework as w
 # ---- imports
 
 
-@query("extract_ticket_ids", "SELECT seq, array_to_string(list_distinct_first(regexp_extract_all(message, '\\b[A-Z][A-Z0-9]+-\\d+\\b')), ',') AS tickets FROM v_commits"
-       .replace("list_distinct_first(", "list_reverse(list_distinct(").replace("\\b')), ','", "\\b'))), ','"))
+@query("extract_ticket_ids", """SELECT seq, array_to_string(list_filter(xs, lambda x, i: list_position(xs, x) = i), ',') AS tickets
+  FROM (SELECT seq, regexp_extract_all(message, '\\b[A-Z][A-Z0-9]+-\\d+\\b') AS xs FROM v_commits)""")
 def _(t):
     return t.commits.select("seq", F.array_join(extract_ticket_ids(F.col("message")), ",").alias("tickets"))
 

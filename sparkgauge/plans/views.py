@@ -177,7 +177,7 @@ VIEWS = {
     # ---- evaluation
     "v_preds": """
         SELECT lang AS run, doc_id AS test_case, b.text AS expected,
-               CASE doc_id % 5 WHEN 0 THEN b.text WHEN 1 THEN '  ' || upper(b.text) WHEN 2 THEN b.text || ' ' || d.text
+               CASE doc_id % 5 WHEN 0 THEN b.text WHEN 1 THEN '  ' || lower(b.text) WHEN 2 THEN b.text || ' ' || d.text
                     WHEN 3 THEN d.text ELSE '' END AS predicted,
                doc_id % 3 AS gold_index, CAST((doc_id * 7) % 4 AS STRING) AS pred_index,
                (doc_id % 11) / 10.0E0 AS confidence

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder named by ``spark.checkpoint.dir``.
 
     A local test session without that setting gets a temporary folder; a cluster
     without it is an error, because a machine-local folder dies with its machine.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
+        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
             "spark.checkpoint.dir", None
         )
         if shared:
@@ -42,4 +43,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkgauge-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: cuts lineage and fixes the partition layout."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
