@@ -5,6 +5,7 @@ from sparkgauge.plans import (  # noqa: F401
     lifecycle_queries,
     log_queries,
     matching_queries,
+    page_queries,
 )
 from sparkgauge.plans.registry import REGISTRY
 

@@ -267,9 +267,9 @@ def _(t):
     return a.checkpoint_by_name(t.checkpoints).select("name", "id")
 
 
-@query("checkpoint_history", "SELECT id, ts_ms FROM v_checkpoints WHERE url = 'about:blank' OR FALSE ORDER BY ts_ms DESC, id DESC LIMIT 40")
+@query("checkpoint_history", "SELECT id, ts_ms FROM v_checkpoints WHERE url = 'https://m.ththth.example.net/en/25#top' ORDER BY ts_ms DESC, id DESC LIMIT 40")
 def _(t):
-    return a.checkpoint_history(t.checkpoints, "about:blank", 40).select("id", "ts_ms")
+    return a.checkpoint_history(t.checkpoints, "https://m.ththth.example.net/en/25#top", 40).select("id", "ts_ms")
 
 
 @query("compare_checkpoints", """SELECT a.id AS a_id, b.id AS b_id, a.dom_ref IS DISTINCT FROM b.dom_ref AS dom,
@@ -317,9 +317,9 @@ def _(t):
     return a.union_artifacts(*kinds)
 
 
-@query("artifacts_by_test", "SELECT id, path FROM v_artifacts WHERE test_id = 'src3' AND category = 'dom'")
+@query("artifacts_by_test", "SELECT id, path FROM v_artifacts WHERE test_id = 'src5' AND category = 'dom'")
 def _(t):
-    return a.artifacts_by_test(t.artifacts, "src3", "dom").select("id", "path")
+    return a.artifacts_by_test(t.artifacts, "src5", "dom").select("id", "path")
 
 
 @query("artifacts_in_range", "SELECT id, category FROM v_artifacts WHERE ts_ms BETWEEN 1704153600000 AND 1704499200000")

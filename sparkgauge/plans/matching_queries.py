@@ -189,9 +189,9 @@ def _(t):
     return t.pages.select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
-@query("all_content", "SELECT id, CASE WHEN id % 3 = 0 THEN 'page' ELSE 'post' END AS type FROM v_content")
+@query("all_content", "SELECT id, CASE WHEN url LIKE '%/en/%' THEN 'page' ELSE 'post' END AS type FROM v_content")
 def _(t):
-    posts, pages = t.content.filter("id % 3 <> 0"), t.content.filter("id % 3 = 0")
+    posts, pages = t.content.filter("url NOT LIKE '%/en/%'"), t.content.filter("url LIKE '%/en/%'")
     return m.all_content(posts, pages).select("id", "type")
 
 
@@ -421,18 +421,20 @@ def _(t):
     return w.upsert_by_url(target, first.unionByName(second).unionByName(new)).select("url", "v")
 
 
-@query("upsert_matching", """SELECT taxonomy_id, content_id, id FROM (SELECT taxonomy_id, content_id, id, created_ms, 0 AS g FROM v_matchings WHERE id % 2 = 0
-   UNION ALL SELECT taxonomy_id, content_id, id, created_ms, 1 FROM v_matchings WHERE id % 2 = 1)
+@query("upsert_matching", """SELECT taxonomy_id, content_id, id FROM (SELECT taxonomy_id, content_id, id, created_ms, 0 AS g FROM v_matchings WHERE match_stage <> 'llm_categorized'
+   UNION ALL SELECT taxonomy_id, content_id, id, created_ms, 1 FROM v_matchings WHERE match_stage = 'llm_categorized')
   QUALIFY row_number() OVER (PARTITION BY taxonomy_id, content_id ORDER BY g DESC, created_ms DESC, id DESC) = 1""")
 def _(t):
-    stored, incoming = t.matchings.filter("id % 2 = 0"), t.matchings.filter("id % 2 = 1")
+    late = F.col("match_stage") == "llm_categorized"
+    stored, incoming = t.matchings.filter(~late), t.matchings.filter(late)
     return w.upsert_matching(stored, incoming).select("taxonomy_id", "content_id", "id")
 
 
 @query("bulk_insert", "SELECT id, taxonomy_id FROM v_matchings")
 def _(t):
     path = scratch_path(t.spark, "rows")
-    for part in (t.matchings.filter("id % 2 = 0"), t.matchings.filter("id % 2 = 1"), t.matchings.limit(0)):
+    late = F.col("match_stage") == "llm_categorized"
+    for part in (t.matchings.filter(~late), t.matchings.filter(late), t.matchings.limit(0)):
         w.bulk_insert(part.select("id", "taxonomy_id"), path)
     return t.spark.read.schema("id long, taxonomy_id string").parquet(path)
 

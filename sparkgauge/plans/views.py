@@ -163,7 +163,7 @@ VIEWS = {
                     THEN @TSMS(1704067200000 + 3600000 * ((page_id * 53) % 1009)) END AS published_date
         FROM {pages}""",
     "v_matchings": """
-        SELECT doc_id AS id, source AS taxonomy_id, CASE WHEN doc_id % 5 <> 0 THEN n_chars % 250 END AS content_id,
+        SELECT doc_id AS id, source AS taxonomy_id, CASE WHEN doc_id % 5 <> 0 THEN n_chars % (SELECT count(*) FROM {pages}) END AS content_id,
                CASE WHEN doc_id % 5 <> 0 THEN ((doc_id * 31) % 1000) / 1000.0E0 ELSE 0.0E0 END AS similarity_score,
                CASE WHEN doc_id % 5 = 0 THEN 'needs_human_review' WHEN doc_id % 2 = 0 THEN 'semantic_matched'
                     ELSE 'llm_categorized' END AS match_stage,
@@ -171,7 +171,7 @@ VIEWS = {
                1704067200000 + doc_id * 60000 AS created_ms
         FROM {documents}""",
     "v_cats": """
-        SELECT doc_id AS id, doc_id % 250 AS content_id, 'quality-' || quality AS category,
+        SELECT doc_id AS id, doc_id % (SELECT count(*) FROM {pages}) AS content_id, 'quality-' || quality AS category,
                (quality * 2 + toxic + 1) / 4.0E0 AS confidence, 1704067200000 + doc_id * 1000 AS created_ms
         FROM {labels}""",
     # ---- evaluation
@@ -181,5 +181,5 @@ VIEWS = {
                     WHEN 3 THEN d.text ELSE '' END AS predicted,
                doc_id % 3 AS gold_index, CAST((doc_id * 7) % 4 AS STRING) AS pred_index,
                (doc_id % 11) / 10.0E0 AS confidence
-        FROM {documents} d JOIN {benchmark} b ON b.item_id = d.doc_id % 40""",
+        FROM (SELECT *, doc_id % (SELECT count(*) FROM {benchmark}) AS item FROM {documents}) d JOIN {benchmark} b ON b.item_id = d.item""",
 }
