@@ -23,7 +23,8 @@ from sparkgauge.functions.levels import (
 )
 from sparkgauge.functions.timefns import diff_hours, diff_ms, round2
 from sparkgauge.operators.intervals import exists_within
-from sparkgauge.operators.trends import trend
+from sparkgauge.operators.positions import with_position
+from sparkgauge.operators.trends import direction
 
 DEPLOY_DELAY_HOURS = 2.0  # fixed value: assumed merge-to-deploy delay
 
@@ -32,8 +33,8 @@ def _is_prod() -> Column:
     return F.lower("environment").contains("prod")
 
 
-def _start(issue_prefix: str = "") -> Column:
-    return F.coalesce(f"{issue_prefix}incident_start", f"{issue_prefix}created")
+def _start() -> Column:
+    return F.coalesce("incident_start", "created")
 
 
 def percentile_linear(value: Column, p: float) -> Column:
@@ -45,15 +46,6 @@ def mean_or_zero(value: Column) -> Column:
     return F.coalesce(F.avg(value), F.lit(0.0))
 
 
-def _with_trend(metric: DataFrame, points: DataFrame, by: Sequence[str], lower_is_better: bool) -> DataFrame:
-    """Attach the trend; a group without points is ``stable``."""
-    label = F.coalesce(F.col("_trend"), F.lit("stable")).alias("trend")
-    found = trend(points, by, lower_is_better).withColumnRenamed("trend", "_trend")
-    if by:
-        return metric.join(found, list(by), "left").select(*metric.columns, label)
-    return metric.select("*", F.coalesce(found.select(F.max("_trend")).scalar(), F.lit("stable")).alias("trend"))
-
-
 def deployment_points(deployments: DataFrame) -> DataFrame:
     """(date, 1) per successful production deployment."""
     kept = deployments.filter((F.col("status") == "success") & _is_prod())
@@ -74,22 +66,31 @@ def deployment_frequency(
 
     The trend of a constant series is always ``stable``, so it costs no pass.
     """
-    days = max(int((end - start).total_seconds() // 86400), 0) or 1
     n = F.count_if((F.col("status") == "success") & _is_prod())
-    rate = deployments.groupBy(*by).agg(n.alias("deployments")).withColumn("_d", F.col("deployments") / F.lit(days))
-    d = F.col("_d")
-    unit = F.when(d >= 1, "day").when(d >= 1 / 7, "week").otherwise("month")
-    shown = F.when(d >= 1, d).when(d >= 1 / 7, d * 7).otherwise(d * 30)
-    return rate.select(
+    counted = deployments.groupBy(*by).agg(n.alias("deployments"))
+    per_day = F.col("deployments") / F.lit(_whole_days(start, end))
+    value, unit = _shown_frequency(per_day)
+    return counted.select(
         *by,
         "deployments",
-        round2(shown).alias("value"),
+        value.alias("value"),
         unit.alias("unit"),
-        level_frequency(d).alias("level"),
+        level_frequency(per_day).alias("level"),
         F.lit("stable").alias("trend"),
     )
 
 
+def _whole_days(start: datetime, end: datetime) -> int:
+    return max(int((end - start).total_seconds() // 86400), 0) or 1
+
+
+def _shown_frequency(per_day: Column) -> tuple[Column, Column]:
+    """Rounded value and unit: per day, per week or per month of 30 days."""
+    daily, weekly = per_day >= 1, per_day >= 1 / 7
+    value = F.when(daily, per_day).when(weekly, per_day * 7).otherwise(per_day * 30)
+    return round2(value), F.when(daily, "day").when(weekly, "week").otherwise("month")
+
+
 def with_lead_hours(prs: DataFrame) -> DataFrame:
     """Add total, coding and review hours of merged pull requests; null unless positive."""
     first = F.coalesce("first_commit_at", "created_at")
@@ -103,38 +104,6 @@ def with_lead_hours(prs: DataFrame) -> DataFrame:
     return prs
 
 
-def lead_time(prs: DataFrame, deployments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """First commit to merge: median, mean, p90, band, trend and phase medians."""
-    spans = with_lead_hours(prs)
-    both = spans.withColumn("_pr", F.lit(1)).unionByName(
-        deployments.select(*by).withColumn("_dep", F.lit(1)), allowMissingColumns=True
-    )
-    measured = both.groupBy(*by).agg(
-        percentile_linear(F.col("total_hours"), 0.5).alias("_median"),
-        round2(mean_or_zero(F.col("total_hours"))).alias("mean"),
-        round2(percentile_linear(F.col("total_hours"), 0.9)).alias("p90"),
-        round2(percentile_linear(F.col("coding_hours"), 0.5)).alias("coding"),
-        round2(percentile_linear(F.col("review_hours"), 0.5)).alias("review"),
-        (F.count("_pr").alias("_prs") > 0).alias("_has_pr"),
-        (F.count("_dep") > 0).alias("_has_dep"),
-    )
-    metric = measured.select(
-        *by,
-        round2(F.col("_median")).alias("median"),
-        "mean",
-        "p90",
-        level_lead_time(F.col("_median")).alias("level"),
-        "coding",
-        F.lit(0.0).alias("pickup"),
-        "review",
-        F.when(F.col("_has_pr") & F.col("_has_dep"), DEPLOY_DELAY_HOURS).otherwise(0.0).alias("deploy"),
-    )
-    points = spans.filter(F.col("total_hours").isNotNull()).select(
-        *by, F.col("merged_at").alias("date"), "id", F.col("total_hours").alias("value")
-    )
-    return _with_trend(metric, points, by, lower_is_better=True)
-
-
 def incident_within_24h(deployments: DataFrame, incidents: DataFrame) -> DataFrame:
     """Production deployments with ``failed``: own failure, or any incident that starts
     0 to 24 whole hours after completion (else creation). Truncation toward zero makes
@@ -145,46 +114,136 @@ def incident_within_24h(deployments: DataFrame, incidents: DataFrame) -> DataFra
     return marked.withColumn("failed", (F.col("status") == "failure") | F.col("_hit")).drop("_hit")
 
 
-def change_failure_rate(deployments: DataFrame, incidents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Failed share of production deployments in percent; the trend looks at status only."""
-    marked = incident_within_24h(deployments, incidents)
-    counts = marked.groupBy(*by).agg(
-        F.count("*").alias("total_deployments"), F.count_if("failed").alias("failed_deployments")
+# ---- facts: one row per pull request, deployment or incident, labelled with its metric.
+# ``value`` is the trended measure; rows without one still count in the totals.
+
+
+def _fact(df: DataFrame, metric: str, by: Sequence[str], date: Column, value: Column, **more: Column) -> DataFrame:
+    return df.select(
+        *by,
+        F.lit(metric).alias("metric"),
+        date.alias("date"),
+        F.col("id").cast("string").alias("id"),
+        value.cast("double").alias("value"),
+        *[c.alias(n) for n, c in more.items()],
     )
-    rate = F.coalesce(F.try_divide(F.col("failed_deployments"), F.col("total_deployments")) * 100, F.lit(0.0))
-    metric = counts.withColumn("_rate", rate).select(
+
+
+def _lead_facts(prs: DataFrame, by: Sequence[str]) -> DataFrame:
+    spans = with_lead_hours(prs)
+    more = {"coding": F.col("coding_hours"), "review": F.col("review_hours")}
+    return _fact(spans, "lead", by, F.col("merged_at"), F.col("total_hours"), **more)
+
+
+def _failure_facts(deployments: DataFrame, incidents: DataFrame, by: Sequence[str]) -> DataFrame:
+    marked = incident_within_24h(deployments, incidents)
+    status = F.col("status")
+    more = {"failed": F.col("failed"), "succeeded": status == "success"}
+    return _fact(marked, "failure", by, F.col("created_at"), (status == "failure").cast("int"), **more)
+
+
+def _recovery_facts(incidents: DataFrame, by: Sequence[str]) -> DataFrame:
+    hours = diff_hours(F.coalesce("incident_resolution", "resolved"), _start())
+    return _fact(incidents.filter("is_incident"), "recovery", by, _start(), F.when(hours >= 0, hours))
+
+
+def _presence(deployments: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per group that has any deployment."""
+    seen = deployments.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 0")
+    return seen.select(*by, F.lit("deployed").alias("metric"))
+
+
+def _measure(facts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+    """All raw measures per group from one pass over the stacked facts.
+
+    The facts are placed in time per metric and group once; totals, percentiles and the
+    two halves of each trend then come from a single aggregate.
+    """
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
+    for column, kind in (("coding", "long"), ("review", "long"), ("failed", "boolean"), ("succeeded", "boolean")):
+        if column not in stacked.columns:
+            stacked = stacked.withColumn(column, F.lit(None).cast(kind))
+    stacked = stacked.withColumn("has", F.col("value").isNotNull())
+    placed = with_position(stacked, ["metric", *by, "has"], [F.col("date"), F.col("id")])
+    early = F.col("position") < F.floor(F.col("total") / 2)
+    value = F.col("value")
+
+    def only(metric: str, x: Column) -> Column:
+        return F.when(F.col("metric") == metric, x)
+
+    aggs = []
+    for m in ("lead", "failure", "recovery"):
+        aggs += [
+            F.count(only(m, value)).alias(f"{m}_n"),
+            F.avg(only(m, F.when(early, value))).alias(f"{m}_a"),
+            F.avg(only(m, F.when(~early, value))).alias(f"{m}_b"),
+            F.count(only(m, F.lit(1))).alias(f"{m}_rows"),
+        ]
+    for m in ("lead", "recovery"):
+        aggs += [
+            percentile_linear(only(m, value), 0.5).alias(f"{m}_median"),
+            percentile_linear(only(m, value), 0.9).alias(f"{m}_p90"),
+            mean_or_zero(only(m, value)).alias(f"{m}_mean"),
+        ]
+    aggs += [
+        percentile_linear(F.col("coding"), 0.5).alias("coding"),
+        percentile_linear(F.col("review"), 0.5).alias("review"),
+        F.count_if("failed").alias("failed"),
+        F.count_if("succeeded").alias("succeeded"),
+        (F.count(only("deployed", F.lit(1))) > 0).alias("deployed"),
+    ]
+    measured = placed.groupBy(*by).agg(*aggs)
+    rate = F.coalesce(F.try_divide(F.col("failed"), F.col("failure_rows")) * 100, F.lit(0.0))
+    trends = [
+        direction(F.col(f"{m}_n"), F.col(f"{m}_a"), F.col(f"{m}_b"), F.lit(True)).alias(f"{m}_trend")
+        for m in ("lead", "failure", "recovery")
+    ]
+    return measured.select("*", rate.alias("failure_rate"), *trends)
+
+
+def lead_time(prs: DataFrame, deployments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """First commit to merge: median, mean, p90, band, trend and phase medians."""
+    m = _measure([_lead_facts(prs, by), _presence(deployments, by)], by)
+    both = F.col("deployed") & (F.col("lead_rows") > 0)
+    return m.select(
         *by,
-        round2(F.col("_rate")).alias("rate"),
-        "total_deployments",
-        "failed_deployments",
-        level_failure_rate(F.col("_rate")).alias("level"),
+        round2(F.col("lead_median")).alias("median"),
+        round2(F.col("lead_mean")).alias("mean"),
+        round2(F.col("lead_p90")).alias("p90"),
+        level_lead_time(F.col("lead_median")).alias("level"),
+        round2(F.col("coding")).alias("coding"),
+        F.lit(0.0).alias("pickup"),
+        round2(F.col("review")).alias("review"),
+        F.when(both, DEPLOY_DELAY_HOURS).otherwise(0.0).alias("deploy"),
+        F.col("lead_trend").alias("trend"),
     )
-    points = deployments.filter(_is_prod()).select(
-        *by, F.col("created_at").alias("date"), "id", (F.col("status") == "failure").cast("int").alias("value")
+
+
+def change_failure_rate(deployments: DataFrame, incidents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Failed share of production deployments in percent; the trend looks at status only."""
+    m = _measure([_failure_facts(deployments, incidents, by)], by)
+    return m.select(
+        *by,
+        round2(F.col("failure_rate")).alias("rate"),
+        F.col("failure_rows").alias("total_deployments"),
+        F.col("failed").alias("failed_deployments"),
+        level_failure_rate(F.col("failure_rate")).alias("level"),
+        F.col("failure_trend").alias("trend"),
     )
-    return _with_trend(metric, points, by, lower_is_better=True)
 
 
 def recovery_time(incidents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Start to resolution of real incidents; unresolved and negative ones are skipped."""
-    hours = diff_hours(F.coalesce("incident_resolution", "resolved"), _start())
-    spans = incidents.filter("is_incident").withColumn("_h", F.when(hours >= 0, hours))
-    measured = spans.groupBy(*by).agg(
-        percentile_linear(F.col("_h"), 0.5).alias("_median"),
-        round2(mean_or_zero(F.col("_h"))).alias("mean"),
-        round2(percentile_linear(F.col("_h"), 0.9)).alias("p90"),
-        F.count("*").alias("incidents"),
-    )
-    metric = measured.select(
+    m = _measure([_recovery_facts(incidents, by)], by)
+    return m.select(
         *by,
-        round2(F.col("_median")).alias("median"),
-        "mean",
-        "p90",
-        level_recovery(F.col("_median")).alias("level"),
-        "incidents",
+        round2(F.col("recovery_median")).alias("median"),
+        round2(F.col("recovery_mean")).alias("mean"),
+        round2(F.col("recovery_p90")).alias("p90"),
+        level_recovery(F.col("recovery_median")).alias("level"),
+        F.col("recovery_rows").alias("incidents"),
+        F.col("recovery_trend").alias("trend"),
     )
-    points = spans.filter(F.col("_h").isNotNull()).select(*by, _start().alias("date"), "id", F.col("_h").alias("value"))
-    return _with_trend(metric, points, by, lower_is_better=True)
 
 
 def delivery_metrics(
@@ -195,36 +254,32 @@ def delivery_metrics(
     end: datetime,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """All four metrics and the worst band. The metrics stack as rows and fold by group,
-    so no join is needed and a group missing from one input keeps that metric at 0."""
-    parts = {
-        "frequency": deployment_frequency(deployments, start, end, by),
-        "lead": lead_time(prs, deployments, by),
-        "failure": change_failure_rate(deployments, incidents, by),
-        "recovery": recovery_time(incidents, by),
-    }
-    wanted = {
-        "frequency": ["value", "unit", "level"],
-        "lead": ["median", "p90", "level", "trend"],
-        "failure": ["rate", "level", "trend"],
-        "recovery": ["median", "level", "trend"],
-    }
-    named = [
-        df.select(*by, *[F.col(c).alias(f"{name}_{c}") for c in wanted[name]]) for name, df in parts.items()
-    ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
-    values = [c for c in stacked.columns if c not in by]
-    folded = stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in values])
-    empty = {"unit": "month", "trend": "stable", "value": 0.0, "median": 0.0, "p90": 0.0, "rate": 0.0}
-    empty_level = {"frequency": "low", "lead": "elite", "failure": "elite", "recovery": "elite"}
-
-    def default(column: str):
-        family, field = column.split("_")
-        return empty_level[family] if field == "level" else empty[field]
-
-    folded = folded.select(*by, *[F.coalesce(F.col(c), F.lit(default(c))).alias(c) for c in values])
-    levels = [F.col(f"{name}_level") for name in parts]
-    return folded.withColumn("overall_level", overall_level(*levels))
+    """All four metrics and the worst band from one pass over each input; no join between
+    metrics. A group missing from one input keeps that metric at 0."""
+    m = _measure(
+        [_lead_facts(prs, by), _failure_facts(deployments, incidents, by), _recovery_facts(incidents, by), _presence(deployments, by)],
+        by,
+    )
+    per_day = F.col("succeeded") / F.lit(_whole_days(start, end))
+    value, unit = _shown_frequency(per_day)
+    out = m.select(
+        *by,
+        value.alias("frequency_value"),
+        unit.alias("frequency_unit"),
+        level_frequency(per_day).alias("frequency_level"),
+        round2(F.col("lead_median")).alias("lead_median"),
+        round2(F.col("lead_p90")).alias("lead_p90"),
+        level_lead_time(F.col("lead_median")).alias("lead_level"),
+        "lead_trend",
+        round2(F.col("failure_rate")).alias("failure_rate"),
+        level_failure_rate(F.col("failure_rate")).alias("failure_level"),
+        "failure_trend",
+        round2(F.col("recovery_median")).alias("recovery_median"),
+        level_recovery(F.col("recovery_median")).alias("recovery_level"),
+        "recovery_trend",
+    )
+    levels = [F.col(f"{name}_level") for name in ("frequency", "lead", "failure", "recovery")]
+    return out.withColumn("overall_level", overall_level(*levels))
 
 
 # ---- source-side shaping

@@ -231,7 +231,8 @@ def best_match_export(taxonomy: DataFrame, matchings: DataFrame, content: DataFr
 
 def content_summaries(content: DataFrame) -> DataFrame:
     """Numbered summaries in id order: (content_id, index, summary)."""
-    placed = with_position(content, [], [F.col("id")])
+    short = content.select("id", "title", "url", F.substring("content", 1, 200).alias("content"))
+    placed = with_position(short, [], [F.col("id")])
     text = content_summary(F.col("position"), F.col("title"), F.col("url"), F.col("content"))
     return placed.select(F.col("id").alias("content_id"), F.col("position").alias("index"), text.alias("summary"))
 
@@ -350,7 +351,7 @@ def build_dataset(taxonomy: DataFrame, content: DataFrame, n: int, seed: int = 7
         "keywords",
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("example"),
     )
-    placed = with_position(content.select("id", "title", "url", "content"), [], [F.col("id")])
+    placed = with_position(content.select(F.col("id").alias("_cid")), [], [F.col("_cid")])
     total = placed.count()
     if total < 10:
         raise ValueError("at least 10 content rows are needed")
@@ -362,7 +363,9 @@ def build_dataset(taxonomy: DataFrame, content: DataFrame, n: int, seed: int = 7
     slots = examples.withColumn("slot", F.explode(F.sequence(F.lit(1), slot_count)))
     step = draw("step", total // 10) + 1
     slots = slots.withColumn("pick", F.pmod(draw("start", total) + F.col("slot") * step, F.lit(total)))
-    filled = slots.join(placed, F.col("pick") == F.col("position"))
+    chosen = slots.join(placed.select("_cid", "position"), F.col("pick") == F.col("position"))
+    texts = content.select("id", "title", "url", "content")
+    filled = chosen.join(texts, F.col("_cid") == F.col("id"))
     title, head = F.lower("title"), F.substring(F.lower("content"), 1, 500)
     category = F.lower("category")
     base = F.when(F.contains(title, category) | F.contains(head, category), 2.0).otherwise(0.0)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -284,30 +285,48 @@ def scenarios_from_rules(rules: DataFrame) -> DataFrame:
 # ---- response checks
 
 
+def _window_bounds(target: str, text: str) -> np.ndarray:
+    """Longest common subsequence of the target with every window of its length.
+
+    A ratio never exceeds this share. Up to 64 characters the subsequence fits the bits of
+    one integer, so all windows advance together; longer targets share letters instead.
+    """
+    size, windows = len(target), len(text) - len(target) + 1
+    if size <= 64:
+        bits: dict[str, int] = {}
+        for i, c in enumerate(target):
+            bits[c] = bits.get(c, 0) | (1 << i)
+        masks = np.array([bits.get(c, 0) for c in text], dtype=np.uint64)
+        state = np.full(windows, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for step in range(size):
+            hit = state & masks[step : step + windows]
+            state = (state + hit) | (state - hit)
+        return size - np.bitwise_count(state & np.uint64((1 << size) - 1)).astype(np.int64)
+    want = Counter(target)
+    totals = np.zeros(windows, dtype=np.int64)
+    codes = np.array(list(text))
+    for letter, n in want.items():
+        seen = np.concatenate([[0], np.cumsum(codes == letter)])
+        totals += np.minimum(seen[size:] - seen[:-size], n)
+    return totals
+
+
 def _best_ratio(target: str, text: str) -> float:
     """Best similarity of ``target`` with a window of its length, or (short targets) the text.
 
-    The letters a window shares with the target bound its ratio from above; that count
-    slides along in constant time, so the full ratio is computed only where it can still
-    win. The result is the same as trying every window.
+    Windows are tried from the highest upper bound down and the search ends when no bound
+    can beat the best, which gives the same result as trying every window.
     """
-    size = len(target)
-    best = 0.0
-    if size and len(text) >= size:
-        want, have = Counter(target), Counter(text[:size])
-        shared = sum(min(n, have[c]) for c, n in want.items())
-        for start in range(len(text) - size + 1):
-            if start:
-                gone, come = text[start - 1], text[start + size - 1]
-                if have[gone] <= want[gone]:
-                    shared -= 1
-                have[gone] -= 1
-                have[come] += 1
-                if have[come] <= want[come]:
-                    shared += 1
-            if shared / size > best:
-                best = max(best, SequenceMatcher(None, target, text[start : start + size]).ratio())
-    if size < 50:
+    if not target:
+        return 1.0
+    size, best = len(target), 0.0
+    if len(text) >= size:
+        bounds = _window_bounds(target, text)
+        for start in np.argsort(-bounds, kind="stable"):
+            if bounds[start] / size <= best:
+                break
+            best = max(best, SequenceMatcher(None, target, text[start : start + size]).ratio())
+    if size < 50 and 2 * min(size, len(text)) / (size + len(text)) > best:
         best = max(best, SequenceMatcher(None, target, text).ratio())
     return best
 

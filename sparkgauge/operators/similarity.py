@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 FIT_ROWS = 4096  # left rows whose matrix may travel with the tasks
 BLOCK_ROWS = 16384  # rows of the other side per block
+STRIP_ROWS = 1024  # right rows scored at once: 32 MB of scores against a full left side
 
 
 def _unit(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -39,12 +40,35 @@ def _score(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left @ right.T + 1.0) / 2.0
 
 
-def _winners(left_ids: np.ndarray, left: np.ndarray, ids: np.ndarray, right: np.ndarray):
-    """Best right row per left row of this block; ties go to the lowest right id."""
-    order = np.argsort(ids, kind="stable")
-    scores = np.nan_to_num(_score(left, right[order]), nan=-1.0)
-    best = scores.argmax(axis=1)
-    return left_ids, ids[order][best], scores[np.arange(len(left_ids)), best]
+class _Winners:
+    """Best right row per left row seen so far; ties go to the lowest right id."""
+
+    def __init__(self, left_ids: np.ndarray, left: np.ndarray):
+        self.left_ids, self.left = left_ids, left
+        self.score = np.full(len(left_ids), -1.0)
+        self.right_id = np.full(len(left_ids), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, right: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, right = ids[order], right[order]
+        for at in range(0, len(ids), STRIP_ROWS):
+            scores = np.nan_to_num(_score(self.left, right[at : at + STRIP_ROWS]), nan=-1.0)
+            best = scores.argmax(axis=1)
+            top, who = scores[np.arange(len(best)), best], ids[at : at + STRIP_ROWS][best]
+            better = (top > self.score) | ((top == self.score) & (who < self.right_id))
+            self.score[better], self.right_id[better] = top[better], who[better]
+
+    def batch(self) -> pa.RecordBatch:
+        won = self.score > 0  # a score must exceed 0 to win
+        return _batch(self.left_ids[won], self.right_id[won], self.score[won])
+
+
+def _strips(left_ids: np.ndarray, left: np.ndarray, ids: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Every pair of a block, a strip of right rows at a time."""
+    for at in range(0, len(ids), STRIP_ROWS):
+        some = ids[at : at + STRIP_ROWS]
+        scores = _score(left, right[at : at + STRIP_ROWS])
+        yield _batch(np.repeat(left_ids, len(some)), np.tile(some, len(left_ids)), scores.ravel())
 
 
 def _batch(left_ids, right_ids, scores) -> pa.RecordBatch:
@@ -65,28 +89,28 @@ SCHEMA = "left_id long, right_id long, score double"
 def score_blocks(left: DataFrame, right: DataFrame, keep: str) -> DataFrame:
     """(left_id, right_id, score) with ``keep`` = ``winners`` per task or ``all`` pairs."""
     left, right = _named(left), _named(right)
-    n_left = left.count()
-
-    def emit(left_ids, left_matrix, ids, matrix):
-        if keep == "winners":
-            return _batch(*_winners(left_ids, left_matrix, ids, matrix))
-        scores = _score(left_matrix, matrix)
-        return _batch(np.repeat(left_ids, len(ids)), np.tile(ids, len(left_ids)), scores.ravel())
+    table = left.limit(FIT_ROWS + 1).toArrow()  # at most that many rows reach the driver
 
-    if n_left <= FIT_ROWS:
-        table = left.toArrow()
+    if table.num_rows <= FIT_ROWS:
         fixed_ids = table["id"].to_numpy()
         fixed = _unit(table["vector"])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            winners = _Winners(fixed_ids, fixed)
             for batch in batches:
-                if batch.num_rows and len(fixed_ids):
-                    ids = batch.column("id").to_numpy()
-                    yield emit(fixed_ids, fixed, ids, _unit(batch.column("vector")))
+                if not batch.num_rows or not len(fixed_ids):
+                    continue
+                ids, matrix = batch.column("id").to_numpy(), _unit(batch.column("vector"))
+                if keep == "winners":
+                    winners.add(ids, matrix)
+                else:
+                    yield from _strips(fixed_ids, fixed, ids, matrix)
+            if keep == "winners":
+                yield winners.batch()
 
         return right.mapInArrow(scan, SCHEMA)
 
-    n_right = right.count()
+    n_left, n_right = left.count(), right.count()
     left_blocks, right_blocks = math.ceil(n_left / FIT_ROWS), max(math.ceil(n_right / BLOCK_ROWS), 1)
 
     def blocked(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
@@ -96,8 +120,13 @@ def score_blocks(left: DataFrame, right: DataFrame, keep: str) -> DataFrame:
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.Table.from_batches([], _batch([], [], []).schema)
-        batch = emit(a["id"].to_numpy(), _unit(a["vector"]), b["id"].to_numpy(), _unit(b["vector"]))
-        return pa.Table.from_batches([batch])
+        left_ids, left_matrix = a["id"].to_numpy(), _unit(a["vector"])
+        ids, matrix = b["id"].to_numpy(), _unit(b["vector"])
+        if keep == "winners":
+            winners = _Winners(left_ids, left_matrix)
+            winners.add(ids, matrix)
+            return pa.Table.from_batches([winners.batch()])
+        return pa.Table.from_batches(list(_strips(left_ids, left_matrix, ids, matrix)))
 
     a = blocked(left, "lb", left_blocks, "rb", right_blocks)
     b = blocked(right, "rb", right_blocks, "lb", left_blocks)
@@ -106,7 +135,7 @@ def score_blocks(left: DataFrame, right: DataFrame, keep: str) -> DataFrame:
 
 def top1(left: DataFrame, right: DataFrame) -> DataFrame:
     """Best right row per left row. A score must exceed 0 to win; ties go to the lowest id."""
-    won = score_blocks(left, right, "winners").filter(F.col("score") > 0)
+    won = score_blocks(left, right, "winners")
     best = won.groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("neg"))).alias("_b"))
     return best.select("left_id", (-F.col("_b.neg")).alias("right_id"), F.col("_b.score").alias("score"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.timefns import sunday_of
@@ -25,15 +25,19 @@ def trend(points: DataFrame, keys: Sequence[str] = (), lower_is_better: bool | s
         F.avg(F.when(early, F.col("value"))).alias("a"),
         F.avg(F.when(~early, F.col("value"))).alias("b"),
     )
-    base = F.when(F.col("a") == 0, 1.0).otherwise(F.col("a"))
-    change = (F.col("b") - F.col("a")) / base * 100
     lower = F.col(lower_is_better) if isinstance(lower_is_better, str) else F.lit(lower_is_better)
-    direction = (
-        F.when((F.col("n") < 4) | (F.abs(change) < 10), "stable")
-        .when((change < 0) == lower, "improving")
+    return halves.select(*keys, direction(F.col("n"), F.col("a"), F.col("b"), lower).alias("trend"))
+
+
+def direction(n: Column, first_mean: Column, second_mean: Column, lower_is_better: Column) -> Column:
+    """Trend from the number of points and the means of the two halves."""
+    base = F.when(first_mean == 0, 1.0).otherwise(first_mean)
+    change = (second_mean - first_mean) / base * 100
+    return (
+        F.when((n < 4) | (F.abs(change) < 10), "stable")
+        .when((change < 0) == lower_is_better, "improving")
         .otherwise("declining")
     )
-    return halves.select(*keys, direction.alias("trend"))
 
 
 def weekly_series(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -426,7 +426,8 @@ def _(t):
   QUALIFY row_number() OVER (PARTITION BY taxonomy_id, content_id ORDER BY g DESC, created_ms DESC, id DESC) = 1""")
 def _(t):
     late = F.col("match_stage") == "llm_categorized"
-    stored, incoming = t.matchings.filter(~late), t.matchings.filter(late)
+    first, incoming = t.matchings.filter(~late), t.matchings.filter(late)
+    stored = w.upsert_matching(first.limit(0), first)
     return w.upsert_matching(stored, incoming).select("taxonomy_id", "content_id", "id")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkgauge.plans.views import BASE_TABLES, VIEWS
 from sparkgauge.session import configure
-from sparkgauge.sources.tables import read_table
+from sparkgauge.sources.tables import TEXT_TABLES, read_table, spread
 
 # Spellings that differ between the two SQL dialects.
 SPARK_WORDS = {"@ARR(": "array(", "@MS(": "unix_millis(", "@TSMS(": "timestamp_millis("}
@@ -71,7 +71,8 @@ class Tables:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        df = read_table(self.spark, self.folder, name)
+        return spread(df) if name in TEXT_TABLES else df
 
     def view(self, name: str) -> DataFrame:
         text = _translate(with_views(f"SELECT * FROM {name}"), SPARK_WORDS)

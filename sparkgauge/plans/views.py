@@ -182,4 +182,10 @@ VIEWS = {
                doc_id % 3 AS gold_index, CAST((doc_id * 7) % 4 AS STRING) AS pred_index,
                (doc_id % 11) / 10.0E0 AS confidence
         FROM (SELECT *, doc_id % (SELECT count(*) FROM {benchmark}) AS item FROM {documents}) d JOIN {benchmark} b ON b.item_id = d.item""",
+    # ---- rule checks
+    "v_validations": """
+        SELECT event_id AS result_id, 'scn-' || user_id AS scenario_id, 'rule-' || (user_id % 30) AS rule_id,
+               value < 20 + 8 * (user_id % 20) AS passed, event_id % 5 AS checks_passed, event_id % 3 AS checks_failed,
+               CASE WHEN event_id % 11 = 0 THEN 'Test execution failed' END AS reason
+        FROM {events}""",
 }

@@ -28,3 +28,16 @@ SCHEMAS = {
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read one table with its declared schema, so no file is opened to infer it."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+
+
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of a few small files at least one task per core.
+
+    Text work is bound by the processor, and a file is one task however many rows it has.
+    A scan with a split per core or more, which is any large input, passes through as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,22 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _latest(target: DataFrame, incoming: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """Last row per key; incoming beats target. A max aggregate combines map-side, so many
-    versions of one key cost one row per partition."""
-    old = target.withColumn("_gen", F.lit(0))
-    new = incoming.withColumn("_gen", F.lit(1))
-    both = old.unionByName(new, allowMissingColumns=True)
-    fields = [c for c in both.columns if c != "_gen"]
-    newest = both.groupBy(key.alias("_key")).agg(
-        F.max_by(F.struct(*fields), F.struct("_gen", *order)).alias("_row")
-    )
-    return newest.select("_row.*")
+def _upsert(target: DataFrame, incoming: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
+    """Target rows whose key is not incoming, and the last incoming row per key.
+
+    Only keys meet in the anti join, so a small batch is broadcast (Spark checks its size)
+    and the target is not shuffled. The last row per key is a max aggregate that combines
+    map-side: many versions of one key cost one row per partition.
+    """
+    fields = incoming.columns
+    newest = incoming.groupBy(key.alias("_key")).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("_row"))
+    keys = newest.select("_key")
+    kept = target.withColumn("_key", key).join(keys, "_key", "left_anti").drop("_key")
+    return kept.unionByName(newest.select("_row.*"), allowMissingColumns=True)
 
 
 def upsert_by_url(target: DataFrame, incoming: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Insert or replace by url; among incoming rows of one url the highest ``order`` wins."""
-    return _latest(target, incoming, F.col("url"), order)
+    return _upsert(target, incoming, F.col("url"), order)
 
 
 def upsert_matching(target: DataFrame, incoming: DataFrame, order: Sequence[str] = ("created_ms", "id")) -> DataFrame:
@@ -33,7 +34,7 @@ def upsert_matching(target: DataFrame, incoming: DataFrame, order: Sequence[str]
     content is a key of its own and one unmatched row per taxonomy remains.
     """
     key = F.struct("taxonomy_id", F.coalesce(F.col("content_id").cast("string"), F.lit("∅")).alias("c"))
-    return _latest(target, incoming, key, order)
+    return _upsert(target, incoming, key, order)
 
 
 def clear_matching(
