@@ -146,7 +146,7 @@ def page_stats(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     counted = nodes.groupBy("page_id").agg(
         F.count("*").alias("nodes"),
         (F.max("chunk") + 1).cast("long").alias("chunks"),
-        F.trim(F.min_by("text", F.when(is_title, F.col("node_idx")))).alias("title"),
+        strip_space(F.min_by("text", F.when(is_title, F.col("node_idx")))).alias("title"),
     )
     return pages.select("page_id", "url").join(counted, "page_id")
 
@@ -340,5 +340,5 @@ def extract_images(pages: DataFrame, nodes: DataFrame) -> DataFrame:
 def page_text(nodes: DataFrame) -> DataFrame:
     """Body text in document order, one line per text node, without script and style."""
     seen = nodes.filter((F.col("tag") == "#text") & F.col("in_body") & ~F.col("parent_tag").isin("script", "style"))
-    parts = F.array_sort(F.collect_list(F.struct("node_idx", F.trim("text").alias("t"))))
+    parts = F.array_sort(F.collect_list(F.struct("node_idx", strip_space(F.col("text")).alias("t"))))
     return seen.groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
