@@ -9,6 +9,7 @@ from sparkgauge.functions.timefns import diff_days, diff_hours
 from sparkgauge.operators import delivery as d
 from sparkgauge.operators.trends import trend, weekly_series
 from sparkgauge.plans.registry import query
+from sparkgauge.sources.tables import spread
 
 
 def utc(*parts: int) -> datetime:
@@ -496,7 +497,7 @@ def issue_json(issues):
             F.col("story_points").alias("customfield_10016"),
         ).alias("fields"),
     )
-    return issues.select(F.to_json(body).alias("raw"))
+    return spread(issues).select(F.to_json(body).alias("raw"))
 
 
 @query(

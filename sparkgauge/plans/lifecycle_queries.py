@@ -10,6 +10,7 @@ from sparkgauge.operators import usage as u
 from sparkgauge.plans.delivery_queries import E0, E1, IN_E, issue_json, ms
 from sparkgauge.plans.registry import query
 from sparkgauge.sources import tablework as w
+from sparkgauge.sources.tables import spread
 
 # ---- imports
 
@@ -47,7 +48,7 @@ def changelog_json(t):
     )
     history = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created"), items.alias("items"))
     body = F.struct(F.concat(F.lit("PROJ-"), "user_id").alias("key"), F.array(history).alias("histories"))
-    return t.events.select(F.to_json(body).alias("raw"))
+    return spread(t.events).select(F.to_json(body).alias("raw"))
 
 
 @query("import_changelog", """SELECT 'PROJ-' || user_id AS ticket_key, CASE WHEN event_type IN ('click', 'purchase') THEN 'status_changed' ELSE 'assignee_changed' END AS event_type,

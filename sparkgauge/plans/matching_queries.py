@@ -15,7 +15,8 @@ from sparkgauge.sources import tablework as w
 
 BARE = ("regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<script[^>]*>.*?</script>', '', 'g'), "
         "'(?s)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g')")
-ENTITIES = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+# a standard entity table also reads an ampersand entity without its semicolon
+ENTITIES = "regexp_replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 TEXT = "trim(regexp_replace(" + ENTITIES.format(BARE) + ", '\\s+', ' ', 'g'))"
 KEYWORDS = "SELECT source AS id, list_sort(list_distinct(list(lang))) AS keywords FROM documents GROUP BY 1"
 

@@ -34,7 +34,7 @@ def _(t):
     )
 
 
-@query("page_stats", "SELECT page_id, url, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM pages")
+@query("page_stats", "SELECT page_id, url, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&amp;?', '&', 'g')) AS title FROM pages")
 def _(t):
     return p.page_stats(t.pages, nodes(t)).select("page_id", "url", "title")
 
@@ -44,7 +44,7 @@ def _(t):
     return p.page_stats(t.pages, nodes(t))
 
 
-LINKS = f"""SELECT page_id, url AS base, unnest(list_transform(regexp_extract_all({CLEAN}, '<a href="([^"]*)"', 1), lambda x: replace(x, '&amp;', '&'))) AS raw FROM pages"""
+LINKS = f"""SELECT page_id, url AS base, unnest(list_transform(regexp_extract_all({CLEAN}, '<a href="([^"]*)"', 1), lambda x: regexp_replace(x, '&amp;?', '&', 'g'))) AS raw FROM pages"""
 
 
 @query("extract_links", f"""SELECT page_id, raw, CASE WHEN regexp_matches(raw, '^[a-zA-Z][a-zA-Z0-9_+.-]*:') THEN raw
@@ -59,7 +59,7 @@ def _(t):
 
 
 BODY = f"string_split_regex(regexp_replace(regexp_extract({CLEAN}, '(?s)<body[^>]*>(.*)', 1), '(?s)<style[^>]*>.*?</style>', '', 'g'), '<[^>]*>')"
-PIECE = "trim(replace(replace(replace(replace(x, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'))"
+PIECE = "trim(regexp_replace(replace(replace(replace(x, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'))"
 
 
 @query("page_text", f"SELECT page_id, array_to_string(list_filter(list_transform({BODY}, lambda x: {PIECE}), lambda x: x <> ''), chr(10)) AS text FROM pages")
@@ -67,7 +67,7 @@ def _(t):
     return p.page_text(nodes(t))
 
 
-@query("select_nodes", "SELECT page_id, 'h1' AS tag, trim(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '&quot;', '\"')) AS text FROM pages WHERE contains(html, '<h1>')")
+@query("select_nodes", "SELECT page_id, 'h1' AS tag, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '\"'), '&amp;?', '&', 'g')) AS text FROM pages WHERE contains(html, '<h1>')")
 def _(t):
     return p.select_nodes(nodes(t), "h1").select("page_id", "tag", "text")
 
@@ -116,7 +116,7 @@ def _(t):
     return p.assert_nodes(nodes(t), rules).select("page_id", "rule", "passed")
 
 
-H1 = "trim(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '&quot;', '\"'))"
+H1 = "trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '\"'), '&amp;?', '&', 'g'))"
 
 
 @query("assert_text", " UNION ALL ".join(f"SELECT page_id, {i} AS rule, {test} AS passed, {H1} AS actual FROM pages" for i, test in enumerate(
