@@ -191,18 +191,26 @@ def error_categories(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def console_summary(entries: DataFrame, keys: Sequence[str] = ("collection_id",), categories: bool = False) -> DataFrame:
     """Counts per level and distinct error and warning messages, per capture.
 
-    The distinct messages themselves are rows of ``unique_messages``.
+    Entries fold to one row per level and message first. That makes the distinct counts
+    plain counts, and each distinct message is categorized once. The messages themselves
+    are rows of ``unique_messages``.
     """
-    aggs = [F.count("*").alias("total")]
-    aggs += [F.count_if(_level(x)).alias(f"{x}_count") for x in LEVELS]
-    aggs += [
-        F.count_distinct(F.when(_level("error"), F.col("message"))).alias("unique_errors"),
-        F.count_distinct(F.when(_level("warn"), F.col("message"))).alias("unique_warnings"),
-    ]
+    folded = entries.groupBy(*keys, "level", "message").agg(F.count("*").alias("_n"))
+
+    def total(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("_n"))), F.lit(0))
+
+    def distinct(level: str) -> Column:
+        return F.count_if(_level(level) & F.col("message").isNotNull())
+
+    aggs = [F.sum("_n").alias("total")]
+    aggs += [total(_level(x)).alias(f"{x}_count") for x in LEVELS]
+    aggs += [distinct("error").alias("unique_errors"), distinct("warn").alias("unique_warnings")]
     if categories:
         kind = F.when(_level("error"), error_category(F.col("message")))
-        aggs += [F.count_if(kind == c).alias(f"{c}_errors") for c in [*ERROR_CATEGORIES, "other"]]
-    return entries.groupBy(*keys).agg(*aggs)
+        folded = folded.withColumn("_kind", kind)
+        aggs += [total(F.col("_kind") == c).alias(f"{c}_errors") for c in [*ERROR_CATEGORIES, "other"]]
+    return folded.groupBy(*keys).agg(*aggs)
 
 
 def unique_messages(entries: DataFrame, keys: Sequence[str] = ("collection_id",)) -> DataFrame:

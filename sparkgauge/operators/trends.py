@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.timefns import sunday_of
@@ -43,18 +43,20 @@ def direction(n: Column, first_mean: Column, second_mean: Column, lower_is_bette
 def weekly_series(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and count of ``value`` per Sunday week; empty weeks between are 0.
 
-    Points collapse to one row per week before the gaps are filled, so filling works on
-    weeks, not on points.
+    Points collapse to one row per week before the gaps are filled, so the window and the
+    filling work on weeks, not on points.
     """
-    weekly = points.groupBy(*keys, sunday_of(F.col("date")).alias("week")).agg(
+    weekly = points.groupBy(*keys, sunday_of(F.col("date")).alias("_week")).agg(
         F.avg("value").alias("_mean"), F.count("*").alias("_n")
     )
-    span = weekly.groupBy(*keys).agg(F.min("week").alias("_from"), F.max("week").alias("_to"))
-    span = span.filter(F.col("_from").isNotNull())
-    weeks = span.select(*keys, F.explode(F.expr("sequence(_from, _to, interval 7 days)")).alias("week"))
-    return weeks.join(weekly, [*keys, "week"], "left").select(
+    weekly = weekly.filter(F.col("_week").isNotNull())
+    following = F.lead("_week").over(Window.partitionBy(*keys).orderBy("_week"))
+    weekly = weekly.withColumn("_last", F.coalesce(F.date_sub(following, 7), F.col("_week")))
+    filled = weekly.withColumn("week", F.explode(F.expr("sequence(_week, _last, interval 7 days)")))
+    own = F.col("week") == F.col("_week")
+    return filled.select(
         *keys,
         "week",
-        F.coalesce("_mean", F.lit(0.0)).alias("value"),
-        F.coalesce("_n", F.lit(0)).alias("n"),
+        F.when(own, F.col("_mean")).otherwise(0.0).alias("value"),
+        F.when(own, F.col("_n")).otherwise(0).alias("n"),
     )

@@ -6,6 +6,7 @@ from sparkgauge.plans import (  # noqa: F401
     log_queries,
     matching_queries,
     page_queries,
+    single_queries,
 )
 from sparkgauge.plans.registry import REGISTRY
 
