@@ -32,6 +32,7 @@ CLOSED_BY = {
     "td": frozenset(["td", "th", "tr"]),
     "th": frozenset(["td", "th", "tr"]),
 }
+SCOPES = frozenset("html body table ul ol dl select button object template".split())
 
 NODE_SCHEMA = (
     "page_id long, node_idx int, parent_idx int, last_idx int, depth int, tag string,"
@@ -60,9 +61,19 @@ class _Nodes(HTMLParser):
             self.rows[idx][2] = len(self.rows) - 1
         del self.open[upto:]
 
+    def _closed_by(self, tag: str) -> int | None:
+        """Depth of the innermost open element that this start tag ends, within its scope."""
+        for depth in range(len(self.open) - 1, -1, -1):
+            name = self.rows[self.open[depth]][4]
+            if tag in CLOSED_BY.get(name, ()):
+                return depth
+            if name in SCOPES:
+                return None
+        return None
+
     def handle_starttag(self, tag, attrs):
-        while self.open and tag in CLOSED_BY.get(self.rows[self.open[-1]][4], ()):
-            self._close(len(self.open) - 1)
+        while (depth := self._closed_by(tag)) is not None:
+            self._close(depth)
         idx = self._add(tag, list({k: v or "" for k, v in reversed(attrs)}.items()), None)
         if tag not in VOID:
             self.open.append(idx)

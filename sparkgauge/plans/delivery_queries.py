@@ -436,10 +436,10 @@ def _(t):
     return d.incidents_in_period(t.issues, "PRJ2", E0, E1, ["Bug", "Task"]).select("id", "key", "issue_type")
 
 
-@query("incident_issues", "SELECT id, key FROM v_issues WHERE created <= TIMESTAMP '2024-01-25' AND id % 10 <> 0 "
+@query("incident_issues", "SELECT id, key FROM v_issues WHERE created <= TIMESTAMP '2024-01-25' AND issue_type <> 'Sub-task' "
        "AND len(list_filter(labels, lambda x: x IN ('P1', 'Outage-note'))) > 0")
 def _(t):
-    raw = t.issues.withColumn("is_pull_request", F.col("id") % 10 == 0)
+    raw = t.issues.withColumn("is_pull_request", F.col("issue_type") == "Sub-task")
     twice = raw.unionByName(raw.filter("value > 100"))  # an issue is listed once per label that fetched it
     return d.incident_issues(twice, E1, ["P1", "Outage-note"]).select("id", "key")
 

@@ -196,10 +196,10 @@ def _(t):
     return m.all_content(posts, pages).select("id", "type")
 
 
-@query("incremental_content", """WITH s AS (SELECT site_url, max(published_date) AS high FROM v_content WHERE length(html) % 2 = 0 GROUP BY 1)
+@query("incremental_content", """WITH s AS (SELECT site_url, max(published_date) AS high FROM v_content WHERE published_date < TIMESTAMP '2024-01-20' GROUP BY 1)
   SELECT id, site_url FROM v_content LEFT JOIN s USING (site_url) WHERE high IS NULL OR published_date > high""")
 def _(t):
-    stored = t.content.filter("length(html) % 2 = 0")
+    stored = t.content.filter("published_date < TIMESTAMP '2024-01-20'")
     return m.incremental_content(t.content, stored).select("id", "site_url")
 
 
@@ -318,13 +318,13 @@ def _(t):
 
 
 @query("load_examples", "SELECT source AS taxonomy_category, text AS content_summaries, CAST(doc_id AS INT) AS best_match_index, "
-       "CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE (doc_id % 10) / 10.0::DOUBLE END AS confidence FROM documents WHERE doc_id % 4 <> 1")
+       "CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE (doc_id % 10) / 10.0::DOUBLE END AS confidence FROM documents WHERE lang <> 'fr'")
 def _(t):
     path = scratch_path(t.spark, "examples")
     i = F.col("doc_id")
     rows = t.documents.select(
         F.col("source").alias("taxonomy_category"), F.col("lang").alias("taxonomy_description"), F.lit("k").alias("taxonomy_keywords"),
-        F.col("text").alias("content_summaries"), F.when(i % 4 == 1, "first").otherwise(i.cast("string")).alias("best_match_index"),
+        F.col("text").alias("content_summaries"), F.when(F.col("lang") == "fr", "first").otherwise(i.cast("string")).alias("best_match_index"),
         F.when(i % 3 != 0, ((i % 10) / 10.0).cast("string")).alias("confidence"), F.lit("because").alias("reasoning"),
     )
     f.save_dataset_csv(rows, path)
@@ -344,11 +344,11 @@ def _(t):
 
 
 @query("parse_batch_results", "SELECT CAST(doc_id AS STRING) AS content_id, category, confidence, 'b1' AS batch_id FROM "
-       "(SELECT id AS doc_id, category, confidence FROM v_cats) WHERE doc_id % 5 NOT IN (1, 2)")
+       "(SELECT id AS doc_id, category, confidence FROM v_cats) WHERE confidence NOT IN (0.25, 0.75)")
 def _(t):
     i = F.col("id")
-    answer = F.to_json(F.struct("category", F.when(i % 5 == 1, 1.5).otherwise(F.col("confidence")).alias("confidence")))
-    choice = F.struct(F.struct(F.when(i % 5 == 2, "{broken").otherwise(answer).alias("content")).alias("message"))
+    answer = F.to_json(F.struct("category", F.when(F.col("confidence") == 0.75, 1.5).otherwise(F.col("confidence")).alias("confidence")))
+    choice = F.struct(F.struct(F.when(F.col("confidence") == 0.25, "{broken").otherwise(answer).alias("content")).alias("message"))
     line = F.struct(i.cast("string").alias("custom_id"), F.struct(F.struct(F.array(choice).alias("choices")).alias("body")).alias("response"))
     kept, _ = f.parse_batch_results(t.cats.select(F.to_json(line).alias("value")), "b1")
     return kept
@@ -358,7 +358,7 @@ PATHS = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'src/' || source || '/f' |
    WHEN 2 THEN 'docs/' || doc_id || '.md' WHEN 3 THEN 'bin/' || doc_id || '.exe' WHEN 4 THEN 'a/dist/' || doc_id || '.ts' ELSE 'lib/' || doc_id || '.hpp' END AS path FROM documents"""
 
 
-@query("select_source_files", f"SELECT path, regexp_extract(path, '(\\.[^./]*)$', 1) AS extension FROM ({PATHS}) WHERE doc_id % 6 IN (0, 2, 5)")
+@query("select_source_files", f"SELECT path, regexp_extract(path, '(\\.[^./]*)$', 1) AS extension FROM ({PATHS}) WHERE regexp_matches(path, '[.](py|md|hpp)$')")
 def _(t):
     i = F.col("doc_id")
     path = F.expr("""CASE doc_id % 6 WHEN 0 THEN 'src/' || source || '/f' || doc_id || '.py' WHEN 1 THEN 'node_modules/' || doc_id || '.js'
@@ -408,17 +408,17 @@ def _(t):
 # ---- table work
 
 
-@query("upsert_by_url", """WITH i AS (SELECT url, page_id + 1000000 AS v, page_id AS seq FROM pages WHERE length(html) % 3 = 0 UNION ALL
-    SELECT url, page_id + 2000000, page_id + 5 FROM pages WHERE length(html) % 3 = 0 UNION ALL SELECT url || '/new', page_id, page_id FROM pages WHERE length(html) % 3 = 1),
+@query("upsert_by_url", """WITH i AS (SELECT url, page_id + 1000000 AS v, page_id AS seq FROM pages WHERE contains(url, '/en/') UNION ALL
+    SELECT url, page_id + 2000000, page_id + 5 FROM pages WHERE contains(url, '/en/') UNION ALL SELECT url || '/new', page_id, page_id FROM pages WHERE NOT contains(url, '/en/')),
   k AS (SELECT url, arg_max(v, seq) AS v FROM i GROUP BY 1)
   SELECT url, v FROM k UNION ALL SELECT url, page_id FROM pages WHERE url NOT IN (SELECT url FROM k)""")
 def _(t):
-    odd = F.length("html") % 3
+    english = F.contains("url", F.lit("/en/"))
     p = F.col("page_id")
     target = t.pages.select("url", p.alias("v"), p.alias("seq"))
-    first = t.pages.filter(odd == 0).select("url", (p + 1000000).alias("v"), p.alias("seq"))
-    second = t.pages.filter(odd == 0).select("url", (p + 2000000).alias("v"), (p + 5).alias("seq"))
-    new = t.pages.filter(odd == 1).select(F.concat("url", F.lit("/new")).alias("url"), p.alias("v"), p.alias("seq"))
+    first = t.pages.filter(english).select("url", (p + 1000000).alias("v"), p.alias("seq"))
+    second = t.pages.filter(english).select("url", (p + 2000000).alias("v"), (p + 5).alias("seq"))
+    new = t.pages.filter(~english).select(F.concat("url", F.lit("/new")).alias("url"), p.alias("v"), p.alias("seq"))
     return w.upsert_by_url(target, first.unionByName(second).unionByName(new)).select("url", "v")
 
 
@@ -441,8 +441,8 @@ def _(t):
     return t.spark.read.schema("id long, taxonomy_id string").parquet(path)
 
 
-@query("clear_matching", """SELECT CASE WHEN taxonomy_id IN (SELECT id FROM v_taxonomy WHERE first_doc % 2 = 0) AND match_stage = 'needs_human_review' THEN 'deleted' ELSE 'kept' END AS state, id FROM v_matchings""")
+@query("clear_matching", """SELECT CASE WHEN taxonomy_id IN (SELECT id FROM v_taxonomy WHERE category < 'src2') AND match_stage = 'needs_human_review' THEN 'deleted' ELSE 'kept' END AS state, id FROM v_matchings""")
 def _(t):
-    ids = t.taxonomy.filter("first_doc % 2 = 0").select(F.col("id").alias("taxonomy_id"))
+    ids = t.taxonomy.filter("category < 'src2'").select(F.col("id").alias("taxonomy_id"))
     kept, gone = w.clear_matching(t.matchings, ids, ["needs_human_review"])
     return kept.select(F.lit("kept").alias("state"), "id").unionByName(gone.select(F.lit("deleted").alias("state"), "id"))
