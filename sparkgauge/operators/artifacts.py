@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.timefns import round2
-from sparkgauge.operators.positions import newest_per_key
+from sparkgauge.operators.positions import newest_per_key, with_position
 
 RESERVED_TAGS = ["name", "url", "hasScreenshot", "hasDOM", "hasConsole"]  # fixed value
+TRIM_ROWS = 100_000  # newest rows one task may hold per category
 REFS = ["dom_ref", "screenshot_ref", "console_ref", "network_ref"]
 
 
@@ -221,7 +222,11 @@ def retention_cleanup(
         chosen = chosen.filter(F.col("ts_ms") < older_than_ms)
     if not keep_last:
         return chosen
-    spared = newest_per_key(chosen, ["category"], [F.col("ts_ms").desc(), F.col("id").desc()], keep_last)
+    newest_first = [F.col("ts_ms").desc(), F.col("id").desc()]
+    if keep_last > TRIM_ROWS:  # too many to trim in one task per category
+        placed = with_position(chosen, ["category"], newest_first)
+        return placed.filter(F.col("position") >= keep_last).select(*chosen.columns)
+    spared = newest_per_key(chosen, ["category"], newest_first, keep_last)
     edge = spared.groupBy("category").agg(F.min(F.struct("ts_ms", "id")).alias("_edge"))
     return chosen.join(edge, "category").filter(F.struct("ts_ms", "id") < F.col("_edge")).drop("_edge")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkgauge.functions.textfns import extract_ticket_ids
 from sparkgauge.functions.timefns import diff_ms
 from sparkgauge.operators.delivery import ISSUE_JSON
+from sparkgauge.operators.joins import left_join_hot_right
 from sparkgauge.operators.positions import with_position
 
 CHANGELOG_JSON = (
@@ -171,7 +172,7 @@ def ticket_events(tickets: DataFrame, events: DataFrame, same_study: bool = True
     across studies; pass ``same_study=False`` for that."""
     keys = ["case_study_id", "ticket_key"] if same_study else ["ticket_key"]
     other = events if same_study else events.drop("case_study_id")
-    return tickets.select("case_study_id", "ticket_key").join(other, keys, "left")
+    return left_join_hot_right(tickets.select("case_study_id", "ticket_key"), other, keys)
 
 
 def correlated_tickets(tickets: DataFrame, events: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.textfns import content_summary, html_to_text
+from sparkgauge.operators.joins import left_join_hot_right
 from sparkgauge.operators.positions import with_position
 from sparkgauge.operators.similarity import pair_scores, top1
 
@@ -178,9 +179,9 @@ def export_view(taxonomy: DataFrame, matchings: DataFrame, content: DataFrame, c
     m = matchings.select("taxonomy_id", "content_id", "similarity_score")
     c = content.select(F.col("id").alias("content_id"), F.col("url").alias("_target"))
     k = cats.select("content_id", "confidence")
+    tax = taxonomy.select(F.col("id").alias("taxonomy_id"), F.col("url").alias("source_url"), "category")
     return (
-        taxonomy.select(F.col("id").alias("taxonomy_id"), F.col("url").alias("source_url"), "category")
-        .join(m, "taxonomy_id", "left")
+        left_join_hot_right(tax, m, ["taxonomy_id"])
         .join(c, "content_id", "left")
         .join(k, "content_id", "left")
         .orderBy("category", F.col("similarity_score").desc_nulls_last())

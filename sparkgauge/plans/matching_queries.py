@@ -271,6 +271,13 @@ def _(t):
     return m.build_dataset(taxonomy(t), content(t), 250)
 
 
+@query("build_dataset_spread", """SELECT id AS taxonomy_id, CAST(250 // n + CASE WHEN i < 250 % n THEN 1 ELSE 0 END AS BIGINT) AS examples
+  FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM v_taxonomy)""")
+def _(t):
+    made = m.build_dataset(taxonomy(t), content(t), 250)
+    return made.groupBy("taxonomy_id").agg(F.count("*").alias("examples"))
+
+
 @query("lookup_in", "SELECT id, url FROM v_taxonomy WHERE id IN (SELECT test_id FROM v_artifacts WHERE size > 20000)")
 def _(t):
     return m.lookup_in(t.taxonomy, t.artifacts.filter("size > 20000").select(F.col("test_id").alias("id")), "id").select("id", "url")

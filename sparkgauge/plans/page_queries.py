@@ -250,9 +250,9 @@ def _(t):
 
 SCENARIOS = f"""{LINES},
   cm AS (SELECT doc_id, pos, rule_id, type, text, low, commands, unnest(commands) AS cmd FROM ru WHERE test_type = 'command_check'),
-  si AS (SELECT doc_id, rule_id, CASE WHEN type = 'command_requirement' THEN 'cmd_req' ELSE 'cmd_prohib' END AS kind, cmd AS target FROM cm
-   UNION ALL SELECT doc_id, rule_id, 'pref', array_to_string(commands, ',') FROM ru WHERE test_type = 'preference_check' AND len(commands) > 0
-   UNION ALL SELECT doc_id, rule_id, 'general', '' FROM ru WHERE test_type NOT IN ('command_check', 'preference_check'))"""
+  si AS (SELECT doc_id, rule_id, text, CASE WHEN type = 'command_requirement' THEN 'cmd_req' ELSE 'cmd_prohib' END AS kind FROM cm
+   UNION ALL SELECT doc_id, rule_id, text, 'pref' FROM ru WHERE test_type = 'preference_check' AND len(commands) > 0
+   UNION ALL SELECT doc_id, rule_id, text, 'general' FROM ru WHERE test_type NOT IN ('command_check', 'preference_check'))"""
 
 
 @query("scenarios_from_rules", f"WITH {SCENARIOS} SELECT doc_id, rule_id, rule_id || '_' || kind || '_' || substr(md5(rule_id || ':' || kind), 1, 6) AS scenario_id, "
@@ -319,9 +319,17 @@ def _(t):
     return rows.select("rule_id", r.check_contains(F.col("resp"), F.col("target")).alias("confidence"))
 
 
-@query("result_scenarios")
+@query("check_contains_strict", f"WITH {LINES} SELECT doc_id, rule_id, CASE WHEN contains(low, 'npm test') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM ru")
 def _(t):
-    return r.result_scenarios(*responses(t)).select("result_id", "scenario_id", "rule_id")
+    sure = r.check_contains(F.col("description"), F.lit("NPM test"), strict=True)
+    return rules(t).select("doc_id", "rule_id", sure.alias("confidence"))
+
+
+@query("result_scenarios", f"""WITH {SCENARIOS}, x AS (SELECT rule_id, length(text) % 50 = 0 AS lost, rule_id || '_' || kind || '_' || substr(md5(rule_id || ':' || kind), 1, 6) AS sid FROM si)
+  SELECT CASE WHEN lost THEN 'lost' ELSE sid END AS scenario_id, CASE WHEN NOT lost THEN rule_id END AS rule_id, count(*) * 3 AS n FROM x GROUP BY ALL""")
+def _(t):
+    paired = r.result_scenarios(*responses(t))
+    return paired.groupBy("scenario_id", "rule_id").agg(F.count("*").alias("n"))
 
 
 @query("result_checks")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge.operators import artifacts, positions, similarity
 from sparkgauge.operators.intervals import exists_within
+from sparkgauge.operators.joins import left_join_hot_right
 from sparkgauge.operators.positions import newest_per_key, with_position
 
 
@@ -85,7 +86,7 @@ def test_ties_go_to_the_first_and_nan_never_wins(spark, rows):
     assert abs(pairs[(1, 6)] - 0.5) < 1e-12 and np.isnan(pairs[(1, 5)])
 
 
-def test_retention_spares_the_newest(spark, rows):
+def test_retention_spares_the_newest(spark, rows, monkeypatch):
     refs = spark.createDataFrame(
         [(i, c, i * 10, 100 + i) for c, ids in (("dom", range(6)), ("console", range(10, 12))) for i in ids],
         "id long, category string, ts_ms long, size long",
@@ -94,3 +95,11 @@ def test_retention_spares_the_newest(spark, rows):
     assert rows(gone, "id") == [(0,), (1,), (2,), (3,)]
     assert rows(artifacts.retention_stats(gone)) == [("dom", 4, 406)]
     assert artifacts.retention_cleanup(refs, older_than_ms=50).count() == 5
+    monkeypatch.setattr(artifacts, "TRIM_ROWS", 1)
+    assert rows(artifacts.retention_cleanup(refs, older_than_ms=1000, keep_last=2), "id") == [(0,), (1,), (2,), (3,)]
+
+
+def test_left_join_with_a_hot_right_key(spark, rows):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, name string")
+    right = spark.range(100).select(F.when(F.col("id") < 90, 1).otherwise(7).cast("long").alias("k"), "id")
+    assert rows(left_join_hot_right(left, right, ["k"])) == rows(left.join(right, ["k"], "left"))
