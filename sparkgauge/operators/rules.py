@@ -25,6 +25,7 @@ STYLE_WORDS = ["format", "style", "convention"]
 KEYWORDS = ["always", "never", "must", "should", "prefer", "use", "avoid", "run", "execute", "create", "update"]
 ACTIONS = ["run", "use", "create", "update", "install", "test", "build", "commit", "push"]
 UNTESTABLE_TYPES = ["documentation", "code_style", "file_structure"]  # unless they name a command
+CHECK_KINDS = ["should_contain", "should_not_contain", "should_execute", "should_not_execute"]
 CONSISTENT_SHARE = 0.8
 MIN_CONFIDENCE = 0.7
 
@@ -237,49 +238,44 @@ def _preference_prompt() -> Column:
 
 def scenarios_from_rules(rules: DataFrame) -> DataFrame:
     """One scenario per command of a requirement or prohibition, one per preference that names
-    commands, one per workflow rule and one for any other rule."""
+    commands, one per workflow rule and one for any other rule.
+
+    The scenarios of a rule are built inside its row and unfolded, so rules are mined once.
+    """
     none = F.array().cast("array<string>")
-    kind = F.col("test_type")
-    command = F.col("_command")
-    required = F.col("type") == "command_requirement"
-    per_command = rules.filter(kind == "command_check").withColumn("_command", F.explode("commands"))
-    one = F.array(command)
-    commanded = per_command.select(
-        F.when(required, _scenario_id("cmd_req")).otherwise(_scenario_id("cmd_prohib")).alias("scenario_id"),
-        "rule_id",
-        F.when(required, "positive").otherwise("negative").alias("type"),
-        F.col("type").alias("test_type"),
-        F.when(required, _requirement_prompt(command)).otherwise(_prohibition_prompt(command)).alias("prompt"),
-        F.struct(
-            F.when(required, one).otherwise(none).alias("should_contain"),
-            F.when(required, none).otherwise(one).alias("should_not_contain"),
-            none.alias("should_execute"),
-            none.alias("should_not_execute"),
-        ).alias("expected_behavior"),
-        "doc_id",
-        "section_no",
-        "line_no",
-        "description",
-    )
-    prefers = kind == "preference_check"
-    flows = kind == "workflow_check"
-    single = rules.filter((kind != "command_check") & (~prefers | (F.size("commands") > 0)))
-    flow_prompt = F.concat(F.lit("I need to "), _action(F.col("description")), F.lit(". What steps should I follow?"))
+    kind, expected = F.col("test_type"), F.col("expected_behavior")
     head = F.substring("description", 1, 150)  # fixed value: preview length of the prompt
+    flow_prompt = F.concat(F.lit("I need to "), _action(F.col("description")), F.lit(". What steps should I follow?"))
     plain_prompt = F.concat(F.lit("What should I know about: "), head, F.lit("?"))
-    others = single.select(
-        F.when(prefers, _scenario_id("pref")).when(flows, _scenario_id("workflow")).otherwise(_scenario_id("general")).alias("scenario_id"),
-        "rule_id",
-        F.when(prefers, "preference").when(flows, "workflow").otherwise("general").alias("type"),
-        F.when(prefers, "preference_check").when(flows, "workflow_check").otherwise("general_check").alias("test_type"),
-        F.when(prefers, _preference_prompt()).when(flows, flow_prompt).otherwise(plain_prompt).alias("prompt"),
-        "expected_behavior",
-        "doc_id",
-        "section_no",
-        "line_no",
-        "description",
+
+    def scenario(name: str, label: str, test: str, prompt: Column, behavior: Column) -> Column:
+        return F.struct(
+            _scenario_id(name).alias("scenario_id"),
+            F.lit(label).alias("type"),
+            F.lit(test).alias("test_type"),
+            prompt.alias("prompt"),
+            behavior.alias("expected_behavior"),
+        )
+
+    def wants(contain: Column, not_contain: Column) -> Column:
+        parts = [contain, not_contain, none, none]
+        return F.struct(*[x.alias(k) for x, k in zip(parts, CHECK_KINDS)])
+
+    def required(c: Column) -> Column:
+        return scenario("cmd_req", "positive", "command_requirement", _requirement_prompt(c), wants(F.array(c), none))
+
+    def prohibited(c: Column) -> Column:
+        return scenario("cmd_prohib", "negative", "command_prohibition", _prohibition_prompt(c), wants(none, F.array(c)))
+
+    one = F.array(scenario("pref", "preference", "preference_check", _preference_prompt(), expected))
+    made = (
+        F.when(F.col("type") == "command_requirement", F.transform("commands", required))
+        .when(F.col("type") == "command_prohibition", F.transform("commands", prohibited))
+        .when((kind == "preference_check") & (F.size("commands") > 0), one)
+        .when(kind == "workflow_check", F.array(scenario("workflow", "workflow", "workflow_check", flow_prompt, expected)))
+        .when(kind != "preference_check", F.array(scenario("general", "general", "general_check", plain_prompt, expected)))
     )
-    return commanded.unionByName(others)
+    return rules.select("rule_id", "doc_id", "section_no", "line_no", "description", F.inline(made))
 
 
 # ---- response checks
@@ -368,9 +364,6 @@ def result_scenarios(results: DataFrame, scenarios: DataFrame) -> DataFrame:
     return results.join(last, "scenario_id", "left").select(*results.columns, "_s.rule_id", "_s.expected_behavior")
 
 
-CHECK_KINDS = ["should_contain", "should_not_contain", "should_execute", "should_not_execute"]
-
-
 def _check_of(kind: str):
     return lambda target: F.struct(F.lit(kind).alias("kind"), target.alias("target"))
 
