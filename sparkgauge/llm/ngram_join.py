@@ -15,7 +15,8 @@ n-grams of many documents out of the prefixes.
 
 Distribution: equal sets are one vertex. Prefix rows (hash, vertex, size) are
 shuffled by hash; a chain of neighbours by size, not all pairs, makes the
-blocks. A block of more than ``tile`` sets is cut into tiles and each pair of
+blocks. A look at whole prefixes, which must share more than one n-gram, cuts
+blocks into those that go to the tries with their texts. A block of more than ``tile`` sets is cut into tiles and each pair of
 tiles is one task's work, so no task holds more than two tiles. Tasks return
 links as stars, at most one a set, never all pairs.
 
@@ -167,8 +168,11 @@ class Trie:
     Nodes lie level by level, so a probe handles a level at once.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        """``sets``: codes in trie order, sorted lexicographically as sequences."""
+    def __init__(self, sets: list[np.ndarray], common: np.ndarray):
+        """``sets``: codes in trie order, sorted lexicographically as sequences.
+
+        Only ``common`` codes, those of two sets or more, are kept to be matched.
+        """
         self.levels: list[tuple[np.ndarray, ...]] = []
         sizes = np.array([len(s) for s in sets])
         shared = [0] * len(sets)  # with the set before
@@ -179,7 +183,7 @@ class Trie:
         # groups of sets with the same beginning, split level by level
         level = [(-1, 0, len(sets), 0)] if sets else []  # parent, first set, past the last, depth
         while level:
-            parents, tokens, starts, ends, ends_at, low, high, deep = [], [], [0], [], [], [], [], []
+            parents, tokens, starts, ends, first, past, low, high, deep, last = [], [], [0], [], [], [], [], [], [], []
             after, count = [], 0
             for parent, a, b, depth in level:
                 at = a
@@ -189,13 +193,16 @@ class Trie:
                         end += 1
                     to = min(int(sizes[at]), min(shared[at + 1 : end], default=int(sizes[at])))
                     parents.append(parent)
-                    tokens.append(sets[at][depth:to])
-                    starts.append(starts[-1] + to - depth)
+                    run = sets[at][depth:to]
+                    last.append(run[-1])
+                    tokens.append(run[common[run]])
+                    starts.append(starts[-1] + len(tokens[-1]))
                     done = at
                     while done < end and sizes[done] == to:
                         done += 1
                     ends.append(done - at)  # sets that end here are the first ones
-                    ends_at.append(at)
+                    first.append(at)
+                    past.append(end)
                     low.append(int(sizes[at:end].min()))
                     high.append(int(sizes[at:end].max()))
                     deep.append(to)
@@ -203,32 +210,46 @@ class Trie:
                         after.append((count, done, end, to))
                     count += 1
                     at = end
-            arrays = map(np.array, (starts, ends, ends_at, low, high, deep))
+            arrays = map(np.array, (starts, ends, first, past, low, high, deep, last))
             self.levels.append((np.array(parents), np.concatenate(tokens), *arrays))
             level = after
 
-    def probe(self, mark: np.ndarray, rank: np.ndarray, size: int, percent: int) -> list[tuple[int, int]]:
-        """(first set, number of sets) whose overlap with the marked set reaches the Jaccard index.
+    def probe(self, mark: np.ndarray, codes: np.ndarray, percent: int, wanted: np.ndarray) -> list[tuple[int, int]]:
+        """(first set, number of sets) whose overlap with the probe reaches the Jaccard index.
 
-        ``rank[c]``: how many n-grams of the probe have a code below c.
+        ``codes`` are those of the probe, all set in ``mark``. Subtrees without a
+        ``wanted`` set are left out.
         """
-        found = []
+        found, size = [], len(codes)
+        open_sets = np.concatenate([[0], np.cumsum(wanted)])
         overlap = np.zeros(1, np.int64)  # of the paths that end at the level above
         alive = np.array([True])
-        for parents, tokens, starts, ends, ends_at, low, high, deep in self.levels:
-            ok = alive[parents] & (100 * np.minimum(high, size) >= percent * np.maximum(low, size))
-            if not ok.any():
+        for parents, tokens, starts, ends, first, past, low, high, deep, last in self.levels:
+            ok = alive[parents] & (open_sets[past] > open_sets[first])
+            ok &= 100 * np.minimum(high, size) >= percent * np.maximum(low, size)
+            at = np.flatnonzero(ok)
+            if not len(at):
                 break
-            sums = np.concatenate([[0], np.cumsum(mark[tokens])])
-            here = overlap[parents] + sums[starts[1:]] - sums[starts[:-1]]
-            hit = np.flatnonzero(ok & (ends > 0))
+            here = np.zeros(len(parents), np.int64)
+            a, b = starts[at], starts[at + 1]
+            if 2 * (b - a).sum() < len(tokens):  # few nodes left: touch only theirs
+                lengths = b - a
+                b = np.cumsum(lengths)
+                inside = np.repeat(a - b + lengths, lengths) + np.arange(b[-1])
+                a = b - lengths
+                sums = np.concatenate([[0], np.cumsum(mark[tokens[inside]])])
+            else:
+                sums = np.concatenate([[0], np.cumsum(mark[tokens])])
+            here[at] = overlap[parents[at]] + sums[b] - sums[a]
+            hit = at[ends[at] > 0]
             if len(hit):
                 need = -(-percent * (size + low[hit]) // (100 + percent))  # sets that end here are the shortest below
                 for h in hit[here[hit] >= need]:
-                    found.append((int(ends_at[h]), int(ends[h])))
+                    found.append((int(first[h]), int(ends[h])))
             # what can still come: n-grams of the probe after the last code of this node, or of the sets below it
-            most = here + np.minimum(size - rank[tokens[starts[1:] - 1] + 1], high - deep)
-            alive = ok & (most >= -(-percent * (size + low) // (100 + percent)))
+            most = here[at] + np.minimum(size - np.searchsorted(codes, last[at], "right"), high[at] - deep[at])
+            alive = np.zeros(len(parents), bool)
+            alive[at] = most >= -(-percent * (size + low[at]) // (100 + percent))
             overlap = here
         return found
 
@@ -240,7 +261,7 @@ def trie_links(keys: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, perce
     the first, since frequent n-grams are the beginnings that sets share. With two
     tiles only links across them are looked for.
     """
-    codes, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    codes, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     flat = len(codes) - 1 - flat
     bounds = np.cumsum([0, *map(len, sets)])
     coded = [flat[a:b][::-1] for a, b in zip(bounds[:-1], bounds[1:])]
@@ -248,29 +269,22 @@ def trie_links(keys: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, perce
     two = len(np.unique(tile)) > 1
     in_trie = [i for i in order if not two or tile[i] == tile.max()]
     probes = [i for i in order if not two or tile[i] == tile.min()]
-    trie = Trie([coded[i] for i in in_trie])
-    root = np.arange(len(sets))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    mark = np.zeros(len(codes), np.int64)
+    trie = Trie([coded[i] for i in in_trie], often[::-1] > 1)
+    # what is connected already needs no second look: only components count
+    label = np.arange(len(sets))
+    in_trie = np.array(in_trie)
+    mark = np.zeros(len(codes), np.int32)
     for i in probes:
+        wanted = label[in_trie] != label[i]
+        if not wanted.any():
+            continue
         mark[coded[i]] = 1
-        rank = np.concatenate([[0], np.cumsum(mark)])
-        for first, count in trie.probe(mark, rank, len(coded[i]), percent):
+        for first, count in trie.probe(mark, coded[i], percent, wanted):
             for j in in_trie[first : first + count]:
-                a, b = find(i), find(j)
-                if a != b:
-                    a, b = (a, b) if keys[a] < keys[b] else (b, a)
-                    root[b] = a
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
         mark[coded[i]] = 0
-    roots = np.array([find(i) for i in range(len(sets))])
-    away = np.flatnonzero(roots != np.arange(len(sets)))
-    return keys[away], keys[roots[away]]
+    return stars(keys, label)
 
 
 def _blocks(n: int, percent: int, rarity):
@@ -289,6 +303,77 @@ def _blocks(n: int, percent: int, rarity):
     return run
 
 
+def prefix_links(keys: np.ndarray, sizes: np.ndarray, prefixes: list[np.ndarray], tile: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect sets whose prefixes share enough for a link.
+
+    Beyond the prefix that ends first in the global order, its set can add no more
+    n-grams than it has left; what the overlap needs more must be shared by the prefixes.
+    """
+    lengths = np.array([len(p) for p in prefixes])
+    flat = np.concatenate(prefixes).view(np.uint64)
+    owner = np.repeat(np.arange(len(prefixes)), lengths)
+    codes, flat = np.unique(flat, return_inverse=True)
+    order = np.argsort(flat, kind="stable")
+    lists, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(flat))])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    last = np.array([flat[e - 1] for e in ends[1:]])
+    left = sizes - lengths
+    two = len(np.unique(tile)) > 1
+    label = np.arange(len(keys))
+    for i in np.flatnonzero(tile == tile.min()) if two else range(len(keys)):
+        own = flat[ends[i] : ends[i + 1]]
+        own = own[first[own + 1] - first[own] > 1]
+        if not len(own):
+            continue
+        a, many = first[own], first[own + 1] - first[own]
+        stop = np.cumsum(many)
+        shared = np.bincount(lists[np.repeat(a - stop + many, many) + np.arange(stop[-1])], minlength=len(keys))
+        need = -(-percent * (sizes[i] + sizes) // (100 + percent))
+        more = np.where(last[i] <= last, left[i], left)
+        ok = (shared > 0) & (shared + more >= need) & (label != label[i])
+        for j in np.flatnonzero(ok):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+    return stars(keys, label)
+
+
+def stars(keys: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, smallest key of its label) for all but the smallest ones."""
+    roots = np.arange(len(keys))
+    for value in np.unique(label):
+        own = np.flatnonzero(label == value)
+        roots[own] = own[keys[own].argmin()]
+    away = np.flatnonzero(roots != np.arange(len(keys)))
+    return keys[away], keys[roots[away]]
+
+
+def _refined(percent: int):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b.select(["vertex", "n", "prefix", "tile"]) for b in batches])
+        prefixes = [p.values.to_numpy() for p in table["prefix"]]
+        v, u = prefix_links(table["vertex"].to_numpy(), table["n"].to_numpy(), prefixes, table["tile"].to_numpy(), percent)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], ["v", "u"])
+
+    return run
+
+
+def tiles_of(blocks: DataFrame, tile: int) -> DataFrame:
+    """(vertex, block, tile, a, b): the members of blocks of (vertex, root) rows, dealt to pairs of tiles.
+
+    A block has as many tiles as its size asks for; a vertex goes to a tile by hash and
+    to every pair (a, b) that holds it.
+    """
+    members = blocks.select("vertex", F.col("root").alias("block"))
+    members = stored(members.union(blocks.select(F.col("root").alias("vertex"), F.col("root").alias("block"))).distinct(), "members")
+    sizes = stored(members.groupBy("block").agg(F.count("*").alias("members")), "sizes")
+    members = members.join(sizes.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b"))
+    count = F.ceil(F.col("members") / F.lit(tile)).cast("int")
+    members = members.select("vertex", "block", count.alias("tiles"), F.pmod(F.xxhash64("vertex"), count).cast("int").alias("tile"))
+    other = F.sequence(F.lit(0), F.col("tiles") - 1)
+    pairs = F.transform(other, lambda x: F.struct(F.least(x, F.col("tile")).alias("a"), F.greatest(x, F.col("tile")).alias("b")))
+    return members.select("vertex", "block", "tile", F.explode(pairs).alias("pair")).select("vertex", "block", "tile", "pair.a", "pair.b")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4,
                        percent: int = 85, tile: int = 2_048) -> DataFrame:
     """(key, n_shingles, component_id): the smallest key that links reach, itself included.
@@ -300,6 +385,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = keyed_text(docs, key, text).withColumn("key", F.col("key").cast("long"))
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rarity = spark.sparkContext.broadcast(rarity_table(rows, n))
     every = rows.mapInArrow(_summary(n, percent, rarity), "key long, n long, digest binary, prefix array<long>")
     every = stored(every, "ngram-sets", compression="zstd")
@@ -316,17 +402,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     chain = heads.select("vertex", F.lag("vertex").over(near).alias("other"), (100 * F.lag("n").over(near) >= percent * F.col("n")).alias("ok"))
     chain = chain.filter("ok and vertex <> other")
     blocks = components(chain.select("vertex", "other"), "vertex", "other")
-    members = blocks.select("vertex", F.col("root").alias("block"))
-    members = stored(members.union(blocks.select(F.col("root").alias("vertex"), F.col("root").alias("block"))).distinct(), "ngram-members")
-    # tiles of a block: by hash of the vertex, as many as its size asks for
-    sizes = stored(members.groupBy("block").agg(F.count("*").alias("members")), "ngram-sizes")
-    members = members.join(sizes.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b"))
-    count = F.ceil(F.col("members") / F.lit(tile)).cast("int")
-    members = members.select("vertex", "block", count.alias("tiles"), F.pmod(F.xxhash64("vertex"), count).cast("int").alias("tile"))
-    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, F.col("tile")).alias("a"), F.greatest(x, F.col("tile")).alias("b")))
-    work = members.select("vertex", "block", "tile", F.explode(others).alias("pair"))
-    texts = rows.join(work, F.col("key") == F.col("vertex")).select("vertex", "text", "tile", "block", "pair.a", "pair.b")
-    links = texts.groupBy("block", "a", "b").applyInArrow(_blocks(n, percent, rarity), "v long, u long")
+    # first look at prefixes alone: few bytes a set, and most chance meetings end here
+    near_pairs = every.select("key", "n", "prefix").join(tiles_of(blocks, 2 * tile), F.col("key") == F.col("vertex"))
+    near_pairs = near_pairs.select("vertex", "n", "prefix", "tile", "block", "a", "b").repartition(parts, "block", "a", "b")
+    near_pairs = near_pairs.groupBy("block", "a", "b").applyInArrow(_refined(percent), "v long, u long")
+    blocks = components(near_pairs, "v", "u")
+    texts = rows.join(tiles_of(blocks, tile), F.col("key") == F.col("vertex")).select("vertex", "text", "tile", "block", "a", "b")
+    # blocks differ in work, not in bytes: a fixed number of partitions, so that few are not merged into fewer
+    links = texts.repartition(parts, "block", "a", "b").groupBy("block", "a", "b").applyInArrow(_blocks(n, percent, rarity), "v long, u long")
     found = components(links, "v", "u").select(F.col("vertex").alias("_k"), "root")
     names = vertices.join(found, F.col("vertex") == F.col("_k"), "left")
     names = stored(names.select("_d", F.coalesce("root", "vertex").alias("component_id")), "ngram-names")

@@ -110,11 +110,14 @@ class Tokenizer:
     The pre-tokenizer of byte-level BPE cuts before every single space between two
     characters that are not white space, and what lies between two such cuts gets
     the same ids wherever it stands. So texts are cut there, and each distinct piece
-    goes through the library once. Pieces beside other white space are glued to
-    their neighbours first.
+    goes through the library once. A new piece is cut further where that is as
+    safe: at a single line feed, and between letters and punctuation at the end. A
+    text with other white space beside a space goes through the library whole.
     """
 
-    CACHE = 400_000
+    CACHE = 800_000
+    SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
@@ -125,40 +128,86 @@ class Tokenizer:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         pre = self.library.pre_tokenizer
         self.by_words = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.library.normalizer is None
-        self.cache: dict[str, bytes] = {}
+        # byte-level BPE spells bytes as characters: visible ones of Latin-1 as they are, the others from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.spelling = {b: 256 + k for k, b in enumerate(hidden)}
+        self.pieces: dict[str, bytes] = {}  # by what follows the space
+        self.atoms: dict[str, bytes] = {}  # parts of pieces, as they stand
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before each single space between characters that are not white space."""
-        cut = text.split(" ")
-        out, open_end = [], False
-        for k, piece in enumerate(cut):
+    def plain(self, text: str) -> bool:
+        """Every space stands between two characters that are not white space."""
+        if text[:1].isspace() or text[-1:].isspace():
+            return False
+        return not any(c in text and (c + " " in text or " " + c in text) for c in self.SPACES)
+
+    def cut(self, piece: str) -> list[str]:
+        """Parts of a piece that the pre-tokenizer separates too."""
+        out = []
+        for k, line in enumerate(piece.split("\n")):
+            core = line[1:] if k == 0 and line[:1] == " " else line
+            if not core or core[0].isspace() or core[-1].isspace():
+                return [piece]
             if k:
-                piece = " " + piece
-            glue = open_end or (k and (len(piece) == 1 or piece[1].isspace()))
-            if glue and out:
-                out[-1] += piece
+                out.append("\n")
+            stem = line.rstrip(self.PUNCTUATION)
+            if len(stem) < len(line) and stem.lstrip(" ").isalpha():
+                out += [stem, line[len(stem) :]]
             else:
-                out.append(piece)
-            open_end = piece[-1:].isspace() or not piece
+                out.append(line)
         return out
 
+    def _learn(self, new: dict[str, str]) -> None:
+        """Ids of new pieces: cache key to text."""
+        atoms = self.atoms
+        if len(atoms) > self.CACHE:
+            atoms.clear()
+        cuts = {key: self.cut(piece) for key, piece in new.items()}
+        unknown = list({a for parts in cuts.values() for a in parts if a not in atoms})
+        model, spelling, dtype = self.library.model, self.spelling, self.dtype
+        words = [a for a in unknown if a.isalpha() or a[1:].isalpha() and a[0] == " "]
+        for a in words:  # one pre-token each, so straight to the model
+            spelled = a.replace(" ", "\u0120") if a.isascii() else a.encode().decode("latin-1").translate(spelling)
+            atoms[a] = np.array([x.id for x in model.tokenize(spelled)], dtype).tobytes()
+        unknown = [a for a in unknown if a not in atoms]
+        for a in range(0, len(unknown), 4096):
+            part = unknown[a : a + 4096]
+            atoms.update(zip(part, self._library(part)))
+        for key, parts in cuts.items():
+            self.pieces[key] = b"".join([atoms[a] for a in parts])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._library(texts)
-        cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        if len(cache) > self.CACHE:
-            cache.clear()
-        new = list({p for pieces in cut for p in pieces if p not in cache})
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            cache.update(zip(part, self._library(part)))
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+        if len(self.pieces) > self.CACHE:
+            self.pieces.clear()
+        get = self.pieces.get
+        cuts, found, odd, new = [], [], [], {}
+        for i, text in enumerate(texts):
+            if not text or not self.plain(text):
+                odd.append(i)
+                cuts.append([])
+                found.append([])
+                continue
+            cut = text.split(" ")
+            cut[0] = " " + cut[0]  # no other piece has a space: the key of a piece at the start
+            ids = list(map(get, cut))
+            if None in ids:
+                for p, x in zip(cut, ids):
+                    if x is None:
+                        new[p] = p[1:] if p[0] == " " else " " + p
+            cuts.append(cut)
+            found.append(ids)
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.pieces.__getitem__, c) if None in x else x) for c, x in zip(cuts, found)]
+        for i, ids in zip(odd, self._library([texts[i] for i in odd])):
+            out[i] = ids
+        return out
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
