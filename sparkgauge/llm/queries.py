@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm import decontam, langid, mixing, ngram_join, rans
+from sparkgauge.llm import decontam, exact_dedup, langid, mixing, ngram_join, rans, warc
 from sparkgauge.llm.common import table
 
 CAPITALS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -20,6 +20,40 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC and WARC files."""
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
+FROM g
+"""
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents stay of those with equal texts."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '{BLANKS}', '', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  first_value(doc_id) OVER w = doc_id AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -131,6 +165,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM re
 
 
 QUERIES = {
+    "op1_arc_to_warc": op1_arc_to_warc,
+    "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_source_mixing": op6_source_mixing,
@@ -139,6 +175,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_arc_to_warc": OP1_SQL,
+    "op2_exact_dedup": OP2_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_source_mixing": OP6_SQL,
     "op10_ngram_join": OP10_SQL,
