@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm import decontam, exact_dedup, langid, mixing, ngram_join, rans, warc
+from sparkgauge.llm import decontam, exact_dedup, html_text, langid, mixing, ngram_join, rans, warc
 from sparkgauge.llm.common import table
 
 CAPITALS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -54,6 +54,12 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -167,6 +173,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM re
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_main_text": op3_main_text,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_source_mixing": op6_source_mixing,
