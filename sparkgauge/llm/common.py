@@ -70,12 +70,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES
     yield batch.slice(start)
 
 
-def by_slices(work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> Callable:
+def by_slices(work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], limit: int = BATCH_BYTES) -> Callable:
     """A ``mapInArrow`` function that calls ``work`` for bounded runs of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=limit):
                 yield from work(part)
 
     return run
@@ -103,7 +103,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 16)
+            size = max(n, 1 << 20)
             up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up), np.cumprod(down)

@@ -40,11 +40,13 @@ from sparkgauge.llm.common import (
     keyed_text,
     mixed,
     runs_of,
+    slices,
     stored,
     text_bytes,
 )
 
 SKETCH_BITS = 18
+SLICE_BYTES = 1 << 19  # a byte of text takes some 60 bytes while its words are hashed
 _PARTS = 64  # the count table is added up in so many slices
 
 # White space of the contract, and small letters for A-Z.
@@ -98,7 +100,7 @@ def _count_slices(n: int):
                 counts[:] += np.bincount(_bucket(np.concatenate(grams)), minlength=len(counts))
             return []
 
-        for _ in by_slices(add)(batches):
+        for _ in by_slices(add, SLICE_BYTES)(batches):
             pass
         if counts.any():
             parts = np.split(counts, _PARTS)
@@ -159,7 +161,7 @@ def _summary(n: int, percent: int, rarity):
             ["key", "n", "digest", "prefix"],
         )
 
-    return by_slices(work)
+    return by_slices(work, SLICE_BYTES)
 
 
 class Trie:
@@ -296,7 +298,8 @@ def _blocks(n: int, percent: int, rarity):
             part = batch.select(["vertex", "text", "tile"])
             keys.append(part.column(0).to_numpy())
             tiles.append(part.column(2).to_numpy())
-            sets += [ordered_set(g, rarity.value) for g in shingle_sets(*text_bytes(part.column(1)), n)]
+            for piece in slices(part, limit=SLICE_BYTES):
+                sets += [ordered_set(g, rarity.value) for g in shingle_sets(*text_bytes(piece.column(1)), n)]
         v, u = trie_links(np.concatenate(keys), sets, np.concatenate(tiles), percent)
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], ["v", "u"])
 
@@ -375,7 +378,7 @@ def tiles_of(blocks: DataFrame, tile: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4,
-                       percent: int = 85, tile: int = 2_048) -> DataFrame:
+                       percent: int = 85, tile: int = 1_024) -> DataFrame:
     """(key, n_shingles, component_id): the smallest key that links reach, itself included.
 
     Null and empty texts, and texts without words, have no n-grams and are linked
