@@ -1,24 +1,24 @@
 """N-gram Jaccard self-join by prefix trees.
 
-Each document is a set of word n-grams in one global order. Two sets with a
-Jaccard index of ``percent`` or more share an n-gram among the first
-``n - ceil(percent * n) + 1`` of either (prefix filter), so documents that meet
-on such an n-gram, directly or in a chain, form a block that holds every link
-among its members. Inside a block the sets, most frequent n-gram first, fill a
-radix trie; a probe walks it level by level, sharing the overlap of common
-beginnings, and leaves a subtree when the n-grams still to come, in it or in
-the probe, cannot reach the overlap needed.
+Each document is a set of word n-grams in one global order. Two linked sets differ
+in at most D n-grams, so among the first ``3 * D + 3`` n-grams of their union three
+neighbours are shared, and those are neighbours in both sets: documents that meet
+on such a triple, directly or in a chain, form a block that holds every link among
+its members. (A prefix filter on single n-grams meets far more often by chance: one
+shared passage is enough.) Inside a block the sets, most frequent n-gram first, fill
+a radix trie; a probe walks it level by level, sharing the overlap of common
+beginnings, and leaves a subtree when the n-grams still to come, in it or in the
+probe, cannot reach the overlap needed.
 
 Global order: rarity from a fixed-size table of bucket counts over all
 documents, then hash. Any common order gives the same links; a good one keeps
-n-grams of many documents out of the prefixes.
+n-grams of many documents out of the beginnings.
 
-Distribution: equal sets are one vertex. Prefix rows (hash, vertex, size) are
-shuffled by hash; a chain of neighbours by size, not all pairs, makes the
-blocks. A look at whole prefixes, which must share more than one n-gram, cuts
-blocks into those that go to the tries with their texts. A block of more than ``tile`` sets is cut into tiles and each pair of
-tiles is one task's work, so no task holds more than two tiles. Tasks return
-links as stars, at most one a set, never all pairs.
+Distribution: equal sets are one vertex, named once a task. Triples (hash, vertex)
+are shuffled by hash; a chain of neighbours, not all pairs, makes the blocks. A
+block of more than ``tile`` sets is cut into tiles and each pair of tiles is one
+task's work, so no task holds more than two tiles. Tasks return links as stars, at
+most one a set, never all pairs.
 
 N-grams are compared as 60-bit hashes.
 """
@@ -138,32 +138,66 @@ def ordered_set(grams: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return np.unique(low | rarity[_bucket(grams)].astype(np.uint64) << np.uint64(60))
 
 
-def _summary(n: int, percent: int, rarity):
-    """One row per document: size, digest of the set, and the n-grams of its prefix."""
+def _summary(n: int, rarity):
+    """One row per document: size and digest of the set."""
 
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sizes, digests, prefixes = [], [], []
+        sizes, digests, numbers = [], [], []
         for grams in shingle_sets(*text_bytes(part.column(1)), n):
             s = ordered_set(grams, rarity.value)
             sizes.append(len(s))
-            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-            prefixes.append(s[:keep].astype(np.int64))
-        lengths = np.cumsum([0, *map(len, prefixes)])
-        values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column(0),
-                pa.array(sizes, pa.int64()),
-                pa.array(digests, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values, pa.int64())),
-            ],
-            ["key", "n", "digest", "prefix"],
-        )
+            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+            digests.append(digest if len(s) else None)
+            numbers.append(vertex_of(digest))
+        columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(numbers, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "n", "digest", "number"])
 
     return by_slices(work, SLICE_BYTES)
 
 
+def most_different(n: int, percent: int) -> int:
+    """The most n-grams in which a set of ``n`` can differ from a linked one: that is 100 / ``percent`` times as large."""
+    m = 100 * n // percent
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
+def triples(s: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of neighbouring triples at the beginning of an ordered set; none if no other set can be linked."""
+    d = max(most_different(m, percent) for m in (len(s), max(1, len(s) - 1)))  # rounding may favour the smaller size
+    if d < 1:
+        return s[:0]
+    s = s[: 3 * d + 3]
+    return mixed(s[:-2] * _MIX[1] + mixed(s[1:-1] * _MIX[2] + mixed(s[2:]))) if len(s) > 2 else mixed(s[:1])
+
+
+def vertex_of(digest: bytes) -> int:
+    """A set's number: the first eight bytes of its digest."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _keys(n: int, percent: int, rarity):
+    """(triple, vertex) rows of the sets that a task has not seen before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found, vertices = [np.zeros(0, np.uint64)], []
+            for grams in shingle_sets(*text_bytes(part.column(0)), n):
+                s = ordered_set(grams, rarity.value)
+                vertex = vertex_of(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                if vertex not in seen:
+                    seen.add(vertex)
+                    found.append(triples(s, percent))
+                    vertices.append(np.full(len(found[-1]), vertex, np.int64))
+            if vertices:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(vertices))], ["triple", "vertex"])
+
+        yield from by_slices(work, SLICE_BYTES)(batches)
+
+    return run
+
+
 class Trie:
     """A radix trie of sorted sets: each node owns a run of n-grams that all sets below it share.
 
@@ -306,40 +340,6 @@ def _blocks(n: int, percent: int, rarity):
     return run
 
 
-def prefix_links(keys: np.ndarray, sizes: np.ndarray, prefixes: list[np.ndarray], tile: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect sets whose prefixes share enough for a link.
-
-    Beyond the prefix that ends first in the global order, its set can add no more
-    n-grams than it has left; what the overlap needs more must be shared by the prefixes.
-    """
-    lengths = np.array([len(p) for p in prefixes])
-    flat = np.concatenate(prefixes).view(np.uint64)
-    owner = np.repeat(np.arange(len(prefixes)), lengths)
-    codes, flat = np.unique(flat, return_inverse=True)
-    order = np.argsort(flat, kind="stable")
-    lists, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(flat))])
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    last = np.array([flat[e - 1] for e in ends[1:]])
-    left = sizes - lengths
-    two = len(np.unique(tile)) > 1
-    label = np.arange(len(keys))
-    for i in np.flatnonzero(tile == tile.min()) if two else range(len(keys)):
-        own = flat[ends[i] : ends[i + 1]]
-        own = own[first[own + 1] - first[own] > 1]
-        if not len(own):
-            continue
-        a, many = first[own], first[own + 1] - first[own]
-        stop = np.cumsum(many)
-        shared = np.bincount(lists[np.repeat(a - stop + many, many) + np.arange(stop[-1])], minlength=len(keys))
-        need = -(-percent * (sizes[i] + sizes) // (100 + percent))
-        more = np.where(last[i] <= last, left[i], left)
-        ok = (shared > 0) & (shared + more >= need) & (label != label[i])
-        for j in np.flatnonzero(ok):
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-    return stars(keys, label)
-
-
 def stars(keys: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, smallest key of its label) for all but the smallest ones."""
     roots = np.arange(len(keys))
@@ -350,24 +350,13 @@ def stars(keys: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[away], keys[roots[away]]
 
 
-def _refined(percent: int):
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches([b.select(["vertex", "n", "prefix", "tile"]) for b in batches])
-        prefixes = [p.values.to_numpy() for p in table["prefix"]]
-        v, u = prefix_links(table["vertex"].to_numpy(), table["n"].to_numpy(), prefixes, table["tile"].to_numpy(), percent)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], ["v", "u"])
-
-    return run
-
-
-def tiles_of(blocks: DataFrame, tile: int) -> DataFrame:
-    """(vertex, block, tile, a, b): the members of blocks of (vertex, root) rows, dealt to pairs of tiles.
+def tiles_of(heads: DataFrame, tile: int) -> DataFrame:
+    """(vertex, block, tile, a, b): the (head, root) rows of blocks, dealt to pairs of tiles.
 
     A block has as many tiles as its size asks for; a vertex goes to a tile by hash and
     to every pair (a, b) that holds it.
     """
-    members = blocks.select("vertex", F.col("root").alias("block"))
-    members = stored(members.union(blocks.select(F.col("root").alias("vertex"), F.col("root").alias("block"))).distinct(), "members")
+    members = stored(heads.select(F.col("head").alias("vertex"), F.col("root").alias("block")), "members")
     sizes = stored(members.groupBy("block").agg(F.count("*").alias("members")), "sizes")
     members = members.join(sizes.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b"))
     count = F.ceil(F.col("members") / F.lit(tile)).cast("int")
@@ -390,32 +379,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rarity = spark.sparkContext.broadcast(rarity_table(rows, n))
-    every = rows.mapInArrow(_summary(n, percent, rarity), "key long, n long, digest binary, prefix array<long>")
-    every = stored(every, "ngram-sets", compression="zstd")
-    slim = every.select("key", "n", "digest")
-    # one vertex for each distinct set: its smallest key; a map-side combined aggregate over 30 bytes a row
+    slim = stored(rows.mapInArrow(_summary(n, rarity), "key long, n long, digest binary, number long"), "ngram-sets")
+    # one vertex for each distinct set, with its smallest key; a map-side combined aggregate over 30 bytes a row
     known = slim.filter("digest is not null and key is not null")
-    vertices = stored(known.groupBy("digest").agg(F.min("key").alias("vertex")), "ngram-vertices")
-    vertices = vertices.withColumnRenamed("digest", "_d")
-    heads = every.select("key", "digest", "prefix", F.col("n").alias("_n"))
-    heads = heads.join(vertices, (F.col("digest") == F.col("_d")) & (F.col("key") == F.col("vertex")))
-    heads = heads.dropDuplicates(["key", "digest"]).select("vertex", F.col("_n").alias("n"), F.explode("prefix").alias("gram"))
-    # neighbours by size in the list of an n-gram, if their sizes allow a link
-    near = Window.partitionBy("gram").orderBy("n", "vertex")
-    chain = heads.select("vertex", F.lag("vertex").over(near).alias("other"), (100 * F.lag("n").over(near) >= percent * F.col("n")).alias("ok"))
-    chain = chain.filter("ok and vertex <> other")
-    blocks = components(chain.select("vertex", "other"), "vertex", "other")
-    # first look at prefixes alone: few bytes a set, and most chance meetings end here
-    near_pairs = every.select("key", "n", "prefix").join(tiles_of(blocks, 2 * tile), F.col("key") == F.col("vertex"))
-    near_pairs = near_pairs.select("vertex", "n", "prefix", "tile", "block", "a", "b").repartition(parts, "block", "a", "b")
-    near_pairs = near_pairs.groupBy("block", "a", "b").applyInArrow(_refined(percent), "v long, u long")
-    blocks = components(near_pairs, "v", "u")
-    texts = rows.join(tiles_of(blocks, tile), F.col("key") == F.col("vertex")).select("vertex", "text", "tile", "block", "a", "b")
+    vertices = stored(known.groupBy(F.col("digest").alias("_d")).agg(F.min("key").alias("head"), F.min("number").alias("number")), "ngram-vertices")
+    keys = rows.filter("key is not null").select("text").mapInArrow(_keys(n, percent, rarity), "triple long, vertex long")
+    near = Window.partitionBy("triple").orderBy("vertex")
+    chain = keys.select("vertex", F.lag("vertex").over(near).alias("other")).filter("vertex <> other")
+    blocks = components(chain, "vertex", "other")
+    blocks = stored(blocks.union(blocks.select("root", "root")).distinct(), "ngram-blocks")
+    heads = vertices.join(blocks, F.col("number") == F.col("vertex")).select("head", "root")
+    texts = rows.join(tiles_of(heads, tile), F.col("key") == F.col("vertex")).select("vertex", "text", "tile", "block", "a", "b")
     # blocks differ in work, not in bytes: a fixed number of partitions, so that few are not merged into fewer
     links = texts.repartition(parts, "block", "a", "b").groupBy("block", "a", "b").applyInArrow(_blocks(n, percent, rarity), "v long, u long")
     found = components(links, "v", "u").select(F.col("vertex").alias("_k"), "root")
-    names = vertices.join(found, F.col("vertex") == F.col("_k"), "left")
-    names = stored(names.select("_d", F.coalesce("root", "vertex").alias("component_id")), "ngram-names")
+    names = vertices.join(found, F.col("head") == F.col("_k"), "left")
+    names = stored(names.select("_d", F.coalesce("root", "head").alias("component_id")), "ngram-names")
     # rows of one set may be a third of all: a join on small rows, which adaptive execution can split
     out = slim.join(names, F.col("digest") == F.col("_d"), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
