@@ -15,7 +15,8 @@ documents, then hash. Any common order gives the same links; a good one keeps
 n-grams of many documents out of the beginnings.
 
 Distribution: equal sets are one vertex, named once a task. Triples (hash, vertex)
-are shuffled by hash; a chain of neighbours, not all pairs, makes the blocks. A
+are shuffled by hash; each list links to its first vertex, not all pairs, which
+makes the blocks. A
 block of more than ``tile`` sets is cut into tiles and each pair of tiles is one
 task's work, so no task holds more than two tiles. Tasks return links as stars, at
 most one a set, never all pairs.
@@ -385,7 +386,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     vertices = stored(known.groupBy(F.col("digest").alias("_d")).agg(F.min("key").alias("head"), F.min("number").alias("number")), "ngram-vertices")
     keys = rows.filter("key is not null").select("text").mapInArrow(_keys(n, percent, rarity), "triple long, vertex long")
     near = Window.partitionBy("triple").orderBy("vertex")
-    chain = keys.select("vertex", F.lag("vertex").over(near).alias("other")).filter("vertex <> other")
+    chain = keys.select("vertex", F.first("vertex").over(near).alias("other")).filter("vertex <> other").distinct()
     blocks = components(chain, "vertex", "other")
     blocks = stored(blocks.union(blocks.select("root", "root")).distinct(), "ngram-blocks")
     heads = vertices.join(blocks, F.col("number") == F.col("vertex")).select("head", "root")
