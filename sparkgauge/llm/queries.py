@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm import decontam, exact_dedup, html_text, langid, mixing, ngram_join, rans, warc
+from sparkgauge.llm import decontam, exact_dedup, html_text, langid, mixing, ngram_join, rans, suffix_dedup, warc
 from sparkgauge.llm.common import table
 
 CAPITALS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,6 +137,35 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without strings of 50 bytes that a smaller id has."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)
+), g AS (
+  SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM w JOIN g USING (s) WHERE doc_id > least
+), spans AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < i - 1) AS n_spans
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id
+), bytes AS (
+  SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM spans)
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i) AS h FROM bytes ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, read back from the range-ANS files."""
     return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary_file())
@@ -177,6 +206,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_source_mixing": op6_source_mixing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_files": op8_token_files,
     "op10_ngram_join": op10_ngram_join,
 }
@@ -186,5 +216,6 @@ SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_source_mixing": OP6_SQL,
+    "op7_suffix_dedup": OP7_SQL,
     "op10_ngram_join": OP10_SQL,
 }
