@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm import decontam, exact_dedup, html_text, langid, mixing, ngram_join, rans, suffix_dedup, warc
+from sparkgauge.llm import decontam, exact_dedup, html_text, langid, line_dedup, mixing, ngram_join, rans, suffix_dedup, warc
 from sparkgauge.llm.common import table
 
 CAPITALS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -171,6 +171,36 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary_file())
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line."""
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    removed = F.concat_ws(",", F.transform("removed", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), removed.alias("removed"))
+
+
+OP9_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line_no, list_sort(list_distinct(regexp_extract_all(lines[i], '{NOT_BLANK}'))) AS w
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), s AS (
+  SELECT w, row_number() OVER () AS id, f FROM (SELECT w, min(struct_pack(d := doc_id, l := line_no)) AS f FROM l WHERE len(w) > 0 GROUP BY w)
+), t AS (
+  SELECT id, len(w) AS n, unnest(w) AS word FROM s
+), p AS (
+  SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.word = b.word AND a.id <> b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), gone AS (
+  SELECT DISTINCT p.b AS id FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b WHERE x.f < y.f
+)
+SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE away) AS n_removed,
+  coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (WHERE away), '') AS removed
+FROM (
+  SELECT l.doc_id, l.line_no, len(l.w) > 0 AND (gone.id IS NOT NULL OR s.f.d <> l.doc_id OR s.f.l <> l.line_no) AS away
+  FROM l LEFT JOIN s ON s.w = l.w LEFT JOIN gone ON gone.id = s.id
+) l GROUP BY l.doc_id
+"""
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of every document."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -208,6 +238,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_files": op8_token_files,
+    "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 
@@ -217,5 +248,6 @@ SQL = {
     "op5_decontamination": OP5_SQL,
     "op6_source_mixing": OP6_SQL,
     "op7_suffix_dedup": OP7_SQL,
+    "op9_line_dedup": OP9_SQL,
     "op10_ngram_join": OP10_SQL,
 }
