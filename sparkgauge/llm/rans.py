@@ -27,6 +27,7 @@ from sparkgauge.session import scratch_path
 SCALE_BITS = 20
 BLOCK_IDS = 1 << 18
 MAX_LANES = 4096
+SLICE_BYTES = 1 << 19
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -115,7 +116,7 @@ class Tokenizer:
     text with other white space beside a space goes through the library whole.
     """
 
-    CACHE = 250_000
+    CACHE = 120_000
     SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
     PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -236,7 +237,7 @@ def _tokenise(path: str, end_id: int):
             )
             seq += n
 
-        yield from by_slices(work)(batches)
+        yield from by_slices(work, SLICE_BYTES)(batches)  # a piece of a text takes ten times its length
 
     return run
 
