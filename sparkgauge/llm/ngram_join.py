@@ -68,9 +68,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.nd
     """For each text its n-gram hashes, with repeats; a text of fewer words is one n-gram, without words none."""
     words, first = word_hashes(raw, offsets)
     grams = np.zeros(len(words), np.uint64)
+    whole = max(0, len(words) - n + 1)
     for k in range(n):
         step = np.uint64(pow(int(_MIX[0]), n - k, 1 << 64))
-        grams[: max(0, len(words) - n + 1)] += words[k : len(words) - n + 1 + k] * step
+        grams[:whole] += words[k : k + whole] * step
     grams = mixed(grams)
     for i in range(len(offsets) - 1):
         a, b = first[i], first[i + 1]

@@ -74,6 +74,9 @@ def window_least(h: np.ndarray, width: int) -> np.ndarray:
 def super_windows(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """(row, start, windows, minimiser) of the super-windows of a run of texts."""
     n = len(raw)
+    if n < length:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64)
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)
     end = offsets[1:][row]
