@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ from sparkgauge.session import ship_package
 
 UNKNOWN = "und"
 BUCKETS = 1 << 12
+SLICE_BYTES = 1 << 20  # of text; features take 16 KB a text
 
 # ISO 639-1 codes by family. A code that is not here is a family of its own.
 FAMILIES = {
@@ -179,7 +179,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     scale = 1 << 30
     bound = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(scale, each * scale // n))])
     drawn = rows.filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(17)), F.lit(scale)) < bound[F.col("lang")])
-    got = drawn.select("lang", "text").mapInArrow(by_slices(_feature_rows), "lang string, x binary").toArrow()
+    got = drawn.select("lang", "text").mapInArrow(by_slices(_feature_rows, SLICE_BYTES), "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, BUCKETS)
     langs = np.array(got["lang"].to_pylist(), object)
     order = np.lexsort((x @ np.linspace(0, 1, BUCKETS, dtype=np.float32), langs.astype(str)))  # whatever order tasks end in
@@ -202,30 +202,32 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
 
     rows = keyed_text(docs, key, text)
     kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(by_slices(work), f"key {kind}, lang_pred string, score double")
+    out = rows.mapInArrow(by_slices(work, SLICE_BYTES), f"key {kind}, lang_pred string, score double")
     return out.withColumnRenamed("key", key)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added, row by row: no join and no shuffle."""
-    ship_package(docs.sparkSession)
+    """``docs`` with ``lang_pred`` and ``score`` added, row by row: no join and no shuffle.
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = [], []
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        for part in slices(pa.RecordBatch.from_arrays([column], ["text"])):
-            own, sure = model.predict(features(*text_bytes(part.column(0))))
-            none = ~has_letter(part.column(0))
-            own[none], sure[none] = UNKNOWN, 0.0
-            langs += list(own)
-            scores += list(sure)
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
-
-    name = free_name(docs.columns, "judged")
-    out = docs.withColumn(name, judge(F.col(f"`{text}`").cast("string")))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return out.select(*kept, F.col(f"{name}.lang_pred"), F.col(f"{name}.score"))
+    Columns of those names are replaced.
+    """
+    ship_package(docs.sparkSession)
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    name = free_name(kept, "judged")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, name, SLICE_BYTES):
+                column = part.column(part.num_columns - 1)
+                langs, scores = model.predict(features(*text_bytes(column)))
+                none = ~has_letter(column)
+                langs[none], scores[none] = UNKNOWN, 0.0
+                columns = [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores.astype(float))]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
+
+    schema = rows.drop(name).schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -116,7 +116,7 @@ class Tokenizer:
     text with other white space beside a space goes through the library whole.
     """
 
-    CACHE = 120_000
+    CACHE = 80_000
     SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
     PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
