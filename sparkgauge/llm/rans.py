@@ -238,6 +238,8 @@ def _tokenise(path: str, end_id: int):
             seq += n
 
         yield from by_slices(work, SLICE_BYTES)(batches)  # a piece of a text takes ten times its length
+        t.pieces.clear()  # an idle worker keeps no words
+        t.atoms.clear()
 
     return run
 
