@@ -3,13 +3,16 @@
 A line is the set of its words. Words are ordered by rarity (from a fixed number
 of bucket counts over all lines, then by hash); two sets with a Jaccard index of
 ``percent`` or more share a word among the first ``n - ceil(percent * n) + 1`` of
-both. Prefix words meet in an equi-join with length and positional filters, pairs
-are made distinct, and the sets of the pairs are fetched and compared. A line goes
-if a similar line stands earlier, by key and line number; lines are judged on the
-input.
-
-Equal sets are one row before the join, so a line in a third of all documents costs
-one row a task. Words are compared as 59-bit hashes, sets are named by 64-bit ones.
+both. Prefix words meet in an equi-join on the word and a band of lengths, with
+length and positional filters and a bound on the words in which two sets differ,
+read off 128-bit signatures. The words of the sets that still pair up are fetched and
+compared. A line goes if a similar line stands earlier, by key and line number; lines
+are judged on the input.
+
+Texts are split once; the hashed words are written to the shared folder and all later
+steps read them there. Equal sets are one row before the join, so a line in a third of
+all documents costs one row a task. Words are compared as 59-bit hashes, sets are named
+by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -21,47 +24,80 @@ from sparkgauge.llm.common import stored
 from sparkgauge.session import configure
 
 BUCKETS = 1 << 16
+WANTED_BITS = 1 << 23  # of the map that says which sets' words are fetched: 1 MB
+# words repeat within a task: a dictionary of up to 16 MB halves the files
+COMPACT = {"compression": "zstd", "parquet.dictionary.page.size": str(1 << 24)}
 
 
 def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, words): lines between line feeds and their words; null is one empty line."""
+    """(key, line_no, sid, words): lines between line feeds with their distinct words in hash order and the name of
+    that set; null is one empty line."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
-    return rows.select("key", "line_no", hashed("line").alias("words"))
-
-
-def hashed(line: str) -> Column:
-    """Hashes of the distinct words of a line."""
-    words = F.split(F.col(line), r"[\x20\x09-\x0D]+")
-    return F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)))
+    flat = F.when(body.rlike(r"[\t\x0B-\x0D]"), F.translate(body, "\t\x0b\x0c\r", "    ")).otherwise(body)
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.posexplode(F.split(flat, "\n")).alias("line_no", "line"))
+    words = F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))
+    rows = rows.select("key", "line_no", F.sort_array(F.array_distinct(words)).alias("words"))
+    return rows.select("key", "line_no", F.xxhash64("words").alias("sid"), "words")
 
 
 def bucket(word: Column) -> Column:
-    return F.shiftright(word, 8).bitwiseAND(BUCKETS - 1).cast("int")
+    return word.bitwiseAND(BUCKETS - 1)
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """Sixteen steps of commonness for each of ``BUCKETS`` buckets, counted over all lines: 64 KB whatever the input."""
+def rarity(lines: DataFrame) -> list[int]:
+    """Sixteen steps of commonness for each of ``BUCKETS`` buckets, counted over all lines."""
     counts = lines.select(F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("b")).count().collect()
     by = {r[0]: r[1] for r in counts}
     usual = sorted(by.values())[len(by) // 2] if by else 1
-    return bytes(min(15, max(0, (2 * by.get(b, 0) // usual).bit_length() - 1)) for b in range(BUCKETS))
+    return [min(15, max(0, (2 * by.get(b, 0) // usual).bit_length() - 1)) for b in range(BUCKETS)]
 
 
-def in_order(words: Column, steps: bytes) -> Column:
+def in_order(words: Column, steps: list[int]) -> Column:
     """Words, rare ones first; the step is in the top bits."""
-    step = lambda w: F.ascii(F.substring(F.lit(steps), bucket(w) + 1, 1).cast("string")).cast("long")
-    return F.array_sort(F.transform(words, lambda w: F.shiftleft(step(w), 59).bitwiseXOR(w.bitwiseAND((1 << 59) - 1))))
+    table = F.split(F.lit(",".join(map(str, steps))), ",").cast("array<long>")  # one literal in the plan
+    return F.sort_array(F.transform(words, lambda w: F.shiftleft(F.get(table, bucket(w)), 59).bitwiseXOR(w.bitwiseAND((1 << 59) - 1))))
+
+
+def signature(words: Column, part: int) -> Column:
+    """A bit for each word, in one of two 64-bit halves."""
+    def add(bits: Column, w: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))
+        return bits.bitwiseOR(F.when(w.bitwiseAND(64) == 64 * part, bit).otherwise(F.lit(0).cast("long")))
+
+    return F.aggregate(words, F.lit(0).cast("long"), add)
 
 
 def similar_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b, n_a, n_b): candidate pairs of (sid, n, prefix) rows after prefix, length and positional filters."""
-    words = sets.select("sid", "n", F.posexplode("prefix").alias("at", "word")).groupBy("word", "sid").agg(F.min("n").alias("n"), F.min("at").alias("at"))
-    other = words.select("word", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    pairs = words.join(other, "word").filter(F.col("sid") < F.col("b"))
-    need = F.ceil(percent * (F.col("n") + F.col("n_b")) / (100 + percent))
-    pairs = pairs.filter((100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (F.least("at", "at_b") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= need))
-    return pairs.select(F.col("sid").alias("a"), "b").distinct()
+    """(a, b): candidate pairs of distinct (sid, n, prefix, low, high) rows after all filters.
+
+    Linked sets have lengths in one band or in neighbouring ones: the longer set stands in
+    its own band and in the one below. Rows move once, by word.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    words = sets.select("sid", "n", "low", "high", F.posexplode("prefix").alias("at", "long_word"))
+    words = words.select(F.hash("long_word").alias("word"), "sid", "n", "at", "low", "high").repartition("word")
+    short = words.select("word", band.alias("band"), F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
+    long = words.select("word", F.explode(F.array(band, band - 1)).alias("band"), "sid", "n", "at", "low", "high")
+    need = F.ceil(percent * (F.col("n_a") + F.col("n")) / (100 + percent))
+    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("low_a"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_a")))
+    order = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("a") < F.col("sid")))
+    keep = order & (100 * F.col("n_a") >= percent * F.col("n"))
+    keep &= F.least("at_a", "at") + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= need
+    keep &= differ <= F.col("n_a") + F.col("n") - 2 * need
+    on = (short["word"] == long["word"]) & (short["band"] == long["band"]) & keep
+    return short.join(long, on).select("a", F.col("sid").alias("b")).distinct()
+
+
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose sid may be among ``ids``: all that are, and few others. The map that says so has a fixed size."""
+    at = lambda c: F.pmod(F.col(c), F.lit(WANTED_BITS))
+    bits = ids.select(at("_id").alias("_at")).groupBy(F.call_function("bitmap_bucket_number", "_at").alias("_part"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    place = F.bitmap_bit_position(at("sid"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
+    # WANTED_BITS / 8 bytes at most
+    return rows.join(F.broadcast(bits), F.call_function("bitmap_bucket_number", at("sid")) == F.col("_part")).filter(hit).select(*rows.columns)
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -72,25 +108,27 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     places one line counts as earlier than none. An empty table gives an empty result.
     """
     configure(docs.sparkSession)
-    lines = line_rows(docs, key, text)
-    steps = rarity(lines)
-    named = lines.select("key", "line_no", in_order(F.col("words"), steps).alias("words"))
-    named = named.select("key", "line_no", F.size("words").alias("n"), F.xxhash64("words").alias("sid"),
-                         F.slice("words", 1, F.size("words") - F.ceil(percent * F.size("words") / 100).cast("int") + 1).alias("prefix"))
-    # a set of fewer words than that is similar to nothing but itself
-    least = next(n for n in range(1, 101) if 100 * n >= percent * (n + 1))
-    places = stored(named.select("key", "line_no", "n", "sid"), "lines")
+    lines = stored(line_rows(docs, key, text), "line-words", **COMPACT)
+    n = F.size("words")
+    places = lines.select("key", "line_no", n.alias("n"), "sid")
     first = F.min(F.struct("key", "line_no")).alias("first")
     sets = stored(places.filter("n > 0").groupBy("sid").agg(first), "line-sets")
-    pairs = stored(similar_sets(named.filter(F.col("n") >= least).select("sid", "n", "prefix"), percent), "line-pairs")
-    # fetch the words of the sets in pairs from the place where each stands first
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    wanted = sets.join(ids, F.col("sid") == F.col("_id")).select("sid", F.col("first.key").alias("_k"), F.col("first.line_no").alias("_l"))
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    source = docs.select(F.col(f"`{key}`").alias("key"), body.alias("body"))
-    found = source.join(wanted, F.col("key").eqNullSafe(F.col("_k"))).select("sid", F.try_element_at(F.split("body", "\n"), F.col("_l") + 1).alias("line"))
-    found = found.select("sid", in_order(hashed("line"), steps).alias("words")).filter(F.xxhash64("words") == F.col("sid"))
-    found = stored(found.dropDuplicates(["sid"]), "line-words")
+    place = [F.col("first.key").alias("_k"), F.col("first.line_no").alias("_l")]
+    at_first = (F.col("sid") == F.col("_sid")) & F.col("key").eqNullSafe(F.col("_k")) & (F.col("line_no") == F.col("_l"))
+    # a set of fewer words than that is similar to nothing but itself
+    least = next(n for n in range(1, 101) if 100 * n >= percent * (n + 1))
+    ordered = lines.filter(n >= least).select("key", "line_no", "sid", n.alias("n"), in_order(F.col("words"), rarity(lines)).alias("ordered"),
+                                              signature(F.col("words"), 0).alias("low"), signature(F.col("words"), 1).alias("high"))
+    prefix = F.slice("ordered", 1, F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)
+    ordered = ordered.select("key", "line_no", "sid", "n", prefix.alias("prefix"), "low", "high")
+    # of equal sets the one that stands first
+    once = ordered.join(sets.select(F.col("sid").alias("_sid"), *place), at_first).select("sid", "n", "prefix", "low", "high")
+    pairs = stored(similar_sets(once, percent), "line-pairs")
+    # fetch the words of the sets in pairs from there
+    ids = stored(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "line-ids")
+    wanted = sets.join(ids, F.col("sid") == F.col("_id")).select(F.col("sid").alias("_sid"), *place)
+    found = marked(lines, ids).join(wanted, at_first).select("sid", "words").dropDuplicates(["sid"])
+    found = stored(found, "line-found", **COMPACT)
     both = pairs.join(found.select(F.col("sid").alias("a"), F.col("words").alias("w_a")), "a")
     both = both.join(found.select(F.col("sid").alias("b"), F.col("words").alias("w_b")), "b")
     shared = F.size(F.array_intersect("w_a", "w_b"))
