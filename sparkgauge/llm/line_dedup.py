@@ -74,6 +74,7 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
     its own band and in the one below. Rows move once, by word.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    band = F.coalesce(band, F.lit(0))  # never null, so no filter is pushed into one side only and both read one exchange
     words = sets.select("sid", "n", "low", "high", F.posexplode("prefix").alias("at", "long_word"))
     words = words.select(F.hash("long_word").alias("word"), "sid", "n", "at", "low", "high").repartition("word")
     short = words.select("word", band.alias("band"), F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
@@ -123,7 +124,13 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     ordered = ordered.select("key", "line_no", "sid", "n", prefix.alias("prefix"), "low", "high")
     # of equal sets the one that stands first
     once = ordered.join(sets.select(F.col("sid").alias("_sid"), *place), at_first).select("sid", "n", "prefix", "low", "high")
-    pairs = stored(similar_sets(once, percent), "line-pairs")
+    conf, option = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(option)
+    conf.set(option, "false")  # rows dealt by word serve the join on word and band
+    try:
+        pairs = stored(similar_sets(once, percent), "line-pairs")
+    finally:
+        conf.set(option, before)
     # fetch the words of the sets in pairs from there
     ids = stored(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "line-ids")
     wanted = sets.join(ids, F.col("sid") == F.col("_id")).select(F.col("sid").alias("_sid"), *place)
