@@ -75,8 +75,7 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     band = F.coalesce(band, F.lit(0))  # never null, so no filter is pushed into one side only and both read one exchange
-    words = sets.select("sid", "n", "low", "high", F.posexplode("prefix").alias("at", "long_word"))
-    words = words.select(F.hash("long_word").alias("word"), "sid", "n", "at", "low", "high").repartition("word")
+    words = sets.select("sid", "n", "low", "high", F.posexplode("prefix").alias("at", "word")).repartition("word")
     short = words.select("word", band.alias("band"), F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
     long = words.select("word", F.explode(F.array(band, band - 1)).alias("band"), "sid", "n", "at", "low", "high")
     need = F.ceil(percent * (F.col("n_a") + F.col("n")) / (100 + percent))
@@ -121,9 +120,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     ordered = lines.filter(n >= least).select("key", "line_no", "sid", n.alias("n"), in_order(F.col("words"), rarity(lines)).alias("ordered"),
                                               signature(F.col("words"), 0).alias("low"), signature(F.col("words"), 1).alias("high"))
     prefix = F.slice("ordered", 1, F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)
+    prefix = F.transform(prefix, lambda w: F.hash(w))  # 32 bits find candidates; whole words are compared later
     ordered = ordered.select("key", "line_no", "sid", "n", prefix.alias("prefix"), "low", "high")
     # of equal sets the one that stands first
     once = ordered.join(sets.select(F.col("sid").alias("_sid"), *place), at_first).select("sid", "n", "prefix", "low", "high")
+    once = stored(once, "line-prefixes")  # both sides of the join read it
     conf, option = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
     before = conf.get(option)
     conf.set(option, "false")  # rows dealt by word serve the join on word and band
