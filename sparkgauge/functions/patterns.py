@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=4096)
 def is_valid_regex(pattern: str) -> bool:
-    """Checked once, where the plan is built."""
+    """Checked once, where the plan is built, by the engine that will run it: a one-row query over no table."""
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkSession.active().sql("SELECT rlike('', :pattern)", {"pattern": pattern}).collect()
+    except PySparkException:
         return False
     return True
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.timefns import round2
-from sparkgauge.operators.positions import newest_per_key, with_position
+from sparkgauge.operators.positions import newest_per_key
 
 RESERVED_TAGS = ["name", "url", "hasScreenshot", "hasDOM", "hasConsole"]  # fixed value
-TRIM_ROWS = 100_000  # newest rows one task may hold per category
+NO_MINUTE = -(1 << 62)  # minute of rows without a time
 REFS = ["dom_ref", "screenshot_ref", "console_ref", "network_ref"]
 
 
@@ -213,22 +213,28 @@ def retention_cleanup(
 ) -> DataFrame:
     """Rows to delete: per category those older than the cut, sparing the newest ``keep_last``.
 
-    Only the ``keep_last``-th row of each category is looked up (each partition trims to
-    that many rows before the shuffle); the rest is a comparison with that row. When a
-    category has fewer rows than that, all are spared; the reference deletes them.
+    Counts per category and minute find the minute that holds the ``keep_last``-th row;
+    older minutes go whole and only the rows of that minute are ranked. A null category
+    is a category, a null time is older than any. When a category has fewer rows than
+    ``keep_last``, all are spared; the reference deletes them.
     """
     chosen = refs.filter(F.col("category").isin(list(categories))) if categories else refs
     if older_than_ms is not None:
         chosen = chosen.filter(F.col("ts_ms") < older_than_ms)
     if not keep_last:
         return chosen
-    newest_first = [F.col("ts_ms").desc(), F.col("id").desc()]
-    if keep_last > TRIM_ROWS:  # too many to trim in one task per category
-        placed = with_position(chosen, ["category"], newest_first)
-        return placed.filter(F.col("position") >= keep_last).select(*chosen.columns)
-    spared = newest_per_key(chosen, ["category"], newest_first, keep_last)
-    edge = spared.groupBy("category").agg(F.min(F.struct("ts_ms", "id")).alias("_edge"))
-    return chosen.join(edge, "category").filter(F.struct("ts_ms", "id") < F.col("_edge")).drop("_edge")
+    columns = chosen.columns
+    timed = chosen.withColumn("_minute", F.coalesce(F.floor(F.col("ts_ms") / 60_000), F.lit(NO_MINUTE)))
+    counts = timed.groupBy(F.col("category").alias("_category"), F.col("_minute").alias("_edge")).agg(F.count("*").alias("_n"))
+    newer = Window.partitionBy("_category").orderBy(F.col("_edge").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    edges = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    edges = edges.filter((F.col("_newer") < keep_last) & (F.col("_newer") + F.col("_n") >= keep_last)).drop("_n")
+    placed = timed.join(edges, F.col("category").eqNullSafe(F.col("_category")))
+    older = placed.filter(F.col("_minute") < F.col("_edge"))
+    newest_first = Window.partitionBy("category").orderBy(F.col("ts_ms").desc(), F.col("id").desc())
+    ranked = placed.filter(F.col("_minute") == F.col("_edge")).withColumn("_rank", F.row_number().over(newest_first))
+    ranked = ranked.filter(F.col("_newer") + F.col("_rank") > keep_last)
+    return older.select(*columns).unionByName(ranked.select(*columns))
 
 
 def retention_stats(deleted: DataFrame) -> DataFrame:

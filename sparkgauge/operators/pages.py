@@ -314,15 +314,32 @@ def _check(i: int, rule: dict) -> Column:
 # ---- links and text
 
 
+def _without_dots(url: Column) -> Column:
+    """``/./`` goes, ``/../`` takes the segment before along; the origin stays."""
+    head = F.regexp_extract(url, r"^([a-zA-Z][\w+.-]*:(?://[^/?#]*)?)", 1)
+    rest = F.substr(url, F.length(head) + 1)
+    path = F.regexp_extract(rest, r"^[^?#]*", 0)
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        shorter = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == ".", done).when(part == "..", shorter).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, none, step)
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(head, F.lit("/"), F.array_join(folder, "/"), F.substr(rest, F.length(path) + 1))
+
+
 def resolve_url(href: Column, base: Column) -> Column:
-    """Absolute form of a link on a page; dot segments are left as they are."""
+    """Absolute form of a link on a page, with ``.`` and ``..`` segments resolved."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*:)", 1)
     plain = F.regexp_replace(base, r"[?#].*$", "")
     folder = F.when(F.length(plain) == F.length(origin), F.concat(origin, F.lit("/"))).otherwise(
         F.regexp_replace(plain, r"[^/]*$", "")
     )
-    return (
+    whole = (
         F.when(href.rlike(r"^[a-zA-Z][\w+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
         .when(href.startswith("/"), F.concat(origin, href))
@@ -331,6 +348,7 @@ def resolve_url(href: Column, base: Column) -> Column:
         .when(href == "", F.regexp_replace(base, "#.*$", ""))
         .otherwise(F.concat(folder, href))
     )
+    return F.when(whole.rlike(r"^[^?#]*/\.\.?([/?#]|$)"), _without_dots(whole)).otherwise(whole)
 
 
 def _urls(pages: DataFrame, nodes: DataFrame, tag: str, attribute: str) -> DataFrame:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from sparkgauge.session import checkpointed
 
 
-BROADCAST_RUNS = 200_000  # offset rows (partitions + keys) that may be broadcast
-
-
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add ``position`` (from 0) and ``total`` per key, with no task owning a whole key.
 
@@ -40,9 +37,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
         F.sum("_n").over(per_key).alias("total"),
     )
-    if runs.count() <= BROADCAST_RUNS:
-        runs = F.broadcast(runs)
-    on = F.col("_part") == F.col("_run_part")
+    on =F.col("_part") == F.col("_run_part")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return rows.join(runs, on).select(

@@ -332,12 +332,12 @@ def fuzzy_ratio(target: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([_best_ratio(a, b) if a is not None and b is not None else None for a, b in zip(target, text)], dtype="float64")
 
 
-def check_contains(response: Column, target: Column, strict: bool = False) -> Column:
-    """Confidence of containment, any case: 1 if contained, else the fuzzy ratio.
+def check_contains(response: Column, target: Column, strict: bool = False, case_sensitive: bool = False) -> Column:
+    """Confidence of containment, in any case unless ``case_sensitive``: 1 if contained, else the fuzzy ratio.
 
     Only misses reach Python; hits are passed as null.
     """
-    text, word = F.lower(response), F.lower(target)
+    text, word = (response, target) if case_sensitive else (F.lower(response), F.lower(target))
     hit = F.contains(text, word)
     if strict:
         return F.when(hit, 1.0).otherwise(0.0)
@@ -368,9 +368,21 @@ def _check_of(kind: str):
     return lambda target: F.struct(F.lit(kind).alias("kind"), target.alias("target"))
 
 
-def response_checks(paired: DataFrame) -> DataFrame:
+def check_not_contains(response: Column, target: Column, case_sensitive: bool = False) -> Column:
+    """Whether the response is free of the target."""
+    return ~F.contains(response, target) if case_sensitive else ~F.contains(F.lower(response), F.lower(target))
+
+
+def check_not_command(response: Column, command: Column) -> Column:
+    """Whether the response does not mention the command at all."""
+    return check_command(response, command) == 0
+
+
+def response_checks(paired: DataFrame, case_sensitive: bool = False, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """One row per result and expectation with found, passed and confidence; a result that
-    expects nothing keeps one row without a check."""
+    expects nothing keeps one row without a check. Failed runs (a null ``success`` is a
+    failed one) and unknown scenarios are not checked."""
+    checked = F.col("success") & F.col("rule_id").isNotNull()
     wanted = F.concat(
         *[
             F.transform(
@@ -380,17 +392,17 @@ def response_checks(paired: DataFrame) -> DataFrame:
             for k in CHECK_KINDS
         ]
     )
-    rows = paired.select("result_id", "scenario_id", "rule_id", "success", "response", F.explode_outer(wanted).alias("c"))
+    wanted = F.explode_outer(F.when(checked, wanted)).alias("c")
+    rows = paired.select("result_id", "scenario_id", "rule_id", "success", "response", wanted)
     kind, target = F.col("c.kind"), F.col("c.target")
     text = F.col("response")
-    contain = check_contains(F.when(kind == "should_contain", text), F.when(kind == "should_contain", target))
+    contain = check_contains(F.when(kind == "should_contain", text), F.when(kind == "should_contain", target), case_sensitive=case_sensitive)
     command = check_command(text, target)
-    held = F.contains(F.lower(text), F.lower(target))
     passed = (
-        F.when(kind == "should_contain", contain >= MIN_CONFIDENCE)
-        .when(kind == "should_not_contain", ~held)
+        F.when(kind == "should_contain", contain >= min_confidence)
+        .when(kind == "should_not_contain", check_not_contains(text, target, case_sensitive))
         .when(kind == "should_execute", command > 0)
-        .when(kind == "should_not_execute", command == 0)
+        .when(kind == "should_not_execute", check_not_command(text, target))
     )
     sure = F.when(kind == "should_contain", contain).when(kind == "should_execute", command)
     return rows.select(
@@ -415,8 +427,9 @@ def result_checks(checks: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(real, F.col("confidence"))), F.lit(1.0)).alias("confidence"),
     )
     known = F.col("rule_id").isNotNull()
-    reason = F.when(~known, "Scenario not found").when(~F.col("success"), "Test execution failed")
-    passed = known & F.col("success") & (F.col("checks_passed") == F.col("total"))
+    ran = F.coalesce("success", F.lit(False))
+    reason = F.when(~known, "Scenario not found").when(~ran, "Test execution failed")  # fixed values
+    passed = known & ran & (F.col("checks_passed") == F.col("total"))
     return folded.select(
         "result_id",
         "scenario_id",

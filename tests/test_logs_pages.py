@@ -139,3 +139,25 @@ def test_user_check(spark):
     assert [r["passed"] for r in a.custom_validation(refs, F.col("size") > 1, "big").orderBy("id").collect()] == [True, False]
     by_frame = a.custom_validation(refs, lambda df: df.select("id", F.lit(True).alias("passed")), "mine")
     assert by_frame.filter("passed and name = 'mine'").count() == 2
+
+
+def test_resolve_url_removes_dot_segments(spark):
+    from sparkgauge.operators.pages import resolve_url
+
+    base = "https://a.org/x/y/z?q=1"
+    want = {
+        "../a/b": "https://a.org/x/a/b", "./c": "https://a.org/x/y/c", "../../../d": "https://a.org/d", "..": "https://a.org/x/",
+        "e/./f/../g?x=../h#..": "https://a.org/x/y/e/g?x=../h#..", "/k/../l": "https://a.org/l", "m..n/o": "https://a.org/x/y/m..n/o",
+        "p?u=/../v": "https://a.org/x/y/p?u=/../v", "mailto:x": "mailto:x",
+    }
+    links = spark.createDataFrame([(h, base) for h in want], "h string, b string")
+    assert {r[0]: r[1] for r in links.select("h", resolve_url(F.col("h"), F.col("b"))).collect()} == want
+
+
+def test_regex_validity_is_the_engines(spark):
+    from sparkgauge.functions.patterns import is_valid_regex, matches
+
+    assert is_valid_regex(r"\p{L}+") and not is_valid_regex("(?P<n>a)") and not is_valid_regex("(")
+    texts = spark.createDataFrame([("\u00e9t\u00e9",), ("12",), ("x(?P<n>a)",)], "t string")
+    assert [r[0] for r in texts.filter(matches(F.col("t"), r"^\p{L}+$", "regex")).collect()] == ["\u00e9t\u00e9"]
+    assert [r[0] for r in texts.filter(matches(F.col("t"), "(?P<n>a)", "regex")).collect()] == ["x(?P<n>a)"]

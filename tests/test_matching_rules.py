@@ -190,12 +190,19 @@ def test_response_checks(spark):
             ("f", "s3", True, "x"),
             ("g", "s3", False, "x"),
             ("h", "zz", True, "x"),
+            ("i", "s2", False, "nothing"),
+            ("j", "s1", None, "Use `npm test` now"),
+            ("k", "s1", True, "Use NPM TEST now"),
         ],
         "result_id string, scenario_id string, success boolean, response string",
     )
     out = r.result_checks(r.response_checks(r.result_scenarios(results, scenarios)))
     got = {x["result_id"]: x for x in out.collect()}
-    assert {k: v["passed"] for k, v in got.items()} == {"a": True, "b": True, "c": False, "d": True, "e": False, "f": True, "g": False, "h": False}
+    assert {k: v["passed"] for k, v in got.items()} == {"a": True, "b": True, "c": False, "d": True, "e": False, "f": True, "g": False, "h": False, "i": False, "j": False, "k": True}
+    assert [got[k]["total"] for k in "ij"] == [0, 0] and got["j"]["reason"] == "Test execution failed"
+    strict = r.response_checks(r.result_scenarios(results, scenarios), case_sensitive=True, min_confidence=0.99)
+    strict = {x["result_id"]: x["passed"] for x in r.result_checks(strict).collect()}
+    assert strict["a"] and strict["b"] and not strict["k"]
     assert got["a"]["confidence"] == 1.0 and got["b"]["confidence"] == pytest.approx(0.95)
     assert (got["f"]["total"], got["f"]["confidence"]) == (0, 1.0)
     assert got["g"]["reason"] == "Test execution failed" and got["h"]["reason"] == "Scenario not found"

@@ -8,15 +8,23 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkgauge.operators import artifacts, positions, similarity
+from sparkgauge.operators import artifacts, similarity
 from sparkgauge.operators.intervals import exists_within
 from sparkgauge.operators.joins import left_join_hot_right
 from sparkgauge.operators.positions import newest_per_key, with_position
 
 
-@pytest.mark.parametrize("broadcast_runs", [0, 200_000])
-def test_positions_with_a_hot_key(spark, monkeypatch, broadcast_runs):
-    monkeypatch.setattr(positions, "BROADCAST_RUNS", broadcast_runs)
+@pytest.fixture(params=["-1", "10m"])
+def threshold(spark, request):
+    """Sort-merge joins only, or broadcasts of small sides as well."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_positions_with_a_hot_key(spark, threshold):
     key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 97 == 0, None).otherwise((F.col("id") % 50).cast("string"))
     df = spark.range(20_000, numPartitions=7).select(key.alias("k"), (F.col("id") * 7919 % 20_011).alias("v"))
     got = with_position(df, ["k"], [F.col("v")])
@@ -86,7 +94,7 @@ def test_ties_go_to_the_first_and_nan_never_wins(spark, rows):
     assert abs(pairs[(1, 6)] - 0.5) < 1e-12 and np.isnan(pairs[(1, 5)])
 
 
-def test_retention_spares_the_newest(spark, rows, monkeypatch):
+def test_retention_spares_the_newest(spark, rows):
     refs = spark.createDataFrame(
         [(i, c, i * 10, 100 + i) for c, ids in (("dom", range(6)), ("console", range(10, 12))) for i in ids],
         "id long, category string, ts_ms long, size long",
@@ -95,8 +103,19 @@ def test_retention_spares_the_newest(spark, rows, monkeypatch):
     assert rows(gone, "id") == [(0,), (1,), (2,), (3,)]
     assert rows(artifacts.retention_stats(gone)) == [("dom", 4, 406)]
     assert artifacts.retention_cleanup(refs, older_than_ms=50).count() == 5
-    monkeypatch.setattr(artifacts, "TRIM_ROWS", 1)
-    assert rows(artifacts.retention_cleanup(refs, older_than_ms=1000, keep_last=2), "id") == [(0,), (1,), (2,), (3,)]
+
+
+@pytest.mark.parametrize("keep", [1, 2, 5, 9, 50])
+def test_retention_with_null_categories_and_ties(spark, keep):
+    times = [None, 5, 5, 5, 61_000, 61_000, 61_001, 200_000, 200_000, None]
+    data = [(i, c, times[(i * 7) % 10]) for i, c in enumerate([None, "dom", None, "dom", "dom"] * 6)]
+    refs = spark.createDataFrame(data, "id long, category string, ts_ms long")
+    gone = {r["id"] for r in artifacts.retention_cleanup(refs, keep_last=keep).collect()}
+    want = set()
+    for c in (None, "dom"):
+        own = sorted((r for r in data if r[1] == c), key=lambda r: (-1 if r[2] is None else r[2], r[0]), reverse=True)
+        want |= {r[0] for r in own[keep:]}
+    assert gone == want
 
 
 def test_left_join_with_a_hot_right_key(spark, rows):
