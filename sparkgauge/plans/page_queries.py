@@ -310,7 +310,7 @@ def _(t):
 
 @query("check_not_contains", f"WITH {LINES} SELECT doc_id, rule_id, NOT contains(low, 'make build') AS passed FROM ru")
 def _(t):
-    return rules(t).select("doc_id", "rule_id", (~F.contains(F.lower("description"), F.lit("make build"))).alias("passed"))
+    return rules(t).select("doc_id", "rule_id", r.check_not_contains(F.col("description"), F.lit("make build")).alias("passed"))
 
 
 @query("check_contains")
