@@ -13,6 +13,7 @@ The files: ``<path>/table`` (one row) and ``<path>/blocks``.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -116,7 +117,7 @@ class Tokenizer:
     text with other white space beside a space goes through the library whole.
     """
 
-    CACHE = 80_000
+    CACHE = 120_000  # entries of a generation; there are two
     SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
     PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -133,12 +134,26 @@ class Tokenizer:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.spelling = {b: 256 + k for k, b in enumerate(hidden)}
-        self.pieces: dict[str, bytes] = {}  # by what follows the space
-        self.atoms: dict[str, bytes] = {}  # parts of pieces, as they stand
+        self.forget()
+
+        self.atoms: dict[str, bytes] = {}  # by parts of pieces as they stand; kept from task to task
+        self.old_atoms: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Empty the cache of pieces: ids by what follows the space."""
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _age(self) -> None:
+        """A full cache becomes the old one; what is used again moves back."""
+        if len(self.pieces) > self.CACHE:
+            self.old_pieces, self.pieces = self.pieces, {}
+        if len(self.atoms) > self.CACHE:
+            self.old_atoms, self.atoms = self.atoms, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [array(self.dtype.char, e.ids).tobytes() for e in found]
 
     def plain(self, text: str) -> bool:
         """Every space stands between two characters that are not white space."""
@@ -162,50 +177,66 @@ class Tokenizer:
                 out.append(line)
         return out
 
-    def _learn(self, new: dict[str, str]) -> None:
-        """Ids of new pieces: cache key to text."""
-        atoms = self.atoms
-        if len(atoms) > self.CACHE:
-            atoms.clear()
-        cuts = {key: self.cut(piece) for key, piece in new.items()}
-        unknown = list({a for parts in cuts.values() for a in parts if a not in atoms})
-        model, spelling, dtype = self.library.model, self.spelling, self.dtype
-        words = [a for a in unknown if a.isalpha() or a[1:].isalpha() and a[0] == " "]
-        for a in words:  # one pre-token each, so straight to the model
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces, by cache key."""
+        atoms, old, pieces = self.atoms, self.old_atoms, self.pieces
+        model, spelling, code = self.library.model, self.spelling, self.dtype.char
+
+        def word(a: str) -> bytes:  # letters after at most one space are one pre-token, so straight to the model
             spelled = a.replace(" ", "\u0120") if a.isascii() else a.encode().decode("latin-1").translate(spelling)
-            atoms[a] = np.array([x.id for x in model.tokenize(spelled)], dtype).tobytes()
-        unknown = [a for a in unknown if a not in atoms]
-        for a in range(0, len(unknown), 4096):
-            part = unknown[a : a + 4096]
+            return array(code, [x.id for x in model.tokenize(spelled)]).tobytes()
+
+        cuts, unknown = {}, set()
+        for key in new:
+            stem = key.rstrip(self.PUNCTUATION)
+            if not stem.isalpha():
+                cuts[key] = parts = self.cut(key[1:] if key[:1] == " " else " " + key)
+            elif len(stem) == len(key):
+                parts = (" " + key,)
+            else:
+                cuts[key] = parts = (" " + stem, key[len(stem) :])
+            for a in parts:
+                if a in atoms:
+                    continue
+                ids = old.get(a)
+                if ids is None and (a.isalpha() or a[:1] == " " and a[1:].isalpha()):
+                    ids = word(a)
+                if ids is None:
+                    unknown.add(a)
+                else:
+                    atoms[a] = ids
+            if len(parts) == 1 and parts[0] in atoms:
+                pieces[key] = atoms[parts[0]]
+        unknown = list(unknown)
+        for k in range(0, len(unknown), 4096):
+            part = unknown[k : k + 4096]
             atoms.update(zip(part, self._library(part)))
         for key, parts in cuts.items():
-            self.pieces[key] = b"".join([atoms[a] for a in parts])
+            pieces[key] = b"".join([atoms[a] for a in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._library(texts)
-        if len(self.pieces) > self.CACHE:
-            self.pieces.clear()
-        get = self.pieces.get
-        cuts, found, odd, new = [], [], [], {}
+        self._age()
+        cuts, odd = [], []
         for i, text in enumerate(texts):
             if not text or not self.plain(text):
                 odd.append(i)
                 cuts.append([])
-                found.append([])
                 continue
             cut = text.split(" ")
             cut[0] = " " + cut[0]  # no other piece has a space: the key of a piece at the start
-            ids = list(map(get, cut))
-            if None in ids:
-                for p, x in zip(cut, ids):
-                    if x is None:
-                        new[p] = p[1:] if p[0] == " " else " " + p
             cuts.append(cut)
-            found.append(ids)
+        pieces, old, new = self.pieces, self.old_pieces, []
+        for p in set().union(*cuts).difference(pieces):
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                pieces[p] = ids
         if new:
             self._learn(new)
-        out = [b"".join(map(self.pieces.__getitem__, c) if None in x else x) for c, x in zip(cuts, found)]
+        out = [b"".join(map(pieces.__getitem__, cut)) for cut in cuts]
         for i, ids in zip(odd, self._library([texts[i] for i in odd])):
             out[i] = ids
         return out
@@ -238,8 +269,7 @@ def _tokenise(path: str, end_id: int):
             seq += n
 
         yield from by_slices(work, SLICE_BYTES)(batches)  # a piece of a text takes ten times its length
-        t.pieces.clear()  # an idle worker keeps no words
-        t.atoms.clear()
+        t.forget()  # an idle worker keeps parts only
 
     return run
 
