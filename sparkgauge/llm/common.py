@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkgauge.session import scratch_path, ship_package
 
 BATCH_BYTES = 1 << 22  # text that a task works on at a time
+ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20  # of a batch on its way to Python; the default is ten thousand rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +40,16 @@ def free_name(columns: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def prepare(spark: SparkSession) -> None:
+    """What the Python side of these operators needs of a session: the package, and small batches."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def keyed_text(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """The columns an operator reads, under names of its own, so that other columns cannot clash."""
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     columns = [F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")]
     return df.select(*columns, *[F.col(f"`{c}`").alias(f"in_{c}") for c in more])
 
@@ -77,10 +87,20 @@ def by_slices(work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], limit:
         for batch in batches:
             for part in slices(batch, limit=limit):
                 yield from work(part)
+        release_memory()
 
     return run
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     h = h ^ (h >> np.uint64(30))

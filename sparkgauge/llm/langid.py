@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import by_slices, free_name, keyed_text, slices, text_bytes
-from sparkgauge.session import ship_package
+from sparkgauge.llm.common import by_slices, free_name, keyed_text, prepare, release_memory, slices, text_bytes
 
 UNKNOWN = "und"
 BUCKETS = 1 << 12
-SLICE_BYTES = 1 << 20  # of text; features take 16 KB a text
+SLICE_BYTES = 1 << 20  # of text
+JUDGED_ROWS = 256  # features take 16 KB a text
 
 # ISO 639-1 codes by family. A code that is not here is a family of its own.
 FAMILIES = {
@@ -186,6 +186,18 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit(x[order], langs[order])
 
 
+def judge(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of texts, some rows at a time: short ones have far more features than bytes."""
+    found = []
+    for at in range(0, len(texts), JUDGED_ROWS):
+        part = texts.slice(at, JUDGED_ROWS)
+        langs, scores = model.predict(features(*text_bytes(part)))
+        none = ~has_letter(part)
+        langs[none], scores[none] = UNKNOWN, 0.0
+        found.append((langs, scores))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
 def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for each row; ``und`` with score 0 if the text is null or has no letter.
 
@@ -193,9 +205,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
     """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        langs, scores = model.predict(features(*text_bytes(batch.column(1))))
-        none = ~has_letter(batch.column(1))
-        langs[none], scores[none] = UNKNOWN, 0.0
+        langs, scores = judge(model, batch.column(1))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(langs, pa.string()), pa.array(scores.astype(float))], ["key", "lang_pred", "score"]
         )
@@ -211,7 +221,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
 
     Columns of those names are replaced.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     name = free_name(kept, "judged")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(name))
@@ -220,11 +230,10 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
         for batch in batches:
             for part in slices(batch, name, SLICE_BYTES):
                 column = part.column(part.num_columns - 1)
-                langs, scores = model.predict(features(*text_bytes(column)))
-                none = ~has_letter(column)
-                langs[none], scores[none] = UNKNOWN, 0.0
+                langs, scores = judge(model, column)
                 columns = [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores.astype(float))]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
+        release_memory()
 
     schema = rows.drop(name).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)

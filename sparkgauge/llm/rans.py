@@ -117,7 +117,7 @@ class Tokenizer:
     text with other white space beside a space goes through the library whole.
     """
 
-    CACHE = 120_000  # entries of a generation; there are two
+    CACHE = 60_000  # entries of a generation; there are two
     SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
     PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
