@@ -402,7 +402,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose component has a smaller key.
 
     A keyless row stays: it is linked with nothing.
