@@ -49,12 +49,14 @@ BAD_TOKENS = frozenset(
 CLOSES = {  # an open element that a start tag ends
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
+HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())  # what leaves a head open
 SCOPES = frozenset("html body article aside div footer form header main nav section table td th ul ol dl li blockquote".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_VALUE_END = re.compile(r"=\s*[^\s\"'>]*/\Z")  # a last slash that belongs to a value without quotes
 
 
 class Node:
@@ -83,7 +85,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes (the root is 0) and runs of text in page order, each with its node.
 
     Comments, declarations and the content of elements that show no text are left
-    out; end tags that open nothing are ignored, missing ones are implied.
+    out; end tags that open nothing are ignored, missing ones are implied. An open
+    head ends where an element or text begins that cannot stand in it.
     """
     nodes = [Node("html", -1, 0, frozenset(), False)]
     runs: list[tuple[int, str]] = []
@@ -99,6 +102,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             pieces.clear()
 
     def say(text: str) -> None:
+        if stack[-1][0] == "head" and _SPACE.sub("", text):
+            close(len(stack) - 1)
         if silent or not text:
             return
         node = nodes[stack[-1][1]]
@@ -132,6 +137,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if stack[i][0] in SCOPES and tag not in SCOPES:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in HEAD:
+            close(len(stack) - 1)
+        if tag == "head" and stack[-1][0] != "html":
+            continue
+        if tag in ("svg", "math") and m[3].endswith("/") and not _VALUE_END.search(m[3]):
+            nodes[stack[-1][1]].inline += 1
+            continue
         if tag in ("br", "hr"):
             say(" ")
         if tag in VOID:

@@ -122,6 +122,17 @@ def test_main_text_parts():
     assert keep.tolist() == [True, True, False, False, True]  # nothing is kept below a dropped node
 
 
+def test_main_text_without_head_end_and_with_closed_icons():
+    said = lambda page: [t for _, t in html_text.parse(page)[1]]
+    assert said("<!DOCTYPE html><html><head><title>t</title><meta charset=x><body><p>one<p>two") == ["one", "two"]
+    assert said("<head> <title>t</title>\n<!-- c --><style>p{}</style><p>one</p>two") == ["one", "two"]
+    assert said("<html><head><script>x</script>one<br>two</html>") == ["one two"]
+    assert said("<head><template><p>no</p></template><link href=a></head>\n<body><p>one</p></body>") == ["one"]
+    assert said("<head><title>t</title></head><body><p>one<head>two</p></body>") == ["onetwo"]
+    assert said("<p>one <svg/> two <math class='a'/> three <svg viewBox=\"0 0 1 1\" /> four</p>") == ["one two three four"]
+    assert said("<p>one <svg><path d='M0'/><text>no</text></svg> two <svg width=10/>no</svg> three</p>") == ["one two three"]
+
+
 def test_main_text_of_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html_text.extract(pages, html_text.train(pages)).join(pages.select("page_id", "html"), "page_id").collect():
