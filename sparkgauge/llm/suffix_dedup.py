@@ -214,7 +214,12 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     ones, twos = sorted12[is_one], sorted12[~is_one]
     before = np.searchsorted(s[ones] * wide + ranks[ones + 1], s[zero] * wide + ranks[zero + 1])
     pair = int(s.max()) + 1
-    before = before + np.searchsorted((s[twos] * pair + s[twos + 1]) * wide + ranks[twos + 2], (s[zero] * pair + s[zero + 1]) * wide + ranks[zero + 2])
+    if pair * pair * int(wide) < 2**63:
+        two_keys, zero_keys = ((s[at] * pair + s[at + 1]) * wide + ranks[at + 2] for at in (twos, zero))
+    else:  # the product would wrap: ranks of the triples instead
+        at = np.concatenate([twos, zero])
+        two_keys, zero_keys = np.split(_names(s[at], s[at + 1], ranks[at + 2])[0], [len(twos)])
+    before = before + np.searchsorted(two_keys, zero_keys)
     out = np.empty(n, np.int64)
     place = before + np.arange(len(zero))
     taken = np.zeros(n, bool)

@@ -197,6 +197,14 @@ def test_suffix_order():
         assert suffix_dedup.suffix_order(np.array(x)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+def test_suffix_order_of_large_names():
+    draw = random.Random(4)
+    for _ in range(100):  # names whose pairs times the length pass 2**63
+        names = [draw.randint(1 << 28, 1 << 31) for _ in range(draw.choice([2, 5, 30]))]
+        x = [draw.choice(names) for _ in range(draw.randint(3, 60))]
+        assert suffix_dedup.suffix_order(np.array(x)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+
+
 def test_substrings_against_brute_force(copies):
     texts, docs = copies
     got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect()}
