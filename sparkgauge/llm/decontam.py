@@ -235,28 +235,35 @@ def _search(phrases, counts):
     return run
 
 
-def _blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list]:
-    """The items in blocks of about ``block_words`` words, dealt by a hash of text and id."""
+def _blocks(items: DataFrame, key: str, text: str, block_words: int) -> tuple[int, Iterator[list]]:
+    """How many blocks of about ``block_words`` words the items make, and the blocks, dealt by a hash of text and id."""
     rows = keyed_text(items, key, text).select(F.col("key").cast("string").alias("key"), "text").filter("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // (4 * block_words)))
-    for k in range(n):
+
+    def block(k: int) -> list:
         part = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield [(r[0], r[1]) for r in part.collect()]
+        return [(r[0], r[1]) for r in part.collect()]
+
+    return n, map(block, range(n))
 
 
 def find_phrases(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                  item_text: str = "text", window: int = WINDOW, block_words: int = 2_000_000) -> DataFrame:
     """(key, n_words, hit_from, hit_to, items): maximal runs of hit words and the items that occur.
 
-    One row per document row. A null or empty text has no words; items without words
+    One row per document row, whatever the number of blocks. A null or empty text has no words; items without words
     match nothing; an item without id hits words but is not listed; repeated items
     and repeated documents behave like single ones; an empty table of items hits nothing.
     """
     rows = keyed_text(docs, key, text)
     context = docs.sparkSession.sparkContext
     found = []
-    for block in _blocks(items, item_key, item_text, block_words):
+    n_blocks, blocks = _blocks(items, item_key, item_text, block_words)
+    if n_blocks > 1:  # keys may repeat or be null: every row gets a number of its own, part and row, that the blocks share
+        numbered = F.struct("key", F.monotonically_increasing_id().alias("row"))
+        rows = stored(rows.select(numbered.alias("key"), "text"), "numbered", compression="zstd")
+    for block in blocks:
         phrases = phrases_of(block, window)
         index = build_index(rows, context.broadcast(phrases.vocabulary))
         counts = context.broadcast(term_counts(index, len(phrases.vocabulary)))
@@ -269,8 +276,9 @@ def find_phrases(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     every = found[0]
     for part in found[1:]:
         every = every.union(part)
-    # blocks of items: merge the runs of a document; equal keys have one row here
-    merged = every.groupBy("key").agg(
+    # blocks of items: merge the runs of a document row
+    merged = every.groupBy("key.row").agg(
+        F.first("key.key").alias("key"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to")))).alias("runs"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),

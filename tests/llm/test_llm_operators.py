@@ -172,6 +172,22 @@ def test_decontamination_blocks_agree(spark, copies):
         assert {r["doc_id"]: (r["n_words"], sum(b - a for a, b in zip(r["hit_from"], r["hit_to"])), list(r["items"])) for r in got} == want
 
 
+def test_decontamination_blocks_keep_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d"), (1, "x b c"), (1, "x b c"), (None, "c d"), (None, "q q q q q"), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(k, t) for k, t in enumerate(["a b", "b c", "c d", "q q", "x", "zz zz zz zz zz zz zz zz"])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = [
+        (1, 4, [(0, 4)], ["0", "1", "2"]), (1, 3, [(0, 3)], ["1", "4"]), (1, 3, [(0, 3)], ["1", "4"]),
+        (None, 2, [(0, 2)], ["2"]), (None, 5, [(0, 5)], ["3"]), (None, 0, [], []), (2, 0, [], []),
+    ]
+    for block in (2_000_000, 1):  # one block, and many that are merged
+        got = decontam.find_phrases(docs, table, block_words=block)
+        assert got.columns == ["doc_id", "n_words", "hit_from", "hit_to", "items"] and got.schema["doc_id"].dataType.simpleString() == "bigint"
+        got = [(r["doc_id"], r["n_words"], list(zip(r["hit_from"], r["hit_to"])), list(r["items"])) for r in got.collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_near_terms(spark):
     docs = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x blue"), (3, "blue"), (4, "blue red")], "doc_id long, text string")
     assert sorted({r[0] for r in decontam.find_near(docs, ["Red", "blue"], 3).collect()}) == [1, 4]
