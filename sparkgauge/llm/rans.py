@@ -114,7 +114,8 @@ class Tokenizer:
     the same ids wherever it stands. So texts are cut there, and each distinct piece
     goes through the library once. A new piece is cut further where that is as
     safe: at a single line feed, and between letters and punctuation at the end. A
-    text with other white space beside a space goes through the library whole.
+    text with other white space beside a space goes through the library whole, and so
+    does one that holds the string of an added token, which the library takes as that token.
     """
 
     CACHE = 60_000  # entries of a generation; there are two
@@ -125,7 +126,7 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         pre = self.library.pre_tokenizer
@@ -156,8 +157,8 @@ class Tokenizer:
         return [array(self.dtype.char, e.ids).tobytes() for e in found]
 
     def plain(self, text: str) -> bool:
-        """Every space stands between two characters that are not white space."""
-        if text[:1].isspace() or text[-1:].isspace():
+        """Every space stands between two characters that are not white space, and no added token occurs."""
+        if text[:1].isspace() or text[-1:].isspace() or any(t in text for t in self.added):
             return False
         return not any(c in text and (c + " " in text or " " + c in text) for c in self.SPACES)
 

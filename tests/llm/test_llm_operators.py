@@ -248,6 +248,16 @@ def test_cached_tokens_equal_the_library():
     assert t.encode(texts) == t._library(texts) == t.encode(texts)
 
 
+def test_added_tokens_as_a_plain_library_call():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_file())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "end <|endoftext|", "a b"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    t = rans.Tokenizer(vocabulary_file())
+    assert [np.frombuffer(x, t.dtype).tolist() for x in t.encode(texts)] == want and 50256 in want[0]
+
+
 def test_jaccard_components_against_brute_force(copies):
     texts, docs = copies
     sets = [{tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} for w in (t.split() for t in texts)]
