@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm import decontam, exact_dedup, html_text, langid, line_dedup, mixing, ngram_join, rans, suffix_dedup, warc
+from sparkgauge.llm import (
+    decontam,
+    exact_dedup,
+    fill_middle,
+    html_text,
+    langid,
+    line_dedup,
+    lsh_forest,
+    mixing,
+    ngram_join,
+    rans,
+    suffix_dedup,
+    vector_codes,
+    warc,
+)
 from sparkgauge.llm.common import table
 
 CAPITALS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -229,6 +243,85 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM re
 """
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in the middle, and put together again."""
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(fill_middle.restored("output", "form")).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s
+  FROM documents
+), h AS (
+  SELECT *, CAST('0x' || s[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || s[9:16] AS BIGINT) % (n + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || s[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || s[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), c AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b, substr(t, 1, least(x, y)) AS p,
+    substr(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS m, substr(t, greatest(x, y) + 1) AS z
+  FROM h
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors."""
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_label_error(coded.vectors)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(coded.digest()).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of the codebooks, one after another."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, part, min(d * {entries} + entry) % {entries} AS entry, min(d * {entries} + entry) // {entries} AS d
+  FROM (SELECT vec_id, part, entry, CAST(sum((x.v - c.v) * (x.v - c.v)) AS BIGINT) AS d FROM x JOIN c{k} c USING (part, pos) GROUP BY ALL) GROUP BY ALL
+)""")
+        if k < rounds:
+            steps.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, v) AS v
+  FROM c{k} LEFT JOIN (SELECT part, entry, pos, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{k} USING (vec_id, part) GROUP BY ALL) USING (part, entry, pos)
+)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(4096 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, i * {parts} // len(v) AS part, i AS pos, v[i + 1] AS v FROM (SELECT vec_id, v, unnest(range(len(v))) AS i FROM kept)
+), c0 AS (
+  SELECT part, entry, pos, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id)
+),{",".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count, component and whether it stays, of every document."""
+    return lsh_forest.near_copies(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
+OP13_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({OP10_SQL.replace('85 *', '80 *')})"
+
+
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_exact_dedup": op2_exact_dedup,
@@ -240,6 +333,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_lsh_forest": op13_lsh_forest,
 }
 
 SQL = {
@@ -250,4 +346,7 @@ SQL = {
     "op7_suffix_dedup": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_ngram_join": OP10_SQL,
+    "op11_fill_middle": OP11_SQL,
+    "op12_vector_codes": _codes_sql(),
+    "op13_lsh_forest": OP13_SQL,
 }
