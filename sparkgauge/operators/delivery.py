@@ -1,13 +1,13 @@
 """Delivery-performance metrics over pull requests, deployments and incidents.
 
 Every metric takes ``by``, a list of grouping columns; without it the result is one row.
-Durations are whole hours, so the exact percentiles aggregate over a bounded set of
-distinct values that Spark combines map-side.
+Durations are whole hours, so exact percentiles come from counts of a bounded set of
+distinct values; trends come from refined histograms of the dates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -23,10 +23,11 @@ from sparkgauge.functions.levels import (
 )
 from sparkgauge.functions.timefns import diff_hours, diff_ms, round2
 from sparkgauge.operators.intervals import exists_within
-from sparkgauge.operators.positions import with_position
+from sparkgauge.operators.order_stats import counted_percentiles, halves, percentiles
 from sparkgauge.operators.trends import direction
 
 DEPLOY_DELAY_HOURS = 2.0  # fixed value: assumed merge-to-deploy delay
+METRICS = ("lead", "failure", "recovery")  # those with a trend
 
 
 def _is_prod() -> Column:
@@ -37,9 +38,9 @@ def _start() -> Column:
     return F.coalesce("incident_start", "created")
 
 
-def percentile_linear(value: Column, p: float) -> Column:
-    """Aggregate: linear interpolation at p; 0 when there is no value."""
-    return F.coalesce(F.percentile(value, p), F.lit(0.0))
+def percentile_linear(df: DataFrame, keys: Sequence[str], value: Column, shares: Mapping[str, float]) -> DataFrame:
+    """(keys, one column per share) with linear interpolation; 0 when a group has no value."""
+    return percentiles(df, keys, value, shares)
 
 
 def mean_or_zero(value: Column) -> Column:
@@ -142,6 +143,17 @@ def _failure_facts(deployments: DataFrame, incidents: DataFrame, by: Sequence[st
     return _fact(marked, "failure", by, F.col("created_at"), (status == "failure").cast("int"), **more)
 
 
+def _points(facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What a trend needs of facts."""
+    return facts.select("metric", *by, "date", "id", "value")
+
+
+def _failure_points(deployments: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Trended points of the failure rate: status alone, so no incident is looked up."""
+    failed = (F.col("status") == "failure").cast("int")
+    return _points(_fact(deployments.filter(_is_prod()), "failure", by, F.col("created_at"), failed), by)
+
+
 def _recovery_facts(incidents: DataFrame, by: Sequence[str]) -> DataFrame:
     hours = diff_hours(F.coalesce("incident_resolution", "resolved"), _start())
     return _fact(incidents.filter("is_incident"), "recovery", by, _start(), F.when(hours >= 0, hours))
@@ -153,57 +165,62 @@ def _presence(deployments: DataFrame, by: Sequence[str]) -> DataFrame:
     return seen.select(*by, F.lit("deployed").alias("metric"))
 
 
-def _measure(facts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
-    """All raw measures per group from one pass over the stacked facts.
+def _measure(facts: Sequence[DataFrame], trended: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+    """All raw measures per group; no row is sorted but those around the middle of a trend.
 
-    The facts are placed in time per metric and group once; totals, percentiles and the
-    two halves of each trend then come from a single aggregate.
+    One aggregate over the stacked ``facts`` gives totals, one counts whole hours for the
+    percentiles, and ``halves`` splits ``trended`` (metric, keys, date, id, value) in time.
+    The three meet by a union of their small results, so no group is lost.
     """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
     for column, kind in (("coding", "long"), ("review", "long"), ("failed", "boolean"), ("succeeded", "boolean")):
         if column not in stacked.columns:
             stacked = stacked.withColumn(column, F.lit(None).cast(kind))
-    stacked = stacked.withColumn("has", F.col("value").isNotNull())
-    placed = with_position(stacked, ["metric", *by, "has"], [F.col("date"), F.col("id")])
-    early = F.col("position") < F.floor(F.col("total") / 2)
     value = F.col("value")
 
     def only(metric: str, x: Column) -> Column:
         return F.when(F.col("metric") == metric, x)
 
-    aggs = []
-    for m in ("lead", "failure", "recovery"):
-        aggs += [
-            F.count(only(m, value)).alias(f"{m}_n"),
-            F.avg(only(m, F.when(early, value))).alias(f"{m}_a"),
-            F.avg(only(m, F.when(~early, value))).alias(f"{m}_b"),
-            F.count(only(m, F.lit(1))).alias(f"{m}_rows"),
-        ]
-    for m in ("lead", "recovery"):
-        aggs += [
-            percentile_linear(only(m, value), 0.5).alias(f"{m}_median"),
-            percentile_linear(only(m, value), 0.9).alias(f"{m}_p90"),
-            mean_or_zero(only(m, value)).alias(f"{m}_mean"),
-        ]
-    aggs += [
-        percentile_linear(F.col("coding"), 0.5).alias("coding"),
-        percentile_linear(F.col("review"), 0.5).alias("review"),
+    sums = [F.count(only(m, F.lit(1))).alias(f"{m}_rows") for m in METRICS]
+    sums += [mean_or_zero(only(m, value)).alias(f"{m}_mean") for m in ("lead", "recovery")]
+    sums += [
         F.count_if("failed").alias("failed"),
         F.count_if("succeeded").alias("succeeded"),
-        (F.count(only("deployed", F.lit(1))) > 0).alias("deployed"),
+        F.count(only("deployed", F.lit(1))).alias("deployments"),
     ]
-    measured = placed.groupBy(*by).agg(*aggs)
+    totals = stacked.groupBy(*by).agg(*sums)
+
+    spans = {"lead": only("lead", value), "recovery": only("recovery", value), "coding": F.col("coding"), "review": F.col("review")}
+    listed = F.array(*[F.struct(F.lit(n).alias("span"), c.cast("double").alias("value")) for n, c in spans.items()])
+    # durations are whole hours, so a group has a bounded number of distinct ones
+    hours = stacked.select(*by, F.inline(listed)).filter("value is not null")
+    counts = hours.groupBy(*by, "span", "value").agg(F.count("*").alias("n"))
+    ranked = counted_percentiles(counts, [*by, "span"], {"median": 0.5, "p90": 0.9})
+    of = lambda n, c: F.max(F.when(F.col("span") == n, F.col(c)))
+    shares = [of(n, c).alias(f"{n}_{c}") for n in spans for c in ("median", "p90")]
+    ranked = ranked.groupBy(*by).agg(*shares)
+
+    points = reduce(lambda a, b: a.unionByName(b), trended) if trended else None
+    small = [totals, ranked]
+    if points is not None:
+        split = halves(points.filter("value is not null"), ["metric", *by])
+        sides = [F.max(only(m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in ("n", "a", "b")]
+        small.append(split.groupBy(*by).agg(*sides))
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), small)
+    names = [c for c in together.columns if c not in by]
+    measured = together.groupBy(*by).agg(*[F.max(c).alias(c) for c in names])
+    measured = measured.fillna(0, [c for c in names if c[-2:] not in ("_a", "_b")])
     rate = F.coalesce(F.try_divide(F.col("failed"), F.col("failure_rows")) * 100, F.lit(0.0))
-    trends = [
-        direction(F.col(f"{m}_n"), F.col(f"{m}_a"), F.col(f"{m}_b"), F.lit(True)).alias(f"{m}_trend")
-        for m in ("lead", "failure", "recovery")
-    ]
-    return measured.select("*", rate.alias("failure_rate"), *trends)
+    more = [rate.alias("failure_rate"), (F.col("deployments") > 0).alias("deployed")]
+    if points is not None:
+        more += [direction(F.col(f"{m}_n"), F.col(f"{m}_a"), F.col(f"{m}_b"), F.lit(True)).alias(f"{m}_trend") for m in METRICS]
+    return measured.select("*", *more)
 
 
 def lead_time(prs: DataFrame, deployments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """First commit to merge: median, mean, p90, band, trend and phase medians."""
-    m = _measure([_lead_facts(prs, by), _presence(deployments, by)], by)
+    leads = _lead_facts(prs, by)
+    m = _measure([leads, _presence(deployments, by)], [_points(leads, by)], by)
     both = F.col("deployed") & (F.col("lead_rows") > 0)
     return m.select(
         *by,
@@ -211,9 +228,9 @@ def lead_time(prs: DataFrame, deployments: DataFrame, by: Sequence[str] = ()) ->
         round2(F.col("lead_mean")).alias("mean"),
         round2(F.col("lead_p90")).alias("p90"),
         level_lead_time(F.col("lead_median")).alias("level"),
-        round2(F.col("coding")).alias("coding"),
+        round2(F.col("coding_median")).alias("coding"),
         F.lit(0.0).alias("pickup"),
-        round2(F.col("review")).alias("review"),
+        round2(F.col("review_median")).alias("review"),
         F.when(both, DEPLOY_DELAY_HOURS).otherwise(0.0).alias("deploy"),
         F.col("lead_trend").alias("trend"),
     )
@@ -221,7 +238,7 @@ def lead_time(prs: DataFrame, deployments: DataFrame, by: Sequence[str] = ()) ->
 
 def change_failure_rate(deployments: DataFrame, incidents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Failed share of production deployments in percent; the trend looks at status only."""
-    m = _measure([_failure_facts(deployments, incidents, by)], by)
+    m = _measure([_failure_facts(deployments, incidents, by)], [_failure_points(deployments, by)], by)
     return m.select(
         *by,
         round2(F.col("failure_rate")).alias("rate"),
@@ -234,7 +251,8 @@ def change_failure_rate(deployments: DataFrame, incidents: DataFrame, by: Sequen
 
 def recovery_time(incidents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Start to resolution of real incidents; unresolved and negative ones are skipped."""
-    m = _measure([_recovery_facts(incidents, by)], by)
+    spans = _recovery_facts(incidents, by)
+    m = _measure([spans], [_points(spans, by)], by)
     return m.select(
         *by,
         round2(F.col("recovery_median")).alias("median"),
@@ -256,10 +274,9 @@ def delivery_metrics(
 ) -> DataFrame:
     """All four metrics and the worst band from one pass over each input; no join between
     metrics. A group missing from one input keeps that metric at 0."""
-    m = _measure(
-        [_lead_facts(prs, by), _failure_facts(deployments, incidents, by), _recovery_facts(incidents, by), _presence(deployments, by)],
-        by,
-    )
+    leads, spans = _lead_facts(prs, by), _recovery_facts(incidents, by)
+    facts = [leads, _failure_facts(deployments, incidents, by), spans, _presence(deployments, by)]
+    m = _measure(facts, [_points(leads, by), _failure_points(deployments, by), _points(spans, by)], by)
     per_day = F.col("succeeded") / F.lit(_whole_days(start, end))
     value, unit = _shown_frequency(per_day)
     out = m.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.timefns import sunday_of
-from sparkgauge.operators.positions import with_position
+from sparkgauge.operators.order_stats import halves
 
 
 def trend(points: DataFrame, keys: Sequence[str] = (), lower_is_better: bool | str = False) -> DataFrame:
@@ -18,15 +18,8 @@ def trend(points: DataFrame, keys: Sequence[str] = (), lower_is_better: bool | s
     the trend is ``stable``. A zero base counts as 1. ``lower_is_better`` is a flag or
     the name of a boolean key column. Output: keys, trend.
     """
-    placed = with_position(points, keys, [F.col("date"), F.col("id")])
-    early = F.col("position") < F.floor(F.col("total") / 2)
-    halves = placed.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg(F.when(early, F.col("value"))).alias("a"),
-        F.avg(F.when(~early, F.col("value"))).alias("b"),
-    )
     lower = F.col(lower_is_better) if isinstance(lower_is_better, str) else F.lit(lower_is_better)
-    return halves.select(*keys, direction(F.col("n"), F.col("a"), F.col("b"), lower).alias("trend"))
+    return halves(points, keys).select(*keys, direction(F.col("n"), F.col("a"), F.col("b"), lower).alias("trend"))
 
 
 def direction(n: Column, first_mean: Column, second_mean: Column, lower_is_better: Column) -> Column:

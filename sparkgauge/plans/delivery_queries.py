@@ -231,11 +231,8 @@ def _(t):
 )
 def _(t):
     c = F.col("changed_files")
-    return t.prs.groupBy("repo").agg(
-        d.percentile_linear(c, 0.9).alias("p90"),
-        d.percentile_linear(c, 0.5).alias("median"),
-        d.mean_or_zero(c).alias("mean"),
-    )
+    ranks = d.percentile_linear(t.prs, ["repo"], c, {"p90": 0.9, "median": 0.5})
+    return ranks.join(t.prs.groupBy("repo").agg(d.mean_or_zero(c).alias("mean")), "repo")
 
 
 @query("trend", TREND("SELECT repo, created_at AS date, id, changed_files AS value FROM v_prs", False, "repo"))

@@ -47,7 +47,7 @@ def _(t):
 @query("median", "SELECT repo, median(epoch_ms(updated_at) - epoch_ms(created_at)) / 60000 AS minutes FROM v_runs GROUP BY 1")
 def _(t):
     minutes = (F.unix_millis("updated_at") - F.unix_millis("created_at")) / 60000
-    return t.runs.groupBy("repo").agg(d.percentile_linear(minutes, 0.5).alias("minutes"))
+    return d.percentile_linear(t.runs, ["repo"], minutes, {"minutes": 0.5})
 
 
 @query("mean", "SELECT repo, round(avg((epoch_ms(updated_at) - epoch_ms(created_at)) // 60000), 6) AS minutes FROM v_runs GROUP BY 1")
