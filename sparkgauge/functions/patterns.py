@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import lru_cache, reduce
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
-@lru_cache(maxsize=4096)
+_KNOWN: dict[str, bool] = {}
+
+
+def valid_regexes(spark: SparkSession, patterns: Iterable[str]) -> set[str]:
+    """Those that the engine which will run them compiles; one query over the patterns not seen before."""
+    wanted = set(patterns)
+    new = sorted(wanted - _KNOWN.keys())
+    if new:
+        compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), F.col("p"), F.lit("")).isNotNull()
+        _KNOWN.update(spark.createDataFrame([(p,) for p in new], "p string").select("p", compiled).collect())
+    return {p for p in wanted if _KNOWN[p]}
+
+
 def is_valid_regex(pattern: str) -> bool:
-    """Checked once, where the plan is built, by the engine that will run it: a one-row query over no table."""
-    try:
-        SparkSession.active().sql("SELECT rlike('', :pattern)", {"pattern": pattern}).collect()
-    except PySparkException:
-        return False
-    return True
+    """Whether the active session's engine compiles ``pattern``; needs a session where it was not asked before."""
+    if pattern in _KNOWN:
+        return _KNOWN[pattern]
+    session = SparkSession.getActiveSession()
+    if session is None:
+        raise RuntimeError("a Spark session is needed to compile a pattern")
+    return bool(valid_regexes(session, [pattern]))
 
 
 def matches(text: Column, pattern: str, kind: str = "contains") -> Column:
@@ -43,4 +55,6 @@ def matches_cased(text: Column, pattern: str, kind: str = "contains") -> Column:
 
 
 def matches_any(text: Column, patterns: Sequence[str], kind: str = "contains") -> Column:
+    if kind == "regex" and SparkSession.getActiveSession() is not None:
+        valid_regexes(SparkSession.getActiveSession(), patterns)  # all at once
     return reduce(lambda a, b: a | b, [matches(text, p, kind) for p in patterns], F.lit(False))

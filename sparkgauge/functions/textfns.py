@@ -65,16 +65,16 @@ def taxonomy_text(category: Column, description: Column, keywords: Column) -> Co
     )
 
 
-def content_text(title: Column, content: Column) -> Column:
-    """Title and the first 1000 characters: the fixed preview length of the text to embed."""
-    return F.concat(F.lit("Title: "), title, F.lit("\n\nContent: "), F.substring(content, 1, 1000))
+def content_text(title: Column, content: Column, head: int | None = None) -> Column:
+    """Title and content, the text to embed; ``head`` limits the content to its first characters."""
+    shown = content if head is None else F.substring(content, 1, head)
+    return F.concat(F.lit("Title: "), title, F.lit("\n\nContent: "), shown)
 
 
 def content_summary(index: Column, title: Column, url: Column, content: Column) -> Column:
-    """Numbered summary with a 200-character preview."""
-    preview = F.substring(content, 1, 200)
+    """Numbered summary; its labels are fixed output values."""
     return F.concat(
-        index, F.lit(". Title: "), title, F.lit("\n   URL: "), url, F.lit("\n   Preview: "), preview, F.lit("...")
+        index, F.lit(". Title: "), title, F.lit("\n   URL: "), url, F.lit("\n   Preview: "), content, F.lit("...")
     )
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.patterns import matches, matches_any, matches_cased
+from sparkgauge.operators.postings import with_matched
+
+FEW_PATTERNS = 16  # so many conditions cost a scan less than a join
 
 # Log levels, and the error categories in order of precedence.
 LEVELS = ["log", "info", "warn", "error", "debug"]
@@ -43,6 +46,10 @@ def filter_pattern(entries: DataFrame, pattern: str, kind: str = "contains") ->
 
 
 def filter_patterns(entries: DataFrame, patterns: Sequence[str], kind: str = "contains") -> DataFrame:
+    """All entries with ``matched``: a few patterns are one condition of the scan, many are
+    looked up by n-grams, with the same result."""
+    if len(patterns) > FEW_PATTERNS:
+        return with_matched(entries, "message", patterns, kind)
     return entries.withColumn("matched", F.coalesce(matches_any(F.col("message"), patterns, kind), F.lit(False)))
 
 

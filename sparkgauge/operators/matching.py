@@ -6,13 +6,14 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.textfns import content_summary, html_to_text
 from sparkgauge.operators.joins import left_join_hot_right
 from sparkgauge.operators.positions import with_position
-from sparkgauge.operators.similarity import pair_scores, top1
+from sparkgauge.operators.postings import contained
+from sparkgauge.operators.similarity import nearest, top1
 
 THRESHOLD = 0.85  # fixed value: similarity needed to accept a match
 LLM_THRESHOLD = 0.9  # fixed value: second-stage confidence needed
@@ -109,19 +110,10 @@ def find_best_match(taxonomy: DataFrame, content: DataFrame, threshold: float =
     return best_match(taxonomy, content, threshold).filter(F.col("content_id").isNotNull()).drop("match_stage")
 
 
-def rank_matches(taxonomy: DataFrame, content: DataFrame) -> DataFrame:
-    """All content of each taxonomy row by falling score (``rank`` from 1).
-
-    One taxonomy row may own a huge list, so the ranks come from the distributed
-    position, not from a window that gathers the list in one task.
-    """
-    pairs = pair_scores(taxonomy, content)
-    ranked = with_position(pairs, ["left_id"], [F.col("score").desc_nulls_last(), F.col("right_id")])
-    return ranked.select(
-        F.col("left_id").alias("taxonomy_id"),
-        F.col("right_id").alias("content_id"),
-        "score",
-        (F.col("position") + 1).alias("rank"),
+def rank_matches(taxonomy: DataFrame, content: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best content rows of each taxonomy row by falling score (``rank`` from 1)."""
+    return nearest(taxonomy, content, k).select(
+        F.col("left_id").alias("taxonomy_id"), F.col("right_id").alias("content_id"), "score", F.col("rank").cast("long").alias("rank")
     )
 
 
@@ -230,9 +222,9 @@ def best_match_export(taxonomy: DataFrame, matchings: DataFrame, content: DataFr
 # ---- training examples
 
 
-def content_summaries(content: DataFrame) -> DataFrame:
-    """Numbered summaries in id order: (content_id, index, summary)."""
-    short = content.select("id", "title", "url", F.substring("content", 1, 200).alias("content"))
+def content_summaries(content: DataFrame, preview: int | None = None) -> DataFrame:
+    """Numbered summaries in id order: (content_id, index, summary); ``preview`` limits the text shown."""
+    short = content.select("id", "title", "url", _head(F.col("content"), preview).alias("content"))
     placed = with_position(short, [], [F.col("id")])
     text = content_summary(F.col("position"), F.col("title"), F.col("url"), F.col("content"))
     return placed.select(F.col("id").alias("content_id"), F.col("position").alias("index"), text.alias("summary"))
@@ -279,68 +271,59 @@ def positional_split(examples: DataFrame, order: Sequence[Column], ratio: float
     return placed.select(*examples.columns, F.when(train, "train").otherwise("validation").alias("split"))
 
 
-def keyword_score(title: Column, body: Column, category: str, keywords: Sequence[str]) -> Column:
-    """2 for the category in title or body head, 1 per keyword in the title, 0.5 per keyword
-    in the body head. ``body`` is already the fixed 500-character head."""
-
-    def has(text: Column, word: str) -> Column:
-        return F.contains(text, F.lit(word.lower()))
-
-    score = F.when(has(title, category) | has(body, category), 2.0).otherwise(0.0)
-    for word in keywords:
-        score = score + F.when(has(title, word), 1.0).otherwise(0.0) + F.when(has(body, word), 0.5).otherwise(0.0)
-    return score
+def _head(text: Column, head: int | None) -> Column:
+    """The first ``head`` characters, or the whole text."""
+    return text if head is None else F.substring(text, 1, head)
 
 
-def keyword_best_candidate(taxonomy: DataFrame, content: DataFrame, chunk: int = 64) -> DataFrame:
-    """Best content per category by ``keyword_score``; the first best (lowest id) wins.
+def keyword_best_candidate(taxonomy: DataFrame, content: DataFrame, head: int | None = None) -> DataFrame:
+    """Best content per category (taxonomy_id, content_id, score); the first best (lowest id) wins.
 
-    Categories become aggregate columns, ``chunk`` of them per scan of the content, so no
-    pairs are made and each scan shuffles one row per task. The driver reads the categories
-    in hash slices of a bounded size to build those columns.
+    A content scores 2 for the category in its title or body, 1 per keyword in the title
+    and 0.5 per keyword in the body, in any case; ``head`` limits the body to its first
+    characters. Words are found through postings. Content rows that hold the same words
+    in the same places score alike everywhere, so the lowest id of each such profile
+    stands for all; a category then meets profiles, not rows.
     """
-    slices = max(-(-taxonomy.count() // CATEGORY_SLICE), 1)
-    title, head = F.lower("title"), F.substring(F.lower("content"), 1, 500)
-    texts = content.select("id", title.alias("t"), head.alias("b"))
-    parts = [taxonomy.limit(0).select(F.col("id").alias("taxonomy_id"), *_no_candidate())]
-    for s in range(slices):
-        mine = taxonomy.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == s)
-        rows = mine.select("id", "category", "keywords").collect()
-        for start in range(0, len(rows), chunk):
-            parts.append(_best_of(texts, rows[start : start + chunk]))
-    return reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("content_id").isNotNull())
-
-
-CATEGORY_SLICE = 2048  # categories the driver holds at a time
-
-
-def _no_candidate() -> list[Column]:
-    return [F.lit(None).cast("long").alias("content_id"), F.lit(0.0).alias("score")]
-
-
-def _best_of(texts: DataFrame, categories: list) -> DataFrame:
-    """Best row of ``texts`` for each of a few categories, in one aggregate."""
-    best, found = [], []
-    for i, row in enumerate(categories):
-        score = keyword_score(F.col("t"), F.col("b"), row["category"], row["keywords"])
-        best.append(F.max(F.struct(score.alias("score"), (-F.col("id")).alias("neg"))).alias(f"c{i}"))
-        found.append(
-            F.struct(
-                F.lit(row["id"]).alias("taxonomy_id"),
-                (-F.col(f"c{i}.neg")).alias("content_id"),
-                F.col(f"c{i}.score").alias("score"),
-            )
-        )
-    return texts.agg(*best).select(F.inline(F.array(*found)))
-
-
-def build_dataset(taxonomy: DataFrame, content: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    lowered = lambda c: F.coalesce(F.lower(c), F.lit(""))
+    listed = F.transform("keywords", lambda k: F.struct(F.lower(k).alias("word"), F.lit(0).alias("main"), F.lit(1).alias("key")))
+    main = F.array(F.struct(F.lower("category").alias("word"), F.lit(1).alias("main"), F.lit(0).alias("key")))
+    words = taxonomy.select(F.col("id").alias("taxonomy_id"), F.inline(F.concat(main, F.coalesce(listed, F.filter(main, lambda x: F.lit(False))))))
+    words = words.filter("word is not null").groupBy("taxonomy_id", "word").agg(F.max("main").alias("main"), F.sum("key").alias("key"))
+    texts = content.select(F.col("id").alias("content_id"), lowered("title").alias("title"), _head(lowered("content"), head).alias("body"))
+    literals = words.select(F.col("word").alias("literal")).distinct()
+    held = [
+        contained(texts.select(F.col("content_id").alias("key"), F.col(part).alias("text")), literals).withColumn("part", F.lit(flag))
+        for part, flag in (("title", 1), ("body", 2))
+    ]
+    # which words a content holds, and whether in the title (1), the body (2) or both (3)
+    places = held[0].unionByName(held[1]).groupBy("key", "literal").agg(F.sum("part").alias("part"))
+    profiles = places.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("literal", "part"))).alias("profile"))
+    profiles = profiles.groupBy("profile").agg(F.min("key").alias("content_id"))
+    spread = profiles.select("content_id", F.inline("profile"))
+    title, body = F.col("part") != 2, F.col("part") != 1
+    points = F.col("main") * 2.0 + F.col("key") * (F.when(title, 1.0).otherwise(0.0) + F.when(body, 0.5).otherwise(0.0))
+    scored = spread.join(words, F.col("literal") == F.col("word")).groupBy("taxonomy_id", "content_id").agg(F.sum(points).alias("score"))
+    best = Window.partitionBy("taxonomy_id").orderBy(F.col("score").desc(), "content_id")
+    scored = scored.withColumn("_place", F.row_number().over(best)).filter("_place = 1").drop("_place")
+    # a word without letters is in every text; a category none of whose words is found takes the first content
+    free = words.filter("word = ''").select(F.col("taxonomy_id").alias("_free"), (F.col("main") * 2.0 + F.col("key") * 1.5).alias("_more"))
+    first = content.agg(F.min("id")).collect()[0][0]  # one value
+    named = taxonomy.select(F.col("id").alias("taxonomy_id"))
+    joined = named.join(scored, "taxonomy_id", "left").join(free, F.col("taxonomy_id") == F.col("_free"), "left")
+    score = F.coalesce("score", F.lit(0.0)) + F.coalesce("_more", F.lit(0.0))
+    found = joined.select("taxonomy_id", F.coalesce("content_id", F.lit(first)).alias("content_id"), score.alias("score"))
+    return found.filter(F.col("content_id").isNotNull())
+
+
+def build_dataset(taxonomy: DataFrame, content: DataFrame, n: int, seed: int = 7, head: int | None = None, preview: int | None = None) -> DataFrame:
     """``n`` examples spread over the categories (the remainder to the first ones), each with
     5 to 10 distinct candidates drawn by seeded hash, and its best candidate index.
 
     Slot ``k`` of an example takes the content at ``start + k * step``, both hashed, with a
     step of at most a tenth of the list, so slots never collide; the draw is a join on
-    positions, linear in examples. Under ten content rows is an error.
+    positions, linear in examples. ``head`` limits the body that is scored and ``preview``
+    the body that is shown to their first characters. Under ten content rows is an error.
     """
     cats = with_position(taxonomy.select("id", "category", "description", "keywords"), [], [F.col("id")])
     share = F.floor(F.lit(n) / F.col("total")) + F.when(F.col("position") < F.lit(n) % F.col("total"), 1).otherwise(0)
@@ -367,17 +350,17 @@ def build_dataset(taxonomy: DataFrame, content: DataFrame, n: int, seed: int = 7
     chosen = slots.join(placed.select("_cid", "position"), F.col("pick") == F.col("position"))
     texts = content.select("id", "title", "url", "content")
     filled = chosen.join(texts, F.col("_cid") == F.col("id"))
-    title, head = F.lower("title"), F.substring(F.lower("content"), 1, 500)
+    title, body = F.lower("title"), _head(F.lower("content"), head)
     category = F.lower("category")
-    base = F.when(F.contains(title, category) | F.contains(head, category), 2.0).otherwise(0.0)
+    base = F.when(F.contains(title, category) | F.contains(body, category), 2.0).otherwise(0.0)
     words = F.aggregate(
         "keywords",
         F.lit(0.0),
         lambda acc, k: acc
         + F.when(F.contains(title, F.lower(k)), 1.0).otherwise(0.0)
-        + F.when(F.contains(head, F.lower(k)), 0.5).otherwise(0.0),
+        + F.when(F.contains(body, F.lower(k)), 0.5).otherwise(0.0),
     )
-    scored = filled.withColumn("score", base + words)
+    scored = filled.withColumn("score", base + words).withColumn("content", _head(F.col("content"), preview))
     # at most ten candidates per example, by construction
     items = F.array_sort(F.collect_list(F.struct("slot", "id", "title", "url", "content", "score")))
     grouped = scored.groupBy("taxonomy_id", "example").agg(

@@ -72,14 +72,25 @@ def _(t):
     return m.find_best_match(centroids(t), vectors(t), THR).withColumn("similarity_score", F.round("similarity_score", 6))
 
 
-@query("rank_matches", f"WITH {SCORES} SELECT taxonomy_id, content_id, round(score, 6) AS score, rank FROM rk")
+@query("rank_matches", f"WITH {SCORES} SELECT taxonomy_id, content_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 25")
 def _(t):
-    return m.rank_matches(centroids(t), vectors(t)).withColumn("score", F.round("score", 6))
+    return m.rank_matches(centroids(t), vectors(t), 25).withColumn("score", F.round("score", 6))
 
 
-@query("cosine01", f"WITH {SCORES} SELECT taxonomy_id AS left_id, content_id AS right_id, round(score, 6) AS score FROM sc")
+@query("best_match_text_ids", f"WITH {SCORES} SELECT md5('t' || taxonomy_id) AS taxonomy_id, CASE WHEN score >= {THR} THEN md5('c' || content_id) END AS content_id, "
+       "round(score, 6) AS similarity_score FROM rk WHERE rank = 1")
 def _(t):
-    return pair_scores(centroids(t), vectors(t)).withColumn("score", F.round("score", 6))
+    def hashed(letter, df):
+        return df.withColumn("id", F.md5(F.concat(F.lit(letter), F.col("id").cast("string"))))
+
+    out = m.best_match(hashed("t", centroids(t)), hashed("c", vectors(t)), THR).drop("match_stage")
+    return out.withColumn("similarity_score", F.round("similarity_score", 6))
+
+
+@query("cosine01", f"WITH {SCORES} SELECT taxonomy_id AS left_id, content_id AS right_id, round(score, 6) AS score FROM sc JOIN embeddings ON vec_id = content_id AND label = taxonomy_id")
+def _(t):
+    own = t.embeddings.select(F.col("label").cast("long").alias("left_id"), F.col("vec_id").alias("right_id"))
+    return pair_scores(own, centroids(t), vectors(t)).withColumn("score", F.round("score", 6))
 
 
 @query("unmatched_taxonomy", """SELECT v_taxonomy.id AS id, url FROM v_taxonomy LEFT JOIN (SELECT * FROM v_matchings
@@ -230,12 +241,12 @@ def _(t):
 CT = f"SELECT id, url, {TEXT.format('title')} AS title, {TEXT.format('html')} AS content FROM v_content"
 
 
-@query("content_text", f"SELECT id, 'Title: ' || title || chr(10) || chr(10) || 'Content: ' || substr(content, 1, 1000) AS text FROM ({CT})")
+@query("content_text", f"SELECT id, 'Title: ' || title || chr(10) || chr(10) || 'Content: ' || content AS text FROM ({CT})")
 def _(t):
     return content(t).select("id", content_text(F.col("title"), F.col("content")).alias("text"))
 
 
-SUMMARY = "CAST({0} AS STRING) || '. Title: ' || title || chr(10) || '   URL: ' || url || chr(10) || '   Preview: ' || substr(content, 1, 200) || '...'"
+SUMMARY = "CAST({0} AS STRING) || '. Title: ' || title || chr(10) || '   URL: ' || url || chr(10) || '   Preview: ' || content || '...'"
 
 
 @query("content_summaries", f"SELECT id AS content_id, i AS index, {SUMMARY.format('i')} AS summary FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i FROM ({CT}))")
@@ -258,8 +269,8 @@ def _(t):
 
 
 @query("keyword_best_candidate", f"""WITH c AS ({CT}), x AS (SELECT t.id AS taxonomy_id, c.id AS content_id,
-   CASE WHEN contains(lower(title), category) OR contains(substr(lower(content), 1, 500), category) THEN 2.0 ELSE 0.0 END
-   + list_sum(list_transform(keywords, lambda k: CASE WHEN contains(lower(title), k) THEN 1.0 ELSE 0.0 END + CASE WHEN contains(substr(lower(content), 1, 500), k) THEN 0.5 ELSE 0.0 END)) AS score
+   CASE WHEN contains(lower(title), category) OR contains(lower(content), category) THEN 2.0 ELSE 0.0 END
+   + list_sum(list_transform(keywords, lambda k: CASE WHEN contains(lower(title), k) THEN 1.0 ELSE 0.0 END + CASE WHEN contains(lower(content), k) THEN 0.5 ELSE 0.0 END)) AS score
    FROM v_taxonomy t JOIN ({KEYWORDS}) k ON k.id = t.id, c)
   SELECT taxonomy_id, content_id, CAST(score AS DOUBLE) AS score FROM x QUALIFY row_number() OVER (PARTITION BY taxonomy_id ORDER BY score DESC, content_id) = 1""")
 def _(t):

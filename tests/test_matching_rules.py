@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -23,7 +24,7 @@ def test_best_match_keeps_the_score_of_a_miss(spark, rows):
     assert {x["similarity_score"] for x in m.match_all(tax, con, 0.9).filter("content_id is null").collect()} == {0.0}
     empty = m.best_match(tax, con.filter("false"), 0.9)
     assert rows(empty, "taxonomy_id", "similarity_score", "match_stage") == [(1, 0.0, "needs_human_review"), (2, 0.0, "needs_human_review")]
-    ranks = m.rank_matches(tax, con)
+    ranks = m.rank_matches(tax, con, 2)
     assert rows(ranks, "taxonomy_id", "content_id", "rank") == [(1, 5, 1), (1, 6, 2), (2, 5, 2), (2, 6, 1)]
 
 
@@ -36,14 +37,36 @@ def test_unmatched_taxonomy_uses_the_best_row(spark, rows):
     assert rows(m.unmatched_taxonomy(tax, mat, 0.85)) == [("b",), ("c",), ("d",)]
 
 
-def test_keyword_candidate_first_best_wins_in_any_slice(spark, monkeypatch, rows):
-    monkeypatch.setattr(m, "CATEGORY_SLICE", 2)
-    tax = spark.createDataFrame([("t1", "Cars", ["wheel"]), ("t2", "Food", ["soup", "x"]), ("t3", "None", [])], "id string, category string, keywords array<string>")
+def test_keyword_candidate_first_best_wins(spark, rows):
+    data = [("t1", "Cars", ["wheel"]), ("t2", "Food", ["soup", "x"]), ("t3", "None", []), ("t4", None, None), ("t5", "", ["", None, "x", "x"])]
+    tax = spark.createDataFrame(data, "id string, category string, keywords array<string>")
     con = spark.createDataFrame(
-        [(1, "A wheel", "cars here"), (2, "Cars wheel", ""), (3, "soup", "soup of food"), (4, "", "")], "id long, title string, content string"
+        [("1", "A wheel", "cars here"), ("2", "Cars wheel", ""), ("3", "soup", "soup of food"), ("4", "", ""), ("5", None, None), ("6", "A wheel", "cars here")],
+        "id string, title string, content string",
     )
-    got = m.keyword_best_candidate(tax, con, chunk=1)
-    assert rows(got) == [("t1", 1, 3.0), ("t2", 3, 3.5), ("t3", 1, 0.0)]
+    got = m.keyword_best_candidate(tax, con)
+    assert rows(got) == [("t1", "1", 3.0), ("t2", "3", 3.5), ("t3", "1", 0.0), ("t4", "1", 0.0), ("t5", "1", 3.5)]
+    assert rows(m.keyword_best_candidate(tax.limit(1), con, head=3)) == [("t1", "2", 3.0)]
+    assert rows(m.keyword_best_candidate(tax, con.limit(0))) == [] and rows(m.keyword_best_candidate(tax.limit(0), con)) == []
+
+
+def test_keyword_candidate_equals_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abC d") for _ in range(rng.randint(1, n)))
+    tax = [(f"t{i}", word(6), [word(7) for _ in range(rng.randint(0, 4))]) for i in range(40)]
+    con = [(i, word(9), word(60)) for i in range(150)]
+    want = {}
+    for t, category, keys in tax:
+        scores = []
+        for i, title, body in con:
+            title, body, c = title.lower(), body.lower(), category.lower()
+            s = 2.0 * (c in title or c in body) + sum((k.lower() in title) + 0.5 * (k.lower() in body) for k in keys)
+            scores.append((-s, i))
+        want[t] = (min(scores)[1], -min(scores)[0])
+    got = m.keyword_best_candidate(
+        spark.createDataFrame(tax, "id string, category string, keywords array<string>"), spark.createDataFrame(con, "id long, title string, content string")
+    )
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
 
 
 def test_dataset_is_whole_distinct_and_repeatable(spark, rows):

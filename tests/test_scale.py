@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkgauge.operators import artifacts, similarity
 from sparkgauge.operators.intervals import exists_within
 from sparkgauge.operators.joins import left_join_hot_right
+from sparkgauge.operators.order_stats import halves, percentiles
 from sparkgauge.operators.positions import newest_per_key, with_position
 
 
@@ -67,31 +68,54 @@ def _vectors(spark, n, seed):
     return rows, spark.createDataFrame(rows, "id long, vector array<double>")
 
 
-@pytest.mark.parametrize("fit, block", [(4096, 16384), (5, 16)])
-def test_top1_is_the_same_in_both_plans(spark, monkeypatch, fit, block):
-    monkeypatch.setattr(similarity, "FIT_ROWS", fit)
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
-    monkeypatch.setattr(similarity, "STRIP_ROWS", 7)
-    a, left = _vectors(spark, 23, 1)
-    b, right = _vectors(spark, 90, 2)
-    got = {r["left_id"]: (r["right_id"], round(r["score"], 9)) for r in similarity.top1(left, right).collect()}
+def _score(x, y):
+    x, y = np.array(x), np.array(y)
+    return (x @ y / np.linalg.norm(x) / np.linalg.norm(y) + 1) / 2
 
-    def score(x, y):
-        x, y = np.array(x), np.array(y)
-        return (x @ y / np.linalg.norm(x) / np.linalg.norm(y) + 1) / 2
 
+@pytest.mark.parametrize("k, shard, strip", [(1, 8192, 512), (1, 5, 7), (6, 5, 7), (200, 16, 512)])
+def test_nearest_equals_brute_force(spark, monkeypatch, k, shard, strip):
+    monkeypatch.setattr(similarity, "SHARD_ROWS", shard)
+    monkeypatch.setattr(similarity, "STRIP", strip)
+    a, left = _vectors(spark, 23, 1)
+    b, right = _vectors(spark, 90, 2)
+    b, right = b + [(i + 500, v) for i, v in b[:40]], right.union(right.filter("id < 40").withColumn("id", F.col("id") + 500))  # ties
+    found = similarity.nearest(left, right, k).collect()
     for i, x in a:
-        best = max(((score(x, y), -j) for j, y in b))
-        assert got[i] == (-best[1], round(best[0], 9))
-    assert similarity.pair_scores(left, right).count() == 23 * 90
-
-
-def test_ties_go_to_the_first_and_nan_never_wins(spark, rows):
-    left = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id long, vector array<double>")
-    right = spark.createDataFrame([(9, [2.0, 0.0]), (4, [3.0, 0.0]), (5, [0.0, 0.0]), (6, [0.0, 1.0])], "id long, vector array<double>")
+        want = sorted(((-round(_score(x, y), 9), j) for j, y in b))[:k]
+        got = sorted((r["rank"], r["right_id"], round(r["score"], 9)) for r in found if r["left_id"] == i)
+        assert [(-s, j) for _, j, s in got] == want and [r for r, _, _ in got] == list(range(1, len(want) + 1))
+
+
+def test_nearest_skips_far_cells_and_takes_text_ids(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    rows = [(f"{i:05d}-{'ab'[i % 2]}", [float(x) for x in centres[i % 30] + rng.normal(size=16) / 50]) for i in range(1500)]
+    right = spark.createDataFrame(rows, "id string, vector array<double>")
+    left = spark.createDataFrame([(f"t{i}", [float(x) for x in c]) for i, c in enumerate(centres)], "id string, vector array<double>")
+    grid = similarity.Grid(similarity._usable(right))
+    found = similarity.nearest(left, right, 3).collect()
+    for i, c in enumerate(centres):
+        want = sorted(((-round(_score(c, y), 9), j) for j, y in rows))[:3]
+        assert [(-round(r["score"], 9), r["right_id"]) for r in sorted(found, key=lambda r: r["rank"]) if r["left_id"] == f"t{i}"] == want
+    least = {r["left_id"]: r["score"] for r in found if r["rank"] == 3}
+    bounded = spark.createDataFrame([(f"t{i}", [float(x) for x in c], least[f"t{i}"]) for i, c in enumerate(centres)], "id string, vector array<double>, threshold double")
+    met = similarity.visits(bounded, grid, 3, True).groupBy("id").count().agg(F.sum("count")).collect()[0][0] or 0
+    assert met < 0.2 * len(grid.cells) * len(centres)  # most cells are never met
+
+
+def test_ties_go_to_the_first_and_odd_vectors_never_win(spark, rows):
+    nan, inf = float("nan"), float("inf")
+    left = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0])], "id long, vector array<double>")
+    odd = [(1, [nan, 1.0]), (2, [inf, 0.0]), (3, None), (7, [1.0, None])]
+    right = spark.createDataFrame([(9, [2.0, 0.0]), (4, [3.0, 0.0]), (5, [0.0, 0.0]), (6, [0.0, 1.0]), *odd], "id long, vector array<double>")
     assert rows(similarity.top1(left, right)) == [(1, 4, 1.0)]
-    pairs = {(r[0], r[1]): r[2] for r in similarity.pair_scores(left, right).collect()}
-    assert abs(pairs[(1, 6)] - 0.5) < 1e-12 and np.isnan(pairs[(1, 5)])
+    assert rows(similarity.nearest(left, right, 3), "right_id", "rank") == [(4, 1), (6, 3), (9, 2)]
+    assert rows(similarity.top1(left, right.limit(0))) == [] and rows(similarity.top1(left.limit(0), right)) == []
+    opposite = spark.createDataFrame([(1, [-1.0, 0.0])], "id long, vector array<double>")
+    assert rows(similarity.top1(left, opposite)) == []
+    pairs = spark.createDataFrame([(1, 6), (1, 5), (1, 4), (9, 9)], "left_id long, right_id long")
+    assert rows(similarity.pair_scores(pairs, left, right)) == [(1, 4, 1.0), (1, 5, None), (1, 6, 0.5)]
 
 
 def test_retention_spares_the_newest(spark, rows):
@@ -122,3 +146,56 @@ def test_left_join_with_a_hot_right_key(spark, rows):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, name string")
     right = spark.range(100).select(F.when(F.col("id") < 90, 1).otherwise(7).cast("long").alias("k"), "id")
     assert rows(left_join_hot_right(left, right, ["k"])) == rows(left.join(right, ["k"], "left"))
+
+
+def _halves(data):
+    """(n, a, b) per key from (key, date, id, value) rows."""
+    out = {}
+    for key in {r[0] for r in data}:
+        own = sorted((r for r in data if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        mean = lambda x: sum(x) / len(x) if x else None
+        cut = len(own) // 2
+        out[key] = (len(own), *(mean([r[3] for r in side if r[3] is not None]) for side in (own[:cut], own[cut:])))
+    return out
+
+
+def test_halves_by_refined_histograms(spark, threshold):
+    rng = random.Random(8)
+    base = datetime(2020, 1, 1, tzinfo=timezone.utc)
+    data = []
+    for i in range(1500):
+        key = rng.choice(["a", "a", "a", "b", None, f"k{i % 40}"])
+        when = base + timedelta(days=rng.choice([0, 1, 1, 1, 700]), microseconds=rng.choice([0, 0, 5, 4000, 9_000_000_000]))
+        data.append((key, None if i % 50 == 0 else when, f"id-{i:05d}", None if i % 13 == 0 else float(rng.randrange(100))))
+    df = spark.createDataFrame(data, "k string, date timestamp, id string, value double")
+    got = {r["k"]: (r["n"], r["a"], r["b"]) for r in halves(df, ["k"]).collect()}
+    want = _halves([(k, d and d.timestamp(), i, v) for k, d, i, v in data])
+    assert got.keys() == want.keys()
+    for key, means in want.items():
+        assert [x and pytest.approx(x, rel=1e-12) for x in means] == list(got[key])
+    alone = halves(df.drop("k")).collect()
+    whole = _halves([(1, d and d.timestamp(), i, v) for _, d, i, v in data])[1]
+    assert tuple(alone[0]) == pytest.approx(whole, rel=1e-12)
+    assert halves(df.limit(0), ["k"]).collect() == [] and halves(df.limit(0)).collect() == []
+
+
+def test_halves_sort_no_whole_input(spark):
+    df = spark.range(1000).selectExpr("id % 3 k", "timestamp_seconds(id) date", "string(id) id", "double(id) value")
+    plan = halves(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Scan ExistingRDD" not in plan
+
+
+def test_percentiles_by_bins(spark, threshold):
+    rng = np.random.default_rng(6)
+    data = [("big", float(x)) for x in rng.pareto(0.5, 3000)] + [("one", 4.5), ("none", None), ("two", 1.0), ("two", 2.0)]
+    data += [("same", 7.0)] * 40 + [(None, float(x)) for x in rng.integers(0, 4, 99)] + [("wide", x) for x in (-1e300, 0.0, 1e-300, 1e300)]
+    df = spark.createDataFrame(data, "k string, v double")
+    shares = {"low": 0.0, "median": 0.5, "p90": 0.9, "high": 1.0}
+    got = {r["k"]: tuple(r)[1:] for r in percentiles(df, ["k"], F.col("v"), shares).collect()}
+    for key in {k for k, _ in data}:
+        own = [v for k, v in data if k == key and v is not None]
+        want = np.quantile(own, list(shares.values())) if own else [0.0] * 4
+        assert got[key] == pytest.approx(tuple(want), rel=1e-12)
+    alone = percentiles(df, [], F.col("v"), {"median": 0.5}).collect()
+    assert alone[0][0] == pytest.approx(np.median([v for _, v in data if v is not None]))
+    assert [tuple(r) for r in percentiles(df.limit(0), [], F.col("v"), {"median": 0.5}).collect()] == [(0.0,)]
