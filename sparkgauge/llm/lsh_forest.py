@@ -13,8 +13,8 @@ at the end shares 12 values and is taken as one neighbourhood without comparing.
 Sets whose signatures may belong to linked sets, directly or in a chain, form a
 neighbourhood. The texts of a neighbourhood meet once, and there every link is
 confirmed on the full sets: 100 * intersection >= percent * union. A neighbourhood
-too large for a task is cut into tiles by its number of n-grams, and each pair of
-tiles is one task's work; sets that are connected already are not compared again.
+too large for a task is cut into tiles by its number of n-grams; sets that are
+connected already are not compared again, within tiles and across them.
 
 Distribution: equal sets are one vertex, named once a task. A tree row is a region's
 hash, a vertex and 72 bytes; it is shuffled by region, no region of more than
@@ -41,7 +41,7 @@ SIZE = TREES * STEP
 DEEPEST = 4  # steps
 SLICE_BYTES = 1 << 19
 ROWS_AT_ONCE = 20_000  # tree rows that a task compares at a time
-HELD_EDGES = 200_000
+MARKS = 1 << 26  # bits that mark the documents whose texts are read again
 
 _DRAWN = mixed(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FLIP, _FACTOR = _DRAWN[:SIZE], _DRAWN[SIZE:] | np.uint64(1)
@@ -108,23 +108,32 @@ def _read(n: int):
     return run
 
 
-def alike(region: np.ndarray, number: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of vertices of one region whose sizes and signatures may be those of linked sets; rows are sorted by region."""
+def alike(region: np.ndarray, number: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (vertex, root) that connect the vertices of a region whose sizes and signatures may be those of linked sets.
+
+    Rows are sorted by region. Every row is held against the k-th one after it in its
+    region, unless the two are connected already.
+    """
     need = alike_values(percent)
-    pairs = []
+    vertices, code = np.unique(number, return_inverse=True)
+    label = np.arange(len(vertices))
     at, k = np.arange(len(region)), 1
-    while True:  # every row with the k-th one after it
+    while True:
         at = at[at + k < len(region)]
         at = at[region[at + k] == region[at]]
         if not len(at):
-            break
+            away = label != np.arange(len(label))
+            return vertices[away], vertices[label[away]]
         a, b = n[at], n[at + k]
-        fit = at[(100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (number[at] != number[at + k])]
-        same = (sketch[fit] == sketch[fit + k]).sum(1)
-        fit = fit[same >= need]
-        pairs.append(np.stack([number[fit], number[fit + k]], 1))
+        fit = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (label[code[at]] != label[code[at + k]])
+        fit = at[fit]
+        fit = fit[(sketch[fit] == sketch[fit + k]).sum(1) >= need]
+        if len(fit):
+            joined, roots = local_roots(label[code[fit]], label[code[fit + k]])
+            moved = np.arange(len(vertices))
+            moved[joined] = roots
+            label = moved[label]
         k += 1
-    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
 
 
 def _scan(percent: int):
@@ -132,34 +141,23 @@ def _scan(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        edges: list[np.ndarray] = []
 
-        def compare(last: bool) -> None:
+        def compare(last: bool) -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks()
             region, number, n = (whole.column(c).to_numpy() for c in ("region", "number", "n"))
             cut = len(region) if last else int(np.searchsorted(region, region[-1]))  # the last region may go on
             raw, _ = text_bytes(whole.column("sketch").chunk(0))
-            edges.append(alike(region[:cut], number[:cut], n[:cut], raw.reshape(-1, SIZE)[:cut], percent))
+            v, u = alike(region[:cut], number[:cut], n[:cut], raw.reshape(-1, SIZE)[:cut], percent)
             held[:] = whole.slice(cut).to_batches()
-
-        def contracted() -> pa.RecordBatch:
-            found = np.concatenate(edges)
-            vertices, roots = local_roots(found[:, 0], found[:, 1])
-            away = vertices != roots
-            edges.clear()
-            return pa.RecordBatch.from_arrays([pa.array(vertices[away]), pa.array(roots[away])], ["v", "u"])
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], ["v", "u"])
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch.select(["region", "number", "n", "sketch"]))
             if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
-                compare(False)
-            if sum(map(len, edges)) > HELD_EDGES:
-                yield contracted()
+                yield compare(False)
         if held:
-            compare(True)
-        if sum(map(len, edges)):
-            yield contracted()
+            yield compare(True)
         release_memory()
 
     return run
@@ -193,23 +191,35 @@ def neighbours(sets: DataFrame, percent: int, crowd: int) -> DataFrame:
     return out
 
 
-def tiles_of(members: DataFrame, tile: int) -> DataFrame:
-    """(vertex, block, tile, a, b): members dealt to pairs of tiles of about ``tile`` n-grams each.
+def marked(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Those ``rows`` whose key may be among ``keys``: all that are, and a few more.
 
-    ``members`` are (vertex, block, n). A vertex goes to a tile by hash and to every pair that holds it.
+    Keys are marked in a bitmap of MARKS bits by hash (8 MB at most, whatever their
+    number), so that other texts are not shuffled. A full bitmap lets all rows pass.
     """
-    members = stored(members, "forest-members")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)) + 1
+    own = bit(F.col(column).cast("long"))
+    bits = keys.groupBy(F.bitmap_bucket_number(own).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias("bits"))
+    at = bit(F.col("key"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("slice", F.bitmap_bucket_number(at)).join(F.broadcast(bits), F.col("slice") == F.col("bucket"))
+    return met.filter(F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
+
+
+def tiles_of(members: DataFrame, tile: int) -> DataFrame:
+    """``members`` (vertex, block, n) with the number of tiles of their block, of about ``tile`` n-grams each, and their own by hash."""
     sizes = members.groupBy(F.col("block").alias("own")).agg(F.sum("n").alias("weight"), F.count("*").alias("sets"))
     members = members.join(sizes, F.col("block") == F.col("own"))
     count = F.least(F.ceil(F.col("weight") / F.lit(tile)), F.col("sets")).cast("int")
-    members = members.select("vertex", "block", count.alias("tiles"), F.pmod(F.xxhash64("vertex"), count).cast("int").alias("tile"))
-    others = F.sequence(F.lit(0), F.col("tiles") - 1)
-    pairs = F.transform(others, lambda x: F.struct(F.least(x, F.col("tile")).alias("a"), F.greatest(x, F.col("tile")).alias("b")))
-    return members.select("vertex", "block", "tile", F.explode(pairs).alias("pair")).select("vertex", "block", "tile", "pair.a", "pair.b")
+    return members.select("vertex", "block", "n", count.alias("tiles"), F.pmod(F.xxhash64("vertex"), count).cast("int").alias("tile"))
 
 
-def confirmed(sets: list[np.ndarray], tile: np.ndarray, percent: int) -> np.ndarray:
-    """Labels of sets: equal where links on the full sets connect them; with two tiles only links across them count."""
+def confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+    """Labels of sets: equal where links on the full sets connect them.
+
+    Sets of side 1 are compared with those of side 0 only, sets of side 0 alone with each other.
+    """
     sizes = np.array([len(s) for s in sets])
     _, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -217,12 +227,10 @@ def confirmed(sets: list[np.ndarray], tile: np.ndarray, percent: int) -> np.ndar
     starts = np.cumsum(often) - often
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     label = np.arange(len(sets))
-    two = tile.min() < tile.max()
-    target = tile == tile.max()
-    for i in np.flatnonzero(tile == tile.min()):
-        wanted = (label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-        if two:
-            wanted &= target
+    probes = np.flatnonzero(side == side.max())
+    target = side == 0
+    for i in probes:
+        wanted = target & (label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
         if not wanted.any():
             continue
         codes = flat[bounds[i] : bounds[i + 1]]
@@ -237,22 +245,67 @@ def confirmed(sets: list[np.ndarray], tile: np.ndarray, percent: int) -> np.ndar
 
 
 def _confirm(n: int, percent: int):
-    """Links of one neighbourhood or pair of tiles, as stars."""
+    """Links of one group of sets, or between its two sides, as stars."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sets, tiles = [], [], []
+        keys, sets, sides = [], [], []
         for batch in batches:
-            part = batch.select(["vertex", "text", "tile"])
+            part = batch.select(["vertex", "text", "side"])
             keys.append(part.column(0).to_numpy())
-            tiles.append(part.column(2).to_numpy())
+            sides.append(part.column(2).to_numpy())
             for piece in slices(part, limit=SLICE_BYTES):
                 sets += [np.unique(g) for g in shingle_sets(*text_bytes(piece.column(1)), n)]
-        v, u = stars(np.concatenate(keys), confirmed(sets, np.concatenate(tiles), percent))
+        v, u = stars(np.concatenate(keys), confirmed(sets, np.concatenate(sides), percent))
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], ["v", "u"])
 
     return run
 
 
+def _links(texts: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
+    """(v, u): links of every group (block, a, b) of the rows (vertex, block, a, b, side)."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = texts.join(groups, F.col("key") == F.col("vertex")).select("vertex", "text", "side", "block", "a", "b")
+    found = met.repartition(parts, "block", "a", "b").groupBy("block", "a", "b").applyInArrow(_confirm(n, percent), "v long, u long")
+    return stored(found, "forest-links")
+
+
+def linked(texts: DataFrame, members: DataFrame, n: int, percent: int, tile: int) -> DataFrame:
+    """(vertex, root): what links among the ``members`` (vertex, block, n) of each neighbourhood connect.
+
+    Sets meet within their tile first. Where a neighbourhood has several tiles, the
+    smallest vertex of every component of a tile meets those of other tiles; the largest
+    component so far is then left alone, and all other sets meet all tiles. Two sets of
+    different components are never both in the largest one, so no link is lost, and a
+    neighbourhood of near copies costs its size, not its square.
+    """
+    zero = F.lit(0)
+    dealt = stored(tiles_of(members, tile), "forest-tiles")
+    alone = dealt.select("vertex", "block", F.col("tile").alias("a"), zero.alias("b"), zero.alias("side"))
+    links = _links(texts, alone, n, percent)
+    large = dealt.filter("tiles > 1")
+    if not large.limit(1).count():
+        return components(links, "v", "u")
+    name = lambda found: large.join(
+        found.select(F.col("vertex").alias("far"), "root"), F.col("vertex") == F.col("far"), "left"
+    ).select(*large.columns, F.coalesce("root", "vertex").alias("root"))
+    heads = tiles_of(stored(name(components(links, "v", "u")).filter("vertex = root").select("vertex", "block", "n"), "forest-heads"), tile)
+    links = links.union(_links(texts, heads.select("vertex", "block", F.col("tile").alias("a"), zero.alias("b"), zero.alias("side")), n, percent))
+    named = stored(name(components(links, "v", "u")), "forest-named")
+    counts = stored(named.groupBy("block", "root").agg(F.count("*").alias("size")), "forest-sizes")
+    top = counts.groupBy(F.col("block").alias("own")).agg(F.max("size").alias("most"))
+    top = counts.join(top, (F.col("block") == F.col("own")) & (F.col("size") == F.col("most"))).groupBy(F.col("block").alias("own")).agg(F.min("root").alias("main"))
+    rest = named.join(top, F.col("block") == F.col("own")).filter("root <> main").select("vertex", "block", "n")
+    rest = stored(tiles_of(stored(rest, "forest-rest"), tile), "forest-rest-tiles")
+    shapes = rest.groupBy(F.col("block").alias("own")).agg(F.max("tiles").alias("others"))
+    whole = large.join(shapes, F.col("block") == F.col("own"))
+    side0 = whole.select("vertex", "block", F.col("tile").alias("a"), F.explode(F.sequence(zero, F.col("others") - 1)).alias("b"), zero.alias("side"))
+    width = large.groupBy(F.col("block").alias("own")).agg(F.max("tiles").alias("others"))
+    probes = rest.join(width, F.col("block") == F.col("own"))
+    side1 = probes.select("vertex", "block", F.explode(F.sequence(zero, F.col("others") - 1)).alias("a"), F.col("tile").alias("b"), F.lit(1).alias("side"))
+    links = links.union(_links(texts, side0.union(side1), n, percent))
+    return components(links, "v", "u")
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80,
                 crowd: int = 256, tile: int = 500_000) -> DataFrame:
     """(key, n_shingles, component_id, kept): the smallest key that links reach, itself included; it is kept.
@@ -267,7 +320,6 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     connects the two.
     """
     rows = keyed_text(docs, key, text).withColumn("key", F.col("key").cast("long"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shape = "key long, n long, digest binary, number long, sketch binary, regions array<long>"
     sets = stored(rows.mapInArrow(_read(n), shape), "forest-sets")
     known = sets.filter("digest is not null and key is not null")
@@ -276,9 +328,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     blocks = components(neighbours(sets, percent, crowd), "v", "u")
     blocks = stored(blocks.union(blocks.select("root", "root")).distinct(), "forest-blocks")
     members = vertices.join(blocks, F.col("number") == F.col("vertex")).select(F.col("head").alias("vertex"), F.col("root").alias("block"), "n")
-    texts = rows.join(tiles_of(members, tile), F.col("key") == F.col("vertex")).select("vertex", "text", "tile", "block", "a", "b")
-    links = texts.repartition(parts, "block", "a", "b").groupBy("block", "a", "b").applyInArrow(_confirm(n, percent), "v long, u long")
-    found = components(links, "v", "u").select(F.col("vertex").alias("far"), "root")
+    members = stored(members, "forest-members")
+    texts = marked(rows.filter("key is not null"), members, "vertex")
+    found = linked(texts, members, n, percent, tile).select(F.col("vertex").alias("far"), "root")
     names = vertices.join(found, F.col("head") == F.col("far"), "left")
     names = stored(names.select(F.col("digest").alias("own"), F.coalesce("root", "head").alias("component_id")), "forest-names")
     # rows of one set may be a third of all: a join on small rows, which adaptive execution can split

@@ -185,7 +185,7 @@ def test_one_neighbourhood_of_many_near_copies(spark):
         one[rnd.randrange(400)] = f"x{rnd.randrange(9999)}"
         texts.append(" ".join(one))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = lsh_forest.near_copies(docs, crowd=64, tile=20_000).collect()
+    got = lsh_forest.near_copies(docs, crowd=64, tile=8_000).collect()
     assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
@@ -196,6 +196,31 @@ def test_near_copies_of_odd_rows(odd):
     assert lsh_forest.near_copies(odd.limit(0)).collect() == []
 
 
+def test_tiles_lose_no_link(spark):
+    """Neighbourhoods of several tiles: a large component, chains beside it, and sets that link with nothing."""
+    base = [f"w{i}" for i in range(120)]
+    texts = copied_texts(12, 60, (0.6, 3))
+    for k in range(40):  # near copies of one text, linked directly or in a chain
+        one = list(base)
+        one[(7 * k) % 120] = one[(11 * k) % 120] = f"x{k}"
+        texts.append(" ".join(one))
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "key long, text string, more int")
+    want = {i: c for i, (_, c, _) in brute_components(texts, 5, 80).items()}
+    members = docs.select(F.col("key").alias("vertex"), F.lit(1).alias("block"), F.lit(40).alias("n"))
+    for tile in (10**9, 400):  # one tile, and ten
+        got = {r[0]: r[1] for r in lsh_forest.linked(docs.select("key", "text"), members, 5, 80, tile).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+    assert len(set(want.values())) > 20 and max(list(want.values()).count(c) for c in set(want.values())) > 20
+
+
+def test_marked_rows_hold_all_keys(spark):
+    rows = spark.range(5000).select(F.col("id").alias("key"), F.lit("t").alias("text"))
+    keys = spark.range(0, 5000, 7).select(F.col("id").alias("vertex"))
+    got = {r[0] for r in lsh_forest.marked(rows, keys, "vertex").collect()}
+    assert set(range(0, 5000, 7)) <= got and len(got) < 800
+    assert lsh_forest.marked(rows, keys.limit(0), "vertex").collect() == []
+
+
 def test_forest_misses_less_than_it_says():
     p = lsh_forest.alike_values(80)
     assert 30 <= p <= 40 and (1 - 0.8**lsh_forest.STEP) ** lsh_forest.TREES < 4e-8
