@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 _KNOWN: dict[str, bool] = {}
 
 
+def compiles(pattern: Column) -> Column:
+    """Whether the engine's own expressions library takes ``pattern``."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), pattern, F.lit("")).isNotNull()
+
+
 def valid_regexes(spark: SparkSession, patterns: Iterable[str]) -> set[str]:
     """Those that the engine which will run them compiles; one query over the patterns not seen before."""
     wanted = set(patterns)
     new = sorted(wanted - _KNOWN.keys())
     if new:
-        compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), F.col("p"), F.lit("")).isNotNull()
-        _KNOWN.update(spark.createDataFrame([(p,) for p in new], "p string").select("p", compiled).collect())
+        _KNOWN.update(spark.createDataFrame([(p,) for p in new], "p string").select("p", compiles(F.col("p"))).collect())
     return {p for p in wanted if _KNOWN[p]}
 
 

@@ -201,20 +201,69 @@ def _text_below(texts: Column, node: Column) -> Column:
     return strip_space(F.array_join(F.transform(inside, lambda x: x["text"]), ""))
 
 
+def begin_of() -> Column:
+    """Place of a node's beginning among all beginnings and ends of its page, counted from 0.
+
+    Of the nodes before it, its ancestors have only begun and all others have ended too.
+    """
+    return F.col("node_idx") * 2 - F.col("depth")
+
+
+def end_of() -> Column:
+    """Place of a node's end: every node of the subtree has two places between."""
+    return begin_of() + (F.col("last_idx") - F.col("node_idx")) * 2 + 1
+
+
+# Fixed values of HTML: what is written for a character in text and in attribute values, and elements with raw text.
+IN_TEXT = {"&": "&amp;", "\u00a0": "&nbsp;", "<": "&lt;", ">": "&gt;"}
+IN_VALUE = {"&": "&amp;", "\u00a0": "&nbsp;", '"': "&quot;"}
+RAW_TEXT = ["script", "style", "xmp", "iframe", "noembed", "noframes", "plaintext"]
+
+
+def _written(text: Column, table: dict[str, str]) -> Column:
+    for char, name in table.items():
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
+def _tags() -> tuple[Column, Column]:
+    """What a node writes at its beginning and at its end."""
+    pairs = F.transform(
+        F.reverse(F.map_entries("attributes")), lambda a: F.concat(F.lit(" "), a["key"], F.lit('="'), _written(a["value"], IN_VALUE), F.lit('"'))
+    )
+    is_text, raw = F.col("tag") == "#text", F.coalesce(F.col("parent_tag").isin(RAW_TEXT), F.lit(False))
+    opened = F.concat(F.lit("<"), "tag", F.coalesce(F.array_join(pairs, ""), F.lit("")), F.lit(">"))
+    closed = F.concat(F.lit("</"), "tag", F.lit(">"))
+    first = F.when(is_text & raw, F.col("text")).when(is_text, _written(F.col("text"), IN_TEXT)).otherwise(opened)
+    return first, F.when(is_text | F.col("tag").isin(sorted(VOID)), "").otherwise(closed)
+
+
 def select_nodes(nodes: DataFrame, css: str) -> DataFrame:
-    """Matches of a selector with tag, attributes and trimmed text below."""
-    hit = F.when(selector(css), F.struct("node_idx", "last_idx", "tag", F.to_json("attributes").alias("attributes")))
-    pages = nodes.groupBy("page_id").agg(F.array_sort(F.collect_list(hit)).alias("_hits"), _page_texts().alias("_texts"))
-    rows = F.transform(
-        "_hits",
-        lambda h: F.struct(
-            h["node_idx"].alias("node_idx"),
-            h["tag"].alias("tag"),
-            h["attributes"].alias("attributes"),
-            _text_below(F.col("_texts"), h).alias("text"),
-        ),
+    """Matches of a selector: (page_id, node_idx, tag, attributes, text, html).
+
+    ``text`` is the trimmed text below, ``html`` what stands inside the element. Every node
+    has the interval (``begin_of``, ``end_of``) of places in its page; what is inside an
+    element is the run of places inside its interval, so nothing walks the tree.
+    """
+    first, last = _tags()
+    text = F.when(F.col("tag") == "#text", F.col("text")).otherwise("")
+    at_begin = F.struct(begin_of().alias("at"), first.alias("html"), text.alias("text"))
+    at_end = F.struct(end_of().alias("at"), last.alias("html"), F.lit("").alias("text"))
+    hit = F.struct("node_idx", "tag", F.to_json("attributes").alias("attributes"), begin_of().alias("begin"), end_of().alias("end"))
+    pages = nodes.groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.when(selector(css), hit))).alias("_hits"),
+        F.array_sort(F.flatten(F.collect_list(F.array(at_begin, at_end)))).alias("_places"),
+    )
+    rows = pages.filter(F.size("_hits") > 0).select("page_id", "_places", F.inline("_hits"))
+    inside = F.slice("_places", F.col("begin") + 2, F.col("end") - F.col("begin") - 1)
+    return rows.select(
+        "page_id",
+        "node_idx",
+        "tag",
+        "attributes",
+        strip_space(F.array_join(F.transform(inside, lambda x: x["text"]), "")).alias("text"),
+        F.array_join(F.transform(inside, lambda x: x["html"]), "").alias("html"),
     )
-    return pages.select("page_id", F.inline(rows))
 
 
 # ---- checks: rules compile to conditional aggregates over one pass of the nodes
