@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ def _stats() -> list[Column]:
     ]
 
 
-def usage_by_model(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("model_id").agg(*_stats())
+def usage_by_model(entries: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:
+    return entries.groupBy(*keys).agg(*_stats())
 
 
 def usage_overall(entries: DataFrame) -> DataFrame:

@@ -410,18 +410,52 @@ def _final(t, stream):
     return t.spark.read.parquet(out)
 
 
-@query("usage_live", """SELECT model_id, count(*) AS calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
-   max(prompt_tokens + completion_tokens) AS max_tokens_in_call, min(ts_ms) AS first_ms FROM v_usage GROUP BY 1""")
+LIVE = """count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+   CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens, round(avg(prompt_tokens + completion_tokens), 6) AS avg_tokens_per_call,
+   max(prompt_tokens + completion_tokens) AS max_tokens_in_call, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM v_usage"""
+
+
+@query("usage_live", f"SELECT 'model' AS kind, model_id, {LIVE} GROUP BY model_id UNION ALL SELECT 'overall', NULL, {LIVE}")
 def _(t):
-    return _final(t, live.usage_live(_as_stream(t, t.usage))).select("model_id", "calls", "total_tokens", "max_tokens_in_call", "first_ms")
+    out = scratch_path(t.spark, "updates")
+
+    def keep(batch, name):
+        batch.withColumn("batch", F.lit(name)).write.mode("append").parquet(out)
 
+    stream = live.usage_live(_as_stream(t, t.usage))
+    live.run_batches(stream, "update", keep, scratch_path(t.spark, "state")).awaitTermination()
+    updates = t.spark.read.parquet(out)  # a trigger emits what it changed; the last one holds
+    last = updates.groupBy("kind", "model_id").agg(F.max_by(F.struct(*updates.columns), "batch").alias("r"))
+    return last.select("r.*").drop("batch").withColumn("avg_tokens_per_call", F.round("avg_tokens_per_call", 6))
 
-@query("console_stream_index", "SELECT ts_ms // 86400000 * 86400000 AS start, url, level, count(*) AS n FROM v_console GROUP BY ALL")
+
+@query("console_stream_counts", "SELECT ts_ms // 86400000 * 86400000 AS start, url, level, count(*) AS n FROM v_console GROUP BY ALL")
 def _(t):
-    out = _final(t, live.console_stream_index(_as_stream(t, t.console), "40 days", "1 day"))
+    out = _final(t, live.console_stream_counts(_as_stream(t, t.console), "40 days", "1 day"))
     return out.withColumn("start", F.unix_millis("start"))
 
 
+# the watermark, 40 days behind the newest entry, never passes an entry here; windows that end before it are out
+DAY = "ts_ms // 86400000 * 86400000"
+DONE = "WHERE ts_ms // 86400000 * 86400000 + 86400000 <= (SELECT max(ts_ms) FROM v_console) - 86400000 * 5"
+_COUNTS = ", ".join(f"count(*) FILTER (level = '{x}') AS {x}_count" for x in ("log", "info", "warn", "error", "debug"))
+
+
+@query("console_stream_index", f"""SELECT 'main' AS kind, {DAY} AS start, collection_id, url, NULL AS message, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, {_COUNTS}
+   FROM v_console {DONE} GROUP BY ALL UNION ALL
+   SELECT 'error', {DAY} AS start, collection_id, url, message, count(*), min(ts_ms), NULL, NULL, NULL, NULL, NULL, NULL FROM v_console {DONE} AND level = 'error' GROUP BY ALL""")
+def _(t):
+    main, error, state = (scratch_path(t.spark, x) for x in ("main", "error", "state"))
+    # files arrive in time order, so five days are more than any entry is late
+    path = scratch_path(t.spark, "feed")
+    t.console.repartitionByRange(4, "ts_ms").sortWithinPartitions("ts_ms").write.parquet(path)
+    feed = t.spark.readStream.schema(t.console.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    live.write_console_index(feed, main, error, state, "5 days", "1 day").awaitTermination()
+    left = t.spark.read.parquet(main).drop("run").withColumnsRenamed({"start_ms": "first_ms", "end_ms": "last_ms"}).withColumn("kind", F.lit("main"))
+    right = t.spark.read.parquet(error).drop("run").withColumn("kind", F.lit("error"))
+    return left.unionByName(right, allowMissingColumns=True).withColumn("start", F.unix_millis("start"))
+
+
 @query("content_stream_upsert", "SELECT url, max(page_id) AS id FROM pages GROUP BY 1")
 def _(t):
     path, state = scratch_path(t.spark, "table"), scratch_path(t.spark, "state")
