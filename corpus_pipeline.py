@@ -3,7 +3,7 @@
 Stages are (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame that is written as Parquet and read again as the next one's ``docs``.
 Stages handle null, empty and very long texts, ties, repeated rows, empty tables
-and further columns as their operators state.
+and further columns as their operators state; columns may have any name.
 """
 
 from __future__ import annotations
@@ -12,14 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgauge.llm import decontam, langid, mixing, ngram_join, rans
-from sparkgauge.llm.common import stored, table
+from sparkgauge.llm.common import free_name, stored, table
 from sparkgauge.llm.queries import vocabulary_file
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that have no language: null texts and texts without a letter."""
+KEEP: frozenset[str] | None = None  # languages that stay; None stands for all that the model knows
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: frozenset[str] | None = KEEP) -> DataFrame:
+    """Drop documents without a language (null texts, texts without a letter) and those predicted outside ``keep``.
+
+    Without any labelled row there is no model, and nothing is dropped.
+    """
     model = langid.train(docs)
-    return langid.with_language(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    if not model.families:
+        return docs
+    lang = free_name([*docs.columns, "lang_pred", "score"], "of_text")
+    texts = docs.withColumn(lang, F.col("text"))  # columns of the operator's names stay what they are
+    judged = langid.with_language(texts.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), lang), model, lang)
+    kept = F.col("lang_pred") != langid.UNKNOWN
+    if keep is not None:
+        kept = F.col("lang_pred").isin(*keep)
+    return judged.filter(kept).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold test items."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    own = free_name(docs.columns, "of_row")
+    # ids may be null or repeat, and rows of one id and text are alike
+    row = F.to_json(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
+    docs = docs.withColumn(own, row)
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), own)
+    gone = found.filter("contaminated").select(own).distinct()
+    return docs.join(gone, own, "left_anti").drop(own)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
