@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import by_slices, keyed_text, stored, text_bytes
+from sparkgauge.llm.common import by_slices, free_name, keyed_text, stored, text_bytes
 
 HASHES = 4
 MAX_BITS = 1 << 30
@@ -138,5 +138,6 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", cells
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that are dropped; keys identify rows, and a row without key stays."""
-    gone = exact_groups(docs, key, text).filter("not kept").select(F.col(f"`{key}`").alias("_gone"))
-    return docs.join(gone.distinct(), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    own = free_name(docs.columns, "gone")
+    gone = exact_groups(docs, key, text).filter("not kept").select(F.col(f"`{key}`").alias(own))
+    return docs.join(gone.distinct(), F.col(f"`{key}`") == F.col(own), "left_anti")

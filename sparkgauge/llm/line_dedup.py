@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import stored
+from sparkgauge.llm.common import free_name, stored
 from sparkgauge.session import configure
 
 BUCKETS = 1 << 16
@@ -155,8 +155,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with the repeated lines cut out of ``text``; a text that loses nothing is as it was."""
-    gone = repeated_lines(docs, key, text, percent).filter(F.size("removed") > 0).select(F.col(f"`{key}`").alias("_k"), F.col("removed").alias("_removed"))
-    out = docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_k")), "left")
-    kept = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, i: ~F.array_contains("_removed", i))
-    new = F.when(F.col("_removed").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    name, removed = free_name(docs.columns, "of_key"), free_name(docs.columns, "removed_lines")
+    gone = repeated_lines(docs, key, text, percent).filter(F.size("removed") > 0).select(F.col(f"`{key}`").alias(name), F.col("removed").alias(removed))
+    out = docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(name)), "left")
+    kept = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, i: ~F.array_contains(removed, i))
+    new = F.when(F.col(removed).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
     return out.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

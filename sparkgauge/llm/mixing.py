@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import by_slices, keyed_text, stored, text_bytes
+from sparkgauge.llm.common import by_slices, free_name, keyed_text, stored, text_bytes
 from sparkgauge.operators.positions import with_position
 
 WEIGHTS = (5, 2, 1)
@@ -95,8 +95,9 @@ def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
          weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; keys identify rows."""
     taken = mix(docs, key, text, source, weights, cap, seed)
-    taken = taken.filter("copies > 0").select(F.col(f"`{key}`").alias("_k"), F.col("copies").alias("_copies"))
-    taken = taken.groupBy("_k").agg(F.max("_copies").alias("_copies"))
-    out = docs.join(taken, F.col(f"`{key}`").eqNullSafe(F.col("_k")))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    name, times = free_name(docs.columns, "of_key"), free_name(docs.columns, "times")
+    taken = taken.filter("copies > 0").groupBy(F.col(f"`{key}`").alias(name)).agg(F.max("copies").alias(times))
+    out = docs.join(taken, F.col(f"`{key}`").eqNullSafe(F.col(name)))
+    copy = free_name(out.columns, "copy")
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

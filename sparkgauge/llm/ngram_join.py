@@ -2,7 +2,8 @@
 
 Each document is a set of word n-grams in one global order. Two linked sets differ
 in at most D n-grams, so among the first ``3 * D + 3`` n-grams of their union three
-neighbours are shared, and those are neighbours in both sets: documents that meet
+neighbours are shared, and those are neighbours in both sets (sets too short for that
+share two neighbours or one n-gram, which then are keys as well): documents that meet
 on such a triple, directly or in a chain, form a block that holds every link among
 its members. (A prefix filter on single n-grams meets far more often by chance: one
 shared passage is enough.) Inside a block the sets, most frequent n-gram first, fill
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from sparkgauge.llm.common import (
     by_slices,
     components,
+    free_name,
     hash_runs,
     keyed_text,
     mixed,
@@ -157,19 +160,51 @@ def _summary(n: int, rarity):
     return by_slices(work, SLICE_BYTES)
 
 
+LEAST_PERCENT = 67  # below it, a triple need not be shared whatever the size
+
+
 def most_different(n: int, percent: int) -> int:
-    """The most n-grams in which a set of ``n`` can differ from a linked one: that is 100 / ``percent`` times as large."""
+    """The most n-grams in which a set of ``n`` can differ from a linked one.
+
+    Among partners whose sizes have the same parity the difference grows with the size,
+    so the two largest partners decide.
+    """
     m = 100 * n // percent
-    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
+    return max(n + k - 2 * -(-percent * (n + k) // (100 + percent)) for k in (m, m - 1) if k > 0)
+
+
+@lru_cache(maxsize=None)
+def shared_runs(n: int, percent: int) -> tuple[int, ...]:
+    """Lengths of the runs of neighbours that are keys of a set of ``n``.
+
+    D differing n-grams cut the union into at most D + 1 shared runs. Where the union
+    has 3D + 3 n-grams or more, its first 3D + 3 hold a run of three. Short unions may
+    not reach that: then a run of ceil(shared / (D + 1)) is certain, two or one.
+    """
+    found = {3} if n > 2 else set()
+    if 3 * most_different(n, percent) + 3 > n:  # every union has n n-grams at least
+        for m in range(1, 100 * n // percent + 1):
+            for shared in range(max(1, -(-percent * (n + m) // (100 + percent))), min(n, m) + 1):
+                union, apart = n + m - shared, n + m - 2 * shared
+                if apart and union < 3 * apart + 3:
+                    found.add(min(3, -(-shared // (apart + 1))))
+    return tuple(sorted(found))
 
 
 def triples(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of neighbouring triples at the beginning of an ordered set; none if no other set can be linked."""
-    d = max(most_different(m, percent) for m in (len(s), max(1, len(s) - 1)))  # rounding may favour the smaller size
+    """Hashes of neighbouring triples at the beginning of an ordered set, and of pairs and single
+    n-grams of sets so short that a triple is not certain; none if no other set can be linked."""
+    d = most_different(len(s), percent) if len(s) else 0
     if d < 1:
         return s[:0]
     s = s[: 3 * d + 3]
-    return mixed(s[:-2] * _MIX[1] + mixed(s[1:-1] * _MIX[2] + mixed(s[2:]))) if len(s) > 2 else mixed(s[:1])
+    out = []
+    for run in shared_runs(len(s), percent) if len(s) < 3 * d + 3 else (3,):
+        keys = s[run - 1 :]
+        for k in range(run - 2, -1, -1):
+            keys = mixed(s[k : len(s) - run + 1 + k] * _MIX[2 - k] + mixed(keys))
+        out.append(mixed(keys) if run == 1 else keys)
+    return np.concatenate(out) if out else s[:0]
 
 
 def vertex_of(digest: bytes) -> int:
@@ -375,8 +410,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Null and empty texts, and texts without words, have no n-grams and are linked
     with nothing. Equal sets are linked whatever their texts. The key is an integer;
     rows with a null key are their own component (null); repeated keys count as one
-    document with several sets. An empty table gives an empty result.
+    document with several sets. An empty table gives an empty result. ``percent`` is
+    LEAST_PERCENT at least: below it the blocks would not hold every link.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be {LEAST_PERCENT} to 100")
     rows = keyed_text(docs, key, text).withColumn("key", F.col("key").cast("long"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -399,7 +437,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     names = stored(names.select("_d", F.coalesce("root", "head").alias("component_id")), "ngram-names")
     # rows of one set may be a third of all: a join on small rows, which adaptive execution can split
     out = slim.join(names, F.col("digest") == F.col("_d"), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -408,5 +446,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     A keyless row stays: it is linked with nothing.
     """
     found = jaccard_components(docs, key, text, n, percent)
-    gone = found.filter(F.col(f"`{key}`") > F.col("component_id")).select(F.col(f"`{key}`").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    own = free_name(docs.columns, "gone")
+    gone = found.filter(F.col(f"`{key}`") > F.col("component_id")).select(F.col(f"`{key}`").alias(own)).distinct()
+    return docs.join(gone, F.col(f"`{key}`") == F.col(own), "left_anti")

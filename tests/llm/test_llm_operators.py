@@ -1,6 +1,7 @@
 """Operators of the llm folder on small fixtures, against brute force and round trips."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ from sparkgauge.llm import (
     html_text,
     langid,
     line_dedup,
+    lsh_forest,
     mixing,
     ngram_join,
     rans,
@@ -279,9 +281,60 @@ def test_jaccard_components_against_brute_force(copies):
 
 
 def test_most_different_bounds_every_link():
-    for n in range(1, 120):
-        worst = max((n + m - 2 * o for m in range(1, 200) for o in range(1, min(n, m) + 1) if 100 * o >= 85 * (n + m - o)), default=0)
-        assert max(ngram_join.most_different(n, 85), ngram_join.most_different(max(1, n - 1), 85)) >= worst
+    for percent in (67, 70, 75, 80, 85, 90, 95):
+        for n in range(1, 80):
+            links = ((m, o) for m in range(1, 2 * n) for o in range(1, min(n, m) + 1) if 100 * o >= percent * (n + m - o))
+            assert ngram_join.most_different(n, percent) == max((n + m - 2 * o for m, o in links), default=0)
+
+
+@pytest.mark.parametrize("percent", [67, 70, 75, 80, 85, 90, 95])
+def test_linked_sets_share_a_key(percent):
+    """Every way in which small sets lie in a common order, and evenly cut ones of larger sets."""
+    def check(union, a, b):
+        a, b = (np.array([v for v, u in zip(union, use) if u], np.uint64) for use in (a, b))
+        shared = len(np.intersect1d(a, b))
+        if len(a) + len(b) > 2 * shared and 100 * shared >= percent * (len(a) + len(b) - shared):
+            assert len(np.intersect1d(ngram_join.triples(a, percent), ngram_join.triples(b, percent))), (a, b)
+
+    draw = random.Random(percent)
+    for size in range(1, 9):
+        union = sorted(draw.sample(range(1 << 40), size))
+        for kinds in itertools.product((0, 1, 2), repeat=size):
+            check(union, [k != 1 for k in kinds], [k != 2 for k in kinds])
+    for size in range(9, 160):
+        union = sorted(draw.sample(range(1 << 40), size))
+        apart = (100 - percent) * size // 100
+        for shift in range(4):
+            if apart:
+                step = (size - apart) // (apart + 1)
+                away = {min(size - 1, shift + k * (step + 1)) for k in range(apart)}
+                side = [draw.random() < 0.5 for _ in range(size)]
+                check(union, [i not in away or side[i] for i in range(size)], [i not in away or not side[i] for i in range(size)])
+
+
+def test_short_near_copies_are_linked(spark):
+    """Sets of four and of five n-grams at 0.8, where the fifth one is in a third text, so rarity does not help."""
+    rows = []
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(9)]
+        rows += [(3 * k, " ".join(words[:8])), (3 * k + 1, " ".join(words)), (3 * k + 2, " ".join(words[4:9] + [f"y{k}"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r[0] for r in ngram_join.keep_first(docs).collect()}
+    assert kept == {3 * k for k in range(60)} | {3 * k + 2 for k in range(60)}
+    with pytest.raises(ValueError):
+        ngram_join.jaccard_components(docs, percent=60)
+
+
+def test_columns_may_have_any_name(spark):
+    """Names that the operators might use themselves, in both spellings of case."""
+    names = ["gone", "_gone", "GONE_", "of_key", "times", "copy", "_k", "_copies", "_removed", "removed_lines", "key", "in_source", "row", "vertex", "block"]
+    rows = [(1, "a b c d e f g h", "s", *names), (2, "a b c d e f g h", "s", *names), (3, "x", None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    assert {r["doc_id"] for r in exact_dedup.keep_one(docs).collect()} == {1, 3}
+    assert {r["doc_id"] for r in ngram_join.keep_first(docs).collect()} == {1, 3}
+    assert mixing.take(docs).columns == docs.columns and mixing.take(docs).count() > 0
+    assert line_dedup.without_repeats(docs).filter("text = ''").count() == 1
+    assert lsh_forest.near_copies(docs).filter("kept").count() == 2
 
 
 def test_lines_without_repeats(spark):

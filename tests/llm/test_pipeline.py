@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -135,3 +136,32 @@ def test_stages_against_brute_force(spark, tmp_path):
     starts = np.cumsum([0, *map(len, ids)])
     want = [(r[0], int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, s, x in zip(left, starts, ids)]
     assert run("token_files") == sorted(want)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, gone string, _gone string, lang_pred string, Score string, of_row string"
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Null and repeated ids, columns of the stages' own names, a corpus without labels, an empty one."""
+    item = " ".join(f"q{i}" for i in range(20))
+    clean = " ".join(f"clean{i}" for i in range(30))
+    more = ("a", "b", "c", "d", "e")
+    rows = [(1, item, "en", "s", 1, *more), (1, clean, "en", "s", 1, *more), (None, item, "en", None, 1, *more), (None, clean + " x", "en", None, 1, *more), (2, None, None, None, None, *more), (2, None, None, None, None, *more)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, ODD)
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["decontaminate"](spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(map(repr, left.collect())) == sorted(map(repr, docs.filter(f"text is null or text <> '{item}'").collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert stages["language"](spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).count() == len(rows)
+    assert stages["token_files"](spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_language_stage_uses_its_prediction(spark, tmp_path):
+    rows, _ = corpus()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = corpus_pipeline.language(spark, docs, str(tmp_path), frozenset(["de"])).filter("doc_id < 1000").collect()
+    right = [r for r in kept if r["lang"] == "de"]
+    assert 0.9 * len(kept) <= len(right) < len(rows) / 1.5
