@@ -311,15 +311,20 @@ def merged_prs(prs: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 
 def deployments_latest_status(
-    deployments: DataFrame, statuses: DataFrame, start: datetime, end: datetime
+    deployments: DataFrame, statuses: DataFrame, start: datetime, end: datetime, environment: str | None = None
 ) -> DataFrame:
-    """Newest status per deployment of the period; none means ``pending``."""
+    """Newest status per deployment of the period, of one environment or of all; no status
+    means ``pending``, no environment or an empty one ``unknown``."""
     latest = statuses.groupBy("deployment_id").agg(
         F.max(F.struct("status_at", "status_id", "state")).alias("_s")
     )
     kept = deployments.filter(F.col("created_at").between(start, end))
+    if environment is not None:
+        kept = kept.filter(F.col("environment") == environment)
+    own = [c for c in kept.columns if c != "environment"]
     return kept.join(latest, kept.id == latest.deployment_id, "left").select(
-        *kept.columns,
+        *own,
+        F.coalesce(F.nullif("environment", F.lit("")), F.lit("unknown")).alias("environment"),
         F.coalesce("_s.state", F.lit("pending")).alias("status"),
         F.col("_s.status_at").alias("completed_at"),
     )

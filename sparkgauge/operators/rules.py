@@ -155,16 +155,22 @@ def negative_phrases(text: Column) -> Column:
 
 
 def make_rules(analyzed: DataFrame) -> DataFrame:
-    """Testable rules of at least ten characters with a stable id."""
+    """Testable rules of at least ten characters with a stable id.
+
+    ``rule_id`` ends in the whole digest of section and text, so different rules never
+    share it; ``short_id``, with eight digits of it, is for display.
+    """
     prefix = F.substring(F.regexp_replace(F.lower("section"), "[^a-z0-9]", ""), 1, 10)
-    digest = F.substring(F.md5(F.concat_ws(":", "section", "text")), 1, 8)
+    digest = F.md5(F.concat_ws(":", "section", "text"))
     testable = (F.size("commands") > 0) | ~F.col("type").isin(*UNTESTABLE_TYPES)
     kept = analyzed.filter((F.length("text") >= 10) & testable)
-    return _settled(kept, F.concat_ws("_", prefix, digest).alias("rule_id")).select(
+    ids = [F.concat_ws("_", prefix, digest).alias("rule_id"), F.concat_ws("_", prefix, F.substring(digest, 1, 8)).alias("short_id")]
+    return _settled(kept, *ids).select(
         "doc_id",
         "section_no",
         "line_no",
         "rule_id",
+        "short_id",
         "section",
         F.col("text").alias("description"),
         "type",
@@ -200,9 +206,10 @@ def _action(description: Column) -> Column:
     return F.coalesce(*phrases, F.array_join(F.slice(words, 1, 5), " "))
 
 
-def _scenario_id(kind: str) -> Column:
-    digest = F.substring(F.md5(F.concat(F.col("rule_id"), F.lit(f":{kind}"))), 1, 6)
-    return F.concat_ws("_", F.col("rule_id"), F.lit(kind), digest)
+def _scenario_id(kind: str, at: Column) -> Column:
+    """Of one command (``at`` counts from 0) of one rule line: equal rules at two places have scenarios of their own."""
+    place = F.concat_ws(":", "rule_id", F.lit(kind), "doc_id", "section_no", "line_no", at)
+    return F.concat_ws("_", F.col("rule_id"), F.lit(kind), F.md5(place))
 
 
 def _requirement_prompt(command: Column) -> Column:
@@ -223,34 +230,34 @@ def _prohibition_prompt(command: Column) -> Column:
     )
 
 
-def _preference_prompt() -> Column:
+def _preference_prompt(shown: Column) -> Column:
     low = F.lower("description")
     manager = F.contains(low, F.lit("package manager")) | F.exists("commands", lambda c: has_any(c, ["npm", "yarn", "pnpm"]))
     typed = F.contains(low, F.lit("typescript")) | has_any(F.col("description"), [".tsx", ".ts"])
-    head = F.substring("description", 1, 100)  # fixed value: preview length of the prompt
     return (
         F.when(manager, MANAGER_PROMPT)
         .when(typed, LANGUAGE_PROMPT)
         .when(F.contains(low, F.lit("quote")), QUOTE_PROMPT)
-        .otherwise(F.concat(F.lit("What is the recommended approach for: "), head, F.lit("?")))
+        .otherwise(F.concat(F.lit("What is the recommended approach for: "), shown, F.lit("?")))
     )
 
 
-def scenarios_from_rules(rules: DataFrame) -> DataFrame:
+def scenarios_from_rules(rules: DataFrame, head: int | None = None) -> DataFrame:
     """One scenario per command of a requirement or prohibition, one per preference that names
-    commands, one per workflow rule and one for any other rule.
+    commands, one per workflow rule and one for any other rule. ``head`` limits the
+    description in prompts that quote it to its first characters.
 
     The scenarios of a rule are built inside its row and unfolded, so rules are mined once.
     """
     none = F.array().cast("array<string>")
     kind, expected = F.col("test_type"), F.col("expected_behavior")
-    head = F.substring("description", 1, 150)  # fixed value: preview length of the prompt
+    shown = F.col("description") if head is None else F.substring("description", 1, head)
     flow_prompt = F.concat(F.lit("I need to "), _action(F.col("description")), F.lit(". What steps should I follow?"))
-    plain_prompt = F.concat(F.lit("What should I know about: "), head, F.lit("?"))
+    plain_prompt = F.concat(F.lit("What should I know about: "), shown, F.lit("?"))
 
-    def scenario(name: str, label: str, test: str, prompt: Column, behavior: Column) -> Column:
+    def scenario(name: str, label: str, test: str, prompt: Column, behavior: Column, at: Column = F.lit(0)) -> Column:
         return F.struct(
-            _scenario_id(name).alias("scenario_id"),
+            _scenario_id(name, at).alias("scenario_id"),
             F.lit(label).alias("type"),
             F.lit(test).alias("test_type"),
             prompt.alias("prompt"),
@@ -261,13 +268,13 @@ def scenarios_from_rules(rules: DataFrame) -> DataFrame:
         parts = [contain, not_contain, none, none]
         return F.struct(*[x.alias(k) for x, k in zip(parts, CHECK_KINDS)])
 
-    def required(c: Column) -> Column:
-        return scenario("cmd_req", "positive", "command_requirement", _requirement_prompt(c), wants(F.array(c), none))
+    def required(c: Column, at: Column) -> Column:
+        return scenario("cmd_req", "positive", "command_requirement", _requirement_prompt(c), wants(F.array(c), none), at)
 
-    def prohibited(c: Column) -> Column:
-        return scenario("cmd_prohib", "negative", "command_prohibition", _prohibition_prompt(c), wants(none, F.array(c)))
+    def prohibited(c: Column, at: Column) -> Column:
+        return scenario("cmd_prohib", "negative", "command_prohibition", _prohibition_prompt(c), wants(none, F.array(c)), at)
 
-    one = F.array(scenario("pref", "preference", "preference_check", _preference_prompt(), expected))
+    one = F.array(scenario("pref", "preference", "preference_check", _preference_prompt(shown), expected))
     made = (
         F.when(F.col("type") == "command_requirement", F.transform("commands", required))
         .when(F.col("type") == "command_prohibition", F.transform("commands", prohibited))
@@ -356,8 +363,9 @@ def check_command(response: Column, command: Column) -> Column:
 
 
 def result_scenarios(results: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Each result with its scenario. A scenario id that occurs twice means its last one; an
-    unknown id leaves ``rule_id`` null, which the checks report as a failure."""
+    """Each result with its scenario. An id names one command of one rule line; rows that repeat
+    it (documents with one id) mean the last one. An unknown id leaves ``rule_id`` null,
+    which the checks report as a failure."""
     last = scenarios.groupBy("scenario_id").agg(
         F.max_by(F.struct("rule_id", "expected_behavior"), F.struct("doc_id", "section_no", "line_no")).alias("_s")
     )
@@ -479,12 +487,18 @@ def validation_summary(validations: DataFrame) -> DataFrame:
 
 
 def report_rows(validations: DataFrame) -> DataFrame:
-    """The report as JSON lines: one summary line and one line per validation."""
-    summary = validation_summary(validations)
-    head = summary.select(F.lit("summary").alias("kind"), F.to_json(F.struct(*summary.columns)).alias("line"))
-    fields = ["result_id", "scenario_id", "rule_id", "passed", "checks_passed", "checks_failed", "reason"]
-    rows = validations.select(F.lit("validation").alias("kind"), F.to_json(F.struct(*fields)).alias("line"))
-    return head.unionByName(rows)
+    """The report as JSON lines: a summary line, one per scenario, one per rule and one per validation.
+
+    Scenario and rule lines hold the counts of their validations, whose own lines name both,
+    so no group has to be one value.
+    """
+    def lines(kind: str, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*columns)).alias("line"))
+
+    summary, scenarios, rules = validation_summary(validations), consistency(validations), rule_pass_rates(validations)
+    fields = ["result_id", "scenario_id", "rule_id", "iteration", "passed", "confidence", "checks_passed", "checks_failed", "duration_ms", "reason"]
+    out = lines("summary", summary, summary.columns).unionByName(lines("scenario", scenarios, scenarios.columns))
+    return out.unionByName(lines("rule", rules, rules.columns)).unionByName(lines("validation", validations, fields))
 
 
 def report_markdown(validations: DataFrame) -> DataFrame:

@@ -81,6 +81,9 @@ def LEAD(keys=""):
                    {Q.format('coding_h', 0.5)} AS c, {Q.format('review_h', 0.5)} AS r FROM ({SPANS}) {group})"""
 
 
+# repositories known only to deployments have no lead time
+LEAD_ALL = f"""{LEAD("repo")} UNION ALL SELECT DISTINCT repo, 0.0, 0.0, 0.0, 'elite', 0.0, 0.0, 0.0, 0.0 FROM v_deps
+  WHERE repo NOT IN (SELECT repo FROM v_prs)"""
 LEAD_POINTS = f"SELECT repo, merged_at AS date, id, total_h AS value FROM ({SPANS}) WHERE total_h IS NOT NULL"
 MARKED = f"""SELECT d.*, status = 'failure' OR EXISTS (SELECT 1 FROM v_incidents i
    WHERE epoch_ms(coalesce(i.incident_start, i.created)) > epoch_ms(coalesce(d.completed_at, d.created_at)) - 3600000
@@ -134,12 +137,11 @@ def _(t):
 
 @query(
     "lead_time_by_repo",
-    f"SELECT a.*, coalesce(trend, 'stable') AS trend FROM ({LEAD('repo')}) a "
+    f"SELECT a.*, coalesce(trend, 'stable') AS trend FROM ({LEAD_ALL}) a "
     f"LEFT JOIN ({TREND(LEAD_POINTS, True, 'repo')}) b ON a.repo = b.repo",
 )
 def _(t):
-    # repositories known only to deployments carry no pull request and no lead time
-    return d.lead_time(t.prs, t.deps.join(t.prs.select("repo").distinct(), "repo", "left_semi"), ["repo"])
+    return d.lead_time(t.prs, t.deps, ["repo"])
 
 
 @query("change_failure_rate", f"SELECT * FROM ({CFR()}), ({TREND(CFR_POINTS, True)})")
@@ -297,27 +299,31 @@ def _(t):
 
 
 STATUSES = """SELECT user_id AS deployment_id, event_id AS status_id, ts AS status_at,
-  CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failure' ELSE 'in_progress' END AS state FROM events
-  WHERE event_type <> 'view'"""
+  CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failure' WHEN 'view' THEN 'queued' ELSE 'in_progress' END AS state FROM events"""
+PLACES = "CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'staging' ELSE 'production' END"
+LATEST = f"""SELECT '{{0}}' AS asked, t.ticket_key AS id, coalesce(nullif(environment, ''), 'unknown') AS environment, coalesce(state, 'pending') AS status, epoch_ms(status_at) AS completed_at
+      FROM (SELECT *, {PLACES} AS environment FROM v_tickets) t LEFT JOIN s ON t.id = s.deployment_id AND rn = 1
+      WHERE created_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-25'"""
 
 
 @query(
     "deployments_latest_status",
     f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY status_at DESC, status_id DESC) AS rn
       FROM ({STATUSES}))
-      SELECT t.ticket_key AS id, coalesce(state, 'pending') AS status, epoch_ms(status_at) AS completed_at
-      FROM v_tickets t LEFT JOIN s ON t.id = s.deployment_id AND rn = 1
-      WHERE created_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-02'""",
+      {LATEST.format('all')} UNION ALL {LATEST.format('production')} AND environment = 'production'""",
 )
 def _(t):
-    state = F.expr("CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failure' ELSE 'in_progress' END")
-    statuses = t.events.filter("event_type <> 'view'").select(
+    state = F.expr("CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failure' WHEN 'view' THEN 'queued' ELSE 'in_progress' END")
+    statuses = t.events.select(
         F.col("user_id").alias("deployment_id"), F.col("event_id").alias("status_id"), F.col("ts").alias("status_at"),
         state.alias("state"),
     )
-    deployments = t.tickets.select("id", "ticket_key", "created_at")
-    latest = d.deployments_latest_status(deployments, statuses, utc(2024, 1, 1), utc(2024, 1, 2))
-    return latest.select(F.col("ticket_key").alias("id"), "status", ms("completed_at"))
+    deployments = t.tickets.select("id", "ticket_key", "created_at", F.expr(PLACES).alias("environment"))
+    parts = []
+    for asked in (None, "production"):
+        latest = d.deployments_latest_status(deployments, statuses, utc(2024, 1, 1), utc(2024, 1, 25), asked)
+        parts.append(latest.select(F.lit(asked or "all").alias("asked"), F.col("ticket_key").alias("id"), "environment", "status", ms("completed_at")))
+    return parts[0].unionByName(parts[1])
 
 
 @query("workflow_runs_filter", f"SELECT id, name FROM v_runs WHERE created_at {IN_E} AND contains(path, 'error.yml')")
@@ -398,12 +404,12 @@ def _(t):
 
 @query(
     "lead_time_shares",
-    f"""WITH m AS (SELECT *, coding + pickup + review + deploy AS whole FROM ({LEAD('repo')})),
+    f"""WITH m AS (SELECT *, coding + pickup + review + deploy AS whole FROM ({LEAD_ALL})),
     u AS (UNPIVOT m ON coding, pickup, review, deploy INTO NAME phase VALUE hours)
     SELECT repo, phase, hours, {R2('CASE WHEN whole = 0 THEN 25.0 ELSE hours / whole * 100 END')} AS percent FROM u""",
 )
 def _(t):
-    metric = d.lead_time(t.prs, t.deps.join(t.prs.select("repo").distinct(), "repo", "left_semi"), ["repo"])
+    metric = d.lead_time(t.prs, t.deps, ["repo"])
     return d.lead_time_shares(metric, ["repo"])
 
 

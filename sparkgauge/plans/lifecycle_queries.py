@@ -248,12 +248,11 @@ def _(t):
 @query("usage_export_json", """SELECT 'summary' AS kind, '{"calls":' || count(*) || ',"total_tokens":' || CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) || '}' AS line FROM v_usage
   UNION ALL SELECT 'entry', '{"ts_ms":' || ts_ms || ',"model_id":"' || model_id || '","prompt_tokens":' || prompt_tokens || ',"completion_tokens":' ||
    completion_tokens || ',"total_tokens":' || prompt_tokens + completion_tokens || '}' FROM v_usage
-  UNION ALL SELECT 'model', model_id || ' ' || count(*) FROM v_usage GROUP BY model_id""")
+  UNION ALL SELECT 'model', '{"model_id":"' || model_id || '","calls":' || count(*) || ',"prompt_tokens":' || CAST(sum(prompt_tokens) AS BIGINT) || ',"completion_tokens":' ||
+   CAST(sum(completion_tokens) AS BIGINT) || ',"total_tokens":' || CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) || ',"avg_tokens_per_call":' || avg(prompt_tokens + completion_tokens) ||
+   ',"max_tokens_in_call":' || max(prompt_tokens + completion_tokens) || ',"first_ms":' || min(ts_ms) || ',"last_ms":' || max(ts_ms) || '}' FROM v_usage GROUP BY model_id""")
 def _(t):
-    lines = u.usage_export_json(t.usage)
-    # model lines carry floating means; compare them by model and call count
-    short = F.concat_ws(" ", F.get_json_object("line", "$.model_id"), F.get_json_object("line", "$.calls"))
-    return lines.withColumn("line", F.when(F.col("kind") == "model", short).otherwise(F.col("line")))
+    return u.usage_export_json(t.usage)
 
 
 # ---- evaluation

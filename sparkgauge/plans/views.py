@@ -54,14 +54,15 @@ VIEWS = {
                CASE WHEN event_id % 8 <> 0 THEN CAST(event_id % 13 AS DOUBLE) END AS story_points,
                user_id, value
         FROM {events}""",
-    # the severe errors, as incidents of the delivery metrics
+    # all errors, as incidents of the delivery metrics, spread over some eight years
     "v_incidents": """
-        SELECT id, key, issue_type, created, resolved, labels, epic AS feature_key,
-               id % 4 <> 1 AS is_incident,
+        SELECT id, key, issue_type, created, resolved, labels, feature_key, is_incident, repo,
                CASE WHEN id % 2 = 0 THEN created END AS incident_start,
-               CASE WHEN id % 2 = 0 THEN resolved END AS incident_resolution,
-               'NATION_' || (user_id % 25) AS repo
-        FROM v_issues WHERE issue_type = 'Bug' AND value > 200""",
+               CASE WHEN id % 2 = 0 THEN resolved END AS incident_resolution
+        FROM (SELECT id, key, issue_type, @TSMS(@MS(created) + 259200000 * (id % 997)) AS created,
+                     @TSMS(@MS(resolved) + 259200000 * (id % 997)) AS resolved,
+                     labels, epic AS feature_key, id % 4 <> 1 AS is_incident, 'NATION_' || (user_id % 25) AS repo
+              FROM v_issues WHERE issue_type = 'Bug')""",
     "v_runs": """
         SELECT event_id AS id,
                CASE event_id % 5 WHEN 0 THEN 'Deploy site' WHEN 1 THEN 'unit tests' WHEN 2 THEN 'RELEASE cut'
@@ -186,6 +187,7 @@ VIEWS = {
     "v_validations": """
         SELECT event_id AS result_id, 'scn-' || user_id AS scenario_id, 'rule-' || (user_id % 30) AS rule_id,
                value < 20 + 8 * (user_id % 20) AS passed, event_id % 5 AS checks_passed, event_id % 3 AS checks_failed,
+               event_id % 4 AS iteration, (event_id % 11) / 10.0E0 AS confidence, event_id % 700 AS duration_ms,
                CASE WHEN event_id % 11 = 0 THEN 'Test execution failed' END AS reason
         FROM {events}""",
 }
