@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.timefns import round2
+from sparkgauge.operators.joins import skew_join
 from sparkgauge.operators.positions import newest_per_key
 
 RESERVED_TAGS = ["name", "url", "hasScreenshot", "hasDOM", "hasConsole"]  # fixed value
@@ -186,17 +188,15 @@ def find_duplicates(refs: DataFrame, content: str = "text") -> DataFrame:
     return groups.filter("copies > 1")
 
 
-def duplicate_members(refs: DataFrame, content: str = "text", salts: int = 32) -> DataFrame:
+def duplicate_members(refs: DataFrame, content: str = "text") -> DataFrame:
     """Members of each duplicate group, as rows.
 
-    The group side has one row per hash and is repeated once per salt; members spread
-    over the salts by id, so no task receives a whole hot group.
+    A hash that very many rows share is cut into parts by its counted size, so no task
+    receives a whole hot group and other groups cost nothing more.
     """
     hashed = refs.withColumn("hash", F.coalesce(F.sha2(F.col(content), 256), F.lit("no-hash")))
     groups = find_duplicates(refs, content).select("category", "hash", "copies")
-    spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    members = hashed.select("category", "hash", "id", "path", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"))
-    return members.join(spread, ["category", "hash", "_salt"]).drop("_salt")
+    return skew_join(hashed.select("category", "hash", "id", "path"), groups, ["category", "hash"])
 
 
 def artifact_stats(refs: DataFrame) -> DataFrame:
@@ -321,10 +321,51 @@ def test_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def custom_validation(refs: DataFrame, check: Column | object, name: str) -> DataFrame:
-    """Run a user check: a boolean Column, or a callable DataFrame to DataFrame with
-    (passed, message). A null outcome or a failing expression counts as failed."""
-    if isinstance(check, Column):
-        return refs.select("id", F.lit(name).alias("name"), F.coalesce(check, F.lit(False)).alias("passed"))
-    return check(refs).withColumn("name", F.lit(name))
+ASSERTIONS = "array<struct<description:string, passed:boolean, expected:string, actual:string, error:string>>"
+
+
+def custom_validation(refs: DataFrame, check: Column | Callable[[dict], object], name: str, key: str = "id") -> DataFrame:
+    """Run a user check on every row: (key, name, passed, message, assertions).
 
+    ``check`` is a boolean Column (a null outcome has failed; an expression that may raise
+    has to be written with Spark's ``try_`` functions), or a callable that gets the row as a
+    dict and returns a boolean, one assertion or a list of them: mappings with passed and, if
+    it likes, description, expected, actual and error. All assertions have to pass; none at
+    all is a pass. A callable that raises has failed on that row alone, with its error.
+    """
+    if isinstance(check, Column):
+        passed = F.coalesce(check, F.lit(False))
+        state = F.when(passed, "passed").otherwise("failed")
+        one = F.struct(
+            F.lit(name).alias("description"), passed.alias("passed"), F.lit("Validation passes").alias("expected"),
+            F.initcap(state).alias("actual"), F.lit(None).cast("string").alias("error"),
+        )
+        message = F.concat(F.lit(f'Custom validation "{name}" '), state)
+        return refs.select(key, F.lit(name).alias("name"), passed.alias("passed"), message.alias("message"), F.array(one).alias("assertions"))
+
+    def outcome(row: dict) -> tuple[bool, str, list[dict]]:
+        fields = ("description", "passed", "expected", "actual", "error")
+        try:
+            found = check(row)
+            if isinstance(found, bool) or found is None:
+                found = [{"description": name, "passed": bool(found), "expected": "Validation passes", "actual": "Passed" if found else "Failed"}]
+            elif isinstance(found, Mapping):
+                found = [found]
+            listed = [{f: a.get(f) if f == "passed" or a.get(f) is None else str(a.get(f)) for f in fields} | {"passed": bool(a.get("passed"))} for a in found]
+        except Exception as error:  # noqa: BLE001  whatever a user's check raises is its result
+            said = f"{type(error).__name__}: {error}"
+            failed = dict.fromkeys(fields) | {"description": name, "passed": False, "error": f"Failed to execute custom validation: {said}"}
+            return False, f"Custom validation error: {said}", [failed]
+        passed = all(a["passed"] for a in listed)
+        return passed, f'Custom validation "{name}" {"passed" if passed else "failed"}', listed
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch.astype(object).where(batch.notna(), None).to_dict("records")
+            done = [outcome(row) for row in rows]
+            yield pd.DataFrame({
+                key: batch[key], "name": name, "passed": [d[0] for d in done], "message": [d[1] for d in done], "assertions": [d[2] for d in done],
+            })
+
+    kind = refs.schema[key].dataType.simpleString()
+    return refs.mapInPandas(run, f"`{key}` {kind}, name string, passed boolean, message string, assertions {ASSERTIONS}")

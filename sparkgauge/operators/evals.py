@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.scoring import index_score, score_boolean, score_graded
+from sparkgauge.operators.joins import skew_join
 
 
 def score_predictions(predictions: DataFrame) -> DataFrame:
@@ -89,12 +90,10 @@ def eval_matching(matchings: DataFrame) -> DataFrame:
 def matched_categorizations(matchings: DataFrame, cats: DataFrame) -> DataFrame:
     """Categorizations of every matched content, once per match.
 
-    Matches collapse to a count per content first and are repeated after the join, so a
-    content matched very often does not load one shuffle key on both sides.
+    A content with very many matches is cut into parts by its counted matches.
     """
-    times = matchings.filter(F.col("content_id").isNotNull()).groupBy("content_id").agg(F.count("*").alias("_times"))
-    joined = cats.join(times, "content_id")
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_i", "_times")
+    matched = matchings.filter(F.col("content_id").isNotNull()).select("content_id", F.col("id").alias("_match"))
+    return skew_join(matched, cats, ["content_id"]).select(*cats.columns)
 
 
 def eval_all(matchings: DataFrame, cats: DataFrame) -> DataFrame:

@@ -326,17 +326,21 @@ def assertion_rollup(assertions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def checkpoint_verdict(validations: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All validations passed, and a line that names the type of each failed one.
+    """All validations passed, and a line that names the types of the failed ones.
 
     Failures are counted per type first, so the shuffle carries types, not validations;
-    the line lists types in name order.
+    the line lists types in name order, those that failed more than once with their count.
     """
     per_type = validations.groupBy(*keys, "type").agg(
         F.count("*").alias("_n"), F.count_if(~F.col("passed")).alias("_bad")
     )
-    names = F.flatten(F.array_sort(F.collect_list(F.array_repeat("type", F.col("_bad").cast("int")))))
+    bad, once = F.col("_bad"), F.struct("type", "_bad")
+    named = F.transform(
+        F.array_sort(F.collect_list(F.when(bad > 0, once))),
+        lambda x: F.when(x["_bad"] == 1, x["type"]).otherwise(F.concat(x["type"], F.lit(" x"), x["_bad"])),
+    )
     folded = per_type.groupBy(*keys).agg(
-        F.sum("_n").alias("total"), F.sum("_bad").alias("failed"), F.array_join(names, ", ").alias("_types")
+        F.sum("_n").alias("total"), F.sum("_bad").alias("failed"), F.array_join(named, ", ").alias("_types")
     )
     good = F.concat(F.lit("All "), "total", F.lit(" validation(s) passed"))
     bad = F.concat("failed", F.lit(" of "), "total", F.lit(" validation(s) failed ("), "_types", F.lit(")"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.textfns import content_summary, html_to_text
-from sparkgauge.operators.joins import left_join_hot_right
+from sparkgauge.operators.joins import left_join_hot_right, skew_join
 from sparkgauge.operators.positions import with_position
 from sparkgauge.operators.postings import contained
 from sparkgauge.operators.similarity import nearest, top1
@@ -167,16 +167,19 @@ def cascade_stats(outcomes: DataFrame) -> DataFrame:
 
 
 def export_view(taxonomy: DataFrame, matchings: DataFrame, content: DataFrame, cats: DataFrame) -> DataFrame:
-    """Taxonomy with all its matchings, content and categorizations (fans out)."""
+    """Taxonomy with all its matchings, content and categorizations (fans out).
+
+    Contents that very many matchings name are cut into parts, and matchings without a
+    content stay out of both joins.
+    """
     m = matchings.select("taxonomy_id", "content_id", "similarity_score")
     c = content.select(F.col("id").alias("content_id"), F.col("url").alias("_target"))
     k = cats.select("content_id", "confidence")
     tax = taxonomy.select(F.col("id").alias("taxonomy_id"), F.col("url").alias("source_url"), "category")
+    listed = skew_join(left_join_hot_right(tax, m, ["taxonomy_id"]), c, ["content_id"], "left")
     return (
-        left_join_hot_right(tax, m, ["taxonomy_id"])
-        .join(c, "content_id", "left")
-        .join(k, "content_id", "left")
-        .orderBy("category", F.col("similarity_score").desc_nulls_last())
+        skew_join(listed, k, ["content_id"], "left")
+        .orderBy("category", F.col("similarity_score").desc_nulls_last(), "source_url", "_target", "confidence")
         .select(
             "source_url",
             F.coalesce("_target", F.lit("")).alias("target_url"),
@@ -197,16 +200,15 @@ def best_match_export(taxonomy: DataFrame, matchings: DataFrame, content: DataFr
     best = (
         matchings.filter(F.col("similarity_score") >= 0)
         .groupBy("taxonomy_id")
-        .agg(F.max_by(picked, F.struct("similarity_score", (-F.col("id")).alias("i"))).alias("m"))
+        .agg(F.min_by(picked, F.struct((-F.col("similarity_score")).alias("s"), "id")).alias("m"))
         .select("taxonomy_id", "m.*")
     )
     first = cats.groupBy("content_id").agg(F.min_by("confidence", F.struct("created_ms", "id")).alias("confidence"))
     c = content.select(F.col("id").alias("content_id"), F.col("url").alias("_target"))
+    named = taxonomy.select(F.col("id").alias("taxonomy_id"), F.col("url").alias("source_url"), "category")
+    found = skew_join(skew_join(named.join(best, "taxonomy_id", "left"), c, ["content_id"], "left"), first, ["content_id"], "left")
     return (
-        taxonomy.select(F.col("id").alias("taxonomy_id"), F.col("url").alias("source_url"), "category")
-        .join(best, "taxonomy_id", "left")
-        .join(c, "content_id", "left")
-        .join(first, "content_id", "left")
+        found
         .select(
             "source_url",
             F.coalesce("_target", F.lit("")).alias("target_url"),

@@ -220,10 +220,12 @@ def _(t):
     return c.assertion_rollup(rows, ["level"])
 
 
-@query("checkpoint_verdict", """WITH r AS (SELECT user_id, event_type AS type, value < 200 AS passed FROM events)
+@query("checkpoint_verdict", """WITH r AS (SELECT user_id, event_type AS type, value < 200 AS passed FROM events),
+   f AS (SELECT user_id, string_agg(CASE n WHEN 1 THEN type ELSE type || ' x' || n END, ', ' ORDER BY type) AS types
+     FROM (SELECT user_id, type, count(*) AS n FROM r WHERE NOT passed GROUP BY ALL) GROUP BY 1)
   SELECT user_id, count(*) FILTER (NOT passed) = 0 AS passed, count(*) FILTER (NOT passed) AS failed, count(*) AS total,
    CASE WHEN count(*) FILTER (NOT passed) = 0 THEN 'All ' || count(*) || ' validation(s) passed' ELSE count(*) FILTER (NOT passed) || ' of ' ||
-    count(*) || ' validation(s) failed (' || string_agg(type, ', ' ORDER BY type) FILTER (NOT passed) || ')' END AS message FROM r GROUP BY 1""")
+    count(*) || ' validation(s) failed (' || any_value(types) || ')' END AS message FROM r LEFT JOIN f USING (user_id) GROUP BY 1""")
 def _(t):
     rows = t.events.select("user_id", F.col("event_type").alias("type"), (F.col("value") < 200).alias("passed"))
     return c.checkpoint_verdict(rows, ["user_id"])
@@ -379,9 +381,34 @@ def _(t):
     return a.query_pages(t.screens, None, 1704153600000, 1704499200000, 60).select("id", "ts_ms")
 
 
-@query("custom_validation", "SELECT id, 'small' AS name, size < 5000 AS passed FROM v_artifacts")
+@query("custom_validation", """SELECT id, 'small' AS name, size < 5000 AS passed, 'Custom validation "small" ' || CASE WHEN size < 5000 THEN 'passed' ELSE 'failed' END AS message,
+   CASE WHEN size < 5000 THEN 'Passed' ELSE 'Failed' END AS actual FROM v_artifacts""")
 def _(t):
-    return a.custom_validation(t.artifacts, F.col("size") < 5000, "small")
+    found = a.custom_validation(t.artifacts, F.col("size") < 5000, "small")
+    return found.select("id", "name", "passed", "message", F.get("assertions", F.lit(0))["actual"].alias("actual"))
+
+
+def size_check(row):
+    """A user's check: one assertion, several, a plain answer or an error, by the size."""
+    size = row["size"]
+    if size % 4 == 0:
+        return size < 5000
+    if size % 4 == 1:
+        return {"description": "size", "passed": size > 100, "expected": "> 100", "actual": size}
+    if size % 4 == 2:
+        return [{"passed": size > 10}, {"passed": row["category"] != "dom"}]
+    raise ValueError(f"odd size {size}")
+
+
+@query("custom_validation_results", """SELECT id, 'sizes' AS name, CASE size % 4 WHEN 0 THEN size < 5000 WHEN 1 THEN size > 100 WHEN 2 THEN size > 10 AND category <> 'dom' ELSE FALSE END AS passed,
+   CASE WHEN size % 4 = 3 THEN 'Custom validation error: ValueError: odd size ' || size ELSE 'Custom validation "sizes" ' ||
+     CASE WHEN CASE size % 4 WHEN 0 THEN size < 5000 WHEN 1 THEN size > 100 ELSE size > 10 AND category <> 'dom' END THEN 'passed' ELSE 'failed' END END AS message,
+   CASE WHEN size % 4 = 2 THEN 2 ELSE 1 END AS n, CASE size % 4 WHEN 0 THEN CASE WHEN size < 5000 THEN 'Passed' ELSE 'Failed' END WHEN 1 THEN CAST(size AS STRING) END AS actual,
+   CASE WHEN size % 4 = 3 THEN 'Failed to execute custom validation: ValueError: odd size ' || size END AS error FROM v_artifacts""")
+def _(t):
+    found = a.custom_validation(t.artifacts.select("id", "size", "category"), size_check, "sizes")
+    first = F.get("assertions", F.lit(0))
+    return found.select("id", "name", "passed", "message", F.size("assertions").alias("n"), first["actual"].alias("actual"), first["error"].alias("error"))
 
 
 # ---- snapshots

@@ -346,7 +346,7 @@ def _(t):
         F.when(i % 3 != 0, ((i % 10) / 10.0).cast("string")).alias("confidence"), F.lit("because").alias("reasoning"),
     )
     f.save_dataset_csv(rows, path)
-    return f.load_examples(t.spark, path).select("taxonomy_category", "content_summaries", "best_match_index", "confidence")
+    return f.load_examples(t.spark, path, multi_line=True).select("taxonomy_category", "content_summaries", "best_match_index", "confidence")
 
 
 @query("save_dataset_csv", "SELECT source AS taxonomy_category, text AS content_summaries, CAST(doc_id AS STRING) AS best_match_index FROM documents")
@@ -411,9 +411,10 @@ def _(t):
 
 
 @query("batch_requests_jsonl", f"""SELECT CAST(id AS STRING) AS custom_id, 'm-1' AS model, 'Analyze the following content and categorize it into one of these categories: ' ||
-  (SELECT string_agg(DISTINCT category, ', ' ORDER BY category) FROM v_taxonomy) || chr(10) || chr(10) || 'Title: ' || title || chr(10) || chr(10) || 'Content: ' || substr(content, 1, 2000) || '...' AS head FROM ({CT})""")
+  (SELECT string_agg(DISTINCT category, ', ' ORDER BY category) FROM v_taxonomy) || chr(10) || chr(10) || 'Title: ' || title || chr(10) || chr(10) || 'Content: ' || content || '...' AS head FROM ({CT})""")
 def _(t):
-    lines = f.batch_requests_jsonl(content(t), t.taxonomy, "m-1")
+    names = sorted(r[0] for r in m.category_list(t.taxonomy).collect())  # as many as a prompt can hold
+    lines = f.batch_requests_jsonl(content(t), names, "m-1")
     path = scratch_path(t.spark, "requests")
     f.write_lines(lines, path)
     parsed = t.spark.read.text(path).select(

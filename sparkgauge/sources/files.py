@@ -34,9 +34,9 @@ SOURCE_PATTERNS = [
 EXCLUDED_PARTS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build"]
 
 
-def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
     """Quoted CSV with a header; broken rows keep their text in ``_corrupt``."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     reader = reader.option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE")
     return reader.schema(f"{schema}, _corrupt string").csv(path)
 
@@ -46,10 +46,11 @@ def split_keywords(raw: Column) -> Column:
     return F.filter(parts, lambda k: k != "")
 
 
-def load_taxonomy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_taxonomy(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(taxonomy, quarantined rows). A row without url or category, or with broken CSV, is set
-    aside and the rest loads."""
-    rows = _csv(spark, path, "url string, category string, description string, keywords string")
+    aside and the rest loads. Values that hold line feeds need ``multi_line``, which reads
+    each file in one task; without it files are split."""
+    rows = _csv(spark, path, "url string, category string, description string, keywords string", multi_line)
     good = F.col("_corrupt").isNull() & F.col("url").rlike("^https?://") & F.col("category").isNotNull()
     good = F.coalesce(good, F.lit(False))
     taxonomy = rows.filter(good).select(
@@ -75,11 +76,12 @@ EXAMPLE_COLUMNS = [
 ]
 
 
-def load_examples(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def load_examples(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Training examples; the required columns are enforced, a row whose index is no integer
-    is skipped, confidence defaults to 0, and no valid row at all is an error."""
+    is skipped, confidence defaults to 0, and no valid row at all is an error. CSV values
+    that hold line feeds need ``multi_line``, which reads each file in one task."""
     if fmt == "csv":
-        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        rows = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     else:
         rows = spark.read.option("multiLine", fmt == "json").json(path)
     missing = [c for c in EXAMPLE_COLUMNS if c not in rows.columns]
@@ -205,17 +207,19 @@ REPLY_FORMAT = (  # fixed value
 )
 
 
-def batch_requests_jsonl(content: DataFrame, taxonomy: DataFrame, model: str, temperature: float = 0.3) -> DataFrame:
-    """One JSON request line per content row. The distinct categories are one scalar: every
-    prompt has to hold them, so their list is as small as a prompt."""
-    names = taxonomy.agg(F.array_join(F.array_sort(F.collect_set("category")), ", ")).scalar()
+def batch_requests_jsonl(
+    content: DataFrame, categories: Sequence[str], model: str, temperature: float = 0.3, head: int | None = None
+) -> DataFrame:
+    """One JSON request line per content row. Every prompt holds the ``categories``, in the
+    order given; ``head`` limits the content shown to its first characters."""
+    shown = F.col("content") if head is None else F.substring("content", 1, head)
     prompt = F.concat(
         F.lit("Analyze the following content and categorize it into one of these categories: "),
-        names,
+        F.lit(", ".join(categories)),
         F.lit("\n\nTitle: "),
         F.col("title"),
         F.lit("\n\nContent: "),
-        F.substring("content", 1, 2000),  # fixed value: preview length of the request format
+        shown,
         F.lit("...\n\n" + REPLY_FORMAT),
     )
 

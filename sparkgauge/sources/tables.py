@@ -33,11 +33,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
+SMALL_SPLITS = 16  # a scan of so many splits is two gigabytes at most by default
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of a few small files at least one task per core.
 
     Text work is bound by the processor, and a file is one task however many rows it has.
-    A scan with a split per core or more, which is any large input, passes through as it is.
+    A scan of SMALL_SPLITS or more is never moved, whatever the number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS) else df

@@ -53,9 +53,10 @@ def test_message_rules_mind_the_case(entries):
 
 
 def test_verdict_lines(spark):
-    df = spark.createDataFrame([(1, "dom", True), (1, "dom", False), (1, "console", False), (2, "dom", True)], "k long, type string, passed boolean")
+    data = [(1, "dom", True), (1, "dom", False), (1, "console", False), (2, "dom", True), (3, "dom", False), (3, "dom", False), (3, "a", False)]
+    df = spark.createDataFrame(data, "k long, type string, passed boolean")
     got = {r["k"]: r["message"] for r in logs.checkpoint_verdict(df, ["k"]).collect()}
-    assert got == {1: "2 of 3 validation(s) failed (console, dom)", 2: "All 1 validation(s) passed"}
+    assert got == {1: "2 of 3 validation(s) failed (console, dom)", 2: "All 1 validation(s) passed", 3: "3 of 3 validation(s) failed (a, dom x2)"}
 
 
 PAGE = """<!doctype html><html><head><title> T &amp; x </title><style>p{}</style></head>
@@ -137,8 +138,17 @@ def test_snapshot_tiles_and_bounds(spark):
 def test_user_check(spark):
     refs = spark.createDataFrame([(1, 5), (2, None)], "id long, size long")
     assert [r["passed"] for r in a.custom_validation(refs, F.col("size") > 1, "big").orderBy("id").collect()] == [True, False]
-    by_frame = a.custom_validation(refs, lambda df: df.select("id", F.lit(True).alias("passed")), "mine")
-    assert by_frame.filter("passed and name = 'mine'").count() == 2
+
+    def check(row):
+        if row["size"] is None:
+            raise ValueError("no size")
+        return [{"passed": row["size"] > 1, "actual": row["size"]}, {"passed": True, "description": "always"}]
+
+    got = {r["id"]: r for r in a.custom_validation(refs, check, "mine").collect()}
+    assert got[1]["passed"] and got[1]["message"] == 'Custom validation "mine" passed' and [x["actual"] for x in got[1]["assertions"]] == ["5", None]
+    assert not got[2]["passed"] and got[2]["message"] == "Custom validation error: ValueError: no size" and len(got[2]["assertions"]) == 1
+    for found, want in ((True, True), (None, False), ({"passed": False}, False), ([], True), (3, False)):
+        assert {r["passed"] for r in a.custom_validation(refs, lambda row, f=found: f, "x").collect()} == {want}
 
 
 def test_resolve_url_removes_dot_segments(spark):

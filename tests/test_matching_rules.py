@@ -180,7 +180,7 @@ def test_rule_mining(spark):
     rules = {x["description"]: x for x in r.make_rules(r.analyze_rule(lines)).collect()}
     must = rules["Always run `npm test` before pushing"]
     assert (must["type"], must["priority"], must["test_type"]) == ("command_requirement", "high", "command_check")
-    assert must["rule_id"].startswith("devsetup_") and len(must["rule_id"]) == len("devsetup_") + 8
+    assert must["rule_id"].startswith("devsetup_") and len(must["rule_id"]) == len("devsetup_") + 32 and must["short_id"] == must["rule_id"][:17]
     never = rules["Never run `npm run build` by hand, ever."]
     assert never["type"] == "command_prohibition" and never["negative_rules"] == ["run `npm run build` by hand"]
     assert never["expected_behavior"]["should_not_execute"] == ["npm run build"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge.operators import artifacts, similarity
 from sparkgauge.operators.intervals import exists_within
-from sparkgauge.operators.joins import left_join_hot_right
+from sparkgauge.operators.joins import hot_keys, left_join_hot_right, skew_join
 from sparkgauge.operators.order_stats import halves, percentiles
 from sparkgauge.operators.positions import newest_per_key, with_position
 
@@ -148,6 +148,35 @@ def test_left_join_with_a_hot_right_key(spark, rows):
     assert rows(left_join_hot_right(left, right, ["k"])) == rows(left.join(right, ["k"], "left"))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skew_join_equals_join(spark, rows, threshold, how):
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") % 40)
+    many = spark.range(6000, numPartitions=5).select(key.cast("long").alias("k"), "id", F.lit("x").alias("salt"))
+    few = spark.createDataFrame([(i, f"n{i}") for i in range(0, 40, 2)] + [(7, "hot"), (7, "hot too"), (None, "null")], "k long, name string")
+    for hot_rows in (10**6, 100):
+        got = skew_join(many, few, ["k"], how, hot_rows)
+        assert got.columns == ["k", "id", "salt", "name"] and rows(got) == rows(many.join(few, "k", how))
+    assert {r["k"]: r["parts"] for r in hot_keys(many.filter("k is not null"), ["k"], 100).collect()} == {7: 21}
+
+
+def test_skew_join_spreads_a_hot_key(spark):
+    """A third of the rows on one key and a third without: no task has more than three times the median."""
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") % 5000 + 100)
+    many = spark.range(60_000, numPartitions=6).select(key.cast("long").alias("k"), "id")
+    few = spark.range(6000).select(F.col("id").alias("k"), F.lit("n").alias("name"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sizes = skew_join(many, few, ["k"], "inner", 200).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = sorted(r["count"] for r in sizes)
+    assert sum(sizes) == 40_000 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def _halves(data):
     """(n, a, b) per key from (key, date, id, value) rows."""
     out = {}
