@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,11 +53,13 @@ CLOSES = {  # an open element that a start tag ends
 HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())  # what leaves a head open
 SCOPES = frozenset("html body article aside div footer form header main nav section table td th ul ol dl li blockquote".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[^\s/>]+")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]+")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_VALUE_END = re.compile(r"=\s*[^\s\"'>]*/\Z")  # a last slash that belongs to a value without quotes
 
 
 class Node:
@@ -69,11 +72,10 @@ class Node:
         self.chars = self.links = self.punctuation = self.inline = self.children = 0
 
 
-def _attributes(text: str) -> tuple[frozenset[str], bool]:
+def _attributes(pairs: list[tuple[str, str]]) -> tuple[frozenset[str], bool]:
     """Tokens of class, id and role, and whether the element is hidden."""
     tokens, hidden = set(), False
-    for m in _ATTRIBUTE.finditer(text):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for name, value in pairs:
         if name in ("class", "id", "role", "itemprop", "aria-label"):
             tokens.update(t.lower() for t in _TOKEN.findall(value))
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -81,18 +83,66 @@ def _attributes(text: str) -> tuple[frozenset[str], bool]:
     return frozenset(tokens), hidden
 
 
+def scan_tag(page: str, at: int) -> tuple[int, list[tuple[str, str]], bool] | None:
+    """(place after the tag, attributes, whether it closes itself) of a tag whose name ends at ``at``.
+
+    One pass, attribute by attribute: a value in quotes ends at its quote, one without at
+    white space or ``>`` and may hold quotes. None where the page ends inside the tag.
+    """
+    pairs: list[tuple[str, str]] = []
+    size = len(page)
+    while True:
+        gap = _GAP.match(page, at)
+        at = gap.end()
+        if at >= size:
+            return None
+        if page[at] == ">":
+            return at + 1, pairs, gap[0].endswith("/")
+        name = _ATTRIBUTE.match(page, at)
+        at, value = name.end(), ""
+        equals = _EQUALS.match(page, at)
+        if equals:
+            at = equals.end()
+            quote = page[at : at + 1]
+            if not quote:
+                return None
+            if quote in "\"'":
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            elif quote != ">":
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        pairs.append((name[0].lower(), value))
+
+
+def after_markup(page: str, at: int) -> int:
+    """Place after the comment or declaration that begins at ``at``; the page's end if nothing ends it."""
+    if not page.startswith("<!--", at):
+        end = page.find(">", at)
+        return end + 1 or len(page)
+    if page.startswith((">", "->"), at + 4):  # empty ones
+        return page.index(">", at) + 1
+    ends = [e + len(mark) for mark in ("-->", "--!>") if (e := page.find(mark, at + 4)) >= 0]
+    return min(ends, default=len(page))
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes (the root is 0) and runs of text in page order, each with its node.
 
     Comments, declarations and the content of elements that show no text are left
     out; end tags that open nothing are ignored, missing ones are implied. An open
-    head ends where an element or text begins that cannot stand in it.
+    head ends where an element or text begins that cannot stand in it. Elements that
+    show no text are scopes: what stands in them closes nothing outside. A tag that the
+    page's end cuts off is left out with all it swallows.
     """
     nodes = [Node("html", -1, 0, frozenset(), False)]
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, blocks with their node, inline ones with the block's
+    opened: Counter[str] = Counter(["html"])  # how many of each stand in the stack
     pieces: list[str] = []
-    silent, anchors, at = 0, 0, 0
+    silent, anchors, at, size = 0, 0, 0, len(page)
 
     def flush() -> None:
         if pieces:
@@ -117,31 +167,50 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal silent, anchors
         while len(stack) > index:
             tag, _ = stack[-1]
-            if tag in BLOCKS:
+            if tag in BLOCKS and not silent:
                 flush()
             silent -= tag in SILENT
             anchors -= tag == "a"
+            opened[tag] -= 1
             stack.pop()
 
-    while (m := _TAG.search(page, at)) is not None:
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        following = page[start + 1 : start + 3]
+        ends = following[:1] == "/"
+        letter = following[1:] if ends else following[:1]
+        if not (letter.isascii() and letter.isalpha()):
+            if following[:1] in ("!", "?") or ends and letter:
+                say(page[at:start])
+                at = after_markup(page, start)
+            else:  # no markup: the sign itself
+                say(page[at : start + 1])
+                at = start + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES and tag not in SCOPES:
-                    break
+        say(page[at:start])
+        name = _NAME.match(page, start + 1 + ends)
+        tag = name[0].lower()
+        found = scan_tag(page, name.end())
+        if found is None:
+            at = size
+            break
+        at, pairs, closed = found
+        if ends:
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == tag:
+                        close(i)
+                        break
+                    if (stack[i][0] in SCOPES or stack[i][0] in SILENT) and tag not in SCOPES:
+                        break
             continue
         if stack[-1][0] == "head" and tag not in HEAD:
             close(len(stack) - 1)
         if tag == "head" and stack[-1][0] != "html":
             continue
-        if tag in ("svg", "math") and m[3].endswith("/") and not _VALUE_END.search(m[3]):
+        if tag in ("svg", "math") and closed:
             nodes[stack[-1][1]].inline += 1
             continue
         if tag in ("br", "hr"):
@@ -150,16 +219,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in BLOCKS:
             enders = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in enders or stack[i][0] == "p":  # no block stands in a paragraph
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-            if tag in ("html", "body") and any(t == tag for t, _ in stack):
+            if opened["p"] or any(opened[x] for x in enders):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in enders or stack[i][0] == "p":  # no block stands in a paragraph
+                        close(i)
+                        break
+                    if stack[i][0] in SCOPES or stack[i][0] in SILENT:
+                        break
+            if tag in ("html", "body") and opened[tag]:
                 continue
-            flush()
-            tokens, hidden = _attributes(m[3])
+            if not silent:
+                flush()
+            tokens, hidden = _attributes(pairs)
             parent = stack[-1][1]
             nodes[parent].children += 1
             nodes.append(Node(tag, parent, nodes[parent].depth + 1, tokens, hidden))
@@ -168,10 +239,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[stack[-1][1]].inline += 1
             stack.append((tag, stack[-1][1]))
             anchors += tag == "a"
+        opened[tag] += 1
         silent += tag in SILENT
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.start() if end else len(page)
+        if tag in RAW and not closed:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            at = end.start() if end else size
     say(page[at:])
     close(1)
     flush()
