@@ -8,8 +8,8 @@ record types from the URL and the content, block and payload digests. Equal
 payloads of ``min_revisit`` bytes or more become one response and revisits.
 
 Archives are read with the ``binaryFile`` source, gzip members or plain, and
-parsed as a stream; they are written with the text writer, one file a task, so
-every path is one that Spark itself can read and write.
+parsed as a stream; they are written with the text writer, some thousand records a
+file, so every path is one that Spark itself can read and write.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from sparkgauge.session import scratch_path, ship_package
 
 BATCH = 1 << 23
+FILE_RECORDS = 5_000  # a file is one task's work when it is read
 
 # The fields of a URL record in both versions of the ARC format.
 ARC_FIELDS = {
@@ -164,13 +165,20 @@ def with_revisits(records: DataFrame, min_revisit: int = 1000) -> DataFrame:
     )
 
 
+def _write_text(lines: DataFrame, path: str, end: str) -> None:
+    lines.write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
 def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(name + ": "), value, F.lit("\r\n")), F.lit(""))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write WARC/1.1 files, gzip-compressed; blocks are UTF-8 here. A revisit keeps the HTTP header only."""
-    text = F.decode("block", "UTF-8")
+    """Write WARC/1.1 files, gzip-compressed, of at most FILE_RECORDS records. A revisit keeps the HTTP header only.
+
+    Blocks may hold any bytes: the cast to text keeps them as they are, and so does the text writer.
+    """
+    text = F.col("block").cast("string")
     head = F.concat(F.substring_index(text, "\r\n\r\n", 1), F.lit("\r\n\r\n"))
     body = F.when(F.col("revisit"), head).otherwise(text)
     kind = F.when(F.col("revisit"), "revisit").otherwise(F.col("kind"))
@@ -184,7 +192,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         _line("WARC-Target-URI", F.when(~bare, F.col("url"))),
         _line("WARC-IP-Address", F.when(~bare & (F.col("ip") != "0.0.0.0"), F.col("ip"))),
         _line("WARC-Payload-Digest", F.when(~bare, F.concat(F.lit("sha1:"), "digest"))),
-        _line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(F.encode(body, "UTF-8")))),
+        _line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(body.cast("binary")))),
         _line("WARC-Profile", profile),
         _line("WARC-Refers-To", F.concat(F.lit("<"), "refers_to_id", F.lit(">"))),
         # extension fields, so that a reader needs no second look at the response
@@ -194,7 +202,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         _line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"), body, F.lit("\r\n"),
     )
-    records.select(value.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    _write_text(records.select(value.alias("value")), path, "\r\n")
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -240,7 +248,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
               date: str = "20000101000000") -> None:
-    """Write pages as ARC files, one a task, version 1 and 2 in turn; the key travels in an HTTP field.
+    """Write pages as ARC files of at most FILE_RECORDS records, version 1 and 2 in turn by task; the key travels in an HTTP field.
 
     A null page is an empty payload, a null URL ``unknown:``; white space in a URL is
     percent-encoded. The first record of a file is its version block.
@@ -262,9 +270,9 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
         fields = f"filedesc://pages.arc 0.0.0.0 {date} text/plain" + (" 200 - - 0 pages.arc" if v == "2" else "")
         return f"{fields} {len(body)}\n{body}\n"
 
-    start = F.when(F.col("at").bitwiseAND((1 << 33) - 1) == 0, F.when(second, version("2")).otherwise(version("1"))).otherwise("")
+    start = F.when(F.col("at").bitwiseAND((1 << 33) - 1) % FILE_RECORDS == 0, F.when(second, version("2")).otherwise(version("1"))).otherwise("")
     out = rows.select(F.concat(start, record).alias("value"))
-    out.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    _write_text(out, path, "\n")
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int = 1000) -> None:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -135,6 +136,52 @@ def test_main_text_without_head_end_and_with_closed_icons():
     assert said("<p>one <svg><path d='M0'/><text>no</text></svg> two <svg width=10/>no</svg> three</p>") == ["one two three"]
 
 
+def test_tags_are_scanned_once():
+    """Attribute values of all kinds, cut-off tags, empty comments, blocks in elements that show nothing; a megabyte of bad markup."""
+    said = lambda page: [t for _, t in html_text.parse(page)[1]]
+    assert said("<article><p title=it's>First words here.</p><p>Don't stop now.</p><p>Last one.</p></article>") == ["First words here.", "Don't stop now.", "Last one."]
+    assert said('one<p class="x>two</p><p>three "q" four') == ["one"]
+    assert said("<p a='>' b=\">\" c d = e>in</p>") == ["in"]
+    assert said("<p>hello <template><p>q</p></template>world</p>") == ["hello world"]
+    assert said("<p>a<svg><p>x</p></svg>b</p><p>c<button><div>x</div></button>d<object><p>y</p></object>e</p>") == ["ab", "cde"]
+    assert said("a<!-->b<!--->c<!-- x -->d<!-- y --!>e") == ["abcde"]
+    assert said("1 < 2 <3 a<b>c</b> </ x>d<?php x?>e") == ["1 < 2 <3 ac de"]
+    assert said("<script>no</script >yes<p x") == ["yes"]
+    for page in ("<p x " * 200_000, "<p x='" * 170_000, "<" * 1_000_000, "<b>" * 150_000 + "</i>" * 150_000, "<!--" * 250_000, "<b>" * 60_000 + "<div></div>" * 60_000):
+        start = time.process_time()
+        html_text.parse(page)
+        assert time.process_time() - start < 6  # the square of the length would take hours
+
+
+def test_arc_of_any_bytes(spark, tmp_path):
+    """Latin-1 and binary payloads keep their bytes and digests through the converter."""
+    head = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n"
+    payloads = [b"caf\xe9 " * 300, bytes(range(256)) * 8, b"caf\xe9 " * 300, b"\xff\xfe\r\n\r\n\x00", "é\n\n".encode()]
+    version = b"1 0 x\nURL IP-address Archive-date Content-type Archive-length\n"
+    arc = b"filedesc://a 0.0.0.0 19990102030405 text/plain %d\n%s\n" % (len(version), version)
+    for k, payload in enumerate(payloads):
+        block = head % k + payload
+        arc += b"http://a/%d 1.2.3.4 19990102030405 text/html %d\n%s\n" % (k, len(block), block)
+    image = b"\x89PNG\r\n\x1a\n\x00\xff"
+    arc += b"http://a/i.png 1.2.3.4 19990102030405 image/png %d\n%s\n" % (len(image), image)
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc").write_bytes(arc)
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = {r["url"]: r for r in warc.read_warc(spark, str(tmp_path / "warc")).filter("kind <> 'warcinfo'").collect()}
+    for k, payload in enumerate(payloads):
+        r = got[f"http://a/{k}"]
+        assert (r["payload_bytes"], r["digest"]) == (len(payload), hashlib.sha1(payload).hexdigest())
+        assert bytes(r["block"]) == (head % k + payload if k else head % k) and r["kind"] == ("response" if k else "revisit")
+    assert got["http://a/0"]["refers_to"] == 2 and bytes(got["http://a/i.png"]["block"]) == image
+
+
+def test_archives_of_several_files_a_task(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 7)
+    pages = spark.range(60).repartition(2).selectExpr("id page_id", "'u' || id url", "repeat('x', int(id * 40)) html")
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.archive_round_trip(pages).collect()}
+    assert got == {i: 40 * i for i in range(60)}
+
+
 def test_main_text_of_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html_text.extract(pages, html_text.train(pages)).join(pages.select("page_id", "html"), "page_id").collect():
