@@ -16,7 +16,8 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     Rows are range-partitioned by (keys, order) and sorted, so a hot key spreads over
     many partitions. The sorted rows are checkpointed: the partition layout is then
     fixed, and the index inside a partition plus the row counts of the key in earlier
-    partitions gives the position. ``order`` must be unique within a key.
+    partitions gives the position. Rows that tie in ``order`` get different positions in
+    no stated order; with a unique order reruns agree.
     """
     columns = df.columns
     sort = [F.col(k) for k in keys] + list(order)
@@ -37,7 +38,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
         F.sum("_n").over(per_key).alias("total"),
     )
-    on =F.col("_part") == F.col("_run_part")
+    on = F.col("_part") == F.col("_run_part")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return rows.join(runs, on).select(
