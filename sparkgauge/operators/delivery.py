@@ -23,8 +23,9 @@ from sparkgauge.functions.levels import (
 )
 from sparkgauge.functions.timefns import diff_hours, diff_ms, round2
 from sparkgauge.operators.intervals import exists_within
-from sparkgauge.operators.order_stats import counted_percentiles, halves, percentiles
+from sparkgauge.operators.order_stats import counted_percentiles, halves, percentiles, time_bucket
 from sparkgauge.operators.trends import direction
+from sparkgauge.session import scratch_path
 
 DEPLOY_DELAY_HOURS = 2.0  # fixed value: assumed merge-to-deploy delay
 METRICS = ("lead", "failure", "recovery")  # those with a trend
@@ -168,53 +169,67 @@ def _presence(deployments: DataFrame, by: Sequence[str]) -> DataFrame:
 def _measure(facts: Sequence[DataFrame], trended: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     """All raw measures per group; no row is sorted but those around the middle of a trend.
 
-    One aggregate over the stacked ``facts`` gives totals, one counts whole hours for the
-    percentiles, and ``halves`` splits ``trended`` (metric, keys, date, id, value) in time.
-    The three meet by a union of their small results, so no group is lost.
+    One aggregate counts the stacked ``facts``: rows, outcomes, whole hours (a group has a
+    bounded number of distinct ones) and time buckets. Totals, percentiles and the first
+    step of the trends are read off its small result; ``trended`` (metric, keys, date, id,
+    value) is read once more for the rows in the middle. The parts meet in a union, so no
+    group is lost.
     """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
-    for column, kind in (("coding", "long"), ("review", "long"), ("failed", "boolean"), ("succeeded", "boolean")):
+    columns = {"date": "timestamp", "value": "double", "coding": "long", "review": "long", "failed": "boolean", "succeeded": "boolean"}
+    for column, kind in columns.items():
         if column not in stacked.columns:
             stacked = stacked.withColumn(column, F.lit(None).cast(kind))
-    value = F.col("value")
-
-    def only(metric: str, x: Column) -> Column:
-        return F.when(F.col("metric") == metric, x)
-
-    sums = [F.count(only(m, F.lit(1))).alias(f"{m}_rows") for m in METRICS]
-    sums += [mean_or_zero(only(m, value)).alias(f"{m}_mean") for m in ("lead", "recovery")]
-    sums += [
-        F.count_if("failed").alias("failed"),
-        F.count_if("succeeded").alias("succeeded"),
-        F.count(only("deployed", F.lit(1))).alias("deployments"),
+    metric, value = F.col("metric"), F.col("value")
+
+    def entry(test: Column, kind: Column, code: Column, x: Column) -> Column:
+        return F.when(test, F.struct(kind.alias("kind"), code.cast("long").alias("code"), x.cast("double").alias("x")))
+
+    zero, nothing, has = F.lit(0), F.lit(None), value.isNotNull()
+    entries = [
+        entry(F.lit(True), F.concat(F.lit("rows "), metric), zero, nothing),
+        entry(F.col("failed"), F.lit("failed"), zero, nothing),
+        entry(F.col("succeeded"), F.lit("succeeded"), zero, nothing),
+        entry(has & metric.isin("lead", "recovery"), metric, value, nothing),
+        entry(F.col("coding").isNotNull(), F.lit("coding"), F.col("coding"), nothing),
+        entry(F.col("review").isNotNull(), F.lit("review"), F.col("review"), nothing),
+        entry(has & metric.isin(*METRICS), F.concat(F.lit("time "), metric), time_bucket(), value),
     ]
-    totals = stacked.groupBy(*by).agg(*sums)
-
-    spans = {"lead": only("lead", value), "recovery": only("recovery", value), "coding": F.col("coding"), "review": F.col("review")}
-    listed = F.array(*[F.struct(F.lit(n).alias("span"), c.cast("double").alias("value")) for n, c in spans.items()])
-    # durations are whole hours, so a group has a bounded number of distinct ones
-    hours = stacked.select(*by, F.inline(listed)).filter("value is not null")
-    counts = hours.groupBy(*by, "span", "value").agg(F.count("*").alias("n"))
-    ranked = counted_percentiles(counts, [*by, "span"], {"median": 0.5, "p90": 0.9})
-    of = lambda n, c: F.max(F.when(F.col("span") == n, F.col(c)))
-    shares = [of(n, c).alias(f"{n}_{c}") for n in spans for c in ("median", "p90")]
-    ranked = ranked.groupBy(*by).agg(*shares)
-
-    points = reduce(lambda a, b: a.unionByName(b), trended) if trended else None
-    small = [totals, ranked]
-    if points is not None:
-        split = halves(points.filter("value is not null"), ["metric", *by])
-        sides = [F.max(only(m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in ("n", "a", "b")]
-        small.append(split.groupBy(*by).agg(*sides))
+    melted = stacked.select(*by, F.inline(F.array_compact(F.array(*entries))))
+    counted = melted.groupBy(*by, "kind", "code").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
+    spark = counted.sparkSession
+    path = scratch_path(spark, "counts")
+    counted.write.parquet(path)
+    counts = spark.read.schema(counted.schema).parquet(path)
+
+    def total(kind: str) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.col("n")))
+
+    def mean(kind: str) -> Column:
+        return F.try_divide(F.sum(F.when(F.col("kind") == kind, F.col("code") * F.col("n"))), total(kind))
+
+    sums = [total(f"rows {m}").alias(f"{m}_rows") for m in METRICS] + [mean(m).alias(f"{m}_mean") for m in ("lead", "recovery")]
+    sums += [total("failed").alias("failed"), total("succeeded").alias("succeeded"), total("rows deployed").alias("deployments")]
+    totals = counts.groupBy(*by).agg(*sums)
+
+    spans = ("lead", "recovery", "coding", "review")
+    hours = counts.filter(F.col("kind").isin(*spans)).select(*by, "kind", F.col("code").cast("double").alias("value"), "n")
+    ranked = counted_percentiles(hours, [*by, "kind"], {"median": 0.5, "p90": 0.9})
+    of = lambda n, c: F.max(F.when(F.col("kind") == n, F.col(c)))
+    ranked = ranked.groupBy(*by).agg(*[of(n, c).alias(f"{n}_{c}") for n in spans for c in ("median", "p90")])
+
+    times = counts.filter(F.col("kind").startswith("time ")).select(F.substring("kind", 6, 99).alias("metric"), *by, "code", "n", F.col("n").alias("c"), "s")
+    points = reduce(lambda a, b: a.unionByName(b), trended)
+    split = halves(points.filter("value is not null"), ["metric", *by], times)
+    sides = [F.max(F.when(metric == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in ("n", "a", "b")]
+    small = [totals, ranked, split.groupBy(*by).agg(*sides)]
     together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), small)
     names = [c for c in together.columns if c not in by]
     measured = together.groupBy(*by).agg(*[F.max(c).alias(c) for c in names])
     measured = measured.fillna(0, [c for c in names if c[-2:] not in ("_a", "_b")])
     rate = F.coalesce(F.try_divide(F.col("failed"), F.col("failure_rows")) * 100, F.lit(0.0))
-    more = [rate.alias("failure_rate"), (F.col("deployments") > 0).alias("deployed")]
-    if points is not None:
-        more += [direction(F.col(f"{m}_n"), F.col(f"{m}_a"), F.col(f"{m}_b"), F.lit(True)).alias(f"{m}_trend") for m in METRICS]
-    return measured.select("*", *more)
+    trends = [direction(F.col(f"{m}_n"), F.col(f"{m}_a"), F.col(f"{m}_b"), F.lit(True)).alias(f"{m}_trend") for m in METRICS]
+    return measured.select("*", rate.alias("failure_rate"), (F.col("deployments") > 0).alias("deployed"), *trends)
 
 
 def lead_time(prs: DataFrame, deployments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -315,6 +330,8 @@ def deployments_latest_status(
 ) -> DataFrame:
     """Newest status per deployment of the period, of one environment or of all; no status
     means ``pending``, no environment or an empty one ``unknown``."""
+    if "environment" not in deployments.columns:
+        deployments = deployments.withColumn("environment", F.lit(None).cast("string"))
     latest = statuses.groupBy("deployment_id").agg(
         F.max(F.struct("status_at", "status_id", "state")).alias("_s")
     )

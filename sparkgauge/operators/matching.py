@@ -294,12 +294,12 @@ def keyword_best_candidate(taxonomy: DataFrame, content: DataFrame, head: int |
     words = words.filter("word is not null").groupBy("taxonomy_id", "word").agg(F.max("main").alias("main"), F.sum("key").alias("key"))
     texts = content.select(F.col("id").alias("content_id"), lowered("title").alias("title"), _head(lowered("content"), head).alias("body"))
     literals = words.select(F.col("word").alias("literal")).distinct()
-    held = [
-        contained(texts.select(F.col("content_id").alias("key"), F.col(part).alias("text")), literals).withColumn("part", F.lit(flag))
-        for part, flag in (("title", 1), ("body", 2))
-    ]
+    # one search for titles (part 1) and bodies (part 2)
+    parts = F.inline(F.array(F.struct(F.lit(1).alias("part"), F.col("title").alias("text")), F.struct(F.lit(2).alias("part"), F.col("body").alias("text"))))
+    sides = texts.select("content_id", parts).select(F.struct("content_id", "part").alias("key"), "text")
+    held = contained(sides, literals).select(F.col("key.content_id").alias("key"), F.col("key.part").alias("part"), "literal")
     # which words a content holds, and whether in the title (1), the body (2) or both (3)
-    places = held[0].unionByName(held[1]).groupBy("key", "literal").agg(F.sum("part").alias("part"))
+    places = held.groupBy("key", "literal").agg(F.sum("part").alias("part"))
     profiles = places.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("literal", "part"))).alias("profile"))
     profiles = profiles.groupBy("profile").agg(F.min("key").alias("content_id"))
     spread = profiles.select("content_id", F.inline("profile"))

@@ -13,10 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkgauge.session import scratch_path
+
 # Of microseconds: buckets of 72 minutes, then of 4 ms. The last level below these is exact.
 TIME_SHIFTS = (32, 12)
 ID_LETTERS = 4  # rows of one instant are told apart by so many letters of their ids before they are ranked
-BINS = 4096  # of the coarse histogram of values
+BINS = 64  # of the coarse histogram of values, for each doubling
 
 
 def _same(left: Sequence[str], prefix: str) -> Column:
@@ -34,33 +36,46 @@ def _free(columns: Sequence[str], stem: str) -> str:
     return stem
 
 
-def halves(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def _micros() -> Column:
+    return F.coalesce(F.unix_micros(F.col("date").cast("timestamp")), F.lit(-(1 << 62)))
+
+
+def time_bucket() -> Column:
+    """The widest bucket of ``date``, by which ``halves`` counts first."""
+    return F.shiftright(_micros(), TIME_SHIFTS[0])
+
+
+def halves(points: DataFrame, keys: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
     """(keys, n, a, b): rows, and means of ``value`` over the earlier floor(n / 2) rows and over the others.
 
     ``points`` has (keys, date, id, value); rows are ordered by date, then by id as text,
     nulls first. Null values take a place and do not count in the means. Rows that agree
     in date and id may fall on either side. No rows give no result, also without keys.
+
+    Points are read twice: to be counted by ``time_bucket``, unless the caller has done so
+    (``counts``: keys, code, n, c values that are not null, s their sum), and to set aside
+    those of the bucket in the middle of their group, which are all that is looked at again.
     """
     x = _free(keys, "p_")
     code, name, value, level = x + "code", x + "name", x + "value", x + "level"
-    micros = F.coalesce(F.unix_micros(F.col("date").cast("timestamp")), F.lit(-(1 << 62)))
     rows = points.select(
-        *keys, micros.alias(code), F.coalesce(F.col("id").cast("string"), F.lit("")).alias(name), F.col("value").cast("double").alias(value)
+        *keys, _micros().alias(code), F.coalesce(F.col("id").cast("string"), F.lit("")).alias(name), F.col("value").cast("double").alias(value)
     )
     buckets = [F.struct(F.shiftright(code, s).alias("code"), F.lit("").alias("name")) for s in TIME_SHIFTS]
     buckets.append(F.struct(F.col(code).alias("code"), F.substring(name, 1, ID_LETTERS).alias("name")))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     upto = group.orderBy("code", "name").rowsBetween(Window.unboundedPreceding, 0)
     found: list[DataFrame] = []  # per level: what is certainly early
-    want = None
-    for bucket in buckets:
-        counted = rows.withColumn(level, bucket).groupBy(*keys, f"{level}.code", f"{level}.name").agg(
-            F.count("*").alias("n"), F.count(value).alias("c"), F.sum(value).alias("s"), *([F.first(want).alias(want)] if want else [])
-        )
+    want = x + "want"
+    for depth, bucket in enumerate(buckets):
+        if depth == 0 and counts is not None:
+            counted = counts.select(*keys, "code", F.lit("").alias("name"), "n", "c", "s")
+        else:
+            sums = [F.count("*").alias("n"), F.count(value).alias("c"), F.sum(value).alias("s"), *([F.first(want).alias(want)] if depth else [])]
+            counted = rows.withColumn(level, bucket).groupBy(*keys, f"{level}.code", f"{level}.name").agg(*sums)
         counted = counted.withColumns({m + "_upto": F.sum(m).over(upto) for m in "ncs"})
-        if want is None:
+        if not depth:
             counted = counted.withColumns({m + "_all": F.sum(m).over(group) for m in "ncs"})
-            want = x + "want"
             counted = counted.withColumn(want, F.floor(F.col("n_all") / 2))
             totals = counted.groupBy(*keys).agg(*[F.first(f"{m}_all").alias(f"{m}_all") for m in "ncs"])
         before = F.col("n_upto") - F.col("n")
@@ -74,6 +89,10 @@ def halves(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         rows = rows.drop(want).withColumn(level, bucket)
         rows = rows.join(twin, _same(keys, x) & (F.col(f"{level}.code") == F.col(x + "c")) & (F.col(f"{level}.name") == F.col(x + "n")))
         rows = rows.select(*keys, code, name, value, F.col(x + "w").alias(want))
+        if not depth:  # the rows of one bucket a group
+            path = scratch_path(points.sparkSession, "middle")
+            rows.write.parquet(path)
+            rows = points.sparkSession.read.schema(rows.schema).parquet(path)
     place = F.row_number().over(group.orderBy(code, name))
     last = rows.withColumn(x + "place", place).filter(F.col(x + "place") <= F.col(want))
     found.append(last.groupBy(*keys).agg(F.count(value).alias("c"), F.sum(value).alias("s")))
@@ -117,20 +136,18 @@ def counted_percentiles(counts: DataFrame, keys: Sequence[str], shares: Mapping[
 def percentiles(df: DataFrame, keys: Sequence[str], value: Column, shares: Mapping[str, float]) -> DataFrame:
     """(keys, one column per share) of ``value``, which is taken as a double; 0 where a group has no value.
 
-    A first pass counts values in bins between the least and the largest of the group; a
-    second one counts the distinct values of the bins that hold a wanted rank, and only
-    those. The bins before them are one row each, which stands for their count.
+    A first pass counts values in bins of one per cent of their size; a second one counts
+    the distinct values of the bins that hold a wanted rank, and only those. The other bins
+    are one row each, which stands for their count.
     """
     x = _free([*df.columns, *keys], "p_")
-    v, low, high, cell, one = x + "value", x + "low", x + "high", x + "bin", x + "one"
+    v, cell, one = x + "value", x + "bin", x + "one"
     asked, rows = list(keys), df.select(*keys, value.cast("double").alias(v))
     if not keys:
         keys, rows = [one], rows.withColumn(one, F.lit(1))
-    spans = rows.groupBy(*keys).agg(F.min(v).alias(low), F.max(v).alias(high))
-    spans = spans.select(*[F.col(k).alias(x + k) for k in keys], low, high)
-    placed = F.floor((F.col(v) - F.col(low)) / (F.col(high) - F.col(low)) * BINS)
-    placed = F.when(F.col(high) > F.col(low), F.least(placed, F.lit(BINS - 1))).otherwise(0)
-    binned = rows.filter(F.col(v).isNotNull()).join(spans, _same(keys, x)).select(*keys, v, placed.alias(cell))
+    step = (F.floor(F.log2(F.abs(v)) * BINS) + (1 << 20)).cast("long")  # log2 of a double lies between -1075 and 1024
+    placed = F.when(F.col(v) > 0, step).when(F.col(v) < 0, -step).when(F.isnan(v), F.lit(1 << 21)).otherwise(0)
+    binned = rows.filter(F.col(v).isNotNull()).select(*keys, v, placed.alias(cell))
     coarse = binned.groupBy(*keys, cell).agg(F.count("*").alias("n"), F.min(v).alias("value"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     coarse = coarse.withColumn("upto", F.sum("n").over(group.orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)))

@@ -274,7 +274,9 @@ def _(t):
    FROM v_taxonomy t JOIN ({KEYWORDS}) k ON k.id = t.id, c)
   SELECT taxonomy_id, content_id, CAST(score AS DOUBLE) AS score FROM x QUALIFY row_number() OVER (PARTITION BY taxonomy_id ORDER BY score DESC, content_id) = 1""")
 def _(t):
-    return m.keyword_best_candidate(taxonomy(t), content(t))
+    path = scratch_path(t.spark, "content")  # plain text, as a content table has it
+    content(t).select("id", "title", "content").write.parquet(path)
+    return m.keyword_best_candidate(taxonomy(t), t.spark.read.parquet(path))
 
 
 @query("build_dataset")
