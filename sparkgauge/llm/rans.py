@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import by_slices, keyed_text, stored
+from sparkgauge.llm.common import by_slices, hash_runs, keyed_text, stored
 from sparkgauge.session import scratch_path
 
 SCALE_BITS = 20
@@ -112,13 +113,15 @@ class Tokenizer:
     The pre-tokenizer of byte-level BPE cuts before every single space between two
     characters that are not white space, and what lies between two such cuts gets
     the same ids wherever it stands. So texts are cut there, and each distinct piece
-    goes through the library once. A new piece is cut further where that is as
+    goes through the library once: pieces meet as 64-bit hashes, and the ids of a slice of
+    texts are gathered from one pool at once. A new piece is cut further where that is as
     safe: at a single line feed, and between letters and punctuation at the end. A
     text with other white space beside a space goes through the library whole, and so
     does one that holds the string of an added token, which the library takes as that token.
     """
 
-    CACHE = 60_000  # entries of a generation; there are two
+    CACHE = 60_000  # parts of a generation; there are two
+    PIECES = 300_000  # pieces that are kept of twice as many: some 25 MB
     SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
     PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -135,22 +138,48 @@ class Tokenizer:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.spelling = {b: 256 + k for k, b in enumerate(hidden)}
-        self.forget()
-
-        self.atoms: dict[str, bytes] = {}  # by parts of pieces as they stand; kept from task to task
-        self.old_atoms: dict[str, bytes] = {}
-
-    def forget(self) -> None:
-        """Empty the cache of pieces: ids by what follows the space."""
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.atoms: dict[str, list[int]] = {}  # by parts of pieces as they stand; kept from task to task
+        self.old_atoms: dict[str, list[int]] = {}
+        # pieces by their hash, ascending: place and number of their ids in the pool, and when they were last used
+        self.known, self.clock = np.zeros(0, np.uint64), 0
+        self.offset, self.length, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, self.dtype)
 
     def _age(self) -> None:
-        """A full cache becomes the old one; what is used again moves back."""
-        if len(self.pieces) > self.CACHE:
-            self.old_pieces, self.pieces = self.pieces, {}
+        """Bounds both caches: parts in two generations, pieces by their last use."""
+        self.clock += 1
         if len(self.atoms) > self.CACHE:
             self.old_atoms, self.atoms = self.atoms, {}
+        if len(self.known) > 2 * self.PIECES:
+            kept = np.sort(np.argpartition(self.used, len(self.used) - self.PIECES)[-self.PIECES :])
+            self.pool = self._gathered(self.offset[kept], self.length[kept])
+            self.known, self.length, self.used = self.known[kept], self.length[kept], self.used[kept]
+            self.offset = np.cumsum(self.length) - self.length
+
+    def _gathered(self, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Runs of the pool, one after the other."""
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(offset - ends + length, length) + np.arange(total)]
+
+    def _places(self, hashes: np.ndarray, spelled: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """Index of each of the ascending ``hashes`` among the known pieces; ``spelled`` gives the new ones."""
+        at = np.searchsorted(self.known, hashes)
+        new = np.flatnonzero(at == len(self.known)) if not len(self.known) else np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != hashes)
+        if len(new):
+            found = self._learn(spelled(new))
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            offsets = len(self.pool) + np.cumsum(lengths) - lengths
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), self.dtype, int(lengths.sum()))])
+            known = np.concatenate([self.known, hashes[new]])
+            order = np.argsort(known, kind="stable")
+            self.known = known[order]
+            self.offset = np.concatenate([self.offset, offsets])[order]
+            self.length = np.concatenate([self.length, lengths])[order]
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])[order]
+            at = np.searchsorted(self.known, hashes)
+        self.used[at] = self.clock
+        return at
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -178,68 +207,77 @@ class Tokenizer:
                 out.append(line)
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces, by cache key."""
-        atoms, old, pieces = self.atoms, self.old_atoms, self.pieces
-        model, spelling, code = self.library.model, self.spelling, self.dtype.char
+    def _learn(self, new: list[str]) -> list[list[int]]:
+        """Ids of new pieces, each given by what follows its space; one without a space before it starts with a space here."""
+        atoms, old, punctuation = self.atoms, self.old_atoms, self.PUNCTUATION
+        tokenize, spelling = self.library.model.tokenize, self.spelling
 
-        def word(a: str) -> bytes:  # letters after at most one space are one pre-token, so straight to the model
+        def word(a: str) -> list[int]:  # letters after at most one space are one pre-token, so straight to the model
             spelled = a.replace(" ", "\u0120") if a.isascii() else a.encode().decode("latin-1").translate(spelling)
-            return array(code, [x.id for x in model.tokenize(spelled)]).tobytes()
+            return [x.id for x in tokenize(spelled)]
 
-        cuts, unknown = {}, set()
+        out: list[list[int]] = []
+        unknown: set[str] = set()
+        late: list[tuple[int, list[str]]] = []
         for key in new:
-            stem = key.rstrip(self.PUNCTUATION)
-            if not stem.isalpha():
-                cuts[key] = parts = self.cut(key[1:] if key[:1] == " " else " " + key)
-            elif len(stem) == len(key):
-                parts = (" " + key,)
-            else:
-                cuts[key] = parts = (" " + stem, key[len(stem) :])
-            for a in parts:
-                if a in atoms:
-                    continue
-                ids = old.get(a)
-                if ids is None and (a.isalpha() or a[:1] == " " and a[1:].isalpha()):
+            if key.isalpha():
+                a = " " + key
+                ids = atoms.get(a) or old.get(a)
+                if not ids:
                     ids = word(a)
-                if ids is None:
-                    unknown.add(a)
-                else:
-                    atoms[a] = ids
-            if len(parts) == 1 and parts[0] in atoms:
-                pieces[key] = atoms[parts[0]]
-        unknown = list(unknown)
-        for k in range(0, len(unknown), 4096):
-            part = unknown[k : k + 4096]
-            atoms.update(zip(part, self._library(part)))
-        for key, parts in cuts.items():
-            pieces[key] = b"".join([atoms[a] for a in parts])
+                atoms[a] = ids
+                out.append(ids)
+                continue
+            stem = key.rstrip(punctuation)
+            parts = [" " + stem, key[len(stem) :]] if stem.isalpha() else self.cut(key[1:] if key[:1] == " " else " " + key)
+            for a in parts:
+                if a not in atoms:
+                    ids = old.get(a)
+                    if not ids and (a.isalpha() or a[:1] == " " and a[1:].isalpha()):
+                        ids = word(a)
+                    if ids:
+                        atoms[a] = ids
+                    else:
+                        unknown.add(a)
+            late.append((len(out), parts))
+            out.append([])
+        if unknown:
+            listed = list(unknown)
+            for k in range(0, len(listed), 4096):
+                part = listed[k : k + 4096]
+                atoms.update((a, e.ids) for a, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
+        for k, parts in late:
+            out[k] = [x for a in parts for x in atoms[a]]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._library(texts)
         self._age()
-        cuts, odd = [], []
-        for i, text in enumerate(texts):
-            if not text or not self.plain(text):
-                odd.append(i)
-                cuts.append([])
-                continue
-            cut = text.split(" ")
-            cut[0] = " " + cut[0]  # no other piece has a space: the key of a piece at the start
-            cuts.append(cut)
-        pieces, old, new = self.pieces, self.old_pieces, []
-        for p in set().union(*cuts).difference(pieces):
-            ids = old.get(p)
-            if ids is None:
-                new.append(p)
-            else:
-                pieces[p] = ids
-        if new:
-            self._learn(new)
-        out = [b"".join(map(pieces.__getitem__, cut)) for cut in cuts]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, text in enumerate(texts) if text and self.plain(text)]
+        odd = sorted(set(range(len(texts))).difference(plain))
         for i, ids in zip(odd, self._library([texts[i] for i in odd])):
             out[i] = ids
+        heads = self._learn([" " + texts[i].partition(" ")[0] for i in plain])  # no other piece has a space
+        # what follows them: every piece begins with its space
+        tails = ["".join(texts[i].partition(" ")[1:]) for i in plain]
+        raw = np.frombuffer("".join(tails).encode(), np.uint8)
+        starts = np.flatnonzero(raw == 32)
+        ends = np.append(starts[1:], len(raw)) if len(starts) else starts
+        hashes, first, inverse = np.unique(hash_runs(raw, starts + 1, ends), return_index=True, return_inverse=True)
+
+        def spelled(which: np.ndarray) -> list[str]:
+            a, b = starts[first[which]], ends[first[which]]
+            stop = np.cumsum(b - a)
+            return raw[np.repeat(a - stop + b - a, b - a) + np.arange(stop[-1])].tobytes().decode().split(" ")[1:]
+
+        at = self._places(hashes, spelled)[inverse]
+        length = self.length[at]
+        ids = self._gathered(self.offset[at], length)
+        bounds = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *(t.count(" ") for t in tails)])]
+        for i, head, a, b in zip(plain, heads, bounds[:-1], bounds[1:]):
+            out[i] = array(self.dtype.char, head).tobytes() + ids[a:b].tobytes()
         return out
 
 
@@ -269,8 +307,7 @@ def _tokenise(path: str, end_id: int):
             )
             seq += n
 
-        yield from by_slices(work, SLICE_BYTES)(batches)  # a piece of a text takes ten times its length
-        t.forget()  # an idle worker keeps parts only
+        yield from by_slices(work, SLICE_BYTES)(batches)  # a byte of text takes some sixty while its pieces are hashed
 
     return run
 

@@ -297,6 +297,20 @@ def test_cached_tokens_equal_the_library():
     assert t.encode(texts) == t._library(texts) == t.encode(texts)
 
 
+def test_tokens_of_many_words_equal_the_library():
+    """Far more words than the caches hold, met again after they left."""
+    draw = random.Random(8)
+    letters = "abcdeéßñ中.,!-'0"
+    word = lambda: "".join(draw.choice(letters) for _ in range(draw.randint(1, 9)))
+    texts = [draw.choice([" ", " ", "  ", "\n"]).join(word() for _ in range(draw.randint(1, 40))) for _ in range(600)]
+    t = rans.Tokenizer(vocabulary_file())
+    t.CACHE = t.PIECES = 50
+    want = t._library(texts)
+    for _ in range(2):
+        assert [x for k in range(0, 600, 30) for x in t.encode(texts[k : k + 30])] == want
+    assert len(t.known) < 3_000 and t.encode([]) == []
+
+
 def test_added_tokens_as_a_plain_library_call():
     from tokenizers import Tokenizer
 
