@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,8 +137,8 @@ class Tokenizer:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.spelling = {b: 256 + k for k, b in enumerate(hidden)}
-        self.atoms: dict[str, list[int]] = {}  # by parts of pieces as they stand; kept from task to task
-        self.old_atoms: dict[str, list[int]] = {}
+        self.atoms: dict[str, bytes] = {}  # by parts of pieces as they stand; kept from task to task
+        self.old_atoms: dict[str, bytes] = {}
         # pieces by their hash, ascending: place and number of their ids in the pool, and when they were last used
         self.known, self.clock = np.zeros(0, np.uint64), 0
         self.offset, self.length, self.used = (np.zeros(0, np.int64) for _ in range(3))
@@ -168,9 +167,9 @@ class Tokenizer:
         new = np.flatnonzero(at == len(self.known)) if not len(self.known) else np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != hashes)
         if len(new):
             found = self._learn(spelled(new))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
             offsets = len(self.pool) + np.cumsum(lengths) - lengths
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), self.dtype, int(lengths.sum()))])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), self.dtype)])
             known = np.concatenate([self.known, hashes[new]])
             order = np.argsort(known, kind="stable")
             self.known = known[order]
@@ -207,16 +206,16 @@ class Tokenizer:
                 out.append(line)
         return out
 
-    def _learn(self, new: list[str]) -> list[list[int]]:
+    def _learn(self, new: list[str]) -> list[bytes]:
         """Ids of new pieces, each given by what follows its space; one without a space before it starts with a space here."""
         atoms, old, punctuation = self.atoms, self.old_atoms, self.PUNCTUATION
-        tokenize, spelling = self.library.model.tokenize, self.spelling
+        tokenize, spelling, code = self.library.model.tokenize, self.spelling, self.dtype.char
 
-        def word(a: str) -> list[int]:  # letters after at most one space are one pre-token, so straight to the model
+        def word(a: str) -> bytes:  # letters after at most one space are one pre-token, so straight to the model
             spelled = a.replace(" ", "\u0120") if a.isascii() else a.encode().decode("latin-1").translate(spelling)
-            return [x.id for x in tokenize(spelled)]
+            return array(code, [x.id for x in tokenize(spelled)]).tobytes()
 
-        out: list[list[int]] = []
+        out: list[bytes] = []
         unknown: set[str] = set()
         late: list[tuple[int, list[str]]] = []
         for key in new:
@@ -240,14 +239,14 @@ class Tokenizer:
                     else:
                         unknown.add(a)
             late.append((len(out), parts))
-            out.append([])
+            out.append(b"")
         if unknown:
             listed = list(unknown)
             for k in range(0, len(listed), 4096):
                 part = listed[k : k + 4096]
-                atoms.update((a, e.ids) for a, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
+                atoms.update(zip(part, self._library(part)))
         for k, parts in late:
-            out[k] = [x for a in parts for x in atoms[a]]
+            out[k] = b"".join([atoms[a] for a in parts])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -277,7 +276,7 @@ class Tokenizer:
         ids = self._gathered(self.offset[at], length)
         bounds = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *(t.count(" ") for t in tails)])]
         for i, head, a, b in zip(plain, heads, bounds[:-1], bounds[1:]):
-            out[i] = array(self.dtype.char, head).tobytes() + ids[a:b].tobytes()
+            out[i] = head + ids[a:b].tobytes()
         return out
 
 
