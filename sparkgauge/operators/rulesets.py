@@ -1,9 +1,11 @@
 """Checks whose rules are rows: any number of rules, for all pages or captures or for one.
 
 Rules meet nodes and messages by equi-joins, never as a product, and the plan does not grow
-with them. A page rule is looked up under one key of its selector (id, class, attribute or
-tag, in that order) in an index of the nodes; a message rule under the rarest n-gram of what
-it looks for. The rest of a rule is tested on the pairs found.
+with them. A page rule is looked up under its page and one key of its selector (id, class,
+attribute or tag, in that order) in an index of the nodes; a message rule under its capture
+and the rarest n-gram of what it looks for. The rest of a rule is tested on the pairs found.
+A rule for all pages or captures has a row for each of them, as its results do, so a rule of
+one page never meets the nodes of another.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ PAGE_RULES = (
     "attribute string, value string, text string, match string"
 )
 LOG_RULES = "rule long, collection_id long, kind string, count long, text string, level string, match string"
+FEW_KEYS = 64  # so many different selector keys are looked for in each element before the index is shuffled
 # Fixed value: the sign of each comparison.
 SIGNS = {"equal": "=", "greaterThan": ">", "lessThan": "<", "greaterThanOrEqual": ">=", "lessThanOrEqual": "<="}
 
@@ -34,11 +37,27 @@ def rule_rows(spark: SparkSession, rules: Iterable[Mapping], shape: str) -> Data
     return spark.createDataFrame([tuple({"rule": i, **r}.get(n) for n in names) for i, r in enumerate(rules)], shape)
 
 
-def _for_all(subjects: DataFrame, key: str, rules: DataFrame) -> DataFrame:
-    """(key, rule): every rule without a key for every subject, and the others for theirs."""
-    common = rules.filter(F.col(key).isNull()).agg(F.collect_list("rule")).scalar()
-    every = subjects.select(key).withColumn("rule", common).withColumn("rule", F.explode("rule"))
-    return every.unionByName(rules.filter(F.col(key).isNotNull()).select(key, "rule").join(subjects.select(key), key, "left_semi"))
+def _to_each(subjects: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """``subjects`` (key) with the columns of every one of ``rules``, which are for all of them."""
+    listed = rules.agg(F.collect_list(F.struct(*rules.columns))).scalar()
+    return subjects.select(key).withColumn("_rules", listed).select(key, F.inline("_rules"))
+
+
+def _for_all(subjects: DataFrame, key: str, rules: DataFrame, shown: DataFrame) -> DataFrame:
+    """(key, columns of ``shown``): every rule without a key for every subject, and the others for theirs.
+
+    ``shown`` (rule, ...) meets the rules for all before these meet the subjects: no number is a hot key.
+    """
+    numbers = rules.filter(F.col(key).isNull()).select("rule")
+    every = _to_each(subjects, key, numbers.join(shown, "rule"))
+    own = rules.filter(F.col(key).isNotNull()).select(key, "rule").join(subjects.select(key), key, "left_semi")
+    return every.unionByName(own.join(shown, "rule"))
+
+
+def _sought(subjects: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """``rules`` with a key each: those without one come once for every distinct subject."""
+    common = rules.filter(F.col(key).isNull() & F.col("rule").isNotNull()).drop(key)
+    return _to_each(subjects.select(key).distinct(), key, common).unionByName(rules.filter(F.col(key).isNotNull()))
 
 
 def _lost(subjects: DataFrame, key: str, rules: DataFrame) -> DataFrame:
@@ -94,28 +113,34 @@ def parsed(rules: DataFrame) -> DataFrame:
     return rules.withColumn("sel_key", F.when(fine, key))
 
 
-def node_index(nodes: DataFrame) -> DataFrame:
-    """A row per element and key: its tag, id, classes, attribute names and ``*``."""
+def node_index(nodes: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """A row per element and key: its tag, id, classes, attribute names and ``*``; of these only the ``wanted`` (an array) if given."""
     attributes = F.col("attributes")
     keys = F.concat(
         F.array(F.lit("*"), F.concat(F.lit(" "), "tag"), F.concat(F.lit("#"), attributes["id"])),
         F.coalesce(F.transform(F.split(attributes["class"], r"\s+"), lambda c: F.concat(F.lit("."), c)), F.array().cast("array<string>")),
         F.coalesce(F.transform(F.map_keys(attributes), lambda k: F.concat(F.lit("["), k)), F.array().cast("array<string>")),
     )
-    elements = nodes.filter(F.col("tag") != "#text")
-    return elements.select("page_id", "node_idx", "last_idx", "tag", "attributes", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
-
-
-def _hits(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page_id, rule, n, first): how often a rule's selector matches, and its first match."""
-    wanted = rules.filter(F.col("sel_key").isNotNull()).select(
-        "rule", F.col("page_id").alias("only"), "kind", "attribute", "sel_key", "sel_tag", "sel_ids", "sel_classes", "sel_attributes"
+    keys = F.array_distinct(F.array_compact(keys))
+    elements = nodes.filter(F.col("tag") != "#text").select("page_id", "node_idx", "last_idx", "tag", "attributes", keys.alias("keys"))
+    if wanted is not None:
+        elements = elements.withColumn("wanted", wanted)
+        elements = elements.withColumn("keys", F.when(F.col("wanted").isNull(), F.col("keys")).otherwise(F.array_intersect("keys", "wanted")))
+    return elements.select("page_id", "node_idx", "last_idx", "tag", "attributes", F.explode("keys").alias("key"))
+
+
+def _hits(pages: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page_id, rule, n, first, is_text): how often a rule's selector matches on a page, its first match, whether it is a text rule."""
+    readable = rules.filter(F.col("sel_key").isNotNull()).select(
+        "rule", "page_id", "kind", "attribute", F.col("sel_key").alias("key"), "sel_tag", "sel_ids", "sel_classes", "sel_attributes"
     )
-    met = node_index(nodes).join(wanted, F.col("key") == F.col("sel_key"))
+    # few different keys: only these are indexed
+    few = readable.select("key").distinct().limit(FEW_KEYS + 1).agg(F.collect_list("key").alias("keys"))
+    few = few.select(F.when(F.size("keys") <= FEW_KEYS, F.col("keys"))).scalar()
+    met = node_index(nodes, few).join(_sought(pages, "page_id", readable), ["page_id", "key"])
     attributes = F.col("attributes")
     fits = (
-        (F.col("only").isNull() | (F.col("only") == F.col("page_id")))
-        & ((F.col("sel_tag") == "") | (F.col("sel_tag") == F.col("tag")))
+        ((F.col("sel_tag") == "") | (F.col("sel_tag") == F.col("tag")))
         & F.forall("sel_ids", lambda x: F.coalesce(attributes["id"] == x, F.lit(False)))
         & F.forall("sel_classes", lambda x: F.coalesce(F.array_contains(F.split(attributes["class"], r"\s+"), x), F.lit(False)))
         & F.forall(
@@ -125,12 +150,13 @@ def _hits(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     )
     value = F.when(F.col("kind") == "attribute", attributes[F.col("attribute")]).otherwise(attributes["style"])
     first = F.min(F.struct("node_idx", "last_idx", value.alias("value")))
-    return met.filter(fits).groupBy("page_id", "rule").agg(F.count("*").alias("n"), first.alias("first"))
+    is_text = F.bool_or(F.col("kind") == "text")
+    return met.filter(fits).groupBy("page_id", "rule").agg(F.count("*").alias("n"), first.alias("first"), is_text.alias("is_text"))
 
 
-def _first_texts(nodes: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
+def _first_texts(nodes: DataFrame, hits: DataFrame) -> DataFrame:
     """(page_id, rule, below): trimmed text of the first match of each text rule."""
-    asked = hits.join(rules.filter("kind = 'text'").select("rule"), "rule", "left_semi")
+    asked = hits.filter("is_text")
     places = asked.select("page_id", F.col("first.node_idx").alias("from"), F.col("first.last_idx").alias("to"))
     texts = nodes.filter(F.col("tag") == "#text").select("page_id", "node_idx", "text")
     inside = places.distinct().join(texts, "page_id").filter((F.col("node_idx") > F.col("from")) & (F.col("node_idx") <= F.col("to")))
@@ -159,11 +185,11 @@ def check_pages(pages: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFra
         }
     )
     rules = rules.withColumn("valid", (F.col("match") != "regex") | compiles(F.col("wanted")))
-    hits = _hits(nodes, rules)
-    below = _first_texts(nodes, hits, rules)
+    hits = _hits(pages, nodes, rules)
+    below = _first_texts(nodes, hits)
     shown = rules.select("rule", "kind", "selector", "operator", "count", "attribute", "match", "wanted", "valid", F.col("sel_key").isNotNull().alias("readable"))
-    pairs = _for_all(pages, "page_id", rules).join(shown, "rule")
-    pairs = pairs.join(hits, ["page_id", "rule"], "left").join(below, ["page_id", "rule"], "left")
+    pairs = _for_all(pages, "page_id", rules, shown)
+    pairs = pairs.join(hits.drop("is_text"), ["page_id", "rule"], "left").join(below, ["page_id", "rule"], "left")
     results = pairs.select("page_id", "rule", *[c.alias(n) for n, c in _page_outcome().items()])
     gone = _lost(pages, "page_id", rules).select(
         "page_id", "rule", F.lit("Page should be captured").alias("description"), F.lit(False).alias("passed"),
@@ -282,15 +308,16 @@ def check_captures(entries: DataFrame, rules: DataFrame) -> DataFrame:
     level = F.col("level")
     counted = entries.groupBy("collection_id").agg(F.count_if(level == "error").alias("errors"), F.count_if(level == "warn").alias("warnings"))
     asked = rules.filter(F.col("kind").isin("expected", "forbidden")).select(
-        "rule", F.col("collection_id").alias("only"), F.col("text").alias("pattern"), F.col("level").alias("at"), "match"
+        "rule", "collection_id", F.col("text").alias("pattern"), F.col("level").alias("at"), "match"
     )
     # repeated messages of a capture are one row
     folded = entries.groupBy("collection_id", "level", "message").agg(F.min("seq").alias("seq"))
     pairs = covered(entries.select(F.col("message").alias("text")), asked)
-    met = folded.join(pairs, F.col("message") == F.col("text")).drop("text").join(asked, ["pattern", "match"])
-    met = met.filter((F.col("at").isNull() | (F.col("at") == F.col("level"))) & (F.col("only").isNull() | (F.col("only") == F.col("collection_id"))))
+    met = folded.join(pairs, F.col("message") == F.col("text")).drop("text")
+    met = met.join(_sought(counted, "collection_id", asked), ["collection_id", "pattern", "match"])
+    met = met.filter(F.col("at").isNull() | (F.col("at") == F.col("level")))
     hits = met.groupBy("collection_id", "rule").agg(F.min(F.struct("seq", "message")).alias("hit"))
-    todo = _for_all(counted, "collection_id", rules).join(rules.drop("collection_id"), "rule")
+    todo = _for_all(counted, "collection_id", rules, rules.drop("collection_id"))
     todo = todo.join(counted, "collection_id").join(hits, ["collection_id", "rule"], "left")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     kind, limit, text, message = F.col("kind"), F.col("count"), F.coalesce("text", F.lit("")), F.col("hit.message")

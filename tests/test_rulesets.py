@@ -1,6 +1,9 @@
 """Rules as rows against the operators that take rules as a list, and inner markup by intervals."""
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from sparkgauge.operators import logs, pages, rulesets
 
@@ -93,3 +96,40 @@ def test_plan_is_the_same_for_any_number_of_rules(spark):
 
     few, many = lines(20), lines(3000)
     assert few[0] == many[0] and few[1] == many[1] > 0
+
+
+def _joins(df):
+    """The keys of the left side of every join of the plan that runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"(?:SortMergeJoin|HashJoin)(?:\(skew=true\))? \[(.*?)\], \[", plan)]
+
+
+def test_rules_of_one_page_meet_only_their_page(spark, rows):
+    """Each page has a rule of its own for one tag: nodes meet the rules of their page, not those of all pages."""
+    frame = spark.range(40).select(F.col("id").alias("page_id"), F.expr("concat('<ul>', repeat('<li>x', int(id) % 3 + 1), '</ul>')").alias("html"))
+    own = frame.selectExpr("page_id + 1000 AS rule", "page_id", "'count' AS kind", "'li' AS selector", "2L AS count")
+    common = rulesets.rule_rows(spark, [{"kind": "text", "selector": "ul", "text": "xx"}], rulesets.PAGE_RULES)
+    got = rulesets.check_pages(frame, pages.html_nodes(frame), common.unionByName(own, allowMissingColumns=True))
+    joins = _joins(got)
+    assert "page_id, key" in joins and "key" not in joins
+    assert rows(got, "page_id", "rule", "passed", "actual") == sorted(
+        [(i, 1000 + i, i % 3 == 1, str(i % 3 + 1)) for i in range(40)] + [(i, 0, i % 3 > 0, "x" * (i % 3 + 1)) for i in range(40)], key=repr
+    )
+
+
+def test_any_number_of_selector_keys(spark, rows):
+    """More different keys than are listed for the index."""
+    n = rulesets.FEW_KEYS + 9
+    frame = spark.createDataFrame([(1, "".join(f"<p id=i{k}>{k}</p>" for k in range(0, n, 2)))], "page_id long, html string")
+    rules = rulesets.rule_rows(spark, [{"kind": "exists", "selector": f"#i{k}"} for k in range(n)], rulesets.PAGE_RULES)
+    assert rows(rulesets.check_pages(frame, pages.html_nodes(frame), rules), "rule", "passed") == sorted([(k, k % 2 == 0) for k in range(n)], key=repr)
+
+
+def test_rules_of_one_capture_meet_only_their_capture(spark, rows):
+    """Many captures ask for the same text, each in a rule of its own."""
+    entries = spark.range(30).selectExpr("id AS collection_id", "id AS seq", "'error' AS level", "if(id % 2 = 0, 'slow page', 'fine') AS message")
+    own = entries.selectExpr("collection_id + 100 AS rule", "collection_id", "'expected' AS kind", "'slow' AS text")
+    common = rulesets.rule_rows(spark, [{"kind": "expected", "text": "fine"}], rulesets.LOG_RULES)
+    got = rulesets.check_captures(entries, common.unionByName(own, allowMissingColumns=True))
+    assert "pattern, match" not in _joins(got) and "collection_id, pattern, match" in _joins(got)
+    assert rows(got, "collection_id", "rule", "passed") == sorted([(i, 100 + i, i % 2 == 0) for i in range(30)] + [(i, 0, i % 2 == 1) for i in range(30)], key=repr)
