@@ -31,6 +31,7 @@ from sparkgauge.session import scratch_path, ship_package
 PIVOTS = 64
 RING = 0.05  # width of a ring; distances on the unit sphere are at most 2
 SHARD_ROWS = 8192  # right rows of one group, about
+PACK_ROWS = 256  # left rows that a shard meets at a time where all pairs are asked for
 STRIP = 512  # rows of either side that are multiplied at a time
 SLACK = 1e-6  # rounding of distances
 CLOSE = 1e-12  # rounding of a score by another order of summing
@@ -226,9 +227,22 @@ def cosine01(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (length > 0), (dot(a, b) / length + 1.0) / 2.0)
 
 
-def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, score) of the given pairs, whose vectors come from (id, vector) tables."""
+def _every_pair(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Columns of every row of both sides. They meet in groups of PACK_ROWS by SHARD_ROWS rows, about, by an equi-join of their numbers."""
+    packs, shards = (max(-(-df.count() // n), 1) for df, n in ((left, PACK_ROWS), (right, SHARD_ROWS)))
+
+    def numbered(df: DataFrame, own: str, n: int, other: str, others: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int").alias(own)
+        return df.select("*", mine, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    packed = numbered(left, "_pack", packs, "_shard", shards).groupBy("_pack", "_shard").agg(F.collect_list(F.struct(*left.columns)).alias("_rows"))
+    met = numbered(right, "_shard", shards, "_pack", packs).join(packed, ["_pack", "_shard"])
+    return met.select(*right.columns, F.inline("_rows"))
+
+
+def pair_scores(pairs: DataFrame | None, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id, score) of the given pairs, whose vectors come from (id, vector) tables; of every pair of rows where none are given."""
     own = left.select(F.col("id").alias("left_id"), F.col("vector").alias("left_vector"))
     other = right.select(F.col("id").alias("right_id"), F.col("vector").alias("right_vector"))
-    met = pairs.select("left_id", "right_id").join(own, "left_id").join(other, "right_id")
+    met = _every_pair(own, other) if pairs is None else pairs.select("left_id", "right_id").join(own, "left_id").join(other, "right_id")
     return met.select("left_id", "right_id", cosine01(F.col("left_vector"), F.col("right_vector")).alias("score"))

@@ -87,10 +87,9 @@ def _(t):
     return out.withColumn("similarity_score", F.round("similarity_score", 6))
 
 
-@query("cosine01", f"WITH {SCORES} SELECT taxonomy_id AS left_id, content_id AS right_id, round(score, 6) AS score FROM sc JOIN embeddings ON vec_id = content_id AND label = taxonomy_id")
+@query("cosine01", f"WITH {SCORES} SELECT taxonomy_id AS left_id, content_id AS right_id, round(score, 6) AS score FROM sc")
 def _(t):
-    own = t.embeddings.select(F.col("label").cast("long").alias("left_id"), F.col("vec_id").alias("right_id"))
-    return pair_scores(own, centroids(t), vectors(t)).withColumn("score", F.round("score", 6))
+    return pair_scores(None, centroids(t), vectors(t)).withColumn("score", F.round("score", 6))
 
 
 @query("unmatched_taxonomy", """SELECT v_taxonomy.id AS id, url FROM v_taxonomy LEFT JOIN (SELECT * FROM v_matchings
