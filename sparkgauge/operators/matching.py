@@ -13,7 +13,7 @@ from sparkgauge.functions.textfns import content_summary, html_to_text
 from sparkgauge.operators.joins import left_join_hot_right, skew_join
 from sparkgauge.operators.positions import with_position
 from sparkgauge.operators.postings import contained
-from sparkgauge.operators.similarity import nearest, top1
+from sparkgauge.operators.similarity import nearest, pair_scores, top1
 
 THRESHOLD = 0.85  # fixed value: similarity needed to accept a match
 LLM_THRESHOLD = 0.9  # fixed value: second-stage confidence needed
@@ -110,11 +110,19 @@ def find_best_match(taxonomy: DataFrame, content: DataFrame, threshold: float =
     return best_match(taxonomy, content, threshold).filter(F.col("content_id").isNotNull()).drop("match_stage")
 
 
-def rank_matches(taxonomy: DataFrame, content: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best content rows of each taxonomy row by falling score (``rank`` from 1)."""
-    return nearest(taxonomy, content, k).select(
-        F.col("left_id").alias("taxonomy_id"), F.col("right_id").alias("content_id"), "score", F.col("rank").cast("long").alias("rank")
-    )
+def rank_matches(taxonomy: DataFrame, content: DataFrame, k: int | None = None) -> DataFrame:
+    """All content rows of each taxonomy row, or its ``k`` best, by falling score (``rank`` from 1).
+
+    A full ranking has a row for every pair, those without a score last. One taxonomy row may
+    own a huge list, so its ranks are positions in sorted partitions, not a window over the list.
+    """
+    if k is None:
+        pairs = pair_scores(None, taxonomy, content)
+        ranked = with_position(pairs, ["left_id"], [F.col("score").desc_nulls_last(), F.col("right_id").asc_nulls_last()])
+        ranked = ranked.withColumn("rank", F.col("position") + 1)
+    else:
+        ranked = nearest(taxonomy, content, k)
+    return ranked.select(F.col("left_id").alias("taxonomy_id"), F.col("right_id").alias("content_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def unmatched_taxonomy(taxonomy: DataFrame, matchings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

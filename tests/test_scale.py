@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkgauge.operators import artifacts, similarity
+from sparkgauge.operators import artifacts, matching, similarity
 from sparkgauge.operators.intervals import exists_within
 from sparkgauge.operators.joins import hot_keys, left_join_hot_right, skew_join
 from sparkgauge.operators.order_stats import halves, percentiles
@@ -118,6 +118,24 @@ def test_ties_go_to_the_first_and_odd_vectors_never_win(spark, rows):
     assert rows(similarity.pair_scores(pairs, left, right)) == [(1, 4, 1.0), (1, 5, None), (1, 6, 0.5)]
 
 
+@pytest.mark.parametrize("pack, shard", [(256, 8192), (3, 7)])
+def test_every_pair_is_scored_and_ranked(spark, monkeypatch, pack, shard):
+    monkeypatch.setattr(similarity, "PACK_ROWS", pack)
+    monkeypatch.setattr(similarity, "SHARD_ROWS", shard)
+    a, left = _vectors(spark, 9, 1)
+    b, right = _vectors(spark, 40, 2)
+    right = right.union(spark.createDataFrame([(3, b[5][1]), (90, None), (91, [0.0] * 8)], right.schema))  # an id twice, no score
+    b = [*b, (3, b[5][1])]
+    want = sorted((i, j, round(_score(x, y), 9)) for i, x in a for j, y in b)
+    got = [(r["left_id"], r["right_id"], r["score"] and round(r["score"], 9)) for r in similarity.pair_scores(None, left, right).collect()]
+    assert sorted(r for r in got if r[2] is not None) == want
+    assert sorted(r[:2] for r in got if r[2] is None) == [(i, j) for i, _ in a for j in (90, 91)]
+    ranks = sorted(tuple(r) for r in matching.rank_matches(left, right).select("taxonomy_id", "rank", "content_id").collect())
+    for i, _ in a:
+        own = [j for s, j in sorted((-s, j) for k, j, s in want if k == i)] + [90, 91]
+        assert [r for r in ranks if r[0] == i] == [(i, n + 1, j) for n, j in enumerate(own)]
+
+
 def test_retention_spares_the_newest(spark, rows):
     refs = spark.createDataFrame(
         [(i, c, i * 10, 100 + i) for c, ids in (("dom", range(6)), ("console", range(10, 12))) for i in ids],
