@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -288,6 +288,9 @@ def scenarios_from_rules(rules: DataFrame, head: int | None = None) -> DataFrame
 # ---- response checks
 
 
+BLOCK_CHARS = 1 << 18  # characters of texts whose windows advance together
+
+
 def _window_bounds(target: str, text: str) -> np.ndarray:
     """Longest common subsequence of the target with every window of its length.
 
@@ -295,48 +298,123 @@ def _window_bounds(target: str, text: str) -> np.ndarray:
     one integer, so all windows advance together; longer targets share letters instead.
     """
     size, windows = len(target), len(text) - len(target) + 1
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if size <= 64:
-        bits: dict[str, int] = {}
+        kind = np.uint32 if size <= 32 else np.uint64
+        bits: dict[int, int] = {}
         for i, c in enumerate(target):
-            bits[c] = bits.get(c, 0) | (1 << i)
-        masks = np.array([bits.get(c, 0) for c in text], dtype=np.uint64)
-        state = np.full(windows, np.iinfo(np.uint64).max, dtype=np.uint64)
+            bits[ord(c)] = bits.get(ord(c), 0) | (1 << i)
+        letters = np.array(sorted(bits), np.uint32)
+        place = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+        masks = np.where(letters[place] == codes, np.array([bits[c] for c in sorted(bits)], kind)[place], kind(0))
+        state = np.full(windows, np.iinfo(kind).max, dtype=kind)
         for step in range(size):
             hit = state & masks[step : step + windows]
             state = (state + hit) | (state - hit)
-        return size - np.bitwise_count(state & np.uint64((1 << size) - 1)).astype(np.int64)
-    want = Counter(target)
+        return size - np.bitwise_count(state & kind((1 << size) - 1)).astype(np.int64)
     totals = np.zeros(windows, dtype=np.int64)
-    codes = np.array(list(text))
-    for letter, n in want.items():
-        seen = np.concatenate([[0], np.cumsum(codes == letter)])
+    for letter, n in Counter(target).items():
+        seen = np.concatenate([[0], np.cumsum(codes == ord(letter))])
         totals += np.minimum(seen[size:] - seen[:-size], n)
     return totals
 
 
-def _best_ratio(target: str, text: str) -> float:
-    """Best similarity of ``target`` with a window of its length, or (short targets) the text.
+def _matched(where: dict[str, int], window: str, known: int = 0) -> int:
+    """Characters in the matching blocks of a target and a window of its length, as SequenceMatcher finds them.
+
+    ``where`` has the places of each letter in the target as bits. A block is the longest
+    run, the earliest in the target, then in the window; what lies on either side of it
+    follows. Stops once it can't exceed ``known``. Only for fewer than 200 characters: from
+    there on SequenceMatcher leaves out frequent ones.
+    """
+    places = [where.get(c, 0) for c in window]
+    total, most, todo = 0, len(window), [(0, len(window), 0, len(window))]
+    while todo and most > known:  # what was found and what all open ranges could hold
+        a, a_end, b, b_end = todo.pop()
+        most -= min(a_end - a, b_end - b)
+        if a == a_end or b == b_end:
+            continue
+        inside = (1 << a_end) - (1 << a)
+        single = [x & inside for x in places[b:b_end]]
+        runs, size = single, 0
+        while any(runs):  # bit i of entry j: a run of size + 1 that ends at i and begins at b + j
+            last, size = runs, size + 1
+            runs = [x & (y << 1) for x, y in zip(single[size:], last)]
+        if not size:
+            continue
+        first = min([x & -x for x in last if x])
+        i = first.bit_length() - size
+        j = b + next(k for k, x in enumerate(last) if x & first)
+        total += size
+        most += min(i - a, j - b) + min(a_end - i, b_end - j)
+        todo += [(a, i, b, j), (i + size, a_end, j + size, b_end)]
+    return total
+
+
+def _blocks(texts: Sequence[str]) -> Iterator[list[str]]:
+    """Texts in runs of BLOCK_CHARS characters, one text at least."""
+    block, chars = [], 0
+    for text in texts:
+        if block and chars + len(text) > BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+        block.append(text)
+        chars += len(text)
+    if block:
+        yield block
+
+
+def _best_ratios(target: str, texts: Sequence[str]) -> list[float]:
+    """Best similarity of ``target`` with a window of its length, or (short targets) the text, for each text.
 
     Windows are tried from the highest upper bound down and the search ends when no bound
-    can beat the best, which gives the same result as trying every window.
+    can beat the best, which gives the same result as trying every window. The bounds of
+    many texts come from one pass; windows that reach into the next text are left out.
     """
     if not target:
-        return 1.0
-    size, best = len(target), 0.0
-    if len(text) >= size:
-        bounds = _window_bounds(target, text)
-        for start in np.argsort(-bounds, kind="stable"):
-            if bounds[start] / size <= best:
-                break
-            best = max(best, SequenceMatcher(None, target, text[start : start + size]).ratio())
-    if size < 50 and 2 * min(size, len(text)) / (size + len(text)) > best:
-        best = max(best, SequenceMatcher(None, target, text).ratio())
-    return best
+        return [1.0] * len(texts)
+    size, out = len(target), []
+    where: dict[str, int] = {}
+    for i, c in enumerate(target):
+        where[c] = where.get(c, 0) | (1 << i)
+    for block in _blocks(texts):
+        joined = "".join(block)
+        bounds = _window_bounds(target, joined) if len(joined) >= size else None
+        at = 0
+        for text in block:
+            best, most = 0.0, 0
+            if len(text) >= size:
+                own = bounds[at : at + len(text) - size + 1]
+                for start in np.argsort(-own, kind="stable"):
+                    if own[start] / size <= best:
+                        break
+                    window = text[start : start + size]
+                    if size < 200:
+                        most = max(most, _matched(where, window, most))
+                        best = 2.0 * most / (2 * size)
+                    else:
+                        best = max(best, SequenceMatcher(None, target, window).ratio())
+            if size < 50 and 2 * min(size, len(text)) / (size + len(text)) > best:
+                best = max(best, SequenceMatcher(None, target, text).ratio())
+            out.append(best)
+            at += len(text)
+    return out
+
+
+def _best_ratio(target: str, text: str) -> float:
+    """``_best_ratios`` of one text."""
+    return _best_ratios(target, [text])[0]
 
 
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(target: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([_best_ratio(a, b) if a is not None and b is not None else None for a, b in zip(target, text)], dtype="float64")
+    """Best ratio of each row; the rows of a batch that look for the same target go together."""
+    out = np.full(len(target), np.nan)
+    known = np.flatnonzero((target.notna() & text.notna()).to_numpy())
+    wanted, texts = target.to_numpy()[known], text.to_numpy()[known]
+    for word, rows in pd.Series(known).groupby(wanted, sort=False).indices.items():
+        out[known[rows]] = _best_ratios(word, texts[rows])
+    return pd.Series([None if np.isnan(x) else x for x in out], dtype="float64")
 
 
 def check_contains(response: Column, target: Column, strict: bool = False, case_sensitive: bool = False) -> Column:

@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -238,3 +239,19 @@ def test_fuzzy_ratio_equals_trying_every_window(target, text):
     if len(target) < 50:
         ratios.append(SequenceMatcher(None, target, text).ratio())
     assert r._best_ratio(target, text) == max(ratios, default=0.0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abcé ", min_size=1, max_size=70), st.lists(st.text("abcdé ", max_size=90), max_size=5))
+def test_fuzzy_ratios_of_many_texts_equal_those_of_each(target, texts):
+    """One pass over joined texts never takes a window that reaches into the next text."""
+    want = [r._best_ratio(target, x) for x in texts]
+    assert r._best_ratios(target, texts) == want
+    wide = [SequenceMatcher(None, target, x[i : i + len(target)]).ratio() for x in texts for i in range(len(x) - len(target) + 1)]
+    assert max(want, default=0.0) >= max(wide, default=0.0)
+
+
+def test_fuzzy_ratio_takes_targets_in_turn_and_nulls():
+    rows = [("npm run", "run npm"), (None, "x"), ("npm", None), ("", ""), ("npm run", "npm-run dev"), ("x" * 70, "x" * 69 + "yx")]
+    got = r.fuzzy_ratio.func(pd.Series([a for a, _ in rows]), pd.Series([b for _, b in rows]))
+    assert [None if pd.isna(x) else x for x in got] == [None if a is None or b is None else r._best_ratio(a, b) for a, b in rows]
