@@ -14,6 +14,8 @@ decides.
 Before that, a filter with "seen once" and "seen again" cells leaves out minimisers
 of a single document, and equal super-windows meet as one with their smallest key
 (in the task and again in the partition); copies with larger keys are removed whole.
+Minimisers whose pieces all have the same smallest key hold no string of a smaller one
+and are not sorted.
 The filter is a bounded bit array; a full one costs time and changes nothing.
 """
 
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import BYTE_VALUES, by_slices, keyed_text, mixed, stored, text_bytes
+from sparkgauge.llm.common import by_slices, keyed_text, mixed, stored, text_bytes
 
 LENGTH = 50
 GRAM = 20
@@ -37,60 +40,46 @@ SLICE_BYTES = 1 << 19
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` bytes from each position on, by doubling; too near the end it means nothing."""
-    h, width, out, done = BYTE_VALUES[raw], 1, None, 0
-    rest = gram
-    while rest:
-        if rest & 1:
-            if out is None:
-                out = h.copy()
-            else:
-                out = mixed(out * np.uint64(0xC2B2AE3D27D4EB4F))
-                out[: len(out) - done] += h[done:] if done else h
-            done += width
-        rest >>= 1
-        if rest:
-            nxt = mixed(h * np.uint64(0x9E3779B97F4A7C15))
-            nxt[: max(0, len(h) - width)] += h[width:]
-            h, width = nxt, 2 * width
-    return mixed(out)
+    """A hash of the ``gram`` bytes, eight at least, from each position on that has so many."""
+    n = len(raw) - gram + 1
+    raw = np.ascontiguousarray(raw)
+    total = np.zeros(n, np.uint64)
+    for k, at in enumerate([*range(0, gram - 8, 8), gram - 8]):
+        eight = np.ndarray((n,), "<u8", raw, at, (1,))  # the eight bytes from each position on
+        total += eight * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1))
+        total ^= total >> np.uint64(29)
+    return mixed(total)
 
 
 def window_least(h: np.ndarray, width: int) -> np.ndarray:
-    """Least of the ``width`` values from each position on."""
+    """Least of the ``width`` values from each position on that has so many."""
     least, step = h, 1
     while 2 * step <= width:
-        nxt = least.copy()
-        np.minimum(least[:-step], least[step:], out=nxt[:-step])
-        least, step = nxt, 2 * step
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
     more = width - step
-    if more:
-        nxt = least.copy()
-        np.minimum(least[:-more], least[more:], out=nxt[:-more])
-        least = nxt
-    return least
+    return np.minimum(least[:-more], least[more:]) if more else least
 
 
 def super_windows(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """(row, start, windows, minimiser) of the super-windows of a run of texts."""
-    n = len(raw)
-    if n < length:
+    if len(raw) < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    sizes = np.diff(offsets)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    end = offsets[1:][row]
-    at = np.arange(n)
-    h = gram_hashes(raw, gram)
-    h[at + gram > end] = np.uint64(2**64 - 1)
-    least = window_least(h, length - gram + 1)
-    starts = np.flatnonzero(at + length <= end)
-    least, row = least[starts], row[starts]
-    if not len(starts):
-        return starts, starts, starts, least
-    new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (np.diff(starts) != 1)]))
-    count = np.diff(np.append(new, len(starts)))
-    return row[new], starts[new] - offsets[row[new]], count, least[new]
+    least = window_least(gram_hashes(raw, gram), length - gram + 1)
+    # windows that begin too near the end of their text to fit; their grams and minimisers mean nothing
+    inside = np.ones(len(least) + 1, bool)
+    for a, b in zip(np.maximum(offsets[:-1], offsets[1:] - length + 1).tolist(), offsets[1:].tolist()):
+        inside[a:b] = False
+    inside[-1] = False
+    change = np.ones(len(least) + 1, bool)
+    change[1:-1] = least[1:] != least[:-1]
+    # a window after one that does not fit begins anew: so does the first of each text, as the last of a text never fits
+    before = np.concatenate([[False], inside[:-1]])
+    new = np.flatnonzero(inside & (change | ~before))
+    stop = np.flatnonzero(before & (change | ~inside))
+    row = np.searchsorted(offsets, new, "right") - 1
+    return row, new - offsets[row], stop - new, least[new]
 
 
 def _cells(least: np.ndarray, bits: int) -> np.ndarray:
@@ -120,9 +109,9 @@ def _seen(bits: int, length: int, gram: int):
         def work(part: pa.RecordBatch) -> list:
             nonlocal size
             row, _, _, least = super_windows(*text_bytes(part.column(1)), length, gram)
-            pairs = np.unique(np.stack([row, _cells(least, bits)], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
-            held.append(pairs[:, 1])
-            size += len(pairs)
+            cells = np.unique(row * bits + _cells(least, bits)) & (bits - 1)  # once a text
+            held.append(cells)
+            size += len(cells)
             return []
 
         for batch in batches:
@@ -277,10 +266,9 @@ def _removed(length: int, limit: int):
     """Runs of removed windows: (key, start, bytes). A partition works on whole minimisers, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets: list[np.ndarray] = []
-        keys, starts, pieces, size = [], [], [], 0
+        buckets, keys, starts, pieces, size = [], [], [], [], 0
 
-        def settle(keys, starts, pieces):
+        def settle(buckets, keys, starts, pieces):
             number: dict[bytes, int] = {}
             which = np.array([number.setdefault(p, len(number)) for p in pieces])
             keys = np.concatenate(keys)
@@ -289,16 +277,28 @@ def _removed(length: int, limit: int):
             least = np.full(len(unique), np.iinfo(np.int64).max)
             np.minimum.at(least, which, keys)
             counts = np.array([len(p) for p in unique]) - length + 1
-            removed = repeated_windows(unique, least, length)
-            begin = np.cumsum(counts) - counts
             # a copy with a larger key goes whole
             whole = np.flatnonzero(keys > least[which])
             out = [(keys[whole], starts[whole], counts[which[whole]] + length - 1)]
+            # where all pieces of a minimiser have one smallest key, none holds a string of a smaller one
+            bucket = np.empty(len(unique), np.int64)
+            bucket[which] = np.concatenate(buckets)
+            order = np.lexsort((least, bucket))
+            head = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
+            tail = np.append(head[1:], len(order)) - 1
+            several = least[order[head]] < least[order[tail]]
+            sorted_in = np.sort(order[np.repeat(several, tail - head + 1)])
+            counts = counts[sorted_in]
+            removed = repeated_windows([unique[i] for i in sorted_in], least[sorted_in], length) if len(sorted_in) else np.zeros(0, bool)
+            begin = np.cumsum(counts) - counts
             edge = np.diff(np.concatenate([[0], removed.astype(np.int8), [0]]))
-            up = (edge[:-1] == 1) | (np.isin(np.arange(len(removed)), begin) & removed)
-            down = (edge[1:] == -1) | (np.isin(np.arange(len(removed)) + 1, begin) & removed)
+            at_begin = np.zeros(len(removed) + 1, bool)
+            at_begin[np.append(begin, len(removed))] = True
+            up = (edge[:-1] == 1) | at_begin[:-1] & removed
+            down = (edge[1:] == -1) | at_begin[1:] & removed
             first, last = np.flatnonzero(up), np.flatnonzero(down)
-            of = np.searchsorted(begin, first, "right") - 1
+            place = np.searchsorted(begin, first, "right") - 1
+            of = sorted_in[place]
             kept = np.flatnonzero(keys == least[which])
             kept = kept[np.argsort(which[kept], kind="stable")]
             lo, hi = np.searchsorted(which[kept], of, "left"), np.searchsorted(which[kept], of, "right")
@@ -306,7 +306,7 @@ def _removed(length: int, limit: int):
             stop = np.cumsum(many)
             at = kept[np.repeat(lo - stop + many, many) + np.arange(stop[-1] if len(stop) else 0)]
             run_of = np.repeat(np.arange(len(first)), many)
-            out.append((keys[at], starts[at] + first[run_of] - begin[of[run_of]], last[run_of] - first[run_of] + length))
+            out.append((keys[at], starts[at] + first[run_of] - begin[place[run_of]], last[run_of] - first[run_of] + length))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i in range(3)], ["key", "start", "n"])
 
         last_bucket = None
@@ -318,39 +318,44 @@ def _removed(length: int, limit: int):
             # rows are sorted by minimiser: work may be cut where one ends
             if size + lengths > limit and len(cuts):
                 head, batch = batch.slice(0, cuts[-1]), batch.slice(cuts[-1])
+                buckets.append(head.column(0).to_numpy())
                 keys.append(head.column(1).to_numpy())
                 starts.append(head.column(2).to_numpy())
                 pieces += head.column(3).to_pylist()
                 if pieces:
-                    yield settle(keys, starts, pieces)
-                keys, starts, pieces, size = [], [], [], 0
+                    yield settle(buckets, keys, starts, pieces)
+                buckets, keys, starts, pieces, size = [], [], [], [], 0
+            buckets.append(batch.column(0).to_numpy())
             keys.append(batch.column(1).to_numpy())
             starts.append(batch.column(2).to_numpy())
             pieces += batch.column(3).to_pylist()
             size += batch.column(3).nbytes
         if pieces:
-            yield settle(keys, starts, pieces)
+            yield settle(buckets, keys, starts, pieces)
 
     return run
 
 
 def _kept(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     raw, offsets = text_bytes(part.column(1))
-    n_removed, n_spans, digests, texts = [], [], [], []
-    for i, runs in enumerate(part.column(2)):
-        own = raw[offsets[i] : offsets[i + 1]]
-        cover = np.zeros(len(own) + 1, np.int64)
-        for r in runs.as_py() or ():
-            cover[r["start"]] += 1
-            cover[r["start"] + r["n"]] -= 1
-        gone = np.cumsum(cover[:-1]) > 0
-        n_removed.append(int(gone.sum()))
-        n_spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-        kept = own[~gone].tobytes()
-        digests.append(hashlib.sha256(kept).hexdigest())
-        texts.append(kept)
+    sizes = np.diff(offsets)
+    runs = part.column(2)
+    which = np.repeat(np.arange(len(sizes)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy())
+    run = runs.flatten()
+    start = run.field("start").to_numpy() + offsets[which]
+    # a run ends within its text, so none reaches into the next one
+    cover = np.bincount(start, minlength=len(raw) + 1) - np.bincount(start + run.field("n").to_numpy(), minlength=len(raw) + 1)
+    gone = np.cumsum(cover[:-1]) > 0
+    begins = gone & ~np.concatenate([[False], gone[:-1]])
+    begins[offsets[:-1][sizes > 0]] = gone[offsets[:-1][sizes > 0]]
+    total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+    n_removed, n_spans = total(gone), total(begins)
+    rest = raw[~gone].tobytes()
+    ends = np.concatenate([[0], np.cumsum(sizes - n_removed)]).tolist()
+    texts = [rest[a:b] for a, b in zip(ends, ends[1:])]
+    digests = [hashlib.sha256(x).hexdigest() for x in texts]
     yield pa.RecordBatch.from_arrays(
-        [part.column(0), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary())],
+        [part.column(0), pa.array(sizes), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary())],
         ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
     )
 
@@ -381,6 +386,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     runs = runs.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     runs = stored(runs, "removed").withColumnRenamed("key", "_k")
     found = numbered.join(runs, F.col("key") == F.col("_k"), "left").select("key", "text", "runs")
-    out = found.mapInArrow(by_slices(_kept), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = found.mapInArrow(by_slices(_kept, 1 << 20), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     real = F.when(F.col("key") < (1 << 63) - 1, F.col("key"))
     return out.select(real.alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -282,6 +282,37 @@ def test_substrings_against_brute_force(copies):
         seen |= set(windows)
 
 
+def test_only_minimisers_of_several_keys_are_sorted(monkeypatch):
+    sorted_pieces = []
+    plain = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda p, *rest: sorted_pieces.extend(p) or plain(p, *rest))
+    draw = random.Random(5)
+    a, b, c, d = (bytes(draw.randrange(256) for _ in range(60)) for _ in range(4))
+    # minimisers: one piece of two documents; two pieces of one; two that share fifty bytes, of two
+    rows = [(1, 4, 0, a), (1, 9, 3, a), (2, 4, 0, b), (2, 4, 90, c), (3, 2, 5, d), (3, 6, 7, b"x" + d[:50])]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.binary()])],
+        ["bucket", "key", "start", "piece"],
+    )
+    found = pa.Table.from_batches(suffix_dedup._removed(50, 1 << 20)(iter([batch])))
+    assert sorted(zip(*(c.to_pylist() for c in found.columns))) == [(6, 8, 50), (9, 3, 60)]
+    assert sorted(sorted_pieces) == sorted([d, b"x" + d[:50]])
+
+
+def test_super_windows_against_brute_force():
+    draw = random.Random(6)
+    for size in (1, 49, 50, 51, 300):
+        texts = [bytes(draw.choice(b"ab") for _ in range(draw.choice([0, 20, 49, 50, size]))) for _ in range(9)]
+        offsets = np.cumsum([0, *map(len, texts)])
+        got = suffix_dedup.super_windows(np.frombuffer(b"".join(texts), np.uint8), offsets, 50, 20)
+        places, least = [], {}
+        for row, start, count, value in zip(*(x.tolist() for x in got)):
+            for i in range(start, start + count):
+                places.append((row, i))
+                assert least.setdefault(texts[row][i : i + 50], value) == value  # equal windows have equal minimisers
+        assert places == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 49)]
+
+
 def test_rans_round_trip_and_damage():
     rng = np.random.default_rng(2)
     for n in (0, 1, 63, 64, 5000, 300_000):
