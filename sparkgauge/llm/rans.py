@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from sparkgauge.session import scratch_path
 SCALE_BITS = 20
 BLOCK_IDS = 1 << 18
 MAX_LANES = 4096
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -136,7 +137,9 @@ class Tokenizer:
         # byte-level BPE spells bytes as characters: visible ones of Latin-1 as they are, the others from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
-        self.spelling = {b: 256 + k for k, b in enumerate(hidden)}
+        self.spelling = np.arange(256, dtype="<u2")
+        self.spelling[hidden] = 256 + np.arange(len(hidden))
+        self.line_feed = chr(self.spelling[10])  # what separates words when they are spelled; none holds one
         self.atoms: dict[str, bytes] = {}  # by parts of pieces as they stand; kept from task to task
         self.old_atoms: dict[str, bytes] = {}
         # pieces by their hash, ascending: place and number of their ids in the pool, and when they were last used
@@ -206,48 +209,54 @@ class Tokenizer:
                 out.append(line)
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: letters after at most one space are one pre-token, so they go straight to the model, spelled in one go."""
+        if not words:
+            return []
+        spelled = self.spelling[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        tokenize, code = self.library.model.tokenize, self.dtype.char
+        found = [[x.id for x in tokenize(w)] for w in spelled.split(self.line_feed)]
+        raw, size, out, at = array(code, chain.from_iterable(found)).tobytes(), self.dtype.itemsize, [], 0
+        for ids in found:
+            end = at + size * len(ids)
+            out.append(raw[at:end])
+            at = end
+        return out
+
     def _learn(self, new: list[str]) -> list[bytes]:
         """Ids of new pieces, each given by what follows its space; one without a space before it starts with a space here."""
         atoms, old, punctuation = self.atoms, self.old_atoms, self.PUNCTUATION
-        tokenize, spelling, code = self.library.model.tokenize, self.spelling, self.dtype.char
-
-        def word(a: str) -> bytes:  # letters after at most one space are one pre-token, so straight to the model
-            spelled = a.replace(" ", "\u0120") if a.isascii() else a.encode().decode("latin-1").translate(spelling)
-            return array(code, [x.id for x in tokenize(spelled)]).tobytes()
-
-        out: list[bytes] = []
-        unknown: set[str] = set()
-        late: list[tuple[int, list[str]]] = []
+        words: dict[str, None] = {}
+        others: dict[str, None] = {}
+        pieces: list = []
         for key in new:
             if key.isalpha():
                 a = " " + key
-                ids = atoms.get(a) or old.get(a)
-                if not ids:
-                    ids = word(a)
-                atoms[a] = ids
-                out.append(ids)
+                pieces.append(a)
+                if a not in atoms:
+                    if a in old:
+                        atoms[a] = old[a]
+                    else:
+                        words[a] = None
                 continue
             stem = key.rstrip(punctuation)
-            parts = [" " + stem, key[len(stem) :]] if stem.isalpha() else self.cut(key[1:] if key[:1] == " " else " " + key)
+            parts = (" " + stem, key[len(stem) :]) if stem.isalpha() else self.cut(key[1:] if key[:1] == " " else " " + key)
+            pieces.append(parts)
             for a in parts:
                 if a not in atoms:
-                    ids = old.get(a)
-                    if not ids and (a.isalpha() or a[:1] == " " and a[1:].isalpha()):
-                        ids = word(a)
-                    if ids:
-                        atoms[a] = ids
+                    if a in old:
+                        atoms[a] = old[a]
+                    elif a.isalpha() or a[:1] == " " and a[1:].isalpha():
+                        words[a] = None
                     else:
-                        unknown.add(a)
-            late.append((len(out), parts))
-            out.append(b"")
-        if unknown:
-            listed = list(unknown)
-            for k in range(0, len(listed), 4096):
-                part = listed[k : k + 4096]
-                atoms.update(zip(part, self._library(part)))
-        for k, parts in late:
-            out[k] = b"".join([atoms[a] for a in parts])
-        return out
+                        others[a] = None
+        listed = list(words)
+        atoms.update(zip(listed, self._words(listed)))
+        listed = list(others)
+        for k in range(0, len(listed), 4096):
+            part = listed[k : k + 4096]
+            atoms.update(zip(part, self._library(part)))
+        return [atoms[x] if type(x) is str else b"".join([atoms[a] for a in x]) for x in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:

@@ -442,3 +442,14 @@ def test_slices_cover_all_rows():
 
     batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "d" * 50, "", "e"])], ["text"])
     assert [x for p in slices(batch, limit=10) for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
+def test_new_words_are_spelled_together():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_file())
+    t = rans.Tokenizer(vocabulary_file())
+    words = [" the", "the", " Stra\u00dfe", " \u5317\u4eac", "\u00e9t\u00e9", " \U00010400x", " qzxjkvw", "a"]
+    ids = [np.frombuffer(x, t.dtype).tolist() for x in t._words(words)]
+    assert ids == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert t._words([]) == []
