@@ -12,6 +12,7 @@ The files: ``<path>/table`` (one row) and ``<path>/blocks``.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -173,12 +174,11 @@ class Tokenizer:
             lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
             offsets = len(self.pool) + np.cumsum(lengths) - lengths
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), self.dtype)])
-            known = np.concatenate([self.known, hashes[new]])
-            order = np.argsort(known, kind="stable")
-            self.known = known[order]
-            self.offset = np.concatenate([self.offset, offsets])[order]
-            self.length = np.concatenate([self.length, lengths])[order]
-            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])[order]
+            where = at[new]  # both are ascending
+            self.known = np.insert(self.known, where, hashes[new])
+            self.offset = np.insert(self.offset, where, offsets)
+            self.length = np.insert(self.length, where, lengths)
+            self.used = np.insert(self.used, where, 0)
             at = np.searchsorted(self.known, hashes)
         self.used[at] = self.clock
         return at
@@ -202,6 +202,9 @@ class Tokenizer:
                 return [piece]
             if k:
                 out.append("\n")
+            if core.isalpha():
+                out.append(line)
+                continue
             stem = line.rstrip(self.PUNCTUATION)
             if len(stem) < len(line) and stem.lstrip(" ").isalpha():
                 out += [stem, line[len(stem) :]]
@@ -261,6 +264,15 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._library(texts)
+        collects = gc.isenabled()
+        gc.disable()  # hundreds of thousands of short lists and no cycle: searching for cycles is lost time
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         self._age()
         out: list[bytes] = [b""] * len(texts)
         plain = [i for i, text in enumerate(texts) if text and self.plain(text)]
