@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from sparkgauge.session import scratch_path, ship_package
 
 BATCH_BYTES = 1 << 22  # text that a task works on at a time
 ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20  # of a batch on its way to Python; the default is ten thousand rows
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run in here leave no shuffle files; else those stay until the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and its layout is fixed.
 
-    Survives lost executors, because the files belong to no executor.
+    Survives lost executors, because the files belong to no executor. The shuffle files of the write go with its end.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import by_slices, keyed_text, mixed, stored, text_bytes
+from sparkgauge.llm.common import by_slices, keyed_text, mixed, shuffles_dropped, stored, text_bytes
 
 LENGTH = 50
 GRAM = 20
@@ -363,8 +363,9 @@ def _kept(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def removed_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = 6 << 20) -> DataFrame:
     """(key, start, n): byte runs, overlapping, that occur in a row (key, text) with a smaller key."""
     spark = rows.sparkSession
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    again = spark.sparkContext.broadcast(repeated_filter(rows, total, length, gram))
+    with shuffles_dropped(spark):
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        again = spark.sparkContext.broadcast(repeated_filter(rows, total, length, gram))
     pieces = rows.mapInArrow(_pieces(again, length, gram), "bucket long, key long, start int, piece binary")
     dealt = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_removed(length, limit), "key long, start long, n long")
