@@ -5,8 +5,8 @@ of bucket counts over all lines, then by hash); two sets with a Jaccard index of
 ``percent`` or more share a word among the first ``n - ceil(percent * n) + 1`` of
 both. Prefix words meet in an equi-join on the word and a band of lengths, with
 length and positional filters and a bound on the words in which two sets differ,
-read off 128-bit signatures. The words of the sets that still pair up are fetched and
-compared. A line goes if a similar line stands earlier, by key and line number; lines
+read off 128-bit signatures. Sets that still pair up are told apart by 512-bit ones, and
+the words of those that remain are fetched and compared. A line goes if a similar line stands earlier, by key and line number; lines
 are judged on the input.
 
 Texts are split once; the hashed words are written to the shared folder and all later
@@ -24,6 +24,7 @@ from sparkgauge.llm.common import free_name, stored
 from sparkgauge.session import configure
 
 BUCKETS = 1 << 16
+FINER = 8  # times 64 bits of the signatures that pairs are looked at with before words are fetched
 WANTED_BITS = 1 << 23  # of the map that says which sets' words are fetched: 1 MB
 # words repeat within a task: a dictionary of up to 16 MB halves the files
 COMPACT = {"compression": "zstd", "parquet.dictionary.page.size": str(1 << 24)}
@@ -45,26 +46,24 @@ def bucket(word: Column) -> Column:
 
 
 def rarity(lines: DataFrame) -> list[int]:
-    """Sixteen steps of commonness for each of ``BUCKETS`` buckets, counted over all lines."""
+    """Sixteen steps of commonness, from bit 59 on, for each of ``BUCKETS`` buckets, counted over all lines."""
     counts = lines.select(F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("b")).count().collect()
     by = {r[0]: r[1] for r in counts}
     usual = sorted(by.values())[len(by) // 2] if by else 1
-    return [min(15, max(0, (2 * by.get(b, 0) // usual).bit_length() - 1)) for b in range(BUCKETS)]
+    return [min(15, max(0, (2 * by.get(b, 0) // usual).bit_length() - 1)) << 59 for b in range(BUCKETS)]
 
 
 def in_order(words: Column, steps: list[int]) -> Column:
     """Words, rare ones first; the step is in the top bits."""
     table = F.split(F.lit(",".join(map(str, steps))), ",").cast("array<long>")  # one literal in the plan
-    return F.sort_array(F.transform(words, lambda w: F.shiftleft(F.get(table, bucket(w)), 59).bitwiseXOR(w.bitwiseAND((1 << 59) - 1))))
+    return F.sort_array(F.transform(words, lambda w: F.get(table, bucket(w)).bitwiseXOR(w.bitwiseAND((1 << 59) - 1))))
 
 
-def signature(words: Column, part: int) -> Column:
-    """A bit for each word, in one of two 64-bit halves."""
-    def add(bits: Column, w: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))
-        return bits.bitwiseOR(F.when(w.bitwiseAND(64) == 64 * part, bit).otherwise(F.lit(0).cast("long")))
-
-    return F.aggregate(words, F.lit(0).cast("long"), add)
+def signature(words: Column, part: int, parts: int = 2) -> Column:
+    """A bit for each word, in one of ``parts`` (a power of two) times 64 bits."""
+    one = F.lit(1).cast("long")
+    own = F.filter(words, lambda w: w.bitwiseAND(64 * (parts - 1)) == 64 * part)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))))
 
 
 def similar_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -85,7 +84,7 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
     keep &= F.least("at_a", "at") + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= need
     keep &= differ <= F.col("n_a") + F.col("n") - 2 * need
     on = (short["word"] == long["word"]) & (short["band"] == long["band"]) & keep
-    return short.join(long, on).select("a", F.col("sid").alias("b")).distinct()
+    return short.hint("shuffle_hash").join(long, on).select("a", F.col("sid").alias("b")).distinct()
 
 
 def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -123,7 +122,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     prefix = F.transform(prefix, lambda w: F.hash(w))  # 32 bits find candidates; whole words are compared later
     ordered = ordered.select("key", "line_no", "sid", "n", prefix.alias("prefix"), "low", "high")
     # of equal sets the one that stands first
-    once = ordered.join(sets.select(F.col("sid").alias("_sid"), *place), at_first).select("sid", "n", "prefix", "low", "high")
+    once = ordered.join(sets.select(F.col("sid").alias("_sid"), *place).hint("shuffle_hash"), at_first).select("sid", "n", "prefix", "low", "high")
     once = stored(once, "line-prefixes")  # both sides of the join read it
     conf, option = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
     before = conf.get(option)
@@ -137,10 +136,20 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     wanted = sets.join(ids, F.col("sid") == F.col("_id")).select(F.col("sid").alias("_sid"), *place)
     found = marked(lines, ids).join(wanted, at_first).select("sid", "words").dropDuplicates(["sid"])
     found = stored(found, "line-found", **COMPACT)
-    both = pairs.join(found.select(F.col("sid").alias("a"), F.col("words").alias("w_a")), "a")
-    both = both.join(found.select(F.col("sid").alias("b"), F.col("words").alias("w_b")), "b")
-    shared = F.size(F.array_intersect("w_a", "w_b"))
-    both = both.filter(100 * shared >= percent * (F.size("w_a") + F.size("w_b") - shared)).select("a", "b")
+    # the words of a set travel with each of its pairs: first the pairs that finer signatures tell apart go
+    finer = found.select("sid", F.size("words").alias("n"), F.array(*[signature(F.col("words"), k, FINER) for k in range(FINER)]).alias("bits"))
+    finer = stored(finer, "line-bits")
+    sides = [finer.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")).hint("shuffle_hash") for x in "ab"]
+    differ = sum(F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(FINER))
+    sizes = F.col("n_a") + F.col("n_b")
+    near = pairs.join(sides[0], "a").join(sides[1], "b").filter((100 + percent) * differ <= (100 - percent) * sizes)
+    near = stored(near.select("a", "b"), "line-near")
+    # sorted by the first set, so that its words, which repeat, shuffle compressed
+    both = near.join(found.select(F.col("sid").alias("a"), F.col("words").alias("w_a")), "a")
+    both = both.join(found.select(F.col("sid").alias("b"), F.col("words").alias("w_b")).hint("shuffle_hash"), "b")
+    # one intersection a pair: shared / (both sizes - shared) is percent / 100 or more
+    similar = (100 + percent) * F.size(F.array_intersect("w_a", "w_b")) >= percent * (F.size("w_a") + F.size("w_b"))
+    both = both.filter(similar).select("a", "b")
     # of two similar sets, the lines of the one that stands first later go
     both = both.join(sets.select(F.col("sid").alias("a"), F.col("first").alias("f_a")), "a")
     both = both.join(sets.select(F.col("sid").alias("b"), F.col("first").alias("f_b")), "b")

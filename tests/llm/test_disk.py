@@ -3,7 +3,9 @@
 import random
 import time
 
-from sparkgauge.llm import suffix_dedup
+from pyspark.sql import functions as F
+
+from sparkgauge.llm import line_dedup, suffix_dedup
 from sparkgauge.llm.common import CLEANUP, stored
 
 
@@ -39,3 +41,25 @@ def test_suffix_dedup_leaves_no_pieces(spark):
     out, left = left_after(spark, lambda: suffix_dedup.remove_repeats(docs))
     assert not left
     assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {i: 300 * (i >= 20) for i in range(40)}
+
+
+def test_line_dedup_fetches_no_words_for_pairs_that_signatures_tell_apart(spark, monkeypatch):
+    tables = {}
+    plain = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name, **o: tables.setdefault(name, plain(df, name, **o)))
+    words = [f"w{i}" for i in range(400)]
+    lines = [" ".join(words[:40]), " ".join(words[1:40]), " ".join(words[40:80])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    forced = []
+    real = line_dedup.similar_sets
+
+    def all_pairs(sets, percent):
+        forced.append(real(sets, percent).count())
+        a, b = sets.select(F.col("sid").alias("a")), sets.select(F.col("sid").alias("b"))
+        return a.join(b, a["a"] < b["b"])
+
+    monkeypatch.setattr(line_dedup, "similar_sets", all_pairs)
+    got, left = left_after(spark, lambda: line_dedup.repeated_lines(docs))
+    assert {r["doc_id"]: list(r["removed"]) for r in got.collect()} == {0: [], 1: [0], 2: []}
+    assert not left and forced == [1]
+    assert tables["line-pairs"].count() == 3 and tables["line-near"].count() == 1
