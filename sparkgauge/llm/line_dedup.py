@@ -21,6 +21,8 @@ by 64-bit ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ from sparkgauge.session import configure
 BUCKETS = 1 << 16
 SHARED = 3  # words that a set has in common with those it meets before the join
 FINER = 8  # times 64 bits of the signatures that pairs are looked at with before words are fetched
+SLICES = 2  # of the prefix words, joined one after the other, so that shuffle files take half the disk
 WANTED_BITS = 1 << 23  # of the map that says which sets' words are fetched: 1 MB
 # words repeat within a task: a dictionary of up to 16 MB halves the files
 COMPACT = {"compression": "zstd", "parquet.dictionary.page.size": str(1 << 24)}
@@ -109,7 +112,12 @@ def earlier_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
 
 def similar_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
     """(a, b): candidate pairs of distinct (sid, n, prefix, low, high, open) rows after all filters, but none of two
-    sets that are not open.
+    sets that are not open."""
+    return reduce(DataFrame.union, [stored(pairs_of_slice(sets, percent, k), "line-slice") for k in range(SLICES)]).distinct()
+
+
+def pairs_of_slice(sets: DataFrame, percent: int, part: int) -> DataFrame:
+    """The pairs of ``similar_sets`` that share a word of one slice.
 
     Linked sets have lengths in one band or in neighbouring ones: the longer set stands in
     its own band and in the one below. The shorter set needs a shorter prefix, since as many words
@@ -117,9 +125,9 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     band = F.coalesce(band, F.lit(0))  # never null, so no filter is pushed into one side only and both read one exchange
-    size_and_place = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)) + 2 * F.col("at") + F.col("open").cast("int")
-    words = sets.select("sid", "n", "low", "high", "open", F.posexplode("prefix").alias("at", "word"))
-    words = words.select("word", "sid", "low", "high", size_and_place.alias("packed")).repartition("word")
+    words = sets.select("sid", "n", "low", "high", "open", F.posexplode("prefix").alias("at", "word")).filter(F.pmod(F.col("word"), F.lit(SLICES)) == part)
+    packed = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)) + 2 * F.col("at") + F.col("open").cast("int")
+    words = words.select("word", "sid", "low", "high", packed.alias("packed")).repartition("word")
     place = F.col("packed").bitwiseAND((1 << 32) - 1)
     n, at, is_open = F.call_function("shiftright", "packed", F.lit(32)).cast("int"), F.floor(place / 2).cast("int"), place.bitwiseAND(1) == 1
     words = words.select("word", "sid", n.alias("n"), at.alias("at"), is_open.alias("open"), "low", "high")
